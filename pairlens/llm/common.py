@@ -97,3 +97,56 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         last = now
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+SPANS = "array<struct<s:int,e:int,m:string>>"
+
+
+def match_spans(text: Column, regex: str, group: int = 0) -> Column:
+    """All matches of a pattern that never matches the empty string: start, end (code points, exclusive) and text.
+
+    Matches and the parts between them come from the same left-to-right search, so a start is the length of all parts
+    and matches before it. Prefix sums go by blocks of the square root of their number, for texts with very many
+    matches. With ``group``, the text is that of the group while start and end are those of the match.
+    """
+
+    def of(x: Column) -> Column:
+        own = F.size(x["m"])
+        size = lambda a: F.transform(a, lambda t: F.length(t))
+        return let(
+            F.struct(size(x["p"]).alias("p"), size(x["m"]).alias("m"), F.ceil(F.sqrt(own.cast("double"))).cast("int").alias("b")),
+            lambda n: let(
+                F.zip_with(F.slice(n["p"], 1, F.greatest(own, F.lit(0))), n["m"], lambda a, b: a + b),
+                lambda w: let(
+                    F.transform(F.sequence(F.lit(0), F.floor((own - 1) / n["b"]).cast("int")), lambda k: _sum(F.slice(w, k * n["b"] + 1, n["b"]))),
+                    lambda sums: let(
+                        F.transform(sums, lambda _, k: _sum(F.slice(sums, 1, k))),
+                        lambda before: F.transform(
+                            x["g"],
+                            lambda t, i: let(
+                                F.get(before, F.floor(i / n["b"]).cast("int")) + _sum(F.slice(w, F.floor(i / n["b"]).cast("int") * n["b"] + 1, F.pmod(i, n["b"]))) + F.get(n["p"], i),
+                                lambda s: F.struct(s.alias("s"), (s + F.get(n["m"], i)).alias("e"), t.alias("m")),
+                            ),
+                        ),
+                    ),
+                ),
+            ),
+        )
+
+    whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    found = F.struct(F.split(text, regex, -1).alias("p"), whole.alias("m"), (whole if not group else F.regexp_extract_all(text, F.lit(regex), F.lit(group))).alias("g"))
+    return F.when(text.rlike(regex), let(found, of)).otherwise(F.array().cast(SPANS))
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+
+def span_text(spans: Column) -> Column:
+    """Spans (struct of k, s, e in order) as kind:start:end, joined by commas."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
