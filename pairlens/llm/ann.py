@@ -7,7 +7,8 @@ the list of its nearest centroid, and lists are cut into blocks of ``BLOCK`` vec
 Search: a query first scans its nearest list for a threshold, then the other probed lists. A scan adds up distances
 over blocks of dimensions; after each, a candidate whose partial distance, scaled to all dimensions, exceeds the
 threshold by more than the sampling error of a random rotation allows is abandoned (the test of adaptive sampling,
-with its error factor as a parameter). Survivors are scored exactly, in double precision, on the original vectors.
+with its error factor as a parameter). How many lists are probed is measured: as many as hold the wanted share of the
+exact neighbours of a few hundred vectors. Survivors are scored exactly, in double precision, on the original vectors.
 
 Equal vectors are one vector with its ids: the smallest ``k + 1`` for results (no query can return more of them) and,
 where the vector is a query, one search for all its ids. So a vector that a third of all rows repeat is no hot group.
@@ -25,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .common import Scratch
 
-SAMPLE, MOST_LISTS, BLOCK, DIMS, FIT_ROUNDS = 20_000, 4096, 1024, 16, 12
+SAMPLE, MOST_LISTS, BLOCK, DIMS, FIT_ROUNDS, TUNING = 20_000, 4096, 1024, 16, 12, 256
 
 
 def rotation(d: int, seed: int) -> np.ndarray:
@@ -111,12 +112,36 @@ def _search(batches: Iterator[pa.RecordBatch], norm: float, k: int, error: float
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))], names=["rep", "vec_id", "score"])
 
 
+def _needed_probes(index: DataFrame, centroids: np.ndarray, k: int, recall: float, scratch: Scratch) -> int:
+    """Nearest lists that hold the share ``recall`` of the exact neighbours of ``TUNING`` vectors, found by brute force.
+
+    Each batch of the index returns its k best for each tuning vector, so what meets again is bounded by their number.
+    """
+    asked = np.stack([np.frombuffer(r.vec, np.float64) for r in index.orderBy(F.xxhash64("rep", F.lit("tuning"))).limit(TUNING).select("vec").collect()])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                scores = asked @ _matrix(b.column(1), np.float64).T
+                at = np.argsort(-scores, axis=1)[:, : k + 1]
+                list_ = b.column(0).to_numpy()[at]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asked), dtype=np.int32), at.shape[1])), pa.array(list_.ravel()), pa.array(np.take_along_axis(scores, at, 1).ravel())], names=["q", "list", "score"])
+
+    found = index.select("list", "vec").mapInArrow(best, "q int, list int, score double")
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "list"))).where(F.col("r") <= k + 1)
+    found = scratch.save(found.select("q", "list")).collect()  # TUNING * (k + 1) rows
+    order = nearest(np.hstack([asked, np.zeros((len(asked), 1))]), centroids, len(centroids))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], 1)
+    return int(np.quantile([place[r.q, r.list] for r in found], recall, method="higher")) + 1
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     queries: str = "vec_id % 20 = 0",
     k: int = 20,
-    probe_share: float = 0.3,
-    least_probes: int = 16,
+    recall: float = 0.97,
+    probes: int | None = None,
     error: float = 2.1,
     seed: int = 7,
     id_col: str = "vec_id",
@@ -145,7 +170,6 @@ def nearest_neighbours(
     lists = max(1, min(MOST_LISTS, int(np.sqrt(n))))
     turn = rotation(d + 1, seed)
     centroids = spark.sparkContext.broadcast(fit_centroids(lifted(sample, norm), lists, seed))  # at most MOST_LISTS rows
-    probes = min(lists, max(least_probes, int(probe_share * lists)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,6 +183,7 @@ def nearest_neighbours(
 
     index = distinct.select("v", "ids", "rep").mapInArrow(place, "list int, vec binary, turned binary, ids array<long>, rep long")
     index = scratch.save(index)
+    probes = min(lists, probes or _needed_probes(index, centroids.value, k, recall, scratch))
     sizes = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("subs"))  # a row for each list
     sizes = F.broadcast(scratch.save(sizes))
     blocks = index.join(sizes, "list").withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))

@@ -1,16 +1,22 @@
 """Toxicity: a cumulative-link ordinal model over sparse text features.
 
-Severity grades are ordered: 0 is not toxic, 1 toxic, 2 toxic in a text of low quality. The model holds one weight for
-each word and one cut for each grade: P(grade > g) = logistic(score - cut g), so all grades share the weights and the
-probabilities cannot cross. The expected severity is the sum of P(grade > g).
-
-Features are the distinct words of a text (lower case, without punctuation around them) that at least ``min_docs``
-fitted texts hold. The model is fitted on a bounded sample of labelled rows, the ``most`` with the smallest hash of
-their id; every document is scored, over its whole text.
+Severity grades are ordered: 0 not toxic, 1 toxic, 2 strongly toxic. The model holds one weight for each feature and
+one cut for each grade: P(grade > g) = logistic(score - cut g), so all grades share the weights and the probabilities
+cannot cross. The expected severity is the sum of P(grade > g).
+
+Labels say only toxic or not. A toxic text counts as strongly toxic if it holds ``STRONG`` or more different words that
+mark toxic texts in the fitted sample (``marks``); operators with graded labels pass their own grades to ``fit``.
+
+Features are the distinct words of a text (lower case, without punctuation around them) and their first four and six
+letters. Of those that at least ``min_docs`` fitted texts hold, the model uses the ones whose share of toxic texts lies
+``least_z`` or more standard errors from the average, so that chance words cannot add up in long texts. The model is
+fitted on a bounded sample of labelled rows, the ``most`` with the smallest hash of their id; every document is scored,
+over its whole text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,20 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRADES = 3
-_EDGE = b""".,;:!?"'()[]{}<>*#$%&|-_"""
+GRADES, STRONG = 3, 3
+_EDGE = """.,;:!?"'()[]{}<>*#$%&|-_"""
 
 
-def features(text: str | None) -> set[bytes]:
-    """Distinct words of a text."""
-    out = {w.strip(_EDGE) for w in set((text or "").lower().encode().split())}
-    out.discard(b"")
-    return out
+def features(text: str | None) -> set[str]:
+    """Distinct words of a text and their beginnings (marked with a caret)."""
+    out = {w.strip(_EDGE) for w in set((text or "").lower().split())}
+    out.discard("")
+    return out | {"^" + w[:4] for w in out if len(w) > 4} | {"^" + w[:6] for w in out if len(w) > 6}
 
 
 @dataclass
 class OrdinalModel:
-    weights: dict[bytes, float]
+    weights: dict[str, float]
     cuts: np.ndarray
 
     def exceed(self, text: str | None) -> np.ndarray:
@@ -42,14 +48,23 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score - self.cuts, -500, 500)))
 
 
-def fit(rows: list[tuple[set[bytes], int]], grades: int = GRADES, min_docs: int = 5, penalty: float = 0.3, rounds: int = 150) -> OrdinalModel:
+def marks(rows: list[tuple[set[str], int]], min_docs: int = 5) -> dict[str, tuple[float, float]]:
+    """For each feature of min_docs or more texts: standard errors from the average toxic share, and its toxic share."""
+    times, toxic = Counter(w for words, _ in rows for w in words), Counter(w for words, g in rows if g for w in words)
+    share = sum(g > 0 for _, g in rows) / max(len(rows), 1)
+    error = lambda n: np.sqrt(max(n * share * (1 - share), 1e-9))
+    return {w: ((toxic[w] - n * share) / error(n), toxic[w] / n) for w, n in times.items() if n >= min_docs}
+
+
+def graded(rows: list[tuple[set[str], int]], least_z: float = 5.0) -> list[tuple[set[str], int]]:
+    """Rows of toxic 0 or 1 with the grades 0 to 2."""
+    known = {w for w, (z, share) in marks(rows).items() if z >= least_z and share >= 0.8 and w[0] != "^"}
+    return [(words, (1 + (len(words & known) >= STRONG)) if toxic else 0) for words, toxic in rows]
+
+
+def fit(rows: list[tuple[set[str], int]], grades: int = GRADES, min_docs: int = 5, least_z: float = 5.0, penalty: float = 0.02, rounds: int = 600, step: float = 0.3) -> OrdinalModel:
     """Fits weights and cuts by accelerated gradient steps on the penalised likelihood of a cumulative-link model."""
-    times: dict[bytes, int] = {}
-    for words, _ in rows:
-        for w in words:
-            times[w] = times.get(w, 0) + 1
-    # A word most texts hold says nothing; leaving it out keeps the product small.
-    names = sorted(w for w, n in times.items() if min_docs <= n <= max(min_docs, len(rows) // 2))
+    names = sorted(w for w, (z, _) in marks(rows, min_docs).items() if abs(z) >= least_z)
     at = {w: i for i, w in enumerate(names)}
     y = np.array([g for _, g in rows])
     cols = [np.array(sorted(at[w] for w in words if w in at), np.int64) for words, _ in rows]
@@ -78,7 +93,7 @@ def fit(rows: list[tuple[set[bytes], int]], grades: int = GRADES, min_docs: int
         g_w, g_c = slopes(w, cuts)
         m_w, v_w = 0.9 * m_w + 0.1 * g_w, 0.99 * v_w + 0.01 * g_w * g_w
         m_c, v_c = 0.9 * m_c + 0.1 * g_c, 0.99 * v_c + 0.01 * g_c * g_c
-        rate = 0.1 * (1 - t / (rounds + 1))
+        rate = step * (1 - t / (rounds + 1))
         w = w + rate * (m_w / (1 - 0.9**t)) / (np.sqrt(v_w / (1 - 0.99**t)) + 1e-8)
         cuts = np.maximum.accumulate(cuts + rate * (m_c / (1 - 0.9**t)) / (np.sqrt(v_c / (1 - 0.99**t)) + 1e-8))
     return OrdinalModel({k: float(x) for k, x in zip(names, w) if abs(x) > 1e-3}, cuts)
@@ -87,21 +102,19 @@ def fit(rows: list[tuple[set[bytes], int]], grades: int = GRADES, min_docs: int
 def fit_labels(docs: DataFrame, labels: DataFrame, most: int = 6000, id_col: str = "doc_id", text_col: str = "text", **options) -> OrdinalModel:
     """Model fitted on the ``most`` labelled documents with the smallest hashes of their ids.
 
-    Rows without id, toxic label or document are left out; a missing quality counts as good. Without any row the model
-    gives every text a severity near 0.
+    Rows without id, toxic label or document are left out. Without any row the model gives every text a severity near 0.
     """
-    grade = F.when(F.col("toxic") > 0, F.when(F.coalesce(F.col("quality"), F.lit(1)) > 0, 1).otherwise(2)).otherwise(0)
-    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(grade).alias("grade"))
+    marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("grade"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most `most` rows of 12 bytes
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(features(t.as_py())) for t in b.column(1)], pa.list_(pa.binary())), b.column(2)], names=["doc_id", "words", "grade"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(features(t.as_py())) for t in b.column(1)], pa.list_(pa.string())), b.column(2)], names=["doc_id", "words", "grade"])
 
-    rows = src.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade").mapInArrow(pick, "doc_id long, words array<binary>, grade int")
+    rows = src.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade").mapInArrow(pick, "doc_id long, words array<string>, grade int")
     found = sorted(rows.collect(), key=lambda r: (r.doc_id, r.words))[:most]
-    return fit([(set(map(bytes, r.words)), r.grade) for r in found], **options)
+    return fit(graded([(set(r.words), r.grade) for r in found]), **options)
 
 
 def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

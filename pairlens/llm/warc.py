@@ -96,7 +96,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, level: int) -> Iterat
         content = archive_bytes(held, level)
         name = f"{task.partitionId():06d}-{k:05d}.warc.zst"
         aside = f"{root}/.{name}.{task.taskAttemptId()}"
-        with fs.open_output_stream(aside) as out:
+        with fs.open_output_stream(aside, compression=None) as out:
             out.write(content)
         fs.move(aside, f"{root}/{name}")
         return pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "records": len(held), "raw_bytes": size, "file_bytes": len(content)}])
@@ -154,7 +154,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in b.column(0).to_pylist():
             fs, at = pa.fs.FileSystem.from_uri(path)
             rows = []
-            with fs.open_input_stream(at) as content:
+            with fs.open_input_stream(at, compression=None) as content:
                 for h, block in read_records(content):
                     digest = base64.b32decode(h["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     kind, size = h["WARC-Type"], int(h["X-Payload-Length"])
@@ -187,7 +187,7 @@ def payload(archives: DataFrame) -> DataFrame:
         for b in batches:
             for path in b.column(0).to_pylist():
                 fs, at = pa.fs.FileSystem.from_uri(path)
-                with fs.open_input_stream(at) as content:
+                with fs.open_input_stream(at, compression=None) as content:
                     for h, block in read_records(content):
                         if h["WARC-Type"] == "response":
                             yield pa.RecordBatch.from_arrays([pa.array([int(h["X-Page-Id"]) if h["X-Page-Id"] else None], pa.int64()), pa.array([block.partition(b"\r\n\r\n")[2]], pa.binary())], names=["page_id", "payload"])

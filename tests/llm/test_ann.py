@@ -33,13 +33,13 @@ def recall(got, want):
 
 def test_full_probing_is_exact_with_ties(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, [float(x) for x in np.round(rng.standard_normal(12), 1)]) for i in range(400)]
+    rows = [(i, [float(x) for x in np.round(8 * rng.standard_normal(12)) / 8]) for i in range(400)]
     rows += [(1000 + i, rows[3][1]) for i in range(60)] + [(2000 + i, [2 * x for x in rows[5][1]]) for i in range(3)]
     bad = [(1, None), (20, []), (40, [0.0] * 12), (60, [float("nan")] * 12), (80, [None] + [1.0] * 11), (None, rows[0][1]), (100, [float("inf")] * 12)]
     skip = {i for i, _ in bad}
     rows = [r for r in rows if r[0] not in skip] + bad + rows[200:210]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rep", F.lit(1)).withColumn("list", F.lit(1))
-    got, want = run(df, probe_share=1.0, error=50.0), brute(rows)
+    got, want = run(df, probes=10**6, error=50.0), brute(rows)
     assert set(got) == set(want)
     for q in want:
         assert [j for j, _ in got[q]] == [j for j, _ in want[q]]

@@ -32,9 +32,10 @@ def test_table_base(spark, sf):
 
 
 def _host_rows():
-    body = lambda i, k: " ".join(f"w{i}x{j}" for j in range(k))
+    name = lambda n: "".join(chr(97 + int(c)) for c in str(n))  # noqa: E731  digits count as equal in lines
+    body = lambda i, k: " ".join(f"w{name(i)}x{name(j)}" for j in range(k))
     rows = [(i, f"{body(i, 30)}\nSubscribe  NOW to our letter 7\n{body(1000 + i, 5)}", "a") for i in range(40)]
-    rows += [(100 + i, f"subscribe now to our letter {i % 10}\nq{i} z{i}\n" + "subscribe now to our letter 1\n" * 9, "a") for i in range(30)]
+    rows += [(100 + i, f"subscribe now to our letter {i % 10}\nq{name(i)} z{name(i)}\n" + "subscribe now to our letter 1\n" * 9, "a") for i in range(30)]
     rows += [(200 + i, body(7, 60) + "\n" + body(8, 60), "a") for i in range(50)]
     rows += [(300 + i, f"{body(500 + i, 30)}\nsubscribe now to our letter 7", "b") for i in range(3)]
     return rows

@@ -56,7 +56,7 @@ def test_random_tokens_are_told_from_structured_ones(spark):
 
 
 def test_added_spans_keep_base_ones(spark):
-    key = "qP8zR2mX7vK4tB9wY3nL6cJ1hG5dF0sA"
+    key = "".join(random.Random(11).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32))
     df = spark.createDataFrame([(1, f"see {key} here"), (2, f"token={key}"), (3, "nothing")], "doc_id long, text string")
     got = check(df)
     assert got[1].spans == f"random:4:{4 + len(key)}" and got[2].spans.startswith("assign:0:") and "random" not in got[2].spans and got[3].spans == ""
