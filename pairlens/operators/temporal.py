@@ -23,12 +23,9 @@ def nearest_period(wanted: DataFrame, source: DataFrame, bound: int, keep: list[
     key = [c for c in wanted.columns]
     near = wanted.withColumn("src", F.explode(F.sequence(F.col("period") - bound, F.col("period") + bound)))
     right = source.select("entity", F.col("period").alias("src"), *keep)
-    best = near.join(right, ["entity", "src"]).groupBy(*key).agg(F.min(F.struct(F.abs(F.col("src") - F.col("period")).alias("d"), "src", *keep)).alias("m"))
-    cond = [wanted[c].eqNullSafe(best[c]) for c in key]
-    on = cond[0]
-    for c in cond[1:]:
-        on = on & c
-    return wanted.join(best, on, "left").select(*[wanted[c] for c in key], F.col("m.src").alias("src"), *[F.col(f"m.{c}").alias(c) for c in keep])
+    hit = F.when(F.col("_hit"), F.struct(F.abs(F.col("src") - F.col("period")).alias("d"), "src", *keep))
+    best = near.join(right.withColumn("_hit", F.lit(True)), ["entity", "src"], "left").groupBy(*key).agg(F.min(hit).alias("m"))
+    return best.select(*key, F.col("m.src").alias("src"), *[F.col(f"m.{c}").alias(c) for c in keep])
 
 
 def within(wanted: DataFrame, source: DataFrame, bound: int) -> DataFrame:

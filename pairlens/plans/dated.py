@@ -1 +1,440 @@
+"""Queries on dated records: identities, dates, intervals, evidence and joint coverage."""
+
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import dates as D
+from ..functions import keys as K
+from ..operators import gradings as G
+from ..operators import temporal as T
+from . import demo
+from .registry import query
+
+
+@query("SELECT CASE WHEN a <> b THEN least(a, b) || '|' || greatest(a, b) END AS pair_key, count(*) AS n FROM pairings_screen GROUP BY 1")
+def id_pair_key(spark, sf):
+    return demo.pairings_screen(spark, sf).groupBy(K.pair_key(F.col("a"), F.col("b")).alias("pair_key")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, 'cust_' || substr(sha256(c_name || chr(10) || c_mktsegment), 1, 12) AS id FROM customer")
+def id_stable(spark, sf):
+    return demo.table(spark, sf, "customer").select("c_custkey", K.stable_id("cust", F.col("c_name"), F.col("c_mktsegment")).alias("id"))
+
+
+@query("""SELECT s_suppkey, sha256('{"key":' || s_suppkey || ',"name":"' || s_name || '"}') AS hash FROM supplier""")
+def id_json_hash(spark, sf):
+    return demo.table(spark, sf, "supplier").select("s_suppkey", K.json_hash(name=F.col("s_name"), key=F.col("s_suppkey")).alias("hash"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def id_content_hash(spark, sf):
+    return demo.table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+
+
+@query("SELECT p_partkey, substr(sha256(strlen(p_name) || chr(10) || p_name || strlen(p_type) || chr(10) || p_type), 1, 12) AS contract_id FROM part")
+def id_contract(spark, sf):
+    return demo.table(spark, sf, "part").select("p_partkey", K.contract_id(F.col("p_name"), F.col("p_type")).alias("contract_id"))
+
+
+@query("SELECT DISTINCT entity || '__' || period || '__' || family AS cache_key FROM gradings")
+def id_cache_key(spark, sf):
+    return demo.gradings(spark, sf).select(F.concat_ws("__", "entity", "period", "family").alias("cache_key")).distinct()
+
+
+@query("""SELECT n, sha256(n || '|' || s0 || '|' || s1 || '|' || s2 || '|' || s3 || '|' || s4) AS digest FROM (SELECT count(*) AS n,
+    sum(('0x' || substr(h, 1, 12))::BIGINT)::HUGEINT AS s0, sum(('0x' || substr(h, 13, 12))::BIGINT)::HUGEINT AS s1, sum(('0x' || substr(h, 25, 12))::BIGINT)::HUGEINT AS s2,
+    sum(('0x' || substr(h, 37, 12))::BIGINT)::HUGEINT AS s3, sum(('0x' || substr(h, 49, 12))::BIGINT)::HUGEINT AS s4
+    FROM (SELECT sha256(domain || chr(31) || pairing_id || chr(31) || period || chr(31) || weight_h || chr(31) || work) AS h FROM pairings_screen))""")
+def fp_content(spark, sf):
+    return K.fingerprint(demo.pairings_screen(spark, sf).withColumn("written_at", F.current_timestamp()), ["written_at", "a", "b"])
+
+
+_CODED = "(SELECT o_orderkey, strftime(o_orderdate, '+%Y-%m-%dT00:00:00Z') AS v, 8 + (o_orderkey % 4)::INT AS code, o_orderdate::DATE AS d FROM orders)"
+
+
+def _coded(spark, sf):
+    o = demo.table(spark, sf, "orders")
+    return o.select("o_orderkey", F.date_format("o_orderdate", "'+'yyyy-MM-dd'T00:00:00Z'").alias("v"), (8 + F.col("o_orderkey") % 4).cast("int").alias("code"), F.to_date("o_orderdate").alias("d"))
+
+
+@query(f"SELECT o_orderkey, CASE code WHEN 9 THEN strftime(d, '%Y') WHEN 10 THEN strftime(d, '%Y-%m') WHEN 11 THEN strftime(d, '%Y-%m-%d') END AS value FROM {_CODED}")
+def dt_truncate_precision(spark, sf):
+    return _coded(spark, sf).select("o_orderkey", D.truncated(F.col("v"), F.col("code")).alias("value"))
+
+
+@query("SELECT n_nationkey, try_cast((2000 + n_nationkey) || '-02-' || (28 + n_nationkey % 3) AS DATE) IS NOT NULL AS valid FROM nation")
+def dt_validate(spark, sf):
+    v = F.concat((2000 + F.col("n_nationkey")).cast("string"), F.lit("-02-"), (28 + F.col("n_nationkey") % 3).cast("string"))
+    return demo.table(spark, sf, "nation").select("n_nationkey", D.is_valid(v, F.lit("day")).alias("valid"))
+
+
+@query(f"""SELECT o_orderkey, CASE code WHEN 9 THEN date_trunc('year', d) WHEN 10 THEN date_trunc('month', d) WHEN 11 THEN d END::DATE::VARCHAR AS earliest,
+    CASE code WHEN 9 THEN make_date(year(d), 12, 31) WHEN 10 THEN last_day(d) WHEN 11 THEN d END::DATE::VARCHAR AS latest FROM {_CODED}""")
+def dt_bounds(spark, sf):
+    v = D.truncated(F.col("v"), F.col("code"))
+    return _coded(spark, sf).select("o_orderkey", D.earliest(v).cast("string").alias("earliest"), D.latest(v).cast("string").alias("latest"))
+
+
+@query("SELECT pairing_id, date_diff('day', start_d, CASE WHEN end_d > DATE '2001-06-01' THEN DATE '2001-06-01' ELSE end_d END) + 1 AS days FROM pairings_life WHERE end_d >= start_d")
+def dt_interval_days(spark, sf):
+    df = demo.pairings_life(spark, sf).where("end_d >= start_d").withColumn("closed", F.expr("if(end_d > date'2001-06-01', null, end_d)"))
+    return df.select("pairing_id", D.interval_days(F.col("start_d"), F.col("closed"), F.lit("2001-06-01").cast("date")).alias("days"))
+
+
+@query("""SELECT pairing_id, greatest(start_d, DATE '1996-01-01')::VARCHAR AS s, least(end_d, DATE '1999-12-31')::VARCHAR AS e FROM pairings_life WHERE greatest(start_d, DATE '1996-01-01') <= least(end_d, DATE '1999-12-31')""")
+def dt_clip(spark, sf):
+    c = D.clipped(F.col("start_d"), F.col("end_d"), F.lit("1996-01-01").cast("date"), F.lit("1999-12-31").cast("date"))
+    return demo.pairings_life(spark, sf).select("pairing_id", c.alias("c")).where("c is not null").selectExpr("pairing_id", "cast(c.start as string) as s", "cast(c.end as string) as e")
+
+
+@query("SELECT pairing_id, period, days, total_days, round(days / total_days, 6) AS share FROM life_days")
+def dt_year_shares(spark, sf):
+    return demo.life_days(spark, sf).select("pairing_id", "period", "days", "total_days", F.round(F.col("days") / F.col("total_days"), 6).alias("share"))
+
+
+@query("SELECT period, sum(days)::BIGINT AS days FROM life_days GROUP BY period")
+def dt_year_days(spark, sf):
+    return demo.life_days(spark, sf).groupBy("period").agg(F.sum("days").alias("days"))
+
+
+@query("""SELECT o_orderkey, (CASE WHEN month(d) = 2 AND day(d) = 29 AND day(d + INTERVAL 216 MONTH) <> 29 THEN d + INTERVAL 216 MONTH + INTERVAL 1 DAY ELSE d + INTERVAL 216 MONTH END)::DATE::VARCHAR AS adult_from FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)""")
+def dt_adult_window(spark, sf):
+    return demo.table(spark, sf, "orders").select("o_orderkey", D.adult_from(F.to_date("o_orderdate")).cast("string").alias("adult_from"))
+
+
+@query(f"SELECT o_orderkey, substr(strftime(d, '%Y-%m-%d'), 1, CASE code WHEN 9 THEN 4 WHEN 10 THEN 7 ELSE 10 END) AS released FROM {_CODED}")
+def dt_format_release(spark, sf):
+    return _coded(spark, sf).selectExpr("o_orderkey", "substr(cast(d as string), 1, case code when 9 then 4 when 10 then 7 else 10 end) as released")
+
+
+@query("""SELECT l_orderkey, d::VARCHAR AS released FROM (SELECT l_orderkey, min(d) AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, year(d)) AS rn FROM (SELECT l_orderkey, l_shipdate::DATE AS d FROM lineitem) GROUP BY l_orderkey, year(d)) WHERE rn = 1""")
+def dt_choose_release(spark, sf):
+    per = demo.table(spark, sf, "lineitem").select("l_orderkey", F.to_date("l_shipdate").alias("d")).groupBy("l_orderkey", F.year("d").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d"))
+    best = per.groupBy("l_orderkey").agg(F.min(F.struct((-F.col("n")).alias("n"), "y", "d")).alias("m"))
+    return best.select("l_orderkey", F.col("m.d").cast("string").alias("released"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS plain FROM orders""")
+def dt_plain_dates(spark, sf):
+    o = demo.table(spark, sf, "orders")
+    cell = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "'| {{dts|'yyyy'|'M'|'d'}}'")).otherwise(F.date_format("o_orderdate", "'| 'MMMM d, yyyy"))
+    return o.select("o_orderkey", D.plain_date(cell).alias("plain"))
+
+
+@query("""SELECT pairing_id, period FROM (SELECT pairing_id, period, row_number() OVER (PARTITION BY pairing_id ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY pairing_id) AS n FROM life_days) WHERE n <= 3 OR i IN (0, n // 2, n - 1)""")
+def pick_periods(spark, sf):
+    w = Window.partitionBy("pairing_id")
+    df = demo.life_days(spark, sf).withColumn("i", F.row_number().over(w.orderBy("period")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    return df.where("n <= 3 or i in (0, n div 2, n - 1)").select("pairing_id", "period")
+
+
+@query("""SELECT k, island::BIGINT AS island, count(*) AS stages, min(start_d)::VARCHAR AS start_d, max(end_d)::VARCHAR AS end_d FROM islands GROUP BY k, island""")
+def wn_merge_progressions(spark, sf):
+    df = T.islands(demo.candidates(spark, sf).where("end_d >= start_d"), "k", ["start_d", "end_d", "stage", "seq", "line"], 30)
+    return df.groupBy("k", "island").agg(F.count(F.lit(1)).alias("stages"), F.min("start_d").cast("string").alias("start_d"), F.max("end_d").cast("string").alias("end_d"))
+
+
+@query("SELECT k, stage, start_d::VARCHAR AS start_d, end_d::VARCHAR AS end_d, bool_or(line > 2) AS has_reference, count(*) - 1 AS collapsed FROM candidates GROUP BY ALL")
+def wn_dedupe_mirrored(spark, sf):
+    df = demo.candidates(spark, sf).withColumn("ref", F.expr("line > 2")).withColumn("start_d", F.col("start_d").cast("string")).withColumn("end_d", F.col("end_d").cast("string"))
+    return T.collapsed_mirrors(df, ["k", "stage", "start_d", "end_d"], "ref")
+
+
+@query("SELECT seq, line, k, CASE WHEN end_d < start_d THEN 'end_before_start' ELSE '' END AS defects, count(*) AS n FROM candidates GROUP BY ALL")
+def dq_episode_defects(spark, sf):
+    found = F.array_join(F.array_compact(F.array(F.expr("if(end_d < start_d, 'end_before_start', null)"), F.expr("if(start_d is null, 'no_start', null)"))), ",")
+    return demo.candidates(spark, sf).groupBy("seq", "line", "k", found.alias("defects")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT pairing_id, CASE WHEN end_d < start_d THEN 'end before start' END AS reason FROM pairings_life")
+def dq_interval(spark, sf):
+    return demo.pairings_life(spark, sf).selectExpr("pairing_id", "if(end_d < start_d, 'end before start', null) as reason")
+
+
+@query("""SELECT count(*) AS candidates, count(CASE WHEN end_d < start_d THEN 1 END) AS defective, count(DISTINCT k) AS entities, min(start_d)::VARCHAR AS first_day, max(end_d)::VARCHAR AS last_day FROM candidates""")
+def agg_episode_counts(spark, sf):
+    return demo.candidates(spark, sf).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.expr("end_d < start_d")).alias("defective"), F.count_distinct("k").alias("entities"), F.min("start_d").cast("string").alias("first_day"), F.max("end_d").cast("string").alias("last_day"))
+
+
+@query("""SELECT stage, count(*) AS n, count(CASE WHEN line > 2 THEN 1 END) AS with_reference, count(start_d) AS with_start, count(CASE WHEN day(start_d) = 1 AND month(start_d) = 1 THEN 1 END) AS year_only FROM candidates GROUP BY stage""")
+def agg_candidate_counts(spark, sf):
+    return demo.candidates(spark, sf).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("line > 2")).alias("with_reference"), F.count("start_d").alias("with_start"), F.count_if(F.expr("day(start_d) = 1 and month(start_d) = 1")).alias("year_only"))
+
+
+_R = "SELECT a, b, period, ra[2] AS a_src, rb[2] AS b_src FROM resolved"
+
+
+@query(_R)
+def jn_nearest_bounded(spark, sf):
+    return demo.resolved(spark, sf).select("a", "b", "period", "a_src", "b_src")
+
+
+@query("SELECT e.a AS entity, e.period, s.period AS src, s.shape FROM episodes_e e JOIN sparse s ON s.entity = e.a AND abs(s.period - e.period) <= 1")
+def jn_range_evidence(spark, sf):
+    return T.within(demo.episodes_e(spark, sf).selectExpr("a as entity", "period"), demo.sparse(spark, sf), 1).select("entity", "period", "src", "shape")
+
+
+_DIST = "(SELECT e.a, e.b, e.period, (SELECT min(abs(s.period - e.period)) FROM sparse s WHERE s.entity = e.a) AS da, (SELECT min(abs(s.period - e.period)) FROM sparse s WHERE s.entity = e.b) AS db FROM episodes_e e)"
+
+
+def _min_bounds(spark, sf):
+    e, s = demo.episodes_e(spark, sf), demo.sparse(spark, sf)
+    da = T.nearest_distance(e.selectExpr("a as entity", "period"), s).selectExpr("entity as a", "period", "distance as da")
+    db = T.nearest_distance(e.selectExpr("b as entity", "period"), s).selectExpr("entity as b", "period", "distance as db")
+    return e.join(da, ["a", "period"], "left").join(db, ["b", "period"], "left").groupBy("a", "b").agg(F.min(F.expr("if(da is null or db is null, null, greatest(da, db))")).alias("bound"))
+
+
+@query(f"SELECT a, b, min(CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN greatest(da, db) END) AS bound FROM {_DIST} GROUP BY a, b")
+def jn_min_bound(spark, sf):
+    return _min_bounds(spark, sf)
+
+
+@query(f"""SELECT n AS bound, count(CASE WHEN bound = n THEN 1 END) AS at_bound, count(CASE WHEN bound <= n THEN 1 END) AS covered FROM (SELECT unnest(range(0, 13)) AS n) CROSS JOIN
+    (SELECT a, b, min(CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN greatest(da, db) END) AS bound FROM {_DIST} GROUP BY a, b) GROUP BY n""")
+def agg_alignment_curve(spark, sf):
+    per = _min_bounds(spark, sf).groupBy("bound").count()
+    spine = spark.range(0, 13).selectExpr("cast(id as int) as bound").join(per, "bound", "left")
+    return spine.select("bound", F.coalesce("count", F.lit(0)).alias("at_bound"), F.sum(F.coalesce("count", F.lit(0))).over(Window.orderBy("bound")).alias("covered"))  # 13 rows
+
+
+@query(f"""SELECT * FROM (SELECT min(n) AS plateau FROM (SELECT n, count(CASE WHEN bound <= n THEN 1 END) AS c, max(count(CASE WHEN bound <= n THEN 1 END)) OVER () AS m FROM (SELECT unnest(range(0, 13)) AS n) CROSS JOIN
+    (SELECT a, b, min(CASE WHEN da IS NOT NULL AND db IS NOT NULL THEN greatest(da, db) END) AS bound FROM {_DIST} GROUP BY a, b) GROUP BY n) WHERE c = m)""")
+def agg_curve_plateau(spark, sf):
+    return agg_alignment_curve(spark, sf).agg(F.min_by("bound", F.struct((-F.col("covered")).alias("c"), "bound")).alias("plateau"))
+
+
+_J = """(SELECT r.a, r.b, r.period, ra[2] AS a_src, rb[2] AS b_src, x.shape AS a_shape, y.shape AS b_shape, x.estimate AS a_est, y.estimate AS b_est FROM resolved r
+    LEFT JOIN sparse x ON x.entity = r.a AND x.period = ra[2] LEFT JOIN sparse y ON y.entity = r.b AND y.period = rb[2])"""
+_STATUS = "CASE WHEN a_src IS NULL AND b_src IS NULL THEN 'neither' WHEN a_src IS NULL OR b_src IS NULL THEN 'one side' WHEN a_shape = b_shape THEN 'comparable' ELSE 'mismatched' END"
+_COMPARE = F.expr(_STATUS.lower().replace("then 'one side'", "then 'one side'"))
+
+
+@query(f"SELECT {_STATUS} AS status, count(*) AS rows, count(DISTINCT a) AS pairs FROM {_J} GROUP BY 1")
+def agg_joint_coverage(spark, sf):
+    return demo.resolved(spark, sf).groupBy(_COMPARE.alias("status")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("a").alias("pairs"))
+
+
+@query(f"SELECT a, b, period, CASE WHEN coalesce(a_shape, '') = '' OR coalesce(b_shape, '') = '' THEN 'shape_unknown' WHEN a_shape = b_shape THEN 'comparable' ELSE 'shape_mismatched' END AS label FROM {_J}")
+def flt_comparability(spark, sf):
+    return demo.resolved(spark, sf).selectExpr("a", "b", "period", "case when coalesce(a_shape, '') = '' or coalesce(b_shape, '') = '' then 'shape_unknown' when a_shape = b_shape then 'comparable' else 'shape_mismatched' end as label")
+
+
+@query(f"SELECT a, b, period FROM {_J} WHERE (a_src IS NULL) <> (b_src IS NULL)")
+def jn_one_sided(spark, sf):
+    return demo.resolved(spark, sf).where("(a_src is null) <> (b_src is null)").select("a", "b", "period")
+
+
+@query(f"SELECT count(CASE WHEN a_src IS NOT NULL AND b_src IS NOT NULL THEN 1 END) AS covered, count(CASE WHEN a_src IS NOT NULL AND b_src IS NOT NULL AND (a_src <> period OR b_src <> period) THEN 1 END) AS reused FROM {_J}")
+def agg_reuse_share(spark, sf):
+    both = "a_src is not null and b_src is not null"
+    return demo.resolved(spark, sf).agg(F.count_if(F.expr(both)).alias("covered"), F.count_if(F.expr(f"{both} and (a_src <> period or b_src <> period)")).alias("reused"))
+
+
+@query(f"SELECT count(*) AS scored, sum(b_est - a_est)::BIGINT AS total, count(CASE WHEN a_shape = b_shape THEN 1 END) AS comparable, coalesce(sum(CASE WHEN a_shape = b_shape THEN b_est - a_est END), 0)::BIGINT AS comparable_total FROM {_J} WHERE a_src IS NOT NULL AND b_src IS NOT NULL")
+def agg_same_shape_view(spark, sf):
+    df = demo.resolved(spark, sf).where("a_src is not null and b_src is not null")
+    return df.agg(F.count(F.lit(1)).alias("scored"), F.expr("sum(b_est - a_est)").alias("total"), F.count_if(F.expr("a_shape = b_shape")).alias("comparable"), F.coalesce(F.expr("sum(if(a_shape = b_shape, b_est - a_est, null))"), F.lit(0)).alias("comparable_total"))
+
+
+@query(f"SELECT count(*) AS mismatched FROM {_J} WHERE a_shape <> b_shape")
+def agg_mismatch_count(spark, sf):
+    return demo.resolved(spark, sf).agg(F.count_if(F.expr("a_shape <> b_shape")).alias("mismatched"))
+
+
+@query(f"""SELECT f AS floor, count(CASE WHEN a_src IS NOT NULL AND b_src IS NOT NULL THEN 1 END) AS joint, count(CASE WHEN a_shape = b_shape THEN 1 END) AS comparable,
+    count(CASE WHEN a_shape = b_shape AND abs(b_est - a_est) > f THEN 1 END) AS comparable_detectable, count(CASE WHEN a_shape <> b_shape AND abs(b_est - a_est) > f THEN 1 END) AS mismatched_detectable FROM {_J}, (SELECT unnest([1, 5, 10, 20]) AS f) GROUP BY f""")
+def agg_robustness_grid(spark, sf):
+    grid = spark.createDataFrame([(1,), (5,), (10,), (20,)], "floor int")
+    rows = demo.resolved(spark, sf).crossJoin(F.broadcast(grid))  # four settings
+    n = lambda e: F.count_if(F.expr(e))
+    return rows.groupBy("floor").agg(n("a_src is not null and b_src is not null").alias("joint"), n("a_shape = b_shape").alias("comparable"), n("a_shape = b_shape and abs(b_est - a_est) > floor").alias("comparable_detectable"), n("a_shape <> b_shape and abs(b_est - a_est) > floor").alias("mismatched_detectable"))
+
+
+@query("SELECT f AS floor, w AS weight, count(*) AS pairings FROM pair_scores, (SELECT unnest([0, 10000000]) AS f), (SELECT unnest([0, 40]) AS w) WHERE abs(gap_u) > f AND weight_h > w GROUP BY ALL")
+def jn_dials_grid(spark, sf):
+    grid = spark.createDataFrame([(f, w) for f in (0, 10000000) for w in (0, 40)], "floor long, weight int")
+    return demo.pair_scores(spark, sf).crossJoin(F.broadcast(grid)).where("abs(gap_u) > floor and weight_h > weight").groupBy("floor", "weight").agg(F.count(F.lit(1)).alias("pairings"))
+
+
+@query(f"""SELECT 'equal shapes stay within 100' AS claim, bool_and(abs(b_est - a_est) <= 100) AS holds, count(*) AS checked, count(CASE WHEN abs(b_est - a_est) > 100 THEN 1 END) AS exceptions FROM {_J} WHERE a_shape = b_shape
+    UNION ALL SELECT 'sources lie within one period', bool_and(abs(a_src - period) <= 1), count(*), count(CASE WHEN abs(a_src - period) > 1 THEN 1 END) FROM {_J} WHERE a_src IS NOT NULL""")
+def agg_claims_hold(spark, sf):
+    r = demo.resolved(spark, sf)
+    out = lambda df, name, e: df.agg(F.lit(name).alias("claim"), F.bool_and(F.expr(e)).alias("holds"), F.count(F.lit(1)).alias("checked"), F.count_if(F.expr(f"not ({e})")).alias("exceptions"))
+    return out(r.where("a_shape = b_shape"), "equal shapes stay within 100", "abs(b_est - a_est) <= 100").unionAll(out(r.where("a_src is not null"), "sources lie within one period", "abs(a_src - period) <= 1"))
+
+
+@query("SELECT e.a, e.b, e.period, s.entity IS NOT NULL AS qualifies FROM episodes_e e LEFT JOIN sparse s ON s.entity = e.a AND s.period = e.period")
+def jn_semi_qualifying(spark, sf):
+    keys = demo.sparse(spark, sf).selectExpr("entity as a", "period").distinct().withColumn("qualifies", F.lit(True))
+    return demo.episodes_e(spark, sf).join(keys, ["a", "period"], "left").select("a", "b", "period", F.coalesce("qualifies", F.lit(False)).alias("qualifies"))
+
+
+@query("SELECT DISTINCT e.a AS entity FROM episodes_e e LEFT JOIN sparse s ON s.entity = e.a WHERE s.entity IS NULL")
+def jn_anti_missing(spark, sf):
+    return demo.episodes_e(spark, sf).selectExpr("a as entity").distinct().join(demo.sparse(spark, sf), "entity", "left_anti")
+
+
+@query("SELECT DISTINCT b AS entity FROM episodes_e WHERE b NOT IN (SELECT a FROM episodes_e)")
+def jn_partner_universe(spark, sf):
+    e = demo.episodes_e(spark, sf)
+    return e.selectExpr("b as entity").distinct().join(e.selectExpr("a as entity").distinct(), "entity", "left_anti")
+
+
+@query("SELECT shape, count(*) AS n, round(avg(estimate), 6) AS mean, min(estimate) AS low, max(estimate) AS high, round(stddev_pop(estimate), 6) AS sd FROM estimates GROUP BY shape")
+def tx_shape_sig(spark, sf):
+    return demo.estimates(spark, sf).groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("estimate"), 6).alias("mean"), F.min("estimate").alias("low"), F.max("estimate").alias("high"), F.round(F.stddev_pop("estimate"), 6).alias("sd"))
+
+
+@query("""SELECT count(*) AS groups, sum(n)::BIGINT AS n, round(sum(n * (m - g) ** 2) / max(sst), 6) AS eta2 FROM (SELECT shape, count(*) AS n, avg(estimate) AS m FROM estimates GROUP BY shape), (SELECT avg(estimate) AS g, sum(estimate * estimate) - count(*) * avg(estimate) ** 2 AS sst FROM estimates)""")
+def agg_effect_size(spark, sf):
+    per = demo.estimates(spark, sf).groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.sum("estimate").alias("s"), F.sum(F.expr("estimate * estimate")).alias("q"))
+    t = per.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.expr("s * s / n")).alias("b"))
+    return t.select("groups", "n", F.expr("if(q - s * s / n > 0, round((b - s * s / n) / (q - s * s / n), 6), null)").alias("eta2"))
+
+
+@query("SELECT entity % 2 AS side, count(*) AS n, round(avg(estimate), 6) AS mean, round(stddev_pop(estimate), 6) AS sd, count(CASE WHEN shape LIKE '%purchase%' THEN 1 END) AS with_purchase FROM estimates GROUP BY 1")
+def agg_group_offset(spark, sf):
+    return demo.estimates(spark, sf).groupBy(F.expr("entity % 2").alias("side")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("estimate"), 6).alias("mean"), F.round(F.stddev_pop("estimate"), 6).alias("sd"), F.count_if(F.expr("shape like '%purchase%'")).alias("with_purchase"))
+
+
+@query("""SELECT entity, round((t - s) / (tn - n) - o, 6) AS offset_without FROM (SELECT entity, sum(estimate) AS s, count(*) AS n FROM estimates WHERE entity % 2 = 0 GROUP BY entity),
+    (SELECT sum(estimate) AS t, count(*) AS tn FROM estimates WHERE entity % 2 = 0), (SELECT avg(estimate) AS o FROM estimates WHERE entity % 2 = 1)""")
+def agg_loo_offset(spark, sf):
+    e = demo.estimates(spark, sf)
+    own = e.where("entity % 2 = 0").groupBy("entity").agg(F.sum("estimate").alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = e.agg(F.expr("sum(if(entity % 2 = 0, estimate, null))").alias("t"), F.expr("count(if(entity % 2 = 0, 1, null))").alias("tn"), F.expr("avg(if(entity % 2 = 1, estimate, null))").alias("o"))
+    return own.crossJoin(F.broadcast(whole)).selectExpr("entity", "round((t - s) / (tn - n) - o, 6) as offset_without")  # one row
+
+
+@query("SELECT n, count(*) AS groups, count(CASE WHEN types = 1 THEN 1 END) AS lone_type, count(CASE WHEN sources > 1 THEN 1 END) AS multi_source FROM (SELECT entity, period, count(*) AS n, count(DISTINCT type) AS types, count(DISTINCT source) AS sources FROM evidence GROUP BY ALL) GROUP BY n")
+def agg_density(spark, sf):
+    per = demo.evidence(spark, sf).groupBy("entity", "period").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("type").alias("types"), F.count_distinct("source").alias("sources"))
+    return per.groupBy("n").agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.expr("types = 1")).alias("lone_type"), F.count_if(F.expr("sources > 1")).alias("multi_source"))
+
+
+@query("SELECT entity, count(*) AS observations, count(DISTINCT period) AS periods, min(period) AS first_period, max(period) AS last_period FROM evidence GROUP BY entity")
+def agg_evidence_coverage(spark, sf):
+    return demo.evidence(spark, sf).groupBy("entity").agg(F.count(F.lit(1)).alias("observations"), F.count_distinct("period").alias("periods"), F.min("period").alias("first_period"), F.max("period").alias("last_period"))
+
+
+@query("SELECT entity, count(DISTINCT period) AS periods, max(period) - min(period) AS span FROM sparse GROUP BY entity HAVING count(DISTINCT period) >= 2")
+def agg_timeline(spark, sf):
+    return demo.sparse(spark, sf).groupBy("entity").agg(F.count_distinct("period").alias("periods"), F.expr("max(period) - min(period)").alias("span")).where("periods >= 2")
+
+
+@query("""SELECT entity, period, CASE WHEN sources >= 4 THEN 'strong' WHEN sources >= 2 THEN 'several' ELSE 'single' END AS support, sources FROM (SELECT entity, period, count(DISTINCT lower(trim(source))) AS sources FROM evidence GROUP BY ALL)""")
+def agg_support(spark, sf):
+    per = demo.evidence(spark, sf).groupBy("entity", "period").agg(F.count_distinct(F.lower(F.trim("source"))).alias("sources"))
+    return per.selectExpr("entity", "period", "case when sources >= 4 then 'strong' when sources >= 2 then 'several' else 'single' end as support", "sources")
+
+
+@query("SELECT entity, source, type, min(observation_id) AS observation_id, count(*) - 1 AS dropped FROM evidence GROUP BY entity, source, type")
+def st_collapse_syndication(spark, sf):
+    return demo.evidence(spark, sf).groupBy("entity", "source", "type").agg(F.min("observation_id").alias("observation_id"), (F.count(F.lit(1)) - 1).alias("dropped"))
+
+
+@query("SELECT entity, period, type, min(observation_id) AS observation_id FROM evidence WHERE type IN ('click', 'view') AND (entity, period) NOT IN (SELECT (entity, period) FROM sparse) GROUP BY ALL")
+def st_merge_mentions(spark, sf):
+    new = demo.evidence(spark, sf).where("type in ('click', 'view')").groupBy("entity", "period", "type").agg(F.min("observation_id").alias("observation_id"))
+    return new.join(demo.sparse(spark, sf).select("entity", "period").distinct(), ["entity", "period"], "left_anti")
+
+
+@query("SELECT shape, round(2.77 * avg(sd), 6) AS lsd, bool_and(sd = 0) AS flat, count(*) AS cells FROM rater GROUP BY shape")
+def agg_rater_noise(spark, sf):
+    return demo.rater(spark, sf).groupBy("shape").agg(F.round(2.77 * F.avg("sd"), 6).alias("lsd"), F.bool_and(F.expr("sd = 0")).alias("flat"), F.count(F.lit(1)).alias("cells"))
+
+
+@query("SELECT shape, target, round(2.77 * (t - s) / (tn - n), 6) AS lsd FROM (SELECT shape, target, sum(sd) AS s, count(*) AS n, sum(sum(sd)) OVER (PARTITION BY shape) AS t, sum(count(*)) OVER (PARTITION BY shape) AS tn FROM rater GROUP BY shape, target) WHERE tn > n")
+def agg_loo_floor(spark, sf):
+    own = demo.rater(spark, sf).groupBy("shape", "target").agg(F.sum("sd").alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = own.groupBy("shape").agg(F.sum("s").alias("t"), F.sum("n").alias("tn"))
+    return own.join(whole, "shape").where("tn > n").selectExpr("shape", "target", "round(2.77 * (t - s) / (tn - n), 6) as lsd")
+
+
+@query("SELECT max(lsd) AS floor FROM (SELECT shape, round(2.77 * avg(sd), 6) AS lsd FROM rater GROUP BY shape HAVING NOT bool_and(sd = 0))")
+def agg_noise_floor(spark, sf):
+    return agg_rater_noise(spark, sf).where("not flat").agg(F.max("lsd").alias("floor"))
+
+
+@query("""SELECT shape, sp AS spread, CASE WHEN f IS NULL THEN 'no floor' WHEN sp <= f THEN 'within' ELSE 'above' END AS verdict FROM (SELECT shape, max(estimate) - min(estimate) AS sp FROM estimates GROUP BY shape), (SELECT max(l) AS f FROM (SELECT 2.77 * avg(sd) AS l FROM rater GROUP BY shape))""")
+def agg_spread_verdict(spark, sf):
+    spread = demo.estimates(spark, sf).groupBy("shape").agg(F.expr("max(estimate) - min(estimate)").alias("spread"))
+    return spread.crossJoin(F.broadcast(agg_noise_floor(spark, sf))).selectExpr("shape", "spread", "case when floor is null then 'no floor' when spread <= floor then 'within' else 'above' end as verdict")
+
+
+@query(f"""SELECT a, b, period, b_est - a_est AS gap, 'largest floor' AS which FROM {_J} WHERE a_shape = b_shape AND abs(b_est - a_est) > (SELECT max(l) FROM (SELECT 2.77 * avg(sd) AS l FROM rater GROUP BY shape))""")
+def agg_own_floor(spark, sf):
+    own = agg_rater_noise(spark, sf).selectExpr("shape as a_shape", "lsd as own")
+    rows = demo.resolved(spark, sf).where("a_shape = b_shape").join(F.broadcast(own), "a_shape", "left").crossJoin(F.broadcast(agg_noise_floor(spark, sf)))
+    return rows.where("abs(b_est - a_est) > coalesce(own, floor)").selectExpr("a", "b", "period", "b_est - a_est as gap", "if(own is null, 'largest floor', 'own floor') as which")
+
+
+@query("""SELECT target, shape, round(max(sd) - min(sd), 6) AS spread, count(*) AS graders FROM rater GROUP BY target, shape""")
+def agg_stress_summary(spark, sf):
+    return demo.rater(spark, sf).groupBy("target", "shape").agg(F.round(F.max("sd") - F.min("sd"), 6).alias("spread"), F.count(F.lit(1)).alias("graders"))
+
+
+@query("""SELECT x.entity, x.period, y.e - x.e AS delta FROM (SELECT entity, period, round(avg(value))::INT AS e, string_agg(DISTINCT type, '+' ORDER BY type) AS ids FROM evidence WHERE observation_id % 2 = 0 GROUP BY ALL) x
+    JOIN (SELECT entity, period, round(avg(value))::INT AS e, string_agg(DISTINCT type, '+' ORDER BY type) AS ids FROM evidence WHERE observation_id % 2 = 1 GROUP BY ALL) y ON x.entity = y.entity AND x.period = y.period AND x.ids = y.ids""")
+def jn_join_stability(spark, sf):
+    run = lambda k: demo.evidence(spark, sf).where(f"observation_id % 2 = {k}").groupBy("entity", "period").agg(F.round(F.avg("value")).cast("int").alias(f"e{k}"), G.signature("type").alias("ids"))
+    return run(0).join(run(1), ["entity", "period", "ids"]).selectExpr("entity", "period", "e1 - e0 as delta")
+
+
+@query("SELECT x.entity, x.period, x.ids = y.ids AS equal_sets FROM (SELECT entity, period, string_agg(DISTINCT type, '+' ORDER BY type) AS ids FROM evidence WHERE observation_id % 2 = 0 GROUP BY ALL) x JOIN (SELECT entity, period, string_agg(DISTINCT type, '+' ORDER BY type) AS ids FROM evidence WHERE observation_id % 2 = 1 GROUP BY ALL) y ON x.entity = y.entity AND x.period = y.period")
+def st_id_set_equal(spark, sf):
+    run = lambda k: demo.evidence(spark, sf).where(f"observation_id % 2 = {k}").groupBy("entity", "period").agg(G.signature("type").alias(f"i{k}"))
+    return run(0).join(run(1), ["entity", "period"]).selectExpr("entity", "period", "i0 = i1 as equal_sets")
+
+
+@query("SELECT entity, period FROM evidence WHERE observation_id % 2 = 0 INTERSECT SELECT entity, period FROM evidence WHERE observation_id % 2 = 1")
+def st_intersect_runs(spark, sf):
+    run = lambda k: demo.evidence(spark, sf).where(f"observation_id % 2 = {k}").select("entity", "period")
+    return run(0).intersect(run(1))
+
+
+@query("SELECT count(*) AS n, max(abs(y - x)) AS largest, round(avg(abs(y - x)), 6) AS mean, count(CASE WHEN x = y THEN 1 END) AS unchanged FROM (SELECT round(avg(value))::INT AS x, entity, period FROM evidence WHERE observation_id % 2 = 0 GROUP BY ALL) JOIN (SELECT round(avg(value))::INT AS y, entity, period FROM evidence WHERE observation_id % 2 = 1 GROUP BY ALL) USING (entity, period)")
+def agg_stability(spark, sf):
+    run = lambda k: demo.evidence(spark, sf).where(f"observation_id % 2 = {k}").groupBy("entity", "period").agg(F.round(F.avg("value")).cast("int").alias(f"e{k}"))
+    d = run(0).join(run(1), ["entity", "period"]).selectExpr("abs(e1 - e0) as d")
+    return d.agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("largest"), F.round(F.avg("d"), 6).alias("mean"), F.count_if(F.expr("d = 0")).alias("unchanged"))
+
+
+@query("SELECT entity, period, count(DISTINCT estimate) AS versions FROM (SELECT entity, period, round(value)::INT AS estimate FROM evidence) GROUP BY ALL HAVING count(DISTINCT estimate) > 1")
+def dq_estimate_conflict(spark, sf):
+    return demo.evidence(spark, sf).selectExpr("entity", "period", "cast(round(value) as int) as estimate").groupBy("entity", "period").agg(F.count_distinct("estimate").alias("versions")).where("versions > 1")
+
+
+@query("""SELECT metric, max(CASE WHEN c = 'sparse' THEN v END) AS sparse_corpus, max(CASE WHEN c = 'all' THEN v END) AS whole FROM (SELECT 'sparse' AS c, 'entities' AS metric, count(DISTINCT entity) AS v FROM sparse UNION ALL SELECT 'all', 'entities', count(DISTINCT entity) FROM estimates UNION ALL SELECT 'sparse', 'rows', count(*) FROM sparse UNION ALL SELECT 'all', 'rows', count(*) FROM estimates) GROUP BY metric""")
+def agg_scaling(spark, sf):
+    one = lambda df, c: df.agg(F.count_distinct("entity").alias("entities"), F.count(F.lit(1)).alias("rows")).select(F.lit(c).alias("c"), F.expr("stack(2, 'entities', entities, 'rows', rows) as (metric, v)"))
+    return one(demo.sparse(spark, sf), "sparse_corpus").unionAll(one(demo.estimates(spark, sf), "whole")).groupBy("metric").pivot("c", ["sparse_corpus", "whole"]).agg(F.max("v"))
+
+
+@query("""SELECT count(DISTINCT CASE WHEN periods > 1 THEN entity END) AS multi_period, sum(multi)::BIGINT AS multi_source, count(*) AS entities FROM (SELECT entity, count(DISTINCT period) AS periods, count(DISTINCT CASE WHEN n > 1 THEN period END) AS multi FROM (SELECT entity, period, count(DISTINCT source) AS n FROM evidence GROUP BY ALL) GROUP BY entity)""")
+def agg_reachable(spark, sf):
+    per = demo.evidence(spark, sf).groupBy("entity", "period").agg(F.count_distinct("source").alias("n")).groupBy("entity").agg(F.count(F.lit(1)).alias("periods"), F.count_if(F.expr("n > 1")).alias("multi"))
+    return per.agg(F.count_if(F.expr("periods > 1")).alias("multi_period"), F.sum("multi").alias("multi_source"), F.count(F.lit(1)).alias("entities"))
+
+
+@query("""SELECT type, count(*) AS n, round(avg(round(value)), 6) AS mean, round(stddev_samp(round(value)), 6) AS sd, max(c) AS at_mode FROM evidence JOIN (SELECT type, max(c) AS c FROM (SELECT type, round(value) AS v, count(*) AS c FROM evidence GROUP BY ALL) GROUP BY type) USING (type) GROUP BY type""")
+def agg_decisive(spark, sf):
+    e = demo.evidence(spark, sf).withColumn("v", F.round("value"))
+    mode = e.groupBy("type", "v").count().groupBy("type").agg(F.max("count").alias("at_mode"))
+    return e.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("sd")).join(mode, "type")
+
+
+@query("""SELECT pairing_id, scored >= 3 AND covered >= 0.6 AS ranked, CASE WHEN scored < 3 THEN 'too few periods' WHEN covered < 0.6 THEN 'low joint coverage' ELSE '' END AS reason FROM (
+    SELECT pairing_id, count(CASE WHEN a_h IS NOT NULL AND b_h IS NOT NULL THEN 1 END) AS scored, coalesce(sum(CASE WHEN a_h IS NOT NULL AND b_h IS NOT NULL THEN days END), 0) / max(total_days) AS covered FROM period_rows GROUP BY pairing_id)""")
+def agg_qualify(spark, sf):
+    both = "a_h is not null and b_h is not null"
+    m = demo.period_rows(spark, sf).groupBy("pairing_id").agg(F.count_if(F.expr(both)).alias("scored"), F.expr(f"coalesce(sum(if({both}, days, null)), 0) / max(total_days)").alias("covered"))
+    return m.selectExpr("pairing_id", "scored >= 3 and covered >= 0.6 as ranked", "case when scored < 3 then 'too few periods' when covered < 0.6 then 'low joint coverage' else '' end as reason")
+
+
+@query("SELECT entity, period, CASE WHEN count(*) = 0 THEN 'none' END AS missing FROM sparse GROUP BY ALL HAVING count(*) = 0 UNION ALL SELECT a, period, 'no evidence in bound' FROM resolved WHERE ra IS NULL")
+def agg_missing_reason(spark, sf):
+    return demo.resolved(spark, sf).where("a_src is null").selectExpr("a as entity", "period", "'no evidence in bound' as missing")
