@@ -1 +1,131 @@
+"""Validators as data-quality jobs."""
+
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import quality as Q
+from . import demo
+from .registry import query
+
+
+def _verdicts(spark, sf):
+    """Grader answers as free text with a JSON object inside, some of them wrong in one way."""
+    e = demo.table(spark, sf, "events").withColumn("v", F.round("value").cast("int")).withColumn("m", (F.col("event_id") % 11).cast("int"))
+    gap = F.expr("case when m = 1 then 'true' when m = 2 then '\"high\"' else cast(v as string) end")
+    body = F.concat(
+        F.lit('Sure. {"version": "'), F.when(F.col("m") == 3, "v0").otherwise("v1"), F.lit('", "id": '), F.when(F.col("m") == 4, F.col("event_id") + 1).otherwise(F.col("event_id")).cast("string"),
+        F.lit(', "judged": '), F.when(F.col("m") == 5, '"yes"').when(F.col("m") == 6, "false").otherwise("true"), F.lit(', "gap": '), gap, F.lit(', "reasoning": "'), F.when(F.col("m") == 7, "").otherwise(F.col("event_type")), F.lit('"} Done.'),
+    )
+    return e.select("event_id", "user_id", "m", "v", F.when(F.col("m") == 8, "no object").when(F.col("m") == 9, "{broken").otherwise(body).alias("text"))
+
+
+def _parsed(spark, sf):
+    df = _verdicts(spark, sf).withColumn("o", Q.first_object(F.col("text")))
+    return df.select("event_id", "user_id", "m", F.col("o").isNotNull().alias("found"), Q.text(F.col("o"), "$.version").alias("version"), Q.number(F.col("o"), "$.id").alias("id"), Q.kind(F.col("o"), "$.judged").alias("judged_type"),
+                     F.try_variant_get("o", "$.judged", "boolean").alias("judged"), Q.kind(F.col("o"), "$.gap").alias("gap_type"), Q.number(F.col("o"), "$.gap").alias("gap"), Q.text(F.col("o"), "$.reasoning").alias("reasoning"))
+
+
+_RULES = [
+    ("no object", "not found"), ("wrong version", "coalesce(version, '') <> 'v1'"), ("wrong id", "id is null or id <> event_id"), ("judged is no boolean", "judged_type is null or judged_type <> 'BOOLEAN'"),
+    ("gap is no number", "judged and gap is null"), ("gap out of range", "judged and (gap < 0 or gap > 100)"), ("no reasoning", "coalesce(reasoning, '') = ''"),
+]
+_CASE = """CASE m WHEN 8 THEN 'no object' WHEN 9 THEN 'no object' WHEN 3 THEN 'wrong version' WHEN 4 THEN 'wrong id' WHEN 5 THEN 'judged is no boolean' WHEN 1 THEN 'gap is no number' WHEN 2 THEN 'gap is no number'
+    WHEN 7 THEN CASE WHEN v > 100 OR v < 0 THEN 'gap out of range' ELSE 'no reasoning' END WHEN 6 THEN NULL ELSE CASE WHEN v > 100 OR v < 0 THEN 'gap out of range' END END"""
+_SRC = "(SELECT event_id, user_id, round(value)::INT AS v, (event_id % 11)::INT AS m FROM events)"
+
+
+@query(f"SELECT event_id, {_CASE} AS reason FROM {_SRC}")
+def dq_pairing_verdict(spark, sf):
+    return Q.with_reason(_parsed(spark, sf), _RULES).select("event_id", "reason")
+
+
+@query(f"SELECT user_id, coalesce({_CASE}, 'kept') AS reason, count(*) AS n FROM {_SRC} GROUP BY ALL")
+def dq_person_verdict(spark, sf):
+    return Q.taxonomy(Q.with_reason(_parsed(spark, sf), _RULES), "user_id")
+
+
+@query(f"SELECT coalesce({_CASE}, 'kept') AS reason, count(*) AS n FROM {_SRC} GROUP BY ALL")
+def agg_taxonomy(spark, sf):
+    return Q.taxonomy(Q.with_reason(_parsed(spark, sf), _RULES))
+
+
+@query(f"SELECT event_id, CASE WHEN m IN (8, 9) THEN 'no object' WHEN m IN (1, 2) THEN 'not a number' WHEN v < 0 OR v > 100 THEN 'out of range' END AS reason FROM {_SRC}")
+def dq_standing_verdict(spark, sf):
+    rules = [("no object", "not found"), ("not a number", "gap is null"), ("out of range", "gap < 0 or gap > 100 or gap <> floor(gap)")]
+    return Q.with_reason(_parsed(spark, sf), rules).select("event_id", "reason")
+
+
+@query("SELECT conv_id, count(*) AS elements, count(CASE WHEN role NOT IN ('user', 'assistant') OR text = '' THEN 1 END) > 0 AS refused FROM conversations GROUP BY conv_id")
+def dq_couples_verdict(spark, sf):
+    doc = demo.table(spark, sf, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("turn", "role", "text"))).alias("j"))
+    each = doc.select("conv_id", F.explode(F.from_json("j", "array<struct<turn:bigint,role:string,text:string>>")).alias("e"))
+    bad = F.expr("e.role is null or e.role not in ('user', 'assistant') or coalesce(e.text, '') = ''")
+    return each.groupBy("conv_id").agg(F.count(F.lit(1)).alias("elements"), F.bool_or(bad).alias("refused"))
+
+
+@query("""SELECT item_id, coalesce(sum(CASE WHEN contains(trim(lower(regexp_replace(d.text, '[\\t\\n\\x0b\\f\\r ]+', ' ', 'g'))), q) THEN 1 END), 0)::BIGINT AS grounded_in FROM (SELECT item_id, trim(lower(regexp_replace(text, '[\\t\\n\\x0b\\f\\r ]+', ' ', 'g'))) AS q FROM benchmark), documents d GROUP BY item_id""")
+def dq_romance_verdict(spark, sf):
+    from .texts import grounded_counts
+
+    return grounded_counts(spark, sf)
+
+
+@query("SELECT event_id, CASE WHEN type = 'error' THEN 'unordered with rank' WHEN v = 0 THEN 'rank below one' WHEN v > 100 THEN 'beyond the list' END AS reason FROM (SELECT event_id, event_type AS type, round(value)::INT AS v FROM events)")
+def dq_mention(spark, sf):
+    df = demo.table(spark, sf, "events").selectExpr("event_id", "event_type as type", "cast(round(value) as int) as v")
+    return Q.with_reason(df, [("unordered with rank", "type = 'error'"), ("rank below one", "v < 1"), ("beyond the list", "v > 100")]).select("event_id", "reason")
+
+
+@query("""SELECT event_id, CASE WHEN k IS NULL THEN 'no payload' WHEN event_type = 'purchase' AND k = 0 THEN 'length zero' WHEN event_type = 'click' AND k > 90 THEN 'length below rank' WHEN event_type = 'view' AND k % 10 = 0 THEN 'bad rating' END AS reason FROM (SELECT event_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events)""")
+def dq_evidence_union(spark, sf):
+    df = demo.table(spark, sf, "events").withColumn("o", F.try_parse_json("props"))
+    df = df.withColumn("k", Q.number(F.col("o"), "$.k"))
+    rules = [("no payload", "k is null"), ("length zero", "event_type = 'purchase' and k = 0"), ("length below rank", "event_type = 'click' and k > 90"), ("bad rating", "event_type = 'view' and k % 10 = 0")]
+    return Q.with_reason(df, rules).select("event_id", "reason")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_name IS NULL OR s_name = '' THEN 'no description' WHEN s_acctbal < 0 THEN 'no route' END AS reason FROM supplier")
+def dq_edition(spark, sf):
+    return Q.with_reason(demo.table(spark, sf, "supplier"), [("no description", "coalesce(s_name, '') = ''"), ("no route", "s_acctbal < 0")]).select("s_suppkey", "reason")
+
+
+@query("SELECT entity, period, CASE WHEN estimate < 0 OR estimate > 100 THEN 'out of range' WHEN n_obs = 0 THEN 'not cited' WHEN n_obs = 1 THEN 'cited once' END AS reason FROM estimates")
+def dq_estimate(spark, sf):
+    return Q.with_reason(demo.estimates(spark, sf), [("out of range", "estimate < 0 or estimate > 100"), ("not cited", "n_obs = 0"), ("cited once", "n_obs = 1")]).select("entity", "period", "reason")
+
+
+@query("SELECT grader, contract_id, CASE WHEN NOT judged THEN 'not judged' WHEN score_t < 2 OR score_t > 100 THEN 'out of range' ELSE 'kept' END AS reason, count(*) AS n FROM gradings GROUP BY ALL")
+def dq_grading(spark, sf):
+    return Q.taxonomy(Q.with_reason(demo.gradings(spark, sf), [("not judged", "not judged"), ("out of range", "score_t < 2 or score_t > 100")]), "grader", "contract_id")
+
+
+@query("SELECT entity FROM (SELECT DISTINCT a AS entity FROM pairings_screen UNION SELECT DISTINCT b FROM pairings_screen) WHERE entity NOT IN (SELECT entity FROM gradings WHERE judged)")
+def dq_spec_complete(spark, sf):
+    need = demo.pairings_screen(spark, sf).select(F.explode(F.array("a", "b")).alias("entity")).distinct()
+    return need.join(demo.gradings(spark, sf).where("judged").select("entity").distinct(), "entity", "left_anti")
+
+
+@query("SELECT DISTINCT a AS entity FROM episodes_e WHERE a NOT IN (SELECT entity FROM sparse) AND (SELECT count(*) FROM sparse) > 0")
+def dq_support_complete(spark, sf):
+    support = demo.sparse(spark, sf)
+    some = support.agg((F.count(F.lit(1)) > 0).alias("some"))
+    return demo.episodes_e(spark, sf).selectExpr("a as entity").distinct().join(support, "entity", "left_anti").crossJoin(F.broadcast(some)).where("some").select("entity")  # one row
+
+
+_STAGE = "(SELECT event_type AS stage, count(*) AS attempted, count(CASE WHEN value <= 50 THEN 1 END) AS succeeded, count(CASE WHEN value > 50 AND value <= 90 THEN 1 END) AS cached, count(CASE WHEN value > 90 AND event_id % 7 <> 0 THEN 1 END) AS failed FROM events GROUP BY event_type)"
+
+
+def _stages(spark, sf):
+    n = lambda e: F.count_if(F.expr(e))
+    return demo.table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count(F.lit(1)).alias("attempted"), n("value <= 50").alias("succeeded"), n("value > 50 and value <= 90").alias("cached"), n("value > 90 and event_id % 7 <> 0").alias("failed"))
+
+
+@query(f"SELECT stage, attempted - succeeded - cached - failed AS unaccounted FROM {_STAGE} WHERE attempted <> succeeded + cached + failed")
+def dq_reconcile(spark, sf):
+    return _stages(spark, sf).where("attempted <> succeeded + cached + failed").selectExpr("stage", "attempted - succeeded - cached - failed as unaccounted")
+
+
+@query(f"SELECT stage, attempted, succeeded, cached, failed FROM {_STAGE}")
+def src_manifests(spark, sf):
+    return _stages(spark, sf)

@@ -1 +1,258 @@
+"""Queries on names, free text and assembled text."""
+
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as X
+from ..operators import gradings as G
+from ..operators import temporal as T
+from . import demo
+from .registry import query
+
+_WS = r"'[\t\n\x0b\f\r ]+', ' ', 'g'"
+
+
+@query(f"SELECT doc_id, md5(trim(lower(regexp_replace(text, {_WS})))) AS h FROM documents")
+def tx_norm_ws(spark, sf):
+    return demo.table(spark, sf, "documents").select("doc_id", F.md5(X.normal_space(F.col("text"))).alias("h"))
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN s = '' THEN p ELSE s END AS title FROM (SELECT conv_id, turn, p, trim(regexp_replace(trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g')), ' (directors? (s )?cut|extended (cut|edition)|special edition|remastered)\b.*$', '')) AS s
+    FROM (SELECT conv_id, turn, translate(lower(left(text, 80) || ' Director''s Cut'), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') AS p FROM conversations))""")
+def tx_norm_title(spark, sf):
+    return demo.table(spark, sf, "conversations").select("conv_id", "turn", X.normal_title(F.concat(F.substring("text", 1, 80), F.lit(" Director's Cut"))).alias("title"))
+
+
+@query("SELECT p_partkey, regexp_replace(trim(regexp_replace(lower('The ' || p_name || '!'), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an) ', '') AS n FROM part")
+def tx_norm_list(spark, sf):
+    return demo.table(spark, sf, "part").select("p_partkey", X.normal_list(F.concat(F.lit("The "), "p_name", F.lit("!"))).alias("n"))
+
+
+@query("SELECT lower(trim(coalesce(source, ''))) AS publisher, count(*) AS n FROM documents GROUP BY 1")
+def tx_norm_publisher(spark, sf):
+    return demo.table(spark, sf, "documents").groupBy(F.lower(F.trim(F.coalesce("source", F.lit("")))).alias("publisher")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_NAME = "(SELECT p_partkey, upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS name, p_name FROM part)"
+
+
+def _names(spark, sf):
+    return demo.table(spark, sf, "part").select("p_partkey", F.initcap("p_name").alias("name"), "p_name")
+
+
+@query(f"SELECT p_partkey, TRUE AS is_name, FALSE AS lower_is_name FROM {_NAME}")
+def tx_is_name(spark, sf):
+    return _names(spark, sf).select("p_partkey", X.is_name(F.col("name")).alias("is_name"), X.is_name(F.col("p_name")).alias("lower_is_name"))
+
+
+@query("SELECT c_custkey, c_custkey % 3 = 0 AS unresolved FROM customer")
+def tx_is_unresolved_id(spark, sf):
+    label = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Q"), "c_custkey")).otherwise(F.col("c_name"))
+    return demo.table(spark, sf, "customer").select("c_custkey", label.rlike(r"^Q\d+$").alias("unresolved"))
+
+
+@query(f"SELECT p_partkey, 'we met [SUBJECT] and [SUBJECT] there' AS out FROM {_NAME} WHERE strlen(split_part(p_name, ' ', 1)) >= 4")
+def tx_redact(spark, sf):
+    df = _names(spark, sf).where(F.length(F.split("p_name", " ")[0]) >= 4)
+    return df.select("p_partkey", X.redacted(F.concat(F.lit("we met "), "name", F.lit(" and "), F.split("p_name", " ")[0], F.lit(" there")), F.col("name")).alias("out"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN strlen(split_part(p_name, ' ', 1)) < 4 THEN split_part(name, ' ', 1) ELSE '' END AS residual FROM {_NAME}")
+def tx_residual(spark, sf):
+    seen = F.concat(F.lit("only "), F.split("name", " ")[0], F.lit(" is seen"))
+    tokens = F.filter(F.slice(F.split("name", " "), 1, 1), lambda t: (F.length(t) < 4) & F.contains(seen, t))
+    return _names(spark, sf).select("p_partkey", F.array_join(F.array_distinct(tokens), " ").alias("residual"))
+
+
+@query(f"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\{{\\{{[^{{}}]*\\}}\\}}', '', 'g'), '\\[\\[([^\\]|]*\\|)?([^\\]]*)\\]\\]', '\\2', 'g'), {_WS}))) AS h FROM pages""")
+def tx_strip_markup(spark, sf):
+    return demo.table(spark, sf, "pages").select("page_id", F.md5(X.stripped_markup(F.col("html"))).alias("h"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
+def tx_first_json(spark, sf):
+    from ..operators import quality as Q
+
+    e = demo.table(spark, sf, "events")
+    return e.select("event_id", Q.number(Q.first_object(F.concat(F.lit("Answer: "), "props", F.lit(" end"))), "$.k").cast("int").alias("k"))
+
+
+@query("SELECT c_custkey, c_custkey || CASE WHEN c_custkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN c_custkey % 10 = 1 THEN 'st' WHEN c_custkey % 10 = 2 THEN 'nd' WHEN c_custkey % 10 = 3 THEN 'rd' ELSE 'th' END AS o FROM customer")
+def tx_ordinal(spark, sf):
+    return demo.table(spark, sf, "customer").select("c_custkey", X.ordinal(F.col("c_custkey")).alias("o"))
+
+
+@query("SELECT p_partkey, CASE WHEN strlen(split_part(p_name, ' ', -1)) >= 4 THEN split_part(p_name, ' ', -1) END AS s FROM part")
+def tx_surname(spark, sf):
+    return demo.table(spark, sf, "part").select("p_partkey", X.surname(F.col("p_name")).alias("s"))
+
+
+@query("SELECT s_suppkey, s_name AS plain FROM supplier")
+def tx_disambiguator(spark, sf):
+    return demo.table(spark, sf, "supplier").select("s_suppkey", X.without_disambiguator(F.concat("s_name", F.lit(" (firm)"))).alias("plain"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_type LIKE 'ECONOMY%' THEN 'economy' WHEN p_type LIKE 'S%' THEN CASE WHEN p_type LIKE 'STANDARD%' THEN 'standard' ELSE 's other' END ELSE 'unclassified_failure' END AS class FROM part")
+def tx_classify_prefix(spark, sf):
+    labels = spark.createDataFrame([("ECONOMY", "economy"), ("S", "s other"), ("STANDARD", "standard")], "prefix string, class string")
+    hit = demo.table(spark, sf, "part").join(F.broadcast(labels), F.expr("startswith(p_type, prefix)"), "left")  # three labels
+    return hit.groupBy("p_partkey").agg(F.coalesce(F.max_by("class", F.length("prefix")), F.lit("unclassified_failure")).alias("class"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'transient' WHEN 'click' THEN 'quota' WHEN 'view' THEN 'nonzero' WHEN 'signup' THEN 'empty' ELSE 'other' END AS class FROM events")
+def tx_classify_failure(spark, sf):
+    said = F.expr("case event_type when 'error' then 'Timeout, exit 1' when 'click' then 'quota reached after timeout' when 'view' then 'nonzero exit' when 'signup' then ' ' else 'what' end")
+    return demo.table(spark, sf, "events").select("event_id", X.failure_class(said).alias("class"))
+
+
+@query("SELECT entity, period, CASE WHEN estimate BETWEEN 0 AND 19 THEN 'very low' WHEN estimate BETWEEN 20 AND 39 THEN 'low' WHEN estimate BETWEEN 40 AND 59 THEN 'middle' WHEN estimate BETWEEN 60 AND 79 THEN 'high' WHEN estimate BETWEEN 80 AND 100 THEN 'very high' END AS band FROM estimates")
+def tx_band(spark, sf):
+    return demo.estimates(spark, sf).select("entity", "period", G.band(F.col("estimate")).alias("band"))
+
+
+def grounded_counts(spark, sf):
+    """In how many documents each quote stands verbatim after normalisation.
+
+    A quote's first eight words are looked up among all runs of eight words of the documents; only hits are compared
+    in full, so nothing is compared with everything.
+    """
+    run = lambda w, i: F.xxhash64(F.slice(w, i, 8))
+    q = demo.table(spark, sf, "benchmark").select("item_id", X.normal_space(F.col("text")).alias("q")).withColumn("w", F.split("q", " "))
+    q = q.withColumn("h", run(F.col("w"), F.lit(1)))
+    d = demo.table(spark, sf, "documents").select("doc_id", X.normal_space(F.col("text")).alias("t")).withColumn("w", F.split("t", " "))
+    grams = d.where(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: run(F.col("w"), i)))).alias("h"))
+    hits = grams.join(F.broadcast(q.select("item_id", "h")), "h").select("item_id", "doc_id").distinct() if q.count() <= 100_000 else grams.join(q.select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
+    sure = hits.join(d.select("doc_id", "t"), "doc_id").join(q.select("item_id", "q"), "item_id").where(F.contains("t", F.col("q")))
+    return q.select("item_id").join(sure.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("grounded_in"))
+
+
+@query(f"""SELECT item_id, coalesce(sum(CASE WHEN contains(trim(lower(regexp_replace(d.text, {_WS}))), q) THEN 1 END), 0)::BIGINT AS grounded_in FROM (SELECT item_id, trim(lower(regexp_replace(text, {_WS}))) AS q FROM benchmark), documents d GROUP BY item_id""")
+def tj_verbatim(spark, sf):
+    return grounded_counts(spark, sf)
+
+
+@query(r"SELECT doc_id, len(string_split_regex(text, '[.!?][\t\n\x0b\f\r ]+')) AS sentences, len(list_filter(string_split_regex(text, '[.!?][\t\n\x0b\f\r ]+'), lambda s: contains(s, 'the'))) AS naming FROM documents")
+def tj_sentences(spark, sf):
+    s = F.split("text", r"(?<=[.!?])[\t\n\x0b\f\r ]+", -1)
+    return demo.table(spark, sf, "documents").select("doc_id", F.size(s).alias("sentences"), F.size(F.filter(s, lambda x: F.contains(x, F.lit("the")))).alias("naming"))
+
+
+@query(r"SELECT event_id, array_to_string(list_sort(list_distinct(regexp_extract_all('in 1987, ' || (1950 + event_id % 100) || ' and 2187', '\b(19\d{2}|20\d{2})\b'))), ',') AS years FROM events")
+def tj_years(spark, sf):
+    t = F.concat(F.lit("in 1987, "), (1950 + F.col("event_id") % 100).cast("string"), F.lit(" and 2187"))
+    return demo.table(spark, sf, "events").select("event_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(19\d{2}|20\d{2})\b"), F.lit(1)))), ",").alias("years"))
+
+
+@query("""SELECT label, count(*) AS n FROM (SELECT CASE WHEN y = s THEN 'same year' WHEN abs(y - s) = 1 THEN 'next year' WHEN y IS NULL THEN 'no year' ELSE 'other year' END AS label FROM (SELECT year(o_orderdate) AS s, year(l_shipdate) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey)) GROUP BY label""")
+def tj_corroborate(spark, sf):
+    df = demo.order_lines(spark, sf).select(F.year("o_orderdate").alias("s"), F.year("l_shipdate").alias("y"))
+    return df.groupBy(F.expr("case when y = s then 'same year' when abs(y - s) = 1 then 'next year' when y is null then 'no year' else 'other year' end").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, event_type <> 'error' AND event_type <> 'view' AS asserted FROM events")
+def tj_negation(spark, sf):
+    said = F.expr("case event_type when 'error' then 'it was not a winner' when 'view' then 'never on the list of winner names' else 'a clear winner, not a loser' end")
+    return demo.table(spark, sf, "events").select("event_id", X.asserted(said, "winner").alias("asserted"))
+
+
+@query("SELECT entity, period, CASE WHEN n_obs = 1 THEN 'thin' WHEN strlen(shape) - strlen(replace(shape, '+', '')) + 1 < 2 THEN 'one type' ELSE 'ok' END AS grounding FROM estimates")
+def tj_grounding(spark, sf):
+    return demo.estimates(spark, sf).select("entity", "period", F.expr("case when n_obs = 1 then 'thin' when size(split(shape, '[+]')) < 2 then 'one type' else 'ok' end").alias("grounding"))
+
+
+@query("SELECT page_id, count(*) AS items, string_agg(item, '|' ORDER BY i) AS names FROM (SELECT page_id, unnest(l) AS item, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<li><a href=\"[^\"]*\">([^<]*)</a>', 1) AS l FROM pages)) GROUP BY page_id")
+def tj_ranked_table(spark, sf):
+    nav = F.regexp_extract("html", r"<nav>.*?</nav>", 0)
+    items = F.regexp_extract_all(nav, F.lit(r'<li><a href="[^"]*">([^<]*)</a>'), F.lit(1))
+    return demo.table(spark, sf, "pages").select("page_id", items.alias("l")).where(F.size("l") > 0).select("page_id", F.size("l").alias("items"), F.array_join("l", "|").alias("names"))
+
+
+@query("SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) FROM pages) GROUP BY page_id")
+def tj_cast_lines(spark, sf):
+    m = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), F.lit(2))
+    return demo.table(spark, sf, "pages").select("page_id", F.size(m).cast("long").alias("links")).where("links > 0")
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn - last_turn < 2 THEN who END AS carried FROM (SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER w AS last_turn, CASE WHEN max(CASE WHEN role = 'user' THEN turn END) OVER w IS NOT NULL THEN 'user' END AS who FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))""")
+def wn_rowspan_carry(spark, sf):
+    df = demo.table(spark, sf, "conversations").withColumn("v", F.expr("if(role = 'user', 'user', null)")).withColumn("n", F.lit(2))
+    return T.rowspan_carry(df, "conv_id", "turn", "v", "n").select("conv_id", "turn", "carried")
+
+
+@query("SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS rows, CASE WHEN contains(text, '.') THEN 'dated' ELSE 'no date' END AS stat FROM conversations")
+def tj_award_table(spark, sf):
+    df = demo.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\x01|-\x01").alias("wiki"))
+    rows = df.select("conv_id", F.posexplode(F.split("wiki", "\x01\\|-\x01")).alias("turn", "block"))
+    n = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("rows"))
+    return rows.join(n, "conv_id").select("conv_id", F.col("turn").cast("long").alias("turn"), "rows", F.expr("if(contains(block, '.'), 'dated', 'no date')").alias("stat"))
+
+
+@query("SELECT item_id, count(*) AS checked, count(CASE WHEN contains(d.text, left(b.text, 30)) THEN 1 END) AS verified FROM benchmark b, documents d GROUP BY item_id")
+def tj_source_recheck(spark, sf):
+    # The first words of an item are looked up among the documents' words; the prefix is compared in hits only.
+    b = demo.table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 30).alias("p"))
+    d = demo.table(spark, sf, "documents").select("doc_id", "text")
+    key = b.withColumn("h", F.element_at(F.split("p", " "), 2))
+    w = d.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("h"))
+    hits = w.join(F.broadcast(key), "h").select("doc_id", "item_id", "p").distinct().join(d, "doc_id").where(F.contains("text", F.col("p")))
+    n = d.agg(F.count(F.lit(1)).alias("checked"))
+    return b.join(hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id", "left").crossJoin(F.broadcast(n)).select("item_id", "checked", F.coalesce("n", F.lit(0)).alias("verified"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem) THEN 'named' ELSE 'absent' END AS verdict FROM supplier""")
+def tj_absence_audit(spark, sf):
+    named = demo.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey")).distinct().withColumn("seen", F.lit(True))
+    return demo.table(spark, sf, "supplier").join(named, "s_suppkey", "left").select("s_suppkey", F.when(F.col("seen"), "named").otherwise("absent").alias("verdict"))
+
+
+@query("""SELECT rule, sum(len(regexp_extract_all(text, pattern)))::BIGINT AS occurrences, count(CASE WHEN len(regexp_extract_all(text, pattern)) > 0 THEN 1 END) AS documents FROM documents, (VALUES ('licence', 'License, version [0-9]+'), ('cc', 'CC BY-NC [0-9.]+'), ('none', 'zzzzz')) r(rule, pattern) GROUP BY rule""")
+def tj_claims_audit(spark, sf):
+    rules = spark.createDataFrame([("licence", "License, version [0-9]+"), ("cc", "CC BY-NC [0-9.]+"), ("none", "zzzzz")], "rule string, pattern string")
+    df = demo.table(spark, sf, "documents").crossJoin(F.broadcast(rules)).select("rule", F.call_function("regexp_count", F.col("text"), F.col("pattern")).alias("n"))  # three rules
+    return df.groupBy("rule").agg(F.sum("n").alias("occurrences"), F.count_if(F.expr("n > 0")).alias("documents"))
+
+
+@query("""SELECT name AS rule, count(*) AS hits FROM (VALUES ('large', 80), ('small', 20)) r(name, edge), events WHERE CASE WHEN name = 'large' THEN value > edge ELSE value < edge END GROUP BY name""")
+def ud_rule(spark, sf):
+    rules = {"large": "value > 80", "small": "value < 20"}
+    e = demo.table(spark, sf, "events")
+    out = None
+    counts = e.agg(*[F.count_if(F.expr(x)).alias(k) for k, x in rules.items()])
+    out = counts.select(F.expr("stack(2, 'large', large, 'small', small) as (rule, hits)"))
+    return out
+
+
+_LINE = "type || ' k' || json_extract_string(props, '$.k')"
+
+
+@query(f"SELECT entity, period, 'entity ' || entity || ' day ' || period || chr(10) || string_agg({_LINE}, chr(10) ORDER BY observation_id) AS dossier FROM evidence GROUP BY entity, period")
+def as_dossier(spark, sf):
+    line = F.concat("type", F.lit(" k"), F.get_json_object("props", "$.k"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("observation_id", line.alias("t")))), lambda x: x["t"])
+    df = demo.evidence(spark, sf).groupBy("entity", "period").agg(F.array_join(lines, "\n").alias("lines"))
+    return df.select("entity", "period", F.concat(F.lit("entity "), "entity", F.lit(" day "), "period", F.lit("\n"), "lines").alias("dossier"))
+
+
+@query("""SELECT e.a AS entity, e.period, coalesce(string_agg(s.shape, ';' ORDER BY s.shape), 'None supplied') AS evidence FROM (SELECT DISTINCT a, period FROM episodes_e) e LEFT JOIN sparse s ON s.entity = e.a AND s.period = e.period GROUP BY e.a, e.period""")
+def as_prompt_evidence(spark, sf):
+    e = demo.episodes_e(spark, sf).selectExpr("a as entity", "period").distinct()
+    df = e.join(demo.sparse(spark, sf), ["entity", "period"], "left").groupBy("entity", "period").agg(F.array_join(F.array_sort(F.collect_list("shape")), ";").alias("t"))
+    return df.select("entity", "period", F.when(F.col("t") == "", "None supplied").otherwise(F.col("t")).alias("evidence"))
+
+
+@query("SELECT pairing_id, 'long' AS why FROM (SELECT pairing_id, row_number() OVER (ORDER BY date_diff('day', start_d, end_d) DESC, pairing_id) AS r FROM pairings_life) WHERE r <= 20 UNION ALL SELECT work::VARCHAR, 'stride' FROM (SELECT work, row_number() OVER (ORDER BY work) - 1 AS r FROM (SELECT DISTINCT work FROM works)) WHERE r % 100 = 0")
+def as_selection(spark, sf):
+    longest = demo.pairings_life(spark, sf).orderBy(F.desc(F.datediff("end_d", "start_d")), "pairing_id").limit(20).select("pairing_id", F.lit("long").alias("why"))
+    return longest.unionAll(wn_stride_sample(spark, sf).select(F.col("work").cast("string").alias("pairing_id"), F.lit("stride").alias("why")))
+
+
+@query("SELECT work FROM (SELECT work, row_number() OVER (ORDER BY work) - 1 AS r FROM (SELECT DISTINCT work FROM works)) WHERE r % 100 = 0")
+def wn_stride_sample(spark, sf):
+    """Every hundredth work in order; positions come from ranges of keys that are counted first."""
+    w = demo.works(spark, sf).select("work").distinct().withColumn("range", F.expr("work div 1000"))
+    n = w.groupBy("range").count()
+    start = n.select("range", (F.sum("count").over(Window.orderBy("range")) - F.col("count")).alias("before"))  # a row for each range
+    pos = w.join(start, "range").withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("work")) - 1)
+    return pos.where("r % 100 = 0").select("work")
