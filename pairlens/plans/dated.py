@@ -208,12 +208,11 @@ def agg_curve_plateau(spark, sf):
 _J = """(SELECT r.a, r.b, r.period, ra[2] AS a_src, rb[2] AS b_src, x.shape AS a_shape, y.shape AS b_shape, x.estimate AS a_est, y.estimate AS b_est FROM resolved r
     LEFT JOIN sparse x ON x.entity = r.a AND x.period = ra[2] LEFT JOIN sparse y ON y.entity = r.b AND y.period = rb[2])"""
 _STATUS = "CASE WHEN a_src IS NULL AND b_src IS NULL THEN 'neither' WHEN a_src IS NULL OR b_src IS NULL THEN 'one side' WHEN a_shape = b_shape THEN 'comparable' ELSE 'mismatched' END"
-_COMPARE = F.expr(_STATUS.lower().replace("then 'one side'", "then 'one side'"))
 
 
 @query(f"SELECT {_STATUS} AS status, count(*) AS rows, count(DISTINCT a) AS pairs FROM {_J} GROUP BY 1")
 def agg_joint_coverage(spark, sf):
-    return demo.resolved(spark, sf).groupBy(_COMPARE.alias("status")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("a").alias("pairs"))
+    return demo.resolved(spark, sf).groupBy(F.expr(_STATUS).alias("status")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("a").alias("pairs"))
 
 
 @query(f"SELECT a, b, period, CASE WHEN coalesce(a_shape, '') = '' OR coalesce(b_shape, '') = '' THEN 'shape_unknown' WHEN a_shape = b_shape THEN 'comparable' ELSE 'shape_mismatched' END AS label FROM {_J}")

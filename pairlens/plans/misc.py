@@ -1 +1,309 @@
+"""Queries on sources and sinks, filters, lookups, ordering, resampling, expansion and streaming."""
+
 from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators import quality as Q
+from ..operators import sampling as S
+from ..sources import readers as R
+from ..sources import writers as W
+from ..streaming import scores as stream_scores
+from . import demo
+from .registry import query
+
+
+def _saver(spark, name):
+    return lambda df: W.snapshot(df, W.shared_path(spark, name))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def src_json(spark, sf):
+    path = W.shared_path(spark, "json")
+    demo.table(spark, sf, "nation").write.json(path)
+    return R.json_artifact(spark, path, "n_nationkey int, n_name string, n_regionkey int", "the nation export")
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def src_tsv_gz(spark, sf):
+    path = W.shared_path(spark, "tsv")
+    demo.table(spark, sf, "part").select("p_partkey", "p_name", "p_size").write.csv(path, sep="\t", header=True, compression="gzip", quote="")
+    return R.tab_separated(spark, path, "p_partkey long, p_name string, p_size int", 8)
+
+
+@query("SELECT s_suppkey, 'fam' || s_suppkey % 2 AS family, s_name AS text FROM supplier WHERE s_suppkey % 2 = 0")
+def src_verdict_files(spark, sf):
+    # One text file for each verdict: a partition of the write holds one row.
+    path, s = W.shared_path(spark, "verdicts"), demo.table(spark, sf, "supplier")
+    rows = s.select(F.concat(F.lit("s"), "s_suppkey", F.lit("__fam"), F.col("s_suppkey") % 2).alias("file"), F.col("s_name").alias("value"))
+    rows.repartition("file").write.partitionBy("file").text(path)
+    raw = spark.read.option("basePath", path).text(path, wholetext=True).select(F.trim(F.regexp_replace("value", "\n", "")).alias("text"), "file")
+    raw = raw.select("text", F.regexp_extract("file", r"^s(\d+)__(\w+)$", 1).cast("long").alias("id"), F.regexp_extract("file", r"^s(\d+)__(\w+)$", 2).alias("family"))
+    return raw.join(s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id")), "id").select(F.col("id").alias("s_suppkey"), "family", "text")
+
+
+@query("SELECT source_rank, domain, count(*) AS n FROM (SELECT 0 AS source_rank, domain FROM pairings_screen WHERE weight_h = 100 UNION ALL SELECT 1, 'real_life' FROM pairings_life) GROUP BY ALL")
+def src_multi_domain(spark, sf):
+    life = demo.pairings_life(spark, sf).select(F.lit("real_life").alias("domain"), "pairing_id")
+    return R.ranked_union([demo.pairings_screen(spark, sf).where("weight_h = 100").select("domain", "pairing_id"), life]).groupBy("source_rank", "domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT entity, period, arg_max(v, r) AS v FROM (SELECT entity, period, 0 AS r, min(score_t) AS v FROM gradings WHERE family = 'A' GROUP BY ALL UNION ALL SELECT entity, period, 1, max(score_t) FROM gradings WHERE family = 'R' GROUP BY ALL) GROUP BY ALL")
+def src_caches_union(spark, sf):
+    g = demo.gradings(spark, sf)
+    a = g.where("family = 'A'").groupBy("entity", "period").agg(F.min("score_t").alias("v"))
+    r = g.where("family = 'R'").groupBy("entity", "period").agg(F.max("score_t").alias("v"))
+    return R.later_wins([a, r], ["entity", "period"], ["v"]).select("entity", "period", "v")
+
+
+@query("SELECT k, stage, max((CASE WHEN end_d >= start_d THEN 1 ELSE 0 END, line, seq))[2] AS line FROM candidates GROUP BY k, stage")
+def src_relationships(spark, sf):
+    best = F.max(F.struct(F.expr("if(end_d >= start_d, 1, 0)").alias("ok"), "line", "seq"))
+    return demo.candidates(spark, sf).groupBy("k", "stage").agg(best.alias("m")).select("k", "stage", "m.line")
+
+
+@query("SELECT o_orderkey, c_mktsegment AS segment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
+def src_dob_gender(spark, sf):
+    known = demo.table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
+    return demo.table(spark, sf, "orders").join(known, "o_custkey", "left").select("o_orderkey", "segment")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS label, CASE WHEN c_custkey % 3 <> 0 THEN 'label' WHEN c_custkey % 2 = 0 THEN 'title' ELSE 'unresolved' END AS route FROM customer")
+def src_label_fallback(spark, sf):
+    c = demo.table(spark, sf, "customer").selectExpr("c_custkey", "if(c_custkey % 3 <> 0, c_name, null) as label", "if(c_custkey % 2 = 0, c_mktsegment, null) as title")
+    return c.selectExpr("c_custkey", "coalesce(label, title) as label", "case when label is not null then 'label' when title is not null then 'title' else 'unresolved' end as route")
+
+
+@query("SELECT l_orderkey AS batch, count(*) AS rows FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 7")
+def guard_truncated_batch(spark, sf):
+    return R.truncated_batches(demo.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "batch"), "batch", 7)
+
+
+@query("SELECT side, domain, entity, total FROM board")
+def sink_snapshot(spark, sf):
+    return W.snapshot(demo.board(spark, sf).select("side", "domain", "entity", "total"), W.shared_path(spark, "board"))
+
+
+@query("SELECT count(*) AS rows, TRUE AS first, FALSE AS poorer FROM board")
+def sink_guarded(spark, sf):
+    path, rows = W.shared_path(spark, "guarded"), demo.board(spark, sf)
+    first = W.guarded(rows, path, "count(1)")
+    poorer = W.guarded(rows.where("side = 'a'"), path, "count(1)")
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.lit(first).alias("first"), F.lit(poorer).alias("poorer"))
+
+
+@query("SELECT count(*) AS rows, TRUE AS same FROM nation")
+def sink_versioned(spark, sf):
+    root, rows = W.shared_path(spark, "history"), demo.table(spark, sf, "nation")
+    one = W.versioned(rows.withColumn("at", F.current_timestamp()), root, ["at"])
+    two = W.versioned(rows.orderBy(F.desc("n_name")).withColumn("at", F.current_timestamp()), root, ["at"])
+    return spark.read.parquet(one).agg(F.count(F.lit(1)).alias("rows"), F.lit(one == two).alias("same"))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size < 25 ORDER BY p_size DESC, p_partkey LIMIT 50")
+def flt_vote_floor(spark, sf):
+    return demo.table(spark, sf, "part").where("p_size < 25").orderBy(F.desc("p_size"), "p_partkey").limit(50).select("p_partkey", "p_size")
+
+
+@query("SELECT p_partkey FROM part WHERE p_type IN ('ECONOMY', 'STANDARD') AND p_size > 10 AND regexp_matches(p_brand, '[0-9]+$')")
+def flt_title_rules(spark, sf):
+    return demo.table(spark, sf, "part").where("p_type in ('ECONOMY', 'STANDARD') and p_size > 10").where(F.col("p_brand").rlike("[0-9]+$")).select("p_partkey")
+
+
+@query("SELECT CASE WHEN a % 2 = b % 2 THEN 'same side' ELSE 'kept' END AS reason, CASE WHEN a % 2 = b % 2 THEN NULL WHEN a % 2 = 0 THEN a ELSE b END AS side_a, count(*) AS n FROM episodes_e GROUP BY ALL")
+def flt_orient_sides(spark, sf):
+    return demo.episodes_e(spark, sf).groupBy(F.expr("if(a % 2 = b % 2, 'same side', 'kept')").alias("reason"), F.expr("case when a % 2 = b % 2 then null when a % 2 = 0 then a else b end").alias("side_a")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'purchase' AND value > 50 THEN 'QUALIFYING' WHEN event_type = 'purchase' THEN 'UNGROUNDED' ELSE 'OTHER' END AS class FROM events")
+def flt_qualifying(spark, sf):
+    return demo.table(spark, sf, "events").selectExpr("event_id", "case when event_type = 'purchase' and value > 50 then 'QUALIFYING' when event_type = 'purchase' then 'UNGROUNDED' else 'OTHER' end as class")
+
+
+@query("SELECT user_id, CASE WHEN bool_or(event_type = 'purchase' AND value > 90) THEN 'evidence' WHEN bool_or(event_type = 'signup') AND bool_or(event_type = 'click') THEN 'occupation' WHEN bool_or(event_type = 'view') THEN 'article' ELSE 'closed' END AS class FROM events GROUP BY user_id")
+def flt_eligibility(spark, sf):
+    e = demo.table(spark, sf, "events").groupBy("user_id").agg(F.bool_or(F.expr("event_type = 'purchase' and value > 90")).alias("ev"), F.collect_set("event_type").alias("t"))
+    return e.select("user_id", F.when(F.col("ev"), "evidence").when(F.array_contains("t", "signup") & F.array_contains("t", "click"), "occupation").when(F.array_contains("t", "view"), "article").otherwise("closed").alias("class"))
+
+
+@query("SELECT entity, period, (entity, period) IN (SELECT (a, period) FROM episodes_e) AS load_bearing FROM estimates")
+def flt_load_bearing(spark, sf):
+    used = demo.episodes_e(spark, sf).selectExpr("a as entity", "period").distinct().withColumn("used", F.lit(True))
+    return demo.estimates(spark, sf).join(used, ["entity", "period"], "left").select("entity", "period", F.coalesce("used", F.lit(False)).alias("load_bearing"))
+
+
+@query("SELECT CASE WHEN s_suppkey IS NULL THEN 'missing' WHEN s_acctbal < 0 THEN 'not eligible' WHEN o_custkey % 5 = 0 THEN 'exact after disambiguator' ELSE 'exact' END AS verdict, count(*) AS n FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey GROUP BY 1")
+def flt_identity_verdict(spark, sf):
+    df = demo.table(spark, sf, "orders").join(demo.table(spark, sf, "supplier"), F.expr("s_suppkey = o_custkey"), "left")
+    v = F.expr("case when s_suppkey is null then 'missing' when s_acctbal < 0 then 'not eligible' when o_custkey % 5 = 0 then 'exact after disambiguator' else 'exact' end")
+    return df.groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 'a' WHEN 'HOUSEHOLD' THEN 'b' END AS side FROM customer WHERE c_mktsegment IN ('MACHINERY', 'HOUSEHOLD')")
+def flt_gender_items(spark, sf):
+    items = spark.createDataFrame([("MACHINERY", "a"), ("HOUSEHOLD", "b")], "c_mktsegment string, side string")
+    return demo.table(spark, sf, "customer").join(F.broadcast(items), "c_mktsegment").select("c_custkey", "side")
+
+
+@query("SELECT o_orderkey, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def jn_evidence_edition(spark, sf):
+    t = lambda n: demo.table(spark, sf, n)
+    return t("orders").join(t("customer"), F.expr("o_custkey = c_custkey")).join(t("nation"), F.expr("c_nationkey = n_nationkey")).join(t("region"), F.expr("n_regionkey = r_regionkey")).select("o_orderkey", "n_name", "r_name")
+
+
+@query("SELECT l_orderkey, l_linenumber, p_brand, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size > 25")
+def jn_three_way(spark, sf):
+    t = lambda n: demo.table(spark, sf, n)
+    return t("lineitem").join(t("part").where("p_size > 25"), F.expr("l_partkey = p_partkey")).join(t("supplier"), F.expr("l_suppkey = s_suppkey")).select("l_orderkey", "l_linenumber", "p_brand", "s_name")
+
+
+def _edges(spark, sf, floor=1000):
+    w = demo.works(spark, sf).where(f"prominence > {floor}").groupBy("work", "entity").agg(F.max("prominence").alias("prominence"))
+    other = w.selectExpr("work", "entity as other", "prominence as other_prominence")
+    return w.join(other, "work").where("entity <> other")  # a work credits a handful of entities
+
+
+_EDGES = "(SELECT x.work, x.entity, y.entity AS other, y.p AS other_prominence FROM (SELECT work, entity, max(prominence) AS p FROM works WHERE prominence > 1000 GROUP BY ALL) x JOIN (SELECT work, entity, max(prominence) AS p FROM works WHERE prominence > 1000 GROUP BY ALL) y ON x.work = y.work AND x.entity <> y.entity)"
+
+
+@query(f"SELECT entity, other, count(DISTINCT work) AS works FROM {_EDGES} GROUP BY ALL")
+def jn_cooccur(spark, sf):
+    return _edges(spark, sf).groupBy("entity", "other").agg(F.count_distinct("work").alias("works"))
+
+
+@query(f"SELECT entity, count(DISTINCT other) AS partners, max(other_prominence) AS top FROM {_EDGES} GROUP BY entity")
+def jn_costar_edges(spark, sf):
+    return _edges(spark, sf).groupBy("entity").agg(F.count_distinct("other").alias("partners"), F.max("other_prominence").alias("top"))
+
+
+@query("SELECT a AS entity, count(DISTINCT b) AS partners FROM pairings_life GROUP BY a")
+def jn_partner_edges(spark, sf):
+    return demo.pairings_life(spark, sf).groupBy(F.col("a").alias("entity")).agg(F.count_distinct("b").alias("partners"))
+
+
+@query("SELECT p_name, p_partkey, n FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY n DESC, p_partkey) AS r FROM (SELECT p_name, p_partkey, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY ALL)) WHERE r = 1")
+def jn_name_resolve(spark, sf):
+    n = demo.table(spark, sf, "part").join(demo.table(spark, sf, "lineitem"), F.expr("l_partkey = p_partkey")).groupBy("p_name", "p_partkey").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("p_name").agg(F.min(F.struct((-F.col("n")).alias("m"), "p_partkey")).alias("b")).select("p_name", "b.p_partkey", (-F.col("b.m")).alias("n"))
+
+
+@query("SELECT p_brand, count(DISTINCT p_type) AS claims, count(DISTINCT p_type) > 1 AS collision FROM part GROUP BY p_brand")
+def jn_id_bridge(spark, sf):
+    return demo.table(spark, sf, "part").groupBy("p_brand").agg(F.count_distinct("p_type").alias("claims")).select("p_brand", "claims", (F.col("claims") > 1).alias("collision"))
+
+
+@query("SELECT CASE WHEN s.entity IS NULL THEN 'naked' WHEN s.estimate > 70 THEN 'rescued' ELSE 'uncovered' END AS status, count(*) AS n FROM episodes_e e LEFT JOIN sparse s ON s.entity = e.a AND s.period = e.period GROUP BY 1")
+def jn_corroborate(spark, sf):
+    s = demo.sparse(spark, sf).selectExpr("entity as a", "period", "estimate")
+    return demo.episodes_e(spark, sf).join(s, ["a", "period"], "left").groupBy(F.expr("case when estimate is null then 'naked' when estimate > 70 then 'rescued' else 'uncovered' end").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_CAND = "(SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'a' ELSE 'b' END AS side, c_nationkey AS reach, c_acctbal AS prominence FROM customer)"
+
+
+@query(f"SELECT id, side, row_number() OVER (ORDER BY f DESC, reach DESC, prominence DESC, id) AS n FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY side ORDER BY reach DESC, prominence DESC, id) <= 50 THEN 1 ELSE 0 END AS f FROM {_CAND}) QUALIFY n <= 100")
+def wn_balanced_admit(spark, sf):
+    c = demo.table(spark, sf, "customer").selectExpr("c_custkey as id", "if(c_custkey % 3 = 0, 'a', 'b') as side", "c_nationkey as reach", "c_acctbal as prominence")
+    return S.admitted(c, 100).select("id", "side", "n")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') ORDER BY c_acctbal DESC, c_custkey LIMIT 40")
+def wn_priority_backlog(spark, sf):
+    done = demo.table(spark, sf, "orders").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return demo.table(spark, sf, "customer").join(done, "c_custkey", "left_anti").orderBy(F.desc("c_acctbal"), "c_custkey").limit(40).select("c_custkey")
+
+
+@query("SELECT l_orderkey, count(*) AS lines FROM lineitem GROUP BY l_orderkey ORDER BY lines DESC, l_orderkey LIMIT 25")
+def wn_longest_first(spark, sf):
+    return demo.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines")).orderBy(F.desc("lines"), "l_orderkey").limit(25)
+
+
+@query("SELECT event_type, event_id FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events WHERE value > 50) WHERE r <= 4")
+def wn_ordered_examples(spark, sf):
+    w = Window.partitionBy("event_type").orderBy("event_id")
+    return demo.table(spark, sf, "events").where("value > 50").select("event_type", "event_id", F.row_number().over(w).alias("r")).where("r <= 4").drop("r")
+
+
+@query("SELECT entity, period, string_agg(observation_id::VARCHAR, ',' ORDER BY md5('7|' || observation_id)) AS shuffled FROM evidence GROUP BY entity, period")
+def wn_order_shuffle(spark, sf):
+    each = F.struct(F.md5(F.concat(F.lit("7|"), "observation_id")).alias("h"), F.col("observation_id").cast("string").alias("o"))
+    return demo.evidence(spark, sf).groupBy("entity", "period").agg(F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["o"]), ",").alias("shuffled"))
+
+
+@query("SELECT pairing_id, min(domain) AS domain FROM (SELECT pairing_id, domain FROM pairings_screen WHERE weight_h = 100 UNION ALL SELECT pairing_id, domain FROM pairings_screen WHERE period > 1998) GROUP BY pairing_id")
+def st_dedupe_slice(spark, sf):
+    p = demo.pairings_screen(spark, sf).select("pairing_id", "domain", "weight_h", "period")
+    return p.where("weight_h = 100").unionAll(p.where("period > 1998")).dropDuplicates(["pairing_id"]).select("pairing_id", "domain")
+
+
+@query("SELECT l_orderkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY k DESC, l_suppkey) AS r FROM (SELECT l_orderkey, l_suppkey, pow((('0x' || substr(md5('5|' || l_orderkey || '|' || l_suppkey), 1, 13))::BIGINT + 0.5) / 4503599627370496, 1 / w) AS k FROM (SELECT l_orderkey, l_suppkey, sum(l_quantity) AS w FROM lineitem GROUP BY ALL))) WHERE r <= 2")
+def rs_weighted_sample(spark, sf):
+    rows = demo.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_quantity").alias("w"))
+    return S.weighted_sample(rows, "l_orderkey", "w", 2, F.lit("5"), F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).select("l_orderkey", "l_suppkey")
+
+
+@query("""SELECT k, trial, count(DISTINCT entity || '|' || period) AS covered FROM (SELECT unnest([1, 5, 20]) AS k) CROSS JOIN (SELECT unnest(range(0, 10)) AS trial) JOIN (SELECT *, trial2, row_number() OVER (PARTITION BY period, trial2 ORDER BY md5('9|' || trial2 || '|' || entity || '|' || period), entity) AS r FROM sparse, (SELECT unnest(range(0, 10)) AS trial2)) s ON s.trial2 = trial AND s.r <= k GROUP BY k, trial""")
+def rs_coverage_ladder(spark, sf):
+    trials, ladder = spark.range(10).withColumnRenamed("id", "trial"), spark.createDataFrame([(1,), (5,), (20,)], "k int")
+    s = demo.sparse(spark, sf).select("entity", "period").crossJoin(F.broadcast(trials))  # ten trials
+    w = Window.partitionBy("period", "trial").orderBy(F.md5(F.concat_ws("|", F.lit("9"), F.col("trial").cast("string"), F.col("entity").cast("string"), F.col("period").cast("string"))), "entity")
+    s = s.withColumn("r", F.row_number().over(w)).crossJoin(F.broadcast(ladder)).where("r <= k")  # three rungs
+    return s.groupBy("k", "trial").agg(F.count_distinct("entity", "period").alias("covered"))
+
+
+@query()
+def rs_interval(spark, sf):
+    rows = demo.period_rows(spark, sf).where("a_h is not null and b_h is not null and days > 300")
+    ids = F.explode(F.array(F.struct(F.concat_ws("@", "a", "period").alias("id"), (-F.col("days")).alias("c"), (F.col("a_h") / 10).alias("v")), F.struct(F.concat_ws("@", "b", "period").alias("id"), F.col("days").alias("c"), (F.col("b_h") / 10).alias("v"))))
+    each = rows.select(F.col("pairing_id").alias("key"), ids.alias("s")).select("key", "s.id", "s.c", "s.v")
+    specs = each.groupBy("id").agg(F.max("v").alias("value")).withColumn("sd", F.lit(3.0))
+    return S.interval(each.select("key", "id", "c"), specs, 40, 20260914, 0.1)
+
+
+@query()
+def gr_snowball(spark, sf):
+    edges = _edges(spark, sf).selectExpr("entity as seed", "other", "other_prominence as prominence", "if(length(other) % 2 = 0, 'a', 'b') as side").distinct()
+    save = _saver(spark, "snowball")
+    seeds = demo.works(spark, sf).select(F.col("entity").alias("id")).distinct().orderBy("id").limit(5)
+    return S.snowball(save(edges), seeds, 2, 40, save)
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_nationkey > 22 THEN 'side unknown' WHEN s_acctbal < 0 THEN 'no account' END AS refused FROM supplier")
+def gr_seed_named(spark, sf):
+    rules = [("side unknown", "s_nationkey > 22"), ("no account", "s_acctbal < 0")]
+    return Q.with_reason(demo.table(spark, sf, "supplier"), rules).select(F.col("s_suppkey").alias("id"), F.col("reason").alias("refused"))
+
+
+@query("SELECT entity, type, sum(score_t)::BIGINT AS sum_t, count(*) AS n, min(score_t) AS low, max(score_t) AS high FROM (SELECT user_id AS entity, event_type AS type, round(value)::INT AS score_t FROM events) GROUP BY ALL")
+def in_incremental_scores(spark, sf):
+    path = W.shared_path(spark, "stream")
+    events = demo.table(spark, sf, "events").selectExpr("event_id as id", "cast(ts as timestamp) as graded_at", "user_id as entity", "event_type as type", "cast(round(value) as int) as score_t", "true as judged")
+    events.repartitionByRange(4, "graded_at").write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    stream_scores.follow(stream, "id", "graded_at", ["entity", "type"], "60 days", f"{path}/out", f"{path}/state").awaitTermination()
+    return stream_scores.latest(spark.read.parquet(f"{path}/out"), ["entity", "type"])
+
+
+def grade_with(df, prompt: str, fn):
+    """Raw answer and error type of a pure grading function for every non-empty prompt, in batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [fn(p) for p in b[prompt]]
+            yield b.assign(answer=[a for a, _ in out], error=[e for _, e in out])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", answer string, error string"
+    return df.where(F.length(prompt) > 0).mapInPandas(run, schema)
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) % 7 = 0 THEN 'timeout' END AS error, CASE WHEN strlen(text) % 7 = 0 THEN NULL ELSE '{\"score\": ' || strlen(text) % 100 || '}' END AS answer FROM documents WHERE text <> ''")
+def ud_grader(spark, sf):
+    def fake(prompt: str):
+        n = len(prompt.encode())
+        return (None, "timeout") if n % 7 == 0 else (f'{{"score": {n % 100}}}', None)
+
+    return grade_with(demo.table(spark, sf, "documents").select("doc_id", "text"), "text", fake).select("doc_id", "error", "answer")
