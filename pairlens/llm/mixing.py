@@ -104,7 +104,7 @@ def mix_sources(
     rows = scratch.save(_draw(rows, seed))
     plan, edge = _plan(rows, scratch, weights, budget, most)
     clear = rows.join(plan, F.col("source").eqNullSafe(F.col("key"))).where(F.col("cut_bin").isNull() | (F.col("bin") != F.col("cut_bin")))
-    clear = clear.withColumn("extra", (F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(True)) & (F.col("rest") > 0)).cast("int"))
+    clear = clear.withColumn("extra", (F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(True)) & (F.col("rest") > 0) & (F.col("size") > 0)).cast("int"))
     names = ["doc_id", "source", "size", "source_size", "target", "whole", "extra"]
     out = clear.select(names).unionAll(edge.select(names)).withColumn("copies", F.col("whole") + F.col("extra"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -121,10 +121,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     plan, edge = _plan(scratch.save(_draw(rows, seed)), scratch, WEIGHTS, BUDGET, MOST)
     taken = scratch.save(edge.where("extra = 1").select(F.col("doc_id").alias("e_id"), F.col("source").alias("e_source")).distinct())
     taken = F.broadcast(taken) if taken.count() <= BROADCAST_SOURCES else taken
-    each = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
+    each = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), (_word_count(F.col(text_col)) > 0).alias("filled"))
     each = _draw(each, seed).join(plan, F.col("source").eqNullSafe(F.col("key")))
     each = each.join(taken, F.col("doc_id").eqNullSafe(F.col("e_id")) & F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bin") == F.col("cut_bin")), "left")
     hit = F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin"))
     at_cut = (F.col("bin") == F.col("cut_bin")) & (F.col("e_id").isNotNull() | F.col("e_source").isNotNull())
-    copies = F.col("whole") + ((F.col("rest") > 0) & (hit | at_cut)).cast("int")
+    copies = F.col("whole") + (F.col("filled") & (F.col("rest") > 0) & (hit | at_cut)).cast("int")
     return each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(MOST + 1)))).where(F.col("copy") <= copies).select("row.*")
