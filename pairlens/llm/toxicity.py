@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 GRADES, STRONG = 3, 3
 _EDGE = """.,;:!?"'()[]{}<>*#$%&|-_"""
 
@@ -99,7 +101,7 @@ def fit(rows: list[tuple[set[str], int]], grades: int = GRADES, min_docs: int =
     return OrdinalModel({k: float(x) for k, x in zip(names, w) if abs(x) > 1e-3}, cuts)
 
 
-def fit_labels(docs: DataFrame, labels: DataFrame, most: int = 6000, id_col: str = "doc_id", text_col: str = "text", **options) -> OrdinalModel:
+def fit_labels(docs: DataFrame, labels: DataFrame, most: int = 6000, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, least_z: float = 5.0, **options) -> OrdinalModel:
     """Model fitted on the ``most`` labelled documents with the smallest hashes of their ids.
 
     Rows without id, toxic label or document are left out. Without any row the model gives every text a severity near 0.
@@ -112,9 +114,19 @@ def fit_labels(docs: DataFrame, labels: DataFrame, most: int = 6000, id_col: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(features(t.as_py())) for t in b.column(1)], pa.list_(pa.string())), b.column(2)], names=["doc_id", "words", "grade"])
 
+    scratch = Scratch(docs.sparkSession, "toxicity")
     rows = src.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade").mapInArrow(pick, "doc_id long, words array<string>, grade int")
-    found = sorted(rows.collect(), key=lambda r: (r.doc_id, r.words))[:most]
-    return fit(graded([(set(r.words), r.grade) for r in found]), **options)
+    rows = scratch.save(rows.orderBy("doc_id", "grade").limit(most))
+    n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("grade"), F.lit(0))).first()
+    share = toxic / max(n, 1)
+    # Features that fit() would leave out stay on the executors.
+    stats = rows.select(F.explode("words").alias("w"), "grade").groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("grade").alias("t"))
+    error = F.sqrt(F.greatest(F.col("n") * share * (1 - share), F.lit(1e-9)))
+    known = stats.where((F.col("n") >= min_docs) & (F.abs(F.col("t") - F.col("n") * share) >= least_z * error)).select("w")
+    used = rows.select("doc_id", "grade", F.explode_outer("words").alias("w")).join(known.withColumn("known", F.lit(True)), "w", "left")
+    used = used.groupBy("doc_id", "grade").agg(F.collect_set(F.when(F.col("known"), F.col("w"))).alias("words"))
+    found = sorted(used.collect(), key=lambda r: r.doc_id)  # at most `most` rows of a few features
+    return fit(graded([(set(r.words), r.grade) for r in found], least_z), min_docs=min_docs, least_z=least_z, **options)
 
 
 def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
