@@ -41,6 +41,20 @@ def ranked(board: DataFrame, by: str = "total") -> DataFrame:
     return board.withColumn("rank", F.row_number().over(w))
 
 
+def positions(df: DataFrame, by: str, tie: str, name: str, buckets: int = 64) -> DataFrame:
+    """Positions in the whole table, largest first, without ordering it in one task.
+
+    Approximate quantiles cut the values into buckets; a bucket's positions start after the rows of those before it.
+    """
+    cuts = sorted(set(df.approxQuantile(by, [i / buckets for i in range(1, buckets)], 0.01)))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(by) < c)) if cuts else F.lit(0)
+    df = df.withColumn("_b", bucket)
+    n = df.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    start = n.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_s"))  # a row for each bucket
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(F.desc(by), tie))
+    return df.withColumn("_r", rank).join(F.broadcast(start), "_b").withColumn(name, F.col("_s") + F.col("_r")).drop("_b", "_r", "_s")
+
+
 def below_bar(contributions: DataFrame, least: int) -> DataFrame:
     """Entities on each side and domain with too few pairings, and all."""
     per = contributions.groupBy("side", "domain", "entity").count()

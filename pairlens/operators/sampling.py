@@ -44,8 +44,9 @@ def admitted(candidates: DataFrame, cap: int) -> DataFrame:
     """Half of the cap from each side by rank, then the rest from whoever is left, ties by id."""
     side = Window.partitionBy("side").orderBy(F.desc("reach"), F.desc("prominence"), "id")
     df = candidates.withColumn("r", F.row_number().over(side)).withColumn("first", (F.col("r") <= cap // 2).cast("int"))
-    rest = Window.orderBy(F.desc("first"), F.desc("reach"), F.desc("prominence"), "id")  # candidates of one round
-    return df.withColumn("n", F.row_number().over(rest)).where(F.col("n") <= cap).drop("r", "first")
+    order = [F.desc("first"), F.desc("reach"), F.desc("prominence"), F.asc("id")]
+    best = df.orderBy(*order).limit(cap)  # each task hands on its best only, so at most cap rows are numbered
+    return best.withColumn("n", F.row_number().over(Window.orderBy(*order))).drop("r", "first")
 
 
 def snowball(edges: DataFrame, seeds: DataFrame, rounds: int, cap: int, save) -> DataFrame:

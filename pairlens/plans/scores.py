@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import gradings as G
 from ..operators import pairings as P
+from ..sources import writers as W
 from . import demo
 from .registry import query
 
@@ -166,8 +167,8 @@ _NORMAL_TOTALS = "(SELECT a AS entity, sum(weight_h * raw_gap)::BIGINT AS raw, s
 @query(f"""SELECT entity, row_number() OVER (ORDER BY raw DESC, entity) AS before, row_number() OVER (ORDER BY z DESC, entity) AS after FROM {_NORMAL_TOTALS}""")
 def wn_rank_changes(spark, sf):
     df = demo.normal_gaps(spark, sf).where("weight_h <> 0").groupBy(F.col("a").alias("entity")).agg(F.expr("sum(weight_h * raw_gap)").alias("raw"), F.expr("sum(weight_h * z_gap)").alias("z"))
-    rank = lambda c: F.row_number().over(Window.orderBy(F.desc(c), "entity"))  # noqa: E731  a row for each listed entity
-    return df.select("entity", rank("raw").alias("before"), rank("z").alias("after"))
+    df = W.snapshot(df, W.shared_path(spark, "totals"))  # read several times below
+    return P.positions(P.positions(df, "raw", "entity", "before"), "z", "entity", "after").select("entity", "before", "after")
 
 
 @query(f"""WITH r AS (SELECT entity, row_number() OVER (ORDER BY raw DESC, entity) AS p, row_number() OVER (ORDER BY z DESC, entity) AS q FROM {_NORMAL_TOTALS})
