@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Chunks a worker remembers.
-CACHE = 300_000
+CACHE = 200_000
 
 
 class PieceModel:
@@ -101,7 +101,7 @@ class PieceModel:
                     key = last[at] << 20 | i
                     ok = pairs.get(key)
                     if ok is None:
-                        if len(pairs) > 2_000_000:
+                        if len(pairs) > 500_000:
                             pairs.clear()
                         ok = pairs[key] = self.fits(last[at], i)
                     if not ok:
