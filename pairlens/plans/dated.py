@@ -367,7 +367,7 @@ def agg_spread_verdict(spark, sf):
 @query(f"""SELECT a, b, period, b_est - a_est AS gap, 'largest floor' AS which FROM {_J} WHERE a_shape = b_shape AND abs(b_est - a_est) > (SELECT max(l) FROM (SELECT 2.77 * avg(sd) AS l FROM rater GROUP BY shape))""")
 def agg_own_floor(spark, sf):
     own = agg_rater_noise(spark, sf).selectExpr("shape as a_shape", "lsd as own")
-    rows = demo.resolved(spark, sf).where("a_shape = b_shape").join(F.broadcast(own), "a_shape", "left").crossJoin(F.broadcast(agg_noise_floor(spark, sf)))
+    rows = demo.resolved(spark, sf).where("a_shape = b_shape").join(own, "a_shape", "left").crossJoin(F.broadcast(agg_noise_floor(spark, sf)))
     return rows.where("abs(b_est - a_est) > coalesce(own, floor)").selectExpr("a", "b", "period", "b_est - a_est as gap", "if(own is null, 'largest floor', 'own floor') as which")
 
 

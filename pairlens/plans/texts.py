@@ -196,7 +196,7 @@ def tj_source_recheck(spark, sf):
     d = demo.table(spark, sf, "documents").select("doc_id", "text")
     key = b.withColumn("h", F.element_at(F.split("p", " "), 2))
     w = d.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("h"))
-    hits = w.join(F.broadcast(key), "h").select("doc_id", "item_id", "p").distinct().join(d, "doc_id").where(F.contains("text", F.col("p")))
+    hits = w.join(key, "h").select("doc_id", "item_id", "p").distinct().join(d, "doc_id").where(F.contains("text", F.col("p")))
     n = d.agg(F.count(F.lit(1)).alias("checked"))
     return b.join(hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id", "left").crossJoin(F.broadcast(n)).select("item_id", "checked", F.coalesce("n", F.lit(0)).alias("verified"))
 
