@@ -2,14 +2,15 @@
 
 Base kinds are regular expressions with checks (address parts, Luhn digits, digit counts). Their occurrences are the
 seeds. A lexical pattern is the pair of words before an identifier-like token (one with a digit or an at sign); a
-pattern that ``min_seeds`` different seeds, and the share ``min_share`` of all seeds, induce joins a graph of patterns
-and tokens. Scores go around the graph for
+pattern that ``min_seeds`` different seeds induce joins a graph of patterns and tokens. Scores go around the graph for
 a fixed number of rounds: a pattern is worth the share of all its occurrences in the corpus that precede believed
 tokens, a token is believed as far as its best evidence says (seeds fully, others by the product of doubts). Tokens
 after patterns worth ``confidence`` or more are added as ``context`` spans. A pair of words that mostly precedes other
 words is worth little, so chance contexts add nothing.
 
-All of it is DataFrame functions; the corpus is read twice, once for spans and once for the patterns' occurrences.
+All of it is DataFrame functions; the corpus is read twice, once for spans and once for the patterns' occurrences. Word
+pairs are counted before they meet the patterns, so that the join has a row for each different pair and not for each
+occurrence.
 Patterns are broadcast while they are fewer than ``BROADCAST_PATTERNS`` (8 bytes each) and otherwise joined by shuffle.
 """
 
@@ -82,7 +83,6 @@ def find_pii(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_seeds: int = 5,
-    min_share: float = 0.001,
     rounds: int = 3,
     confidence: float = 0.5,
 ) -> DataFrame:
@@ -99,16 +99,16 @@ def find_pii(
     seen = df.where(F.size("t") > 0).select("id", "th", "base", F.explode("t").alias("x")).where(F.col("x.p").isNotNull())
     seen = scratch.save(seen.select("id", "th", "x.s", "x.e", F.col("x.p").alias("p"), F.xxhash64("x.m").alias("m"), hits.alias("seed")))
     # Patterns that enough different seeds induce.
-    seeds = seen.where("seed").groupBy("p", "m").agg(F.count(F.lit(1)).alias("n"))
-    least = max(min_seeds, min_share * (seeds.agg(F.count_distinct("m")).first()[0] or 0))
-    patterns = scratch.save(seeds.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("p"))
+    held = scratch.save(seen.groupBy("p", "m").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed")))
+    patterns = scratch.save(held.where("seed = 1").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds).select("p"))
     # How often each of them stands anywhere in the corpus.
     trimmed = F.trim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))
     pairs = src.select(F.split(trimmed, SPACE, -1).alias("w"))
     pairs = pairs.select(F.explode(F.transform("w", lambda w, i: F.when(i > 0, _pattern(F.get("w", i - 1), w)))).alias("p"))
-    total = pairs.join(_few(patterns, BROADCAST_PATTERNS), "p").groupBy("p").agg(F.count(F.lit(1)).alias("total")) if patterns.limit(1).count() else patterns.withColumn("total", F.lit(0).cast("long"))
+    counted = pairs.where(F.col("p").isNotNull()).groupBy("p").agg(F.count(F.lit(1)).alias("total"))
+    total = counted.join(_few(patterns, BROADCAST_PATTERNS), "p") if patterns.limit(1).count() else patterns.withColumn("total", F.lit(0).cast("long"))
     total = scratch.save(total)
-    edges = scratch.save(seen.join(_few(patterns, BROADCAST_PATTERNS), "p").groupBy("p", "m").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed")))
+    edges = scratch.save(held.join(_few(patterns, BROADCAST_PATTERNS), "p"))
     belief = edges.groupBy("m").agg(F.max("seed").cast("double").alias("s"))
     for _ in range(rounds):
         belief = scratch.save(belief)

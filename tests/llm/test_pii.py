@@ -69,6 +69,14 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert not any("context" in got[200 + i] for i in range(30)) and not any("context" in got[i] for i in range(30))
 
 
+def test_contexts_with_few_of_very_many_seeds(spark):
+    rows = [(i, " ".join(f"please write user{i}n{k}@mail.example.org" for k in range(100))) for i in range(70)]
+    rows += [(100 + i, f"ticket owner u{i}@mail.example.org") for i in range(5)] + [(200, "ticket owner agent#77xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii_report(df).collect()}
+    assert got[200] == "context:13:23"
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "🙂 mail a@b.c or 10.0.0.1, ok"), (2, "no"), (3, None), (4, "+1 555 123 4567@b.c")], "doc_id long, text string")
     found = find_pii(df).withColumnRenamed("id", "doc_id")
