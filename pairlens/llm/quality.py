@@ -1,9 +1,9 @@
 """Quality rules: text statistics of each document, and lines that too many documents of a host share.
 
 Lines are normalised (lower case, digits as 0, runs of spaces as one) and hashed with their host. A line is boilerplate
-when at least ``min_docs`` documents of the host, and at least ``share`` of its documents, hold it. Documents that agree
-in the smallest hash of their other lines count as one there: they are copies of each other, and copies are for the
-near-duplicate operator. A document loses its boilerplate lines; if less than ``left_share`` of its words remain, it is rejected.
+when at least ``min_docs`` documents of the host, and at least ``share`` of its documents, hold it. Documents with one
+and the same text count as one there: copies are for the near-duplicate operator. A document loses its boilerplate
+lines; if less than ``left_share`` of its words remain, it is rejected.
 
 Everything is DataFrame functions. Counting goes through (line, document) pairs first, so that a line which a third of
 all documents hold is dealt by document. The boilerplate lines are broadcast while they are fewer than
@@ -73,12 +73,10 @@ def _normal_line(line: Column) -> Column:
 def boilerplate_lines(docs: DataFrame, host_col: str, text_col: str, min_docs: int, share: float) -> DataFrame:
     """(line long, n_docs): hashes of (host, normalised line) that are above the limits."""
     host = F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit("\0")))
-    df = docs.select(host.alias("host"), _lines(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("l"))
-    df = df.select("host", F.array_distinct(F.transform("l", lambda x: F.xxhash64("host", _normal_line(x)))).alias("l"))
-    df = df.withColumn("l", F.array_sort("l"))
-    per_doc = df.select("host", F.get("l", F.lit(0)).alias("a"), F.get("l", F.lit(1)).alias("b"), F.explode("l").alias("line"))
-    per_doc = per_doc.select("host", "line", F.when(F.col("line") != F.col("a"), F.col("a")).otherwise(F.col("b")).alias("doc"))
-    lines = per_doc.groupBy("line", "doc").agg(F.max("host").alias("host"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    df = docs.select(host.alias("host"), F.xxhash64(text).alias("th"), _lines(text).alias("l"))
+    df = df.select("host", "th", F.array_distinct(F.transform("l", lambda x: F.xxhash64("host", _normal_line(x)))).alias("l"))
+    lines = df.select("host", "th", F.explode("l").alias("line")).groupBy("line", "th").agg(F.max("host").alias("host"))
     lines = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n_docs"), F.max("host").alias("host")).where(F.col("n_docs") >= min_docs)
     hosts = df.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     return lines.join(hosts, "host").where(F.col("n_docs") >= share * F.col("docs")).select("line", "n_docs")

@@ -51,6 +51,19 @@ def test_boilerplate_by_host(spark):
     assert all(got[300 + i].n_boiler_words == 0 for i in range(3))  # another host
 
 
+def test_documents_full_of_boilerplate_count_each(spark):
+    name = lambda n: "".join(chr(97 + int(c)) for c in str(n))
+    line = [f"line{name(k)} of{name(k)} the{name(k)} template{name(k)}" for k in range(9)]
+    rows = [(i, "\n".join([*line, f"own{name(i)} words{name(i)}"]), "a") for i in range(60)]
+    rows += [(100 + i, "\n".join(x for k, x in enumerate(line) if i >> k & 1), "b") for i in range(1, 512)]
+    rows += [(1000 + i, f"page {i} of our catalogue", "c") for i in range(10, 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.n_docs for r in boilerplate_lines(df, "source", "text", 20, 0.02).collect()) == [40] + [60] * 9 + [256] * 9
+    got = {r.doc_id: r for r in quality_verdicts(df).collect()}
+    assert not any(got[i].kept for i in range(60)) and all(got[i].n_boiler_words == 36 for i in range(60))
+    assert all(got[100 + i].n_boiler_words == got[100 + i].n_words for i in range(1, 512))
+
+
 def test_shuffled_join_and_repeats(spark, monkeypatch):
     df = spark.createDataFrame(_host_rows() * 2 + [(None, None, None)], "doc_id long, text string, source string")
     key = lambda d: sorted((str(r.doc_id), r.kept, r.n_boiler_words) for r in d.collect())
