@@ -1,7 +1,8 @@
 """Secret scans: fixed shapes, and tokens that a battery of randomness tests cannot tell from random keys.
 
-Base kinds are regular expressions. Every further token of ``MIN_LENGTH`` or more characters with letters and digits
-gets the smallest alphabet that fits it (hexadecimal, base 32, 36, 62 or 64) and three tests of "drawn evenly and
+Base kinds are regular expressions. Runs of token characters are split at inner ``=``; a part that mixes the signs of
+base 64 and its URL form gives the parts that fit either, which may overlap and are all tested. Every further token of
+``MIN_LENGTH`` or more characters with letters and digits gets the smallest alphabet that fits it (hexadecimal, base 32, 36, 62 or 64) and three tests of "drawn evenly and
 independently from this alphabet": chi-squared uniformity, runs above and below the alphabet's middle, and serial
 correlation of neighbours. The three p-values combine by Bonferroni. Structured tokens (paths, identifiers, counters)
 fail; within each class of length, Benjamini and Hochberg's step-up rule bounds the share of true keys among those
@@ -27,6 +28,9 @@ HEX = r"[0-9a-f]{32,}+"
 
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
 MIN_LENGTH = 20
+#: Parts of a run between its inner ``=``, and the parts of those that mix both pairs of signs. Padding ends the run.
+PART = r"[A-Za-z0-9+/_-]{20,}+(?:=++$)?+"
+MIXED, PIECES = "[+/].*[_-]|[_-].*[+/]", (r"[A-Za-z0-9+/]{20,}+(?:=++$)?+", r"[A-Za-z0-9_-]{20,}+(?:=++$)?+")
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
 #: Inferred encodings, smallest first: what the token must match, and the alphabet in order.
@@ -116,13 +120,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     df = df.select("id", F.xxhash64("text").alias("th"), base_spans(F.col("text")).alias("base"), match_spans(F.col("text"), TOKEN).alias("t"))
     mixed = lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]")
     apart = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
-    df = scratch.save(df.withColumn("t", F.filter("t", lambda x: mixed(x) & apart(x))))
-    tokens = df.where(F.size("t") > 0).select("id", "th", F.explode("t").alias("t"))
+    df = scratch.save(df.withColumn("t", F.filter("t", mixed)))
+    tokens = df.where(F.size("t") > 0).select("id", "th", "base", F.explode("t").alias("t"))
+    tokens = tokens.select("id", "th", "base", F.col("t.s").alias("at"), F.explode(match_spans(F.col("t.m"), PART)).alias("t"))
+    pieces = F.array_distinct(F.concat(*[match_spans(F.col("t.m"), r) for r in PIECES]))
+    pieces = F.when(F.col("t.m").rlike(MIXED), pieces).otherwise(F.array(F.struct(F.lit(0).alias("s"), F.length("t.m").alias("e"), F.col("t.m").alias("m"))))
+    tokens = tokens.select("id", "th", "base", (F.col("at") + F.col("t.s")).alias("at"), F.explode(pieces).alias("t"))
+    tokens = tokens.select("id", "th", "base", F.struct((F.col("at") + F.col("t.s")).alias("s"), (F.col("at") + F.col("t.e")).alias("e"), "t.m").alias("t"))
+    tokens = tokens.where(mixed(F.col("t")) & apart(F.col("t")))
     tokens = tokens.select("id", "th", "t.s", "t.e", F.rtrim(F.col("t.m"), F.lit("=")).alias("t")).where(F.length("t") >= MIN_LENGTH)
     tests = scratch.save(token_tests(tokens).select("id", "th", "s", "e", "n", "p"))
     added = random_tokens(tests, q).select("id", "th", F.struct("s", F.lit(3).alias("o"), "e", F.lit("random").alias("k")).alias("x"))
     added = scratch.save(added.groupBy("id", "th").agg(F.collect_set("x").alias("more")).select(F.col("id").alias("rid"), F.col("th").alias("rth"), "more"))
-    out = df.join(added, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
+    out = df.drop("t").join(added, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")
     more = F.coalesce("more", F.array().cast(BASE))
     count = lambda kind: F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(

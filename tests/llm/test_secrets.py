@@ -60,3 +60,16 @@ def test_added_spans_keep_base_ones(spark):
     df = spark.createDataFrame([(1, f"see {key} here"), (2, f"token={key}"), (3, "nothing")], "doc_id long, text string")
     got = check(df)
     assert got[1].spans == f"random:4:{4 + len(key)}" and got[2].spans.startswith("assign:0:") and "random" not in got[2].spans and got[3].spans == ""
+
+
+def test_keys_after_names_and_in_mixed_paths(spark):
+    rng = random.Random(11)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, want = [], {}
+    for i, before in enumerate(["AUTH=", "see sig=", "/v1/my-app/", "==", "https://x.example/a+b/c_d/"] * 4):
+        key = "".join(rng.choices(chars, k=32))
+        rows.append((i, f"{before}{key} end"))
+        want[i] = f"random:{len(before)}:{len(before) + 32}"
+    df = spark.createDataFrame(rows + [(90, "NAME=" + key[:30] + "==")], "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in scan_secrets(df).collect()}
+    assert sum(want[i] in got[i] for i in want) >= 0.9 * len(want) and got[90] == ["random:5:37"]
