@@ -2,19 +2,21 @@
 
 For a merge-type (BPE) vocabulary the encoding of a prefix of a text ends in exactly one token: the one that matches
 there and may stand after the last token of the prefix before it. An Aho-Corasick automaton gives the matches at each
-position, longest first; whether two tokens may stand side by side is found once for each pair, by merging the two
-alone, and remembered. The table is filled from left to right and the ids are read from it backwards, so a text of any
-length takes time in proportion to it. Runs of two or more word-start marks, whose pieces in such vocabularies are not
-in merge order, are merged directly.
-
-Text is cut where no piece can reach across: before a word-start mark and around line ends. Frequent chunks are
-remembered up to a fixed number. Nothing else is kept, and rows never meet, so there is no shuffle.
+position, longest first; whether two tokens may stand side by side is found once for each pair, from the pieces at the
+border while the two are merged, and remembered. The table is filled from left to right and the ids are read from it
+backwards, so a text of any length takes time in proportion to it. Runs of two or more word-start marks, whose pieces in
+such vocabularies are not in merge order, are merged directly.
+
+Text is cut where no piece can reach across: before a word-start mark, around line ends, and before signs at the end of
+a word. Chunks and pairs are remembered up to a fixed number, and those that come again outlive the others. Nothing else
+is kept, and rows never meet, so there is no shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -24,8 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Chunks a worker remembers.
-CACHE = 200_000
+#: Chunks and pairs of tokens that a worker remembers at most.
+CACHE, PAIRS = 300_000, 1_000_000
+
+
+class Memory:
+    """Values by key, the last ``size`` at least: when the young half is full it becomes the old one, and what is asked
+    for again comes back from there, so frequent keys stay and rare ones go."""
+
+    def __init__(self, size: int) -> None:
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def put(self, key, value):
+        if len(self.young) >= self.half:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+        return value
 
 
 class PieceModel:
@@ -51,16 +67,21 @@ class PieceModel:
             raise ValueError("a piece reaches across words or lines; this vocabulary cannot be cut there")
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.automaton.add_word(p, (i, len(p)))
+            if len(p) > 1:
+                self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.known = {p for p in self.ids if len(p) == 1}
-        self.pairs: dict[int, bool] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        #: Neighbouring characters inside pieces: between any others no piece can reach across.
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.signs = "".join(c for c in self.known if not c.isalnum() and c != MARK)
+        self.pairs, self.chunks = Memory(PAIRS), Memory(CACHE)
+        self.edges: dict[int, tuple | None] = {}
         self.odd = re.compile("[^" + "".join(map(re.escape, sorted(self.known))) + "]")
         self.cut = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
-    def merge(self, s: str) -> list[str]:
-        """Pieces of a string by merging the best-ranked neighbours first, leftmost at a tie."""
+    def merge(self, s: str, seen=None) -> list[str]:
+        """Pieces of a string by merging the best-ranked neighbours first, leftmost at a tie; each merge is told to
+        ``seen`` as rank, start and end of the two, and the two."""
         parts: list[str | None] = list(s)
         after, before = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
         heap: list[tuple[float, int, str]] = []
@@ -72,9 +93,11 @@ class PieceModel:
         for i in range(len(s) - 1):
             offer(i)
         while heap:
-            _, i, both = heapq.heappop(heap)
+            r, i, both = heapq.heappop(heap)
             if parts[i] is None or (j := after[i]) >= len(s) or parts[j] is None or parts[i] + parts[j] != both:
                 continue
+            if seen:
+                seen(r, i, i + len(both), parts[i], parts[j])
             parts[i], parts[j] = both, None
             after[i] = after[j]
             if after[i] < len(s):
@@ -84,33 +107,75 @@ class PieceModel:
                 offer(before[i])
         return [p for p in parts if p is not None]
 
+    def _edges(self, i: int) -> tuple | None:
+        """The pieces at the left and at the right end of a token while it is merged, each with the rank of the merge
+        that uses it up (none for the token itself); None if the token's text is not encoded as this one token."""
+        if i not in self.edges:
+            s = self.pieces[i]
+            left, right = [], []
+
+            def seen(r: float, start: int, end: int, a: str, b: str) -> None:
+                if start == 0:
+                    left.append((a, r))
+                if end == len(s):
+                    right.append((b, r))
+
+            whole = self.merge(s, seen) == [s]
+            self.edges[i] = (left + [(s, math.inf)], right + [(s, math.inf)]) if whole else None
+        return self.edges[i]
+
     def fits(self, left: int, right: int) -> bool:
-        """Whether the encoding of the two tokens' text is the two tokens."""
-        a, b = self.pieces[left], self.pieces[right]
-        return self.merge(a + b) == [a, b]
+        """Whether the encoding of the two tokens' text is the two tokens.
+
+        While both are merged side by side, the pieces that meet at the border stay apart as long as each is used up
+        by its own token's next merge before they would merge with each other; at a tie the merge further left is first.
+        """
+        a, b = self._edges(left), self._edges(right)
+        if a is None or b is None:
+            return False
+        i = k = 0
+        while True:
+            (x, until_x), (y, until_y) = a[1][i], b[0][k]
+            r = self.rank.get(x + y)
+            if r is not None and r < until_x and r <= until_y:
+                return False
+            if until_x <= until_y:
+                if until_x == math.inf:
+                    return True
+                i += 1
+            else:
+                k += 1
 
     def _known(self, s: str) -> list[int]:
-        if s.startswith(MARK + MARK):
+        if s[:1] == MARK == s[1:2]:
             return [self.ids[p] for p in self.merge(s)]
+        ids = self.ids
+        if (whole := ids.get(s)) is not None and self._edges(whole):
+            return [whole]
+        # Single characters are not matched: one stands where nothing longer fits.
         last = [-1] * len(s)
-        pairs = self.pairs
+        pairs, get = self.pairs, self.pairs.young.get
         for end, (i, n) in self.automaton.iter(s):
             if last[end] < 0:
                 at = end - n
                 if at >= 0:
-                    key = last[at] << 20 | i
-                    ok = pairs.get(key)
+                    before = last[at]
+                    if before < 0:
+                        before = last[at] = ids[s[at]]
+                    ok = get(key := before << 20 | i)
                     if ok is None:
-                        if len(pairs) > 500_000:
-                            pairs.clear()
-                        ok = pairs[key] = self.fits(last[at], i)
+                        ok = pairs.put(key, self.fits(before, i) if (was := pairs.old.get(key)) is None else was)
+                        get = pairs.young.get
                     if not ok:
                         continue
                 last[end] = i
-        out, at = [], len(s) - 1
+        out, at, length = [], len(s) - 1, self.length
         while at >= 0:
-            out.append(last[at])
-            at -= self.length[last[at]]
+            i = last[at]
+            if i < 0:
+                i = ids[s[at]]
+            out.append(i)
+            at -= length[i]
         return out[::-1]
 
     def _chunk(self, s: str) -> tuple[int, ...]:
@@ -126,27 +191,32 @@ class PieceModel:
         return tuple(out)
 
     def _remember(self, key: str, s: str) -> tuple[int, ...]:
-        if len(self.chunks) >= CACHE:
-            self.chunks.clear()
-        self.chunks[key] = out = self._chunk(s)
-        return out
+        """Ids of a chunk. Signs at its end go apart if no piece reaches across, so that what is kept are words."""
+        chunks = self.chunks
+        if (found := chunks.young.get(key)) is not None:
+            return found
+        if (found := chunks.old.get(key)) is not None:
+            return chunks.put(key, found)
+        k = len(key.rstrip(self.signs))
+        if 0 < k < len(key) and key[0] != "\0" and key[k - 1 : k + 1] not in self.joined:
+            return self._remember(key[:k], s[: k - len(key)]) + self._remember("\0" + key[k:], key[k:])
+        return chunks.put(key, self._chunk(s))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text as the library's encode() gives them; none for null or empty text."""
         if not text:
             return []
         text = text.replace(MARK, " ")
-        get = self.chunks.get
-        if "  " in text or text[0] == " ":
+        if "  " in text or text[0] == " " or "\0" in text:
             parts = self.cut.findall(MARK + text.replace(" ", MARK))
-            return list(chain.from_iterable(self.chunks.get(MARK + p) or self._remember(MARK + p, p) for p in parts))
+            return list(chain.from_iterable(self._remember(MARK + p, p) for p in parts))
         # A key is a word after one mark, or a line end and the word right after it.
         parts = text.replace("\n", " \n").split(" ")
-        found = list(map(get, parts))
+        found = list(map(self.chunks.young.get, parts))
         if None in found:
             for k, p in enumerate(parts):
                 if found[k] is None:
-                    found[k] = get(p) or self._remember(p, p if p[:1] == "\n" else MARK + p)
+                    found[k] = self._remember(p, p if p[:1] == "\n" else MARK + p)
         return list(chain.from_iterable(found))
 
     def decode(self, ids: list[int]) -> str:

@@ -63,3 +63,21 @@ def test_columns(spark):
     for r in out:
         assert list(r.ids) == THEIRS.encode(r.t or "")
         assert r.back == (r.t or "")
+
+
+def test_pairs_by_the_border_equal_pairs_by_merging():
+    rng = random.Random(3)
+    whole = [i for p, i in OURS.ids.items() if not p.startswith("▁▁")]
+    for _ in range(20_000):
+        a, b = rng.choice(whole), rng.choice(whole)
+        assert OURS.fits(a, b) == (OURS.merge(OURS.pieces[a] + OURS.pieces[b]) == [OURS.pieces[a], OURS.pieces[b]])
+
+
+def test_words_with_signs_and_small_memories(monkeypatch):
+    monkeypatch.setattr("pairlens.llm.sentencepiece_bpe.CACHE", 8)
+    monkeypatch.setattr("pairlens.llm.sentencepiece_bpe.PAIRS", 8)
+    small, rng = PieceModel(PATH), random.Random(5)
+    bits = ["the", "House", "l'", "d’eau", ",", ".", "),", "...", "'s", "%", "$$", "\n", "\0", "é", "1", "2,5", "(", "«", "»", "🙂", "—"]
+    for _ in range(3000):
+        text = " ".join("".join(rng.choices(bits, k=rng.randrange(1, 5))) for _ in range(rng.randrange(6)))
+        assert small.encode(text) == THEIRS.encode(text), repr(text)
