@@ -1,5 +1,6 @@
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -31,6 +32,37 @@ def test_table_base(spark, sf):
     assert got == {r.doc_id: base(r.text) for r in docs.collect()}
 
 
+def verdicts(rows, min_docs=20, share=0.02, left=0.3, copies_once=False):
+    """(id, lost words, kept) by counting documents of each host one by one."""
+    doc = lambda i, t: t or "" if copies_once else (i, t or "")
+    plain = lambda x: " ".join(re.sub("[1-9]", "0", x.lower()).split(" "))
+    norm = lambda x: plain(re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" "))
+    docs, holders = defaultdict(set), defaultdict(set)
+    for i, t, h in rows:
+        docs[h].add(doc(i, t))
+        for x in (t or "").split("\n"):
+            if norm(x):
+                holders[h, norm(x)].add(doc(i, t))
+    common = {k for k, v in holders.items() if len(v) >= min_docs and len(v) >= share * len(docs[k[0]])}
+    out = []
+    for i, t, h in rows:
+        n, failed = base(t)[0], base(t)[-1]
+        lost = sum(len(norm(x).split(" ")) for x in (t or "").split("\n") if (h, norm(x)) in common)
+        out.append((str(i), lost, not failed and n - lost >= left * n))
+    return sorted(out)
+
+
+def test_verdicts_against_brute_force(spark, sf):
+    rng = random.Random(9)
+    line = [" ".join(f"{c}{rng.choice('xyz')}{k}" for c in "abcde") for k in range(40)]
+    rows = [(i, "\n".join(rng.choices(line, k=rng.randrange(1, 12))) + rng.choice(["", "\n \t", "\nÉté  1234 ", "\n" + line[0].upper()]), rng.choice(["a", "a", "a", "b", None])) for i in range(400)]
+    rows += rows[:30] + [(7, None, "a"), (None, line[1], "a"), (None, "", None)]
+    rows += [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").collect()]
+    got = quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)).collect()
+    want = verdicts(rows)
+    assert sorted((str(r.doc_id), r.n_boiler_words, r.kept) for r in got) == want and any(x[1] for x in want) and not all(x[2] for x in want)
+
+
 def _host_rows():
     name = lambda n: "".join(chr(97 + int(c)) for c in str(n))  # noqa: E731  digits count as equal in lines
     body = lambda i, k: " ".join(f"w{name(i)}x{name(j)}" for j in range(k))
@@ -43,11 +75,14 @@ def _host_rows():
 
 def test_boilerplate_by_host(spark):
     df = spark.createDataFrame(_host_rows(), "doc_id long, text string, source string")
-    assert [r.n_docs >= 39 for r in boilerplate_lines(df, "source", "text", 20, 0.02).collect()] == [True]
+    assert sorted(r.n_docs for r in boilerplate_lines(df, "source", "text", 20, 0.02).collect()) == [50, 50, 70]
+    assert [r.n_docs for r in boilerplate_lines(df, "source", "text", 20, 0.02, copies_once=True).collect()] == [70]
+    once = {r.doc_id: r for r in quality_verdicts(df, copies_once=True).collect()}
+    assert all(once[200 + i].kept and once[200 + i].n_boiler_words == 0 for i in range(50))
     got = {r.doc_id: r for r in quality_verdicts(df).collect()}
     assert all(got[i].kept and got[i].n_boiler_words == 6 for i in range(40))
     assert not any(got[100 + i].kept for i in range(30))
-    assert all(got[200 + i].kept and got[200 + i].n_boiler_words == 0 for i in range(50))  # copies are not boilerplate
+    assert all(not got[200 + i].kept and got[200 + i].n_boiler_words == 120 for i in range(50))  # copies count each
     assert all(got[300 + i].n_boiler_words == 0 for i in range(3))  # another host
 
 
