@@ -2,16 +2,17 @@
 
 Base kinds are regular expressions with checks (address parts, Luhn digits, digit counts). Their occurrences are the
 seeds. A lexical pattern is the pair of words before an identifier-like token (one with a digit or an at sign); a
-pattern that ``min_seeds`` different seeds induce joins a graph of patterns and tokens. Scores go around the graph for
-a fixed number of rounds: a pattern is worth the share of all its occurrences in the corpus that precede believed
-tokens, a token is believed as far as its best evidence says (seeds fully, others by the product of doubts). Tokens
-after patterns worth ``confidence`` or more are added as ``context`` spans. A pair of words that mostly precedes other
-words is worth little, so chance contexts add nothing.
-
-All of it is DataFrame functions; the corpus is read twice, once for spans and once for the patterns' occurrences. Word
-pairs are counted before they meet the patterns, so that the join has a row for each different pair and not for each
-occurrence.
-Patterns are broadcast while they are fewer than ``BROADCAST_PATTERNS`` (8 bytes each) and otherwise joined by shuffle.
+pattern that ``min_seeds`` different believed tokens induce joins a graph of patterns and tokens, at first from seeds.
+Scores go around the graph in rounds: a pattern is worth the share of all its occurrences in the corpus that precede
+believed tokens, a token is believed as far as its best evidence says (seeds fully, others by the product of doubts).
+Tokens that come to be believed by ``confidence`` or more count with the seeds in the next round and induce further
+patterns. Tokens after patterns worth ``confidence`` or more are added as ``context`` spans. No limit depends on the
+size of the corpus; a pair of words that mostly precedes other words is worth little, so chance contexts add nothing.
+
+All of it is DataFrame functions; the corpus is read once for spans, once for the occurrences of the first patterns, and
+once more in a round that induces further ones. Word pairs are counted before they meet the first patterns, so that the
+join has a row for each different pair and not for each occurrence. Patterns are broadcast while they are fewer than
+``BROADCAST_PATTERNS`` (8 bytes each) and otherwise joined by shuffle.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def find_pii(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_seeds: int = 5,
-    rounds: int = 3,
+    rounds: int = 4,
     confidence: float = 0.5,
 ) -> DataFrame:
     """(id, th, base, spans): all base spans and all spans, with found contexts, of every row.
@@ -98,24 +99,33 @@ def find_pii(
     hits = F.exists("base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s")))
     seen = df.where(F.size("t") > 0).select("id", "th", "base", F.explode("t").alias("x")).where(F.col("x.p").isNotNull())
     seen = scratch.save(seen.select("id", "th", "x.s", "x.e", F.col("x.p").alias("p"), F.xxhash64("x.m").alias("m"), hits.alias("seed")))
-    # Patterns that enough different seeds induce.
     held = scratch.save(seen.groupBy("p", "m").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("int")).alias("seed")))
-    patterns = scratch.save(held.where("seed = 1").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds).select("p"))
-    # How often each of them stands anywhere in the corpus.
+    seeds = scratch.save(held.where("seed = 1").select("m").distinct())
+    seeded = scratch.save(held.where("seed = 1").groupBy("p").agg(F.count(F.lit(1)).alias("k")))
+    # How often a pattern stands anywhere in the corpus.
     trimmed = F.trim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))
     pairs = src.select(F.split(trimmed, SPACE, -1).alias("w"))
-    pairs = pairs.select(F.explode(F.transform("w", lambda w, i: F.when(i > 0, _pattern(F.get("w", i - 1), w)))).alias("p"))
-    counted = pairs.where(F.col("p").isNotNull()).groupBy("p").agg(F.count(F.lit(1)).alias("total"))
-    total = counted.join(_few(patterns, BROADCAST_PATTERNS), "p") if patterns.limit(1).count() else patterns.withColumn("total", F.lit(0).cast("long"))
-    total = scratch.save(total)
-    edges = scratch.save(held.join(_few(patterns, BROADCAST_PATTERNS), "p"))
-    belief = edges.groupBy("m").agg(F.max("seed").cast("double").alias("s"))
+    pairs = pairs.select(F.explode(F.transform("w", lambda w, i: F.when(i > 0, _pattern(F.get("w", i - 1), w)))).alias("p")).where(F.col("p").isNotNull())
+    new = scratch.save(seeded.where(F.col("k") >= min_seeds).select("p"))
+    total = new.withColumn("total", F.lit(0).cast("long"))
+    if new.limit(1).count():
+        total = scratch.save(pairs.groupBy("p").agg(F.count(F.lit(1)).alias("total")).join(_few(new, BROADCAST_PATTERNS), "p"))
+    belief = seeds.withColumn("s", F.lit(1.0))
     for _ in range(rounds):
-        belief = scratch.save(belief)
-        worth = edges.join(belief, "m").groupBy("p").agg(F.sum(F.col("n") * F.col("s")).alias("good")).join(total, "p")
+        edges = scratch.save(held.join(_few(total, BROADCAST_PATTERNS), "p"))
+        worth = edges.join(belief, "m").groupBy("p", "total").agg(F.sum(F.col("n") * F.col("s")).alias("good"))
         worth = scratch.save(worth.select("p", F.least(F.lit(0.999), F.col("good") / F.greatest("total", F.lit(1))).alias("w")))
-        doubt = edges.join(worth, "p").groupBy("m").agg(F.max("seed").cast("double").alias("seed"), F.sum(F.log(1 - F.col("w"))).alias("d"))
-        belief = doubt.select("m", F.greatest(F.col("seed"), 1 - F.exp("d")).alias("s"))
+        doubt = edges.where("seed = 0").join(worth, "p").groupBy("m").agg(F.sum(F.log(1 - F.col("w"))).alias("d"))
+        found = scratch.save(doubt.select("m", (1 - F.exp("d")).alias("s")).join(seeds, "m", "left_anti"))
+        belief = seeds.withColumn("s", F.lit(1.0)).unionAll(found)
+        # Patterns that seeds and tokens believed by now induce together.
+        believed = found.where(F.col("s") >= confidence).select("m")
+        more = held.where("seed = 0").join(_few(believed, BROADCAST_PATTERNS), "m").groupBy("p").agg(F.count(F.lit(1)).alias("j"))
+        more = more.join(seeded, "p", "left").where(F.col("j") + F.coalesce("k", F.lit(0)) >= min_seeds).select("p")
+        new = scratch.save(more.join(total, "p", "left_anti"))
+        if new.limit(1).count():
+            added = pairs.join(_few(new, BROADCAST_PATTERNS), "p").groupBy("p").agg(F.count(F.lit(1)).alias("total"))
+            total = scratch.save(total.unionByName(added))
     good = scratch.save(worth.where(F.col("w") >= confidence).select("p"))
     new = seen.where("not seed").join(_few(good, BROADCAST_PATTERNS), "p").select("id", "th", F.struct(F.lit(4).alias("o"), "s", "e", F.lit("context").alias("k")).alias("x"))
     new = scratch.save(new.groupBy("id", "th").agg(F.collect_set("x").alias("more")).select(F.col("id").alias("rid"), F.col("th").alias("rth"), "more"))
@@ -124,12 +134,12 @@ def find_pii(
 
 
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context) of every row; see ``find_pii``."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context, n_spans) of every row; see ``find_pii``."""
     out = find_pii(docs, id_col, text_col)
     count = lambda kind, of: F.size(F.filter(of, lambda x: x["k"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(
         F.col("id").alias("doc_id"), *[count(k, "base") for k in KINDS], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
-        span_text(F.col("spans")).alias("spans"), count("context", "spans"),
+        span_text(F.col("spans")).alias("spans"), count("context", "spans"), F.size("spans").cast("long").alias("n_spans"),
     )
 
 

@@ -77,6 +77,26 @@ def test_contexts_with_few_of_very_many_seeds(spark):
     assert got[200] == "context:13:23"
 
 
+def test_unrelated_seeds_change_nothing(spark):
+    """Contexts are found the same beside 20,000 other seeds."""
+    rows = [(i, f"holder no. u{i}@mail.example.org stop") for i in range(8)] + [(10 + i, f"holder no. id{i}x77 stop") for i in range(3)]
+    other = [(1000 + i, " ".join(f"w{i}a v{k}b user{i}n{k}@mail.example.org" for k in range(100))) for i in range(200)]
+    for more in ([], other):
+        df = spark.createDataFrame(rows + more, "doc_id long, text string")
+        got = {r.doc_id: r.spans for r in pii_report(df).where("n_context > 0").collect()}
+        assert got == {10 + i: "context:11:17" for i in range(3)}
+
+
+def test_believed_tokens_induce_further_patterns(spark):
+    """Seeds show the first pattern, its tokens the second, which no seed follows, and that one a token never seen elsewhere."""
+    rows = [(i, f"holder no. u{i}@mail.example.org stop") for i in range(30)]
+    rows += [(100 + i, f"holder no. key{i}x77 stop") for i in range(6)] + [(200 + i, f"card of key{i}x77 stop") for i in range(6)]
+    rows += [(300, "card of zz99zz11 stop"), (301, "some of zz99zz22 stop")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_context for r in pii_report(df).where("n_context > 0").collect()}
+    assert got == {**{100 + i: 1 for i in range(6)}, **{200 + i: 1 for i in range(6)}, 300: 1}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "🙂 mail a@b.c or 10.0.0.1, ok"), (2, "no"), (3, None), (4, "+1 555 123 4567@b.c")], "doc_id long, text string")
     found = find_pii(df).withColumnRenamed("id", "doc_id")
