@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from pairlens.llm.mixing import mix_sources
+from pairlens.llm.mixing import mix_sources, mixed
 
 
 def brute_targets(sizes):
@@ -24,28 +24,44 @@ def brute_targets(sizes):
     return out
 
 
+def brute_copies(words, target):
+    """Expected copies of each class: from the highest class on, those that would go above 2 are held at 2."""
+    held = set()
+    while True:
+        free = {c: n for c, n in words.items() if c not in held}
+        left = target - 2 * sum(words[c] for c in held)
+        weight = sum(c * n for c, n in free.items())
+        level = left / weight if weight else 0.0
+        over = [c for c in free if level * c > 2]
+        if not over:
+            return {c: 2.0 if c in held else level * c for c in words}
+        held.add(max(over))
+
+
 def brute(rows):
-    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     by = defaultdict(list)
-    for (i, _, s), n in zip(rows, size):
-        u = (int(hashlib.md5(f"mix|{'' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        by[s].append((u, -1 if i is None else i, n))
+    for i, t, s in rows:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+        u = (int(md5(f"mix|{md5(t or '') if i is None else i}")[:13], 16) + 0.5) / 2**52
+        by[s].append((u, -1 if i is None else i, n, len(f"{n:b}") + 3))
     target = brute_targets({s: sum(x[2] for x in v) for s, v in by.items()})
     out = []
     for s, v in by.items():
-        total = sum(x[2] for x in v)
-        whole = int(target[s] // total) if total else 0
-        rest = target[s] - whole * total
-        before, done = 0, False
-        for _, i, n in sorted(v):
-            upto = before + n
-            take = n > 0 and rest > 0 and not done and (upto <= rest or (before < rest and upto - rest < rest - before))
-            done = done or upto >= rest
-            before = upto
-            if n:
-                out.append((str(s), i, n, total, round(target[s], 6), (whole + take) * n))
-            else:
-                out.append((str(s), i, 0, total, round(target[s], 6), 0))
+        words = defaultdict(int)
+        for x in v:
+            words[x[3]] += x[2]
+        expected = brute_copies(words, target[s])
+        rest = target[s] - sum(int(expected[c]) * n for c, n in words.items())
+        rank = []
+        for u, i, n, c in v:
+            p = expected[c] - int(expected[c])
+            rank.append(((u / (1 - u)) / (p / (1 - p)) if p > 0 and n else float("inf"), i, n, int(expected[c])))
+        before = 0
+        for q, i, n, whole in sorted(rank):
+            take = q < float("inf") and (before + n <= rest or (before < rest and before + n - rest < rest - before))
+            before += n
+            out.append((str(s), i, n, sum(words.values()), round(target[s], 6), (whole + take) * n))
     return sorted(out)
 
 
@@ -79,3 +95,28 @@ def test_table(spark, sf):
         target[s] = t
         largest[s] = max(largest[s], n)
     assert all(abs(taken[s] - target[s]) <= largest[s] for s in taken)
+
+
+def test_longer_documents_are_wanted_more_often(spark):
+    rows = [(i, "w " * (4 if i % 2 else 200), f"s{i % 3}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    rate = {r.size: r.rate for r in mix_sources(df).where("source = 's1'").groupBy("size").agg(F.avg("copies").alias("rate")).collect()}
+    assert abs(rate[200] / rate[4] - 11 / 6) < 0.2  # classes 7 + 4 and 2 + 4
+
+
+def test_the_mix_equals_its_plan_row_by_row(spark):
+    rows = [(i, "w " * (i % 9), f"s{i % 2}", 1) for i in range(120)]
+    rows += [(None, "same text here", None, 2)] * 30 + [(None, f"other {i}", None, 3) for i in range(5)]
+    rows += [(7000, "one id many rows", "s0b", 4)] * 60 + [(7001, "one id", "s0b", 5), (7001, "one id more", "s0b", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copy long").withColumn("u", F.lit("x")).withColumn("bin", F.lit(None).cast("int"))
+    df = df.repartition(6)
+    want = {k: n for k, n in ((tuple(r[:3]), r.n) for r in mix_sources(df).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n")).collect()) if n}
+    got = mixed(df)
+    size = F.size(F.filter(F.split("text", " "), lambda w: w != "")).cast("long")
+    assert got.columns == df.columns
+    assert {tuple(r[:3]): r.n for r in got.groupBy("doc_id", "source", size.alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()} == want
+    total = {r.source: r.n for r in mix_sources(df).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    target = {r.source: r.target for r in mix_sources(df).select("source", "target").distinct().collect()}
+    assert all(abs(total[s] - target[s]) <= 8 for s in target)
+    once = [r.copies for r in mix_sources(df).where("doc_id = 7000").collect()]
+    assert max(once) - min(once) == 1 and len(once) == 60
