@@ -14,9 +14,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a folder of this machine only where the session names none (tests)."""
+    """The folder all executors see; a folder of this machine only where a local session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pairlens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -65,11 +67,6 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def n_words(text: Column) -> Column:
-    """Number of words without building them: word starts are non-space characters after a space."""
-    return F.size(words(text)).cast("long")
-
-
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Columns (a, b) long in, (node, component) out, where component is the smallest node reachable.
 
