@@ -58,3 +58,16 @@ def test_table(spark, sf):
     n = docs.count()
     again = out.select("shard", "slot", locate(F.col("row_number"), n, 8, 20260914).alias("x"))
     assert again.where("shard <> x.shard or slot <> x.slot").count() == 0
+
+
+def test_quotients_beyond_double_precision(spark):
+    n = 18014398509481984
+    x = n - 1
+    at = spark.createDataFrame([(x,)], "x long").select(locate(F.col("x"), n, 8, 5).alias("at")).first().at
+    assert (at.shard, at.slot) == (brute(x, n, 5) % 8, brute(x, n, 5) // 8)
+
+
+def test_very_many_equal_rows_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("pairlens.llm.sharding.BLOCK", 7)
+    rows = [(i, f"text {i}") for i in range(20)] + [(9, "same")] * 40 + [(None, "no id")] * 30 + [(None, f"none {i}") for i in range(20)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
