@@ -2,11 +2,17 @@
 
 Base kinds are regular expressions. Runs of token characters are split at inner ``=``; a part that mixes the signs of
 base 64 and its URL form gives the parts that fit either, which may overlap and are all tested. Every further token of
-``MIN_LENGTH`` or more characters with letters and digits gets the smallest alphabet that fits it (hexadecimal, base 32, 36, 62 or 64) and three tests of "drawn evenly and
-independently from this alphabet": chi-squared uniformity, runs above and below the alphabet's middle, and serial
-correlation of neighbours. The three p-values combine by Bonferroni. Structured tokens (paths, identifiers, counters)
-fail; within each class of length, Benjamini and Hochberg's step-up rule bounds the share of true keys among those
-set aside as structured, and what it does not set aside is added as a ``random`` span.
+``MIN_LENGTH`` or more characters with letters and digits gets the smallest alphabet that fits it (hexadecimal, base 32,
+36, 62 or 64) and three tests of "drawn evenly and independently from this alphabet": chi-squared uniformity, runs above
+and below the alphabet's middle, and serial correlation of neighbours. Short tokens leave most cells of the alphabet
+empty; the chi-squared statistic is therefore used as what it counts, the number of equal pairs, on the square-root scale
+that makes its law near normal for few and many pairs. The three p-values combine by Sidak's rule.
+
+Two rules act within each class of length. Benjamini and Hochberg's step-up rule sets aside structured tokens and bounds
+the share of true keys among those. True keys have p-values spread evenly from 0 to 1 and structured tokens have small
+ones, so the tokens above ``HALF`` tell how many keys a class holds; the second rule reports from the largest p down only
+as far as the tokens beyond that number, over all reported, stay within the same level. That bounds the share of
+structured tokens among the ``random`` spans that are added.
 
 All of it is DataFrame functions. The step-up rule needs only a histogram of p-values for each length class, which has
 a fixed number of cells however many tokens there are.
@@ -44,8 +50,8 @@ ENCODINGS = (
     ("[0-9A-Za-z+/]+", UPPER + LOWER + DIGITS + "+/"),
     ("[0-9A-Za-z_-]+", UPPER + LOWER + DIGITS + "-_"),
 )
-#: Steps of a histogram of -log10 p, and its last cell.
-STEP, LAST = 20, 240
+#: Steps of a histogram of -log10 p, and the cells whose p-values are above a half (10 ** (-HALF / STEP)).
+STEP, HALF = 20, 6
 
 BASE = "array<struct<s:int,o:int,e:int,k:string>>"
 
@@ -75,7 +81,7 @@ def token_tests(tokens: DataFrame) -> DataFrame:
     k = F.length("alphabet").cast("double")
     n = F.col("n").cast("double")
     counts = F.transform(F.split("alphabet", ""), lambda c: F.col("n") - F.length(F.replace(F.col("t"), c, F.lit(""))))
-    df = df.withColumn("chi", k / n * F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c) - n)
+    df = df.withColumn("pairs", F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * (c - 1)) / 2)
     # Which half of the alphabet each character is in, as a text of 0 and 1.
     halves = F.concat(F.repeat(F.lit("0"), F.floor(k / 2).cast("int")), F.repeat(F.lit("1"), F.ceil(k / 2).cast("int")))
     df = df.withColumn("half", F.call_function("translate", F.col("t"), F.col("alphabet"), halves))
@@ -86,29 +92,36 @@ def token_tests(tokens: DataFrame) -> DataFrame:
     df = df.withColumn("ss", F.aggregate("x", F.lit(0.0), lambda a, v: a + (v - F.col("mean")) * (v - F.col("mean"))))
     near = F.transform("x", lambda v, i: (v - F.col("mean")) * (F.coalesce(F.get("x", i + 1), F.col("mean")) - F.col("mean")))
     df = df.withColumn("r", F.when(F.col("ss") > 0, F.aggregate(near, F.lit(0.0), lambda a, v: a + v) / F.col("ss")).otherwise(1.0))
-    f = 2 / (9 * (k - 1))
-    z_chi = (F.pow(F.greatest(F.col("chi"), F.lit(0.0)) / (k - 1), F.lit(1 / 3)) - (1 - f)) / F.sqrt(f)
+    even = n * (n - 1) / (2 * k)
+    z_chi = 2 * (F.sqrt(F.col("pairs") + 0.375) - F.sqrt(even + 0.375)) / F.sqrt(1 - 1 / k)
     mu = 2.0 * F.col("ones") * (n - F.col("ones")) / n + 1
     var = (mu - 1) * (mu - 2) / (n - 1)
     df = df.withColumn("p_chi", two_sided(z_chi))
     df = df.withColumn("p_runs", F.when(var > 0, two_sided((F.col("runs") - mu) / F.sqrt(var))).otherwise(0.0))
     df = df.withColumn("p_serial", two_sided((F.col("r") + 1 / n) * F.sqrt(n)))
-    return df.withColumn("p", F.least(F.lit(1.0), 3 * F.least("p_chi", "p_runs", "p_serial"))).drop("chi", "half", "ones", "runs", "x", "mean", "ss", "r")
+    return df.withColumn("p", 1 - F.pow(1 - F.least("p_chi", "p_runs", "p_serial", F.lit(1.0)), F.lit(3.0))).drop("pairs", "half", "ones", "runs", "x", "mean", "ss", "r")
 
 
 def random_tokens(tests: DataFrame, q: float) -> DataFrame:
-    """Rows of ``token_tests`` that the step-up rule at level q, applied within each class of length, leaves random."""
+    """Rows of ``token_tests`` that both rules, at level q within each class of length, leave as random."""
     df = tests.withColumn("c", F.least(F.floor(F.log2(F.col("n").cast("double"))), F.lit(12)).cast("int"))
     df = df.withColumn("b", F.floor(-F.log10(F.greatest("p", F.lit(1e-12))) * STEP).cast("int"))
-    cells = df.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n_b"))  # at most 13 * (LAST + 1) rows
-    down = Window.partitionBy("c").orderBy(F.desc("b"))
-    cells = cells.withColumn("rank", F.sum("n_b").over(down)).withColumn("m", F.sum("n_b").over(Window.partitionBy("c")))
-    cut = cells.where(F.pow(F.lit(10.0), -F.col("b") / STEP) <= q * F.col("rank") / F.col("m")).groupBy("c").agg(F.min("b").alias("cut"))
-    return df.join(F.broadcast(cut), "c", "left").where(F.col("cut").isNull() | (F.col("b") < F.col("cut"))).drop("c", "b", "cut")
+    cells = df.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n_b"))  # at most 13 * 241 rows
+    of = Window.partitionBy("c")
+    cells = cells.withColumn("rank", F.sum("n_b").over(of.orderBy(F.desc("b")))).withColumn("m", F.sum("n_b").over(of))
+    cells = cells.withColumn("kept", F.sum("n_b").over(of.orderBy("b"))).withColumn("high", F.sum(F.when(F.col("b") < HALF, F.col("n_b")).otherwise(0)).over(of))
+    aside = F.pow(F.lit(10.0), -F.col("b") / STEP) <= q * F.col("rank") / F.col("m")
+    # Keys expected among the tokens of this cell and those above it (one more is granted, for classes of few tokens).
+    least = F.pow(F.lit(10.0), -(F.col("b") + 1) / STEP)
+    keys = (F.col("high") + 1) * (1 - least) / (1 - F.pow(F.lit(10.0), F.lit(-HALF / STEP)))
+    sure = (F.col("b") < HALF) | (F.col("kept") - keys <= q * F.col("kept"))
+    cut = cells.groupBy("c").agg(F.min(F.when(aside, F.col("b"))).alias("cut"), F.max(F.when(sure, F.col("b"))).alias("last"))
+    df = df.join(F.broadcast(cut), "c").where((F.col("cut").isNull() | (F.col("b") < F.col("cut"))) & (F.col("b") <= F.col("last")))
+    return df.drop("c", "b", "cut", "last")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = 0.05) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) for every row.
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random, n_spans) for every row.
 
     Null or empty text: no spans, digest of the empty string. Ids may be null or repeat (rows of one id and text get
     the same spans). Positions count code points, ends are exclusive; the span of ``assign`` is its whole match.
@@ -137,5 +150,5 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count = lambda kind: F.size(F.filter("base", lambda x: x["k"] == kind)).cast("long").alias(f"n_{kind}")
     return out.select(
         F.col("id").alias("doc_id"), *[count(k) for k in KINDS], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
-        span_text(F.array_sort(F.concat("base", more))).alias("spans"), F.size(more).cast("long").alias("n_random"),
+        span_text(F.array_sort(F.concat("base", more))).alias("spans"), F.size(more).cast("long").alias("n_random"), (F.size("base") + F.size(more)).cast("long").alias("n_spans"),
     )

@@ -55,6 +55,32 @@ def test_random_tokens_are_told_from_structured_ones(spark):
     assert not left & set(plain)
 
 
+def _planted(rng):
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choices(rng.choice([chars, chars + "+/", "0123456789abcdef", chars[:26] + "234567"]), k=rng.randrange(20, 60))) for _ in range(1500)]
+    keys = [k for k in keys if re.search("[0-9]", k) and re.search("[A-Za-z]", k)]
+    word = "get set user account service handler request response config value index table manager session order invoice".split()
+    names = ["".join(w.capitalize() for w in rng.choices(word, k=rng.randrange(2, 7))) + str(rng.randrange(100)) for _ in range(900)]
+    paths = ["_".join(rng.choices(word, k=4)) + f"_{rng.randrange(2000, 2030)}" for _ in range(300)]
+    stamps = [f"build2026{rng.randrange(10, 13)}{rng.randrange(10, 29)}v{rng.randrange(10)}release{rng.randrange(10)}" for _ in range(300)]
+    return keys, [x for x in names + paths + stamps if len(x) >= 20]
+
+
+def test_p_values_of_keys_are_spread_evenly(spark):
+    keys, _ = _planted(random.Random(21))
+    p = [r.p for r in token_tests(spark.createDataFrame([(t,) for t in keys], "t string")).collect()]
+    for x in (0.05, 0.2, 0.5, 0.8):
+        assert abs(sum(v <= x for v in p) / len(p) - x) < 0.07, x
+
+
+def test_precision_and_recall_on_planted_tokens(spark):
+    keys, names = _planted(random.Random(22))
+    left = {r.t for r in random_tokens(token_tests(spark.createDataFrame([(t,) for t in keys + names], "t string")), 0.05).collect()}
+    hit, wrong = len(left & set(keys)), len(left & set(names))
+    print("reported", len(left), "keys", hit, "of", len(set(keys)), "structured", wrong, "of", len(set(names)))
+    assert hit >= 0.8 * len(set(keys)) and wrong <= 0.1 * len(left)
+
+
 def test_added_spans_keep_base_ones(spark):
     key = "".join(random.Random(11).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=32))
     df = spark.createDataFrame([(1, f"see {key} here"), (2, f"token={key}"), (3, "nothing")], "doc_id long, text string")
