@@ -2,7 +2,8 @@
 
 Index: inner product becomes distance by one more coordinate, which brings all vectors to the largest norm. Centroids
 are fitted on a bounded sample (``SAMPLE`` vectors); every vector is rotated by one random orthogonal matrix and put in
-the list of its nearest centroid, and lists are cut into blocks of ``BLOCK`` vectors stored dimension by dimension.
+the list of its nearest centroid, and lists are cut into blocks of ``BLOCK`` vectors stored dimension by dimension; the
+queries of a list are dealt in groups of ``ASKS``, so that no task grows with a list or with what probes it.
 
 Search: a query first scans its nearest list for a threshold, then the other probed lists. A scan adds up distances
 over blocks of dimensions; after each, a candidate whose partial distance, scaled to all dimensions, exceeds the
@@ -26,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .common import Scratch
 
-SAMPLE, MOST_LISTS, BLOCK, DIMS, FIT_ROUNDS, TUNING = 20_000, 4096, 1024, 16, 12, 256
+SAMPLE, MOST_LISTS, BLOCK, ASKS, DIMS, FIT_ROUNDS, TUNING = 20_000, 4096, 1024, 1024, 16, 12, 256
 
 
 def rotation(d: int, seed: int) -> np.ndarray:
@@ -86,9 +87,9 @@ def _search(batches: Iterator[pa.RecordBatch], norm: float, k: int, error: float
     key, held, block = None, [], None
     for b in batches:
         out = []
-        for list_, sub, kind, vec, turned, ids, rep, bound in zip(*(c.to_pylist() for c in b.columns)):
-            if (list_, sub) != key:
-                key, held, block = (list_, sub), [], None
+        for list_, sub, group, kind, vec, turned, ids, rep, bound in zip(*(c.to_pylist() for c in b.columns)):
+            if (list_, sub, group) != key:
+                key, held, block = (list_, sub, group), [], None
             if kind == 0:
                 held.append((np.frombuffer(vec, np.float64), np.frombuffer(turned, np.float32), ids))
                 continue
@@ -215,9 +216,14 @@ def nearest_neighbours(
     width = max(16, spark.sparkContext.defaultParallelism * 2, lists // 4)
 
     def run(asks: DataFrame) -> DataFrame:
-        asks = asks.join(sizes, "list").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-        asks = asks.select("list", "sub", F.lit(1).alias("kind"), "vec", "turned", F.array().cast("array<long>").alias("ids"), "rep", "bound")
-        rows = blocks.unionAll(asks).repartition(width, "list", "sub").sortWithinPartitions("list", "sub", "kind")
+        # Blocks of a list meet its queries in groups of both, so a list that all queries probe is many groups.
+        groups = asks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("groups"))
+        groups = F.broadcast(scratch.save(groups))
+        asks = asks.join(sizes, "list").join(groups, "list").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+        asks = asks.withColumn("group", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int"))
+        asks = asks.select("list", "sub", "group", F.lit(1).alias("kind"), "vec", "turned", F.array().cast("array<long>").alias("ids"), "rep", "bound")
+        held = blocks.join(groups, "list").withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+        rows = held.select(asks.columns).unionAll(asks).repartition(width, "list", "sub", "group").sortWithinPartitions("list", "sub", "group", "kind")
         return rows.mapInArrow(lambda b: _search(b, norm, k, error), "rep long, vec_id long, score double")
 
     best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
