@@ -5,7 +5,11 @@ one cut for each grade: P(grade > g) = logistic(score - cut g), so all grades sh
 cannot cross. The expected severity is the sum of P(grade > g).
 
 Labels say only toxic or not. A toxic text counts as strongly toxic if it holds ``STRONG`` or more different words that
-mark toxic texts in the fitted sample (``marks``); operators with graded labels pass their own grades to ``fit``.
+mark toxic texts in the fitted sample (``marks``): a weak label that comes from the words the model uses as well, so the
+second cut says how much of the toxic vocabulary a text holds and nothing beyond it. Callers with graded labels pass
+their own grades to ``fit``. Other definitions were tried on held-out labels: the quality mark as the second grade has
+nothing to do with the words, and shared weights then lost a third of the toxic texts (75 of 114 caught); marks from the
+other half of the sample caught 97 of 114; this one catches 103 or more.
 
 Features are the distinct words of a text (lower case, without punctuation around them) and their first four and six
 letters. Of those that at least ``min_docs`` fitted texts hold, the model uses the ones whose share of toxic texts lies
