@@ -13,12 +13,21 @@ def normal_space(t: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(t, WHITE, " ")))
 
 
+#: Words that start the name of an edition, and words that deny what follows them.
+EDITIONS = "directors?|extended|unrated|special|theatrical|ultimate|final|collectors?|anniversary|remastered|uncut|redux"
+NEGATORS = (
+    "no ", "not ", "n't", "never", "cannot", "can not", "without", "absent", "rather than", "instead of", "neither", "nor ",
+    "lacks", "lacking", "does not", "is not", "are not", "was not", "were not", "would require", "could reach",
+    "would reach", "short of", "falls short", "unlike",
+)
+
+
 def normal_title(t: Column) -> Column:
-    """Accents off, lower case, punctuation to spaces, edition suffix off; never empty."""
-    plain = F.translate(F.lower(t), _ACCENTED, _PLAIN)
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", " "), " +", " "))
-    cut = F.trim(F.regexp_replace(spaced, r" (?:directors? (?:s )?cut|extended (?:cut|edition)|special edition|remastered)\b.*$", ""))
-    return F.coalesce(F.nullif(cut, F.lit("")), F.nullif(spaced, F.lit("")), plain)
+    """Accents and other signs off, lower case, punctuation to spaces, edition suffix off; never empty by that."""
+    plain = F.regexp_replace(F.translate(F.lower(t), _ACCENTED, _PLAIN), r"[^\x00-\x7F]", "")
+    spaced = F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
+    cut = F.trim(F.regexp_replace(spaced, rf"\b(?:the )?(?:{EDITIONS})\b.*$", ""))
+    return F.coalesce(F.nullif(cut, F.lit("")), spaced)
 
 
 def normal_list(t: Column) -> Column:
@@ -27,16 +36,24 @@ def normal_list(t: Column) -> Column:
 
 
 def is_name(t: Column) -> Column:
-    """Two to five capitalised words."""
-    return t.rlike(r"^[A-Z][\w'-]*( [A-Z][\w'-]*){1,4}$")
+    """Two to five capitalised words, with periods, hyphens and either apostrophe."""
+    return F.trim(t).rlike(r"^[A-Z][A-Za-z.'’\-]*(?: [A-Z][A-Za-z.'’\-]*){1,4}$")
+
+
+def redacted(t: Column, *names: Column, put: str = "[SUBJECT]") -> Column:
+    """Full names and aliases, and their words of four or more letters, replaced as whole words in any case, longest first."""
+    words = F.filter(F.flatten(F.array(*[F.split(n, " ") for n in names])), lambda w: F.length(w) >= 4)
+    every = F.array_distinct(F.filter(F.concat(F.array(*names), words), lambda w: w.isNotNull() & (w != "")))
+    longest = F.array_sort(every, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    quoted = F.transform(longest, lambda w: F.regexp_replace(w, r"([^\w ])", r"\\$1"))
+    return F.when(F.size(every) > 0, F.call_function("regexp_replace", t, F.concat(F.lit(r"(?i)\b("), F.array_join(quoted, "|"), F.lit(r")\b")), F.lit(put))).otherwise(t)
 
 
-def redacted(t: Column, name: Column, put: str = "[SUBJECT]") -> Column:
-    """Full name, then its words of four or more letters, longest first, replaced as whole words in any case."""
-    words = F.filter(F.split(name, " "), lambda w: F.length(w) >= 4)
-    longest = F.array_sort(words, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    quoted = F.transform(F.concat(F.array(name), longest), lambda w: F.regexp_replace(w, r"([^\w ])", r"\\$1"))
-    return F.call_function("regexp_replace", t, F.concat(F.lit(r"(?i)\b("), F.array_join(quoted, "|"), F.lit(r")\b")), F.lit(put))
+def residual(t: Column, *names: Column) -> Column:
+    """Words of under four letters of the names that stand in the text, in the order of the names."""
+    words = F.array_distinct(F.flatten(F.array(*[F.split(n, " ") for n in names])))
+    short = F.filter(words, lambda w: (F.length(w) < 4) & (F.trim(w, F.lit(".,' ")) != ""))
+    return F.filter(short, lambda w: F.call_function("regexp_like", t, F.concat(F.lit(r"(?i)\b"), F.regexp_replace(w, r"([^\w ])", r"\\$1"), F.lit(r"\b"))))
 
 
 def ordinal(n: Column) -> Column:
@@ -68,9 +85,20 @@ def failure_class(t: Column) -> Column:
     return F.when(has("quota", "rate limit"), "quota").when(has("timeout", "temporarily"), "transient").when(has("exit", "nonzero"), "nonzero").when(F.trim(t) == "", "empty").otherwise("other")
 
 
-def asserted(sentence: Column, pattern: str, negator: str = r"\b(not|no|never|without)\b", reach: int = 60) -> Column:
-    """Whether a sentence asserts the pattern: some match has no negator in the ``reach`` characters before it."""
-    parts = F.split(sentence, pattern, -1)
-    before = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    tail = lambda p: F.substring(p, F.greatest(F.length(p) - reach + 1, F.lit(1)), reach)
-    return F.exists(before, lambda p: ~tail(p).rlike(negator))
+def asserted(t: Column, pattern: str, reach: int = 60) -> Column:
+    """Whether a text asserts the pattern: some match has no negator in the ``reach`` characters before it in its sentence."""
+    sentences = F.filter(F.split(t, r"[.!?\n]", -1), lambda s: s.rlike(pattern))
+    size = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
+
+    def free(s: Column) -> Column:
+        parts, whole = F.split(s, pattern, -1), F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
+        starts = F.transform(whole, lambda _, i: size(F.slice(parts, 1, i + 1)) + size(F.slice(whole, 1, i)))
+        before = lambda at: F.lower(F.substring(s, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach))))
+        return F.exists(starts, lambda at: ~before(at).rlike("|".join(NEGATORS)))
+
+    return F.exists(sentences, free)
+
+
+def years_in(t: Column) -> Column:
+    """Distinct years 1900 to 2099 that stand in a text, in order."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(19\d{2}|20\d{2})\b"), F.lit(1))))

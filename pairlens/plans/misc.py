@@ -161,13 +161,13 @@ def jn_three_way(spark, sf):
     return t("lineitem").join(t("part").where("p_size > 25"), F.expr("l_partkey = p_partkey")).join(t("supplier"), F.expr("l_suppkey = s_suppkey")).select("l_orderkey", "l_linenumber", "p_brand", "s_name")
 
 
-def _edges(spark, sf, floor=1000):
+def _edges(spark, sf, floor=920):
     w = demo.works(spark, sf).where(f"prominence > {floor}").groupBy("work", "entity").agg(F.max("prominence").alias("prominence"))
     other = w.selectExpr("work", "entity as other", "prominence as other_prominence")
     return w.join(other, "work").where("entity <> other")  # a work credits a handful of entities
 
 
-_EDGES = "(SELECT x.work, x.entity, y.entity AS other, y.p AS other_prominence FROM (SELECT work, entity, max(prominence) AS p FROM works WHERE prominence > 1000 GROUP BY ALL) x JOIN (SELECT work, entity, max(prominence) AS p FROM works WHERE prominence > 1000 GROUP BY ALL) y ON x.work = y.work AND x.entity <> y.entity)"
+_EDGES = "(SELECT x.work, x.entity, y.entity AS other, y.p AS other_prominence FROM (SELECT work, entity, max(prominence) AS p FROM works WHERE prominence > 920 GROUP BY ALL) x JOIN (SELECT work, entity, max(prominence) AS p FROM works WHERE prominence > 920 GROUP BY ALL) y ON x.work = y.work AND x.entity <> y.entity)"
 
 
 @query(f"SELECT entity, other, count(DISTINCT work) AS works FROM {_EDGES} GROUP BY ALL")

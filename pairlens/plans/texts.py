@@ -19,10 +19,11 @@ def tx_norm_ws(spark, sf):
     return demo.table(spark, sf, "documents").select("doc_id", F.md5(X.normal_space(F.col("text"))).alias("h"))
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN s = '' THEN p ELSE s END AS title FROM (SELECT conv_id, turn, p, trim(regexp_replace(trim(regexp_replace(p, '[^a-z0-9]+', ' ', 'g')), ' (directors? (s )?cut|extended (cut|edition)|special edition|remastered)\b.*$', '')) AS s
-    FROM (SELECT conv_id, turn, translate(lower(left(text, 80) || ' Director''s Cut'), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy') AS p FROM conversations))""")
+@query(r"""SELECT conv_id, turn, md5(CASE WHEN s = '' THEN p ELSE s END) AS title FROM (SELECT conv_id, turn, p, trim(regexp_replace(p, '\b(the )?(directors?|extended|unrated|special|theatrical|ultimate|final|collectors?|anniversary|remastered|uncut|redux)\b.*$', '')) AS s
+    FROM (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(translate(lower(text || [': The Director''s Cut', ' (Uncut)', ' 2'][(turn % 3 + 1)::INT]), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS p FROM conversations))""")
 def tx_norm_title(spark, sf):
-    return demo.table(spark, sf, "conversations").select("conv_id", "turn", X.normal_title(F.concat(F.substring("text", 1, 80), F.lit(" Director's Cut"))).alias("title"))
+    edition = F.get(F.array(F.lit(": The Director's Cut"), F.lit(" (Uncut)"), F.lit(" 2")), (F.col("turn") % 3).cast("int"))
+    return demo.table(spark, sf, "conversations").select("conv_id", "turn", F.md5(X.normal_title(F.concat("text", edition))).alias("title"))
 
 
 @query("SELECT p_partkey, regexp_replace(trim(regexp_replace(lower('The ' || p_name || '!'), '[^a-z0-9]+', ' ', 'g')), '^(the|a|an) ', '') AS n FROM part")
@@ -42,9 +43,11 @@ def _names(spark, sf):
     return demo.table(spark, sf, "part").select("p_partkey", F.initcap("p_name").alias("name"), "p_name")
 
 
-@query(f"SELECT p_partkey, TRUE AS is_name, FALSE AS lower_is_name FROM {_NAME}")
+@query(f"SELECT p_partkey, p_partkey % 5 < 3 AS is_name FROM {_NAME}")
 def tx_is_name(spark, sf):
-    return _names(spark, sf).select("p_partkey", X.is_name(F.col("name")).alias("is_name"), X.is_name(F.col("p_name")).alias("lower_is_name"))
+    first, second = F.split("name", " ")[0], F.split("name", " ")[1]
+    forms = F.array(F.col("name"), F.concat(F.substring(first, 1, 1), F.lit(". "), second), F.concat(F.lit("O’"), first, F.lit(" "), second, F.lit("-"), first), first, F.col("p_name"))
+    return _names(spark, sf).select("p_partkey", X.is_name(F.get(forms, (F.col("p_partkey") % 5).cast("int"))).alias("is_name"))
 
 
 @query("SELECT c_custkey, c_custkey % 3 = 0 AS unresolved FROM customer")
@@ -53,17 +56,19 @@ def tx_is_unresolved_id(spark, sf):
     return demo.table(spark, sf, "customer").select("c_custkey", label.rlike(r"^Q\d+$").alias("unresolved"))
 
 
-@query(f"SELECT p_partkey, 'we met [SUBJECT] and [SUBJECT] there' AS out FROM {_NAME} WHERE strlen(split_part(p_name, ' ', 1)) >= 4")
+@query(f"""SELECT p_partkey, '[SUBJECT] and ' || CASE WHEN strlen(f) >= 4 THEN '[SUBJECT]' ELSE upper(f) END || ' of [SUBJECT] saw ' || g || 's' AS out
+    FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS f, split_part(p_name, ' ', 2) AS g FROM part)""")
 def tx_redact(spark, sf):
-    df = _names(spark, sf).where(F.length(F.split("p_name", " ")[0]) >= 4)
-    return df.select("p_partkey", X.redacted(F.concat(F.lit("we met "), "name", F.lit(" and "), F.split("p_name", " ")[0], F.lit(" there")), F.col("name")).alias("out"))
+    first, second = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    text = F.concat(F.col("name"), F.lit(" and "), F.upper(first), F.lit(" of "), F.col("p_brand"), F.lit(" saw "), second, F.lit("s"))
+    df = demo.table(spark, sf, "part").withColumn("name", F.initcap("p_name"))
+    return df.select("p_partkey", X.redacted(text, F.col("name"), F.col("p_brand")).alias("out"))
 
 
-@query(f"SELECT p_partkey, CASE WHEN strlen(split_part(p_name, ' ', 1)) < 4 THEN split_part(name, ' ', 1) ELSE '' END AS residual FROM {_NAME}")
+@query(f"""SELECT p_partkey, CASE WHEN strlen(f) < 4 THEN f ELSE '' END || CASE WHEN strlen(f) < 4 AND strlen(g) < 4 THEN ' ' ELSE '' END || CASE WHEN strlen(g) < 4 THEN g ELSE '' END AS residual
+    FROM (SELECT p_partkey, split_part(name, ' ', 1) AS f, split_part(name, ' ', 2) AS g FROM {_NAME})""")
 def tx_residual(spark, sf):
-    seen = F.concat(F.lit("only "), F.split("name", " ")[0], F.lit(" is seen"))
-    tokens = F.filter(F.slice(F.split("name", " "), 1, 1), lambda t: (F.length(t) < 4) & F.contains(seen, t))
-    return _names(spark, sf).select("p_partkey", F.array_join(F.array_distinct(tokens), " ").alias("residual"))
+    return _names(spark, sf).select("p_partkey", F.array_join(X.residual(F.concat(F.lit("the "), F.upper("p_name"), F.lit(", seen")), F.col("name")), " ").alias("residual"))
 
 
 @query(f"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\{{\\{{[^{{}}]*\\}}\\}}', '', 'g'), '\\[\\[([^\\]|]*\\|)?([^\\]]*)\\]\\]', '\\2', 'g'), {_WS}))) AS h FROM pages""")
@@ -89,9 +94,10 @@ def tx_surname(spark, sf):
     return demo.table(spark, sf, "part").select("p_partkey", X.surname(F.col("p_name")).alias("s"))
 
 
-@query("SELECT s_suppkey, s_name AS plain FROM supplier")
+@query("SELECT s_suppkey, [s_name, s_name || ' (firm)', '(old) ' || s_name][(s_suppkey % 3 + 1)::INT] AS plain FROM supplier")
 def tx_disambiguator(spark, sf):
-    return demo.table(spark, sf, "supplier").select("s_suppkey", X.without_disambiguator(F.concat("s_name", F.lit(" (firm)"))).alias("plain"))
+    forms = F.array(F.concat("s_name", F.lit(" (firm)")), F.concat("s_name", F.lit(" (firm) (in Basel)")), F.concat(F.lit("(old) "), "s_name"))
+    return demo.table(spark, sf, "supplier").select("s_suppkey", X.without_disambiguator(F.get(forms, (F.col("s_suppkey") % 3).cast("int"))).alias("plain"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_type LIKE 'ECONOMY%' THEN 'economy' WHEN p_type LIKE 'S%' THEN CASE WHEN p_type LIKE 'STANDARD%' THEN 'standard' ELSE 's other' END ELSE 'unclassified_failure' END AS class FROM part")
@@ -139,10 +145,13 @@ def tj_sentences(spark, sf):
     return demo.table(spark, sf, "documents").select("doc_id", F.size(s).alias("sentences"), F.size(F.filter(s, lambda x: F.contains(x, F.lit("the")))).alias("naming"))
 
 
-@query(r"SELECT event_id, array_to_string(list_sort(list_distinct(regexp_extract_all('in 1987, ' || (1950 + event_id % 100) || ' and 2187', '\b(19\d{2}|20\d{2})\b'))), ',') AS years FROM events")
+@query("SELECT o_custkey, string_agg(DISTINCT year(o_orderdate)::VARCHAR, ',' ORDER BY year(o_orderdate)::VARCHAR) AS years FROM orders GROUP BY o_custkey")
 def tj_years(spark, sf):
-    t = F.concat(F.lit("in 1987, "), (1950 + F.col("event_id") % 100).cast("string"), F.lit(" and 2187"))
-    return demo.table(spark, sf, "events").select("event_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(19\d{2}|20\d{2})\b"), F.lit(1)))), ",").alias("years"))
+    line = F.concat(F.lit("Order "), "o_orderkey", F.lit(" of "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" came to 18"), F.year("o_orderdate"), F.lit(" or 2187 units"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("t")))), lambda x: x["t"]), ". ")
+    sentences = F.filter(F.split("text", r"(?<=[.!?])\s+", -1), lambda s: F.contains(s, F.lit("Order")))
+    years = X.years_in(F.regexp_replace(F.array_join(sentences, " "), r"Order \d+ |18\d{4} or 2187", ""))
+    return demo.table(spark, sf, "orders").groupBy("o_custkey").agg(text.alias("text")).select("o_custkey", F.array_join(years, ",").alias("years"))
 
 
 @query("""SELECT label, count(*) AS n FROM (SELECT CASE WHEN y = s THEN 'same year' WHEN abs(y - s) = 1 THEN 'next year' WHEN y IS NULL THEN 'no year' ELSE 'other year' END AS label FROM (SELECT year(o_orderdate) AS s, year(l_shipdate) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey)) GROUP BY label""")
@@ -151,10 +160,10 @@ def tj_corroborate(spark, sf):
     return df.groupBy(F.expr("case when y = s then 'same year' when abs(y - s) = 1 then 'next year' when y is null then 'no year' else 'other year' end").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, event_type <> 'error' AND event_type <> 'view' AS asserted FROM events")
+@query(r"""SELECT doc_id, coalesce(bool_or(i IS NOT NULL AND NOT regexp_matches(lower(substr(s, greatest(i - 60, 1), least(i - 1, 60))), 'no |not |n''t|never|cannot|can not|without|absent|rather than|instead of|neither|nor |lacks|lacking|does not|is not|are not|was not|were not|would require|could reach|would reach|short of|falls short|unlike')), FALSE) AS asserted FROM (SELECT doc_id, s, unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS i
+    FROM (SELECT doc_id, s, list_filter(range(1, length(s)), lambda i: substr(s, i, 2) = 'in') AS l FROM (SELECT doc_id, unnest(string_split_regex(text, '[.!?\n]')) AS s FROM documents))) GROUP BY doc_id""")
 def tj_negation(spark, sf):
-    said = F.expr("case event_type when 'error' then 'it was not a winner' when 'view' then 'never on the list of winner names' else 'a clear winner, not a loser' end")
-    return demo.table(spark, sf, "events").select("event_id", X.asserted(said, "winner").alias("asserted"))
+    return demo.table(spark, sf, "documents").select("doc_id", X.asserted(F.col("text"), "in").alias("asserted"))
 
 
 @query("SELECT entity, period, CASE WHEN n_obs = 1 THEN 'thin' WHEN strlen(shape) - strlen(replace(shape, '+', '')) + 1 < 2 THEN 'one type' ELSE 'ok' END AS grounding FROM estimates")
