@@ -114,5 +114,7 @@ def merged(sources: list[DataFrame], identity: list[Column], order: list[str]) -
         s = s.withColumn("source_rank", F.lit(i))
         df = s if df is None else df.unionByName(s, allowMissingColumns=True)
     df = df.withColumn("_id", F.when(F.greatest(F.lit(0), *[c.isNull().cast("int") for c in identity]) == 0, F.struct(*identity)))
-    df = df.withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("source_rank", *order)))
-    return df.withColumn("kept", F.col("_id").isNull() | (F.col("_n") == 1)).drop("_n", "_id")
+    # Rows without identity are not compared, so they are spread over the windows.
+    df = df.withColumn("_spread", F.when(F.col("_id").isNull(), F.xxhash64("source_rank", *order)))
+    df = df.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_spread").orderBy("source_rank", *order)))
+    return df.withColumn("kept", F.col("_id").isNull() | (F.col("_n") == 1)).drop("_n", "_id", "_spread")

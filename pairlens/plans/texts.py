@@ -259,8 +259,10 @@ def as_selection(spark, sf):
 
 @query("SELECT work FROM (SELECT work, row_number() OVER (ORDER BY work) - 1 AS r FROM (SELECT DISTINCT work FROM works)) WHERE r % 100 = 0")
 def wn_stride_sample(spark, sf):
-    """Every hundredth work in order; positions come from ranges of keys that are counted first."""
-    w = demo.works(spark, sf).select("work").distinct().withColumn("range", F.expr("work div 1000"))
+    """Every hundredth work in order; positions come from some 4096 ranges of keys that are counted first."""
+    w = demo.works(spark, sf).select("work").distinct()
+    width = (w.agg(F.max("work")).first()[0] or 0) // 4096 + 1
+    w = w.withColumn("range", F.expr(f"work div {width}"))
     n = w.groupBy("range").count()
     start = n.select("range", (F.sum("count").over(Window.orderBy("range")) - F.col("count")).alias("before"))  # a row for each range
     pos = w.join(start, "range").withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("work")) - 1)
