@@ -35,15 +35,17 @@ def src_tsv_gz(spark, sf):
     return R.tab_separated(spark, path, "p_partkey long, p_name string, p_size int", 8)
 
 
-@query("SELECT s_suppkey, 'fam' || s_suppkey % 2 AS family, s_name AS text FROM supplier WHERE s_suppkey % 2 = 0")
+@query("SELECT s_suppkey, 'fam' || s_suppkey % 2 AS family, s_name AS text, s_nationkey < 20 AS matched FROM supplier")
 def src_verdict_files(spark, sf):
+    """Every verdict file with the key from its name; those whose record is not known are listed as unmatched."""
     # One text file for each verdict: a partition of the write holds one row.
     path, s = W.shared_path(spark, "verdicts"), demo.table(spark, sf, "supplier")
     rows = s.select(F.concat(F.lit("s"), "s_suppkey", F.lit("__fam"), F.col("s_suppkey") % 2).alias("file"), F.col("s_name").alias("value"))
     rows.repartition("file").write.partitionBy("file").text(path)
     raw = spark.read.option("basePath", path).text(path, wholetext=True).select(F.trim(F.regexp_replace("value", "\n", "")).alias("text"), "file")
-    raw = raw.select("text", F.regexp_extract("file", r"^s(\d+)__(\w+)$", 1).cast("long").alias("id"), F.regexp_extract("file", r"^s(\d+)__(\w+)$", 2).alias("family"))
-    return raw.join(s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id")), "id").select(F.col("id").alias("s_suppkey"), "family", "text")
+    raw = raw.select("text", F.regexp_extract("file", r"^s(\d+)__(\w+)$", 1).cast("long").alias("s_suppkey"), F.regexp_extract("file", r"^s(\d+)__(\w+)$", 2).alias("family"))
+    known = s.where("s_nationkey < 20").select("s_suppkey", F.lit(True).alias("known"))
+    return raw.join(known, "s_suppkey", "left").select("s_suppkey", "family", "text", F.coalesce("known", F.lit(False)).alias("matched"))
 
 
 @query("SELECT source_rank, domain, count(*) AS n FROM (SELECT 0 AS source_rank, domain FROM pairings_screen WHERE weight_h = 100 UNION ALL SELECT 1, 'real_life' FROM pairings_life) GROUP BY ALL")
@@ -60,10 +62,17 @@ def src_caches_union(spark, sf):
     return R.later_wins([a, r], ["entity", "period"], ["v"]).select("entity", "period", "v")
 
 
-@query("SELECT k, stage, max((CASE WHEN end_d >= start_d THEN 1 ELSE 0 END, line, seq))[2] AS line FROM candidates GROUP BY k, stage")
+@query("""SELECT a, b, kind, start_d, end_d, has_ref FROM (SELECT *, row_number() OVER (PARTITION BY a, b, kind ORDER BY (start_d IS NOT NULL) DESC, (end_d IS NOT NULL) DESC, has_ref DESC, start_d, end_d) AS r FROM (
+    SELECT o_custkey AS a, l_suppkey AS b, 'spouse' AS kind, CASE WHEN l_linenumber > 1 THEN l_shipdate::DATE END AS start_d, CASE WHEN l_returnflag = 'R' THEN l_shipdate::DATE + 9 END AS end_d, l_tax > 0.04 AS has_ref FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F'
+    UNION ALL SELECT o_custkey, l_suppkey, 'partner', CASE WHEN l_linenumber > 1 THEN l_shipdate::DATE END, CASE WHEN l_returnflag = 'R' THEN l_shipdate::DATE + 9 END, l_tax > 0.04 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus <> 'F')) WHERE r = 1""")
 def src_relationships(spark, sf):
-    best = F.max(F.struct(F.expr("if(end_d >= start_d, 1, 0)").alias("ok"), "line", "seq"))
-    return demo.candidates(spark, sf).groupBy("k", "stage").agg(best.alias("m")).select("k", "stage", "m.line")
+    """Statements of two kinds with optional dates; repeated ones give the richest: start, then end, then reference."""
+    cols = ["o_custkey as a", "l_suppkey as b", "if(l_linenumber > 1, cast(l_shipdate as date), null) as start_d", "if(l_returnflag = 'R', date_add(cast(l_shipdate as date), 9), null) as end_d", "l_tax > 0.04 as has_ref"]
+    lines = demo.order_lines(spark, sf)
+    both = [lines.where(w).selectExpr(*cols, f"'{kind}' as kind") for kind, w in (("spouse", "l_linestatus = 'F'"), ("partner", "l_linestatus <> 'F'"))]
+    rank = F.struct(F.col("start_d").isNull(), F.col("end_d").isNull(), ~F.col("has_ref"), "start_d", "end_d", "has_ref")
+    best = both[0].unionByName(both[1]).groupBy("a", "b", "kind").agg(F.min(rank).alias("m"))
+    return best.select("a", "b", "kind", "m.start_d", "m.end_d", "m.has_ref")
 
 
 @query("SELECT o_orderkey, c_mktsegment AS segment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")

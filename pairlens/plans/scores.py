@@ -273,11 +273,14 @@ def rs_offset_shift(spark, sf):
     return deltas.crossJoin(F.broadcast(totals)).selectExpr("delta", "t + delta * w as total", "round((t + delta * w) / w, 6) as rate")
 
 
-@query("""SELECT entity, period, round(avg(score), 6) AS mean, count(*) AS n, CASE WHEN count(*) < 2 THEN FALSE ELSE count(DISTINCT band) > 1 OR bool_or(band IS NULL) END AS needs_adjudication FROM (
-    SELECT entity, period, score_t AS score, CASE WHEN score_t BETWEEN 0 AND 19 THEN 'very low' WHEN score_t BETWEEN 20 AND 39 THEN 'low' WHEN score_t BETWEEN 40 AND 59 THEN 'middle' WHEN score_t BETWEEN 60 AND 79 THEN 'high' WHEN score_t BETWEEN 80 AND 100 THEN 'very high' END AS band
+@query("""SELECT entity, period, round(avg(score), 6) AS mean, count(*) AS n, CASE WHEN count(*) < 2 THEN FALSE ELSE count(DISTINCT band) > 1 OR bool_or(band IS NULL) OR bool_or(coalesce(stated <> band, FALSE)) END AS needs_adjudication FROM (
+    SELECT entity, period, score_t AS score, CASE WHEN score_t BETWEEN 0 AND 19 THEN 'very low' WHEN score_t BETWEEN 20 AND 39 THEN 'low' WHEN score_t BETWEEN 40 AND 59 THEN 'middle' WHEN score_t BETWEEN 60 AND 79 THEN 'high' WHEN score_t BETWEEN 80 AND 100 THEN 'very high' END AS band,
+    CASE WHEN (score_t + CASE WHEN evidence_used THEN 0 ELSE 2 END) BETWEEN 0 AND 19 THEN 'very low' WHEN (score_t + CASE WHEN evidence_used THEN 0 ELSE 2 END) BETWEEN 20 AND 39 THEN 'low' WHEN (score_t + CASE WHEN evidence_used THEN 0 ELSE 2 END) BETWEEN 40 AND 59 THEN 'middle' WHEN (score_t + CASE WHEN evidence_used THEN 0 ELSE 2 END) BETWEEN 60 AND 79 THEN 'high' WHEN (score_t + CASE WHEN evidence_used THEN 0 ELSE 2 END) BETWEEN 80 AND 100 THEN 'very high' END AS stated
     FROM gradings WHERE judged) GROUP BY entity, period""")
 def agg_band_disagreement(spark, sf):
-    df = demo.gradings(spark, sf).where("judged").select("entity", "period", F.col("score_t").alias("score"), F.lit(None).cast("string").alias("stated"))
+    """Graders without evidence state the band of a score two points higher."""
+    stated = G.band(F.col("score_t") + F.when(F.col("evidence_used"), 0).otherwise(2))
+    df = demo.gradings(spark, sf).where("judged").select("entity", "period", F.col("score_t").alias("score"), stated.alias("stated"))
     return G.band_disagreement(df, ["entity", "period"], "score", "stated")
 
 
