@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import quality as Q
 from . import demo
 from .registry import query
@@ -64,17 +65,30 @@ def dq_couples_verdict(spark, sf):
     return each.groupBy("conv_id").agg(F.count(F.lit(1)).alias("elements"), F.bool_or(bad).alias("refused"))
 
 
-@query("""SELECT item_id, coalesce(sum(CASE WHEN contains(trim(lower(regexp_replace(d.text, '[\\t\\n\\x0b\\f\\r ]+', ' ', 'g'))), q) THEN 1 END), 0)::BIGINT AS grounded_in FROM (SELECT item_id, trim(lower(regexp_replace(text, '[\\t\\n\\x0b\\f\\r ]+', ' ', 'g'))) AS q FROM benchmark), documents d GROUP BY item_id""")
+_NORM = r"trim(lower(regexp_replace({}, '[\t\n\x0b\f\r ]+', ' ', 'g')))"
+
+
+@query(f"""SELECT item_id, CASE WHEN said NOT IN ('yes', 'no', 'unclear') THEN NULL WHEN said = 'yes' AND n = 0 THEN 'unclear' ELSE said END AS verdict, CASE WHEN said NOT IN ('yes', 'no', 'unclear') THEN 'refused' WHEN said = 'yes' AND n = 0 THEN 'downgraded' ELSE 'kept' END AS status
+    FROM (SELECT item_id, ['yes', 'yes', 'no', 'unclear', 'perhaps'][(item_id % 5 + 1)::INT] AS said, count(CASE WHEN contains({_NORM.format("d.text")}, {_NORM.format("b.text")}) THEN 1 END) AS n FROM benchmark b, documents d GROUP BY item_id)""")
 def dq_romance_verdict(spark, sf):
+    """Verdicts of a fixed set of words with a quote each; others are refused, a yes whose quote stands nowhere is downgraded."""
     from .texts import grounded_counts
 
-    return grounded_counts(spark, sf)
+    said = F.get(F.array(*map(F.lit, ("yes", "yes", "no", "unclear", "perhaps"))), (F.col("item_id") % 5).cast("int"))
+    df = grounded_counts(spark, sf).withColumn("said", said)
+    status = F.expr("case when said not in ('yes', 'no', 'unclear') then 'refused' when said = 'yes' and grounded_in = 0 then 'downgraded' else 'kept' end")
+    verdict = F.expr("case status when 'kept' then said when 'downgraded' then 'unclear' end")
+    return df.withColumn("status", status).select("item_id", verdict.alias("verdict"), "status")
 
 
-@query("SELECT event_id, CASE WHEN type = 'error' THEN 'unordered with rank' WHEN v = 0 THEN 'rank below one' WHEN v > 100 THEN 'beyond the list' END AS reason FROM (SELECT event_id, event_type AS type, round(value)::INT AS v FROM events)")
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id % 7 END AS place FROM (SELECT doc_id, text, trim(string_split(text, chr(10))[-1]) || CASE WHEN doc_id % 3 = 0 THEN ' indeed' ELSE '' END AS quote FROM documents)
+    WHERE quote <> '' AND contains({_NORM.format("text")}, {_NORM.format("quote")})""")
 def dq_mention(spark, sf):
-    df = demo.table(spark, sf, "events").selectExpr("event_id", "event_type as type", "cast(round(value) as int) as v")
-    return Q.with_reason(df, [("unordered with rank", "type = 'error'"), ("rank below one", "v < 1"), ("beyond the list", "v > 100")]).select("event_id", "reason")
+    """Mentions whose quote stands in their text; only ordered ones keep a place. Every third quote is altered."""
+    quote = F.concat(F.trim(F.element_at(F.split("text", "\n", -1), -1)), F.when(F.col("doc_id") % 3 == 0, " indeed").otherwise(""))
+    df = demo.table(spark, sf, "documents").withColumn("quote", quote)
+    df = df.where((F.col("quote") != "") & F.contains(X.normal_space(F.col("text")), X.normal_space(F.col("quote"))))
+    return df.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 7).alias("place"))
 
 
 @query("""SELECT event_id, CASE WHEN k IS NULL THEN 'no payload' WHEN event_type = 'purchase' AND k = 0 THEN 'length zero' WHEN event_type = 'click' AND k > 90 THEN 'length below rank' WHEN event_type = 'view' AND k % 10 = 0 THEN 'bad rating' END AS reason FROM (SELECT event_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events)""")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..operators import gradings as G
+from ..operators import tables as W
 from ..operators import temporal as T
 from . import demo
 from .registry import query
@@ -118,20 +119,49 @@ def tx_band(spark, sf):
     return demo.estimates(spark, sf).select("entity", "period", G.band(F.col("estimate")).alias("band"))
 
 
-def grounded_counts(spark, sf):
-    """In how many documents each quote stands verbatim after normalisation.
+#: Quotes of one or two words that are held against all documents at a time.
+QUOTE_BLOCK = 1_000
+
+
+def holders(quotes, docs):
+    """(item_id, n): in how many texts ``t`` of ``docs`` (doc_id, t) each quote ``q`` of ``quotes`` (item_id, q) stands verbatim.
 
-    A quote's first eight words are looked up among all runs of eight words of the documents; only hits are compared
-    in full, so nothing is compared with everything.
+    Inside a quote, all words but the first and the last are whole words of the text too. Up to eight of them are looked
+    up among the runs of as many words of the documents, and only hits are compared in full. Quotes without an inner
+    word are held against all documents, in blocks.
     """
-    run = lambda w, i: F.xxhash64(F.slice(w, i, 8))
-    q = demo.table(spark, sf, "benchmark").select("item_id", X.normal_space(F.col("text")).alias("q")).withColumn("w", F.split("q", " "))
-    q = q.withColumn("h", run(F.col("w"), F.lit(1)))
-    d = demo.table(spark, sf, "documents").select("doc_id", X.normal_space(F.col("text")).alias("t")).withColumn("w", F.split("t", " "))
-    grams = d.where(F.size("w") >= 8).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: run(F.col("w"), i)))).alias("h"))
-    hits = grams.join(F.broadcast(q.select("item_id", "h")), "h").select("item_id", "doc_id").distinct() if q.count() <= 100_000 else grams.join(q.select("item_id", "h"), "h").select("item_id", "doc_id").distinct()
-    sure = hits.join(d.select("doc_id", "t"), "doc_id").join(q.select("item_id", "q"), "item_id").where(F.contains("t", F.col("q")))
-    return q.select("item_id").join(sure.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("grounded_in"))
+    run = lambda w, i, k: F.xxhash64(F.slice(w, i, k))
+    q = quotes.withColumn("w", F.split("q", X.WHITE, -1)).withColumn("k", F.least(F.size("w") - 2, F.lit(8)))
+    inner = q.where("k > 0").select("item_id", "k", run(F.col("w"), F.lit(2), F.col("k")).alias("h"))
+    d = docs.withColumn("w", F.split("t", X.WHITE, -1))
+    lengths = sorted(r.k for r in inner.select("k").distinct().collect())  # eight at most
+
+    def runs(k):
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1)))
+        return F.when(F.size("w") >= k, F.transform(starts, lambda i: run(F.col("w"), i, k)))
+
+    hits = None
+    for k in lengths:
+        grams = d.select("doc_id", F.lit(k).alias("k"), F.explode(F.array_distinct(runs(k))).alias("h"))
+        hits = grams if hits is None else hits.unionAll(grams)
+    found = quotes.select("item_id").where("false").withColumn("n", F.lit(0).cast("long"))
+    if hits is not None:
+        few = F.broadcast(inner) if inner.count() <= 100_000 else inner
+        sure = hits.join(few, ["k", "h"]).select("item_id", "doc_id").distinct().join(docs, "doc_id").join(quotes, "item_id")
+        found = found.unionAll(sure.where(F.contains("t", "q")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))
+    short = q.where("k <= 0").select("item_id", "q")
+    blocks = -(-short.count() // QUOTE_BLOCK)
+    for i in range(blocks):
+        block = short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
+        found = found.unionAll(docs.crossJoin(F.broadcast(block)).where(F.contains("t", "q")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))  # a block of quotes
+    return quotes.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def grounded_counts(spark, sf):
+    """In how many documents each quote stands verbatim after normalisation."""
+    q = demo.table(spark, sf, "benchmark").select("item_id", X.normal_space(F.col("text")).alias("q"))
+    d = demo.table(spark, sf, "documents").select("doc_id", X.normal_space(F.col("text")).alias("t"))
+    return holders(q, d).select("item_id", F.col("n").alias("grounded_in"))
 
 
 @query(f"""SELECT item_id, coalesce(sum(CASE WHEN contains(trim(lower(regexp_replace(d.text, {_WS}))), q) THEN 1 END), 0)::BIGINT AS grounded_in FROM (SELECT item_id, trim(lower(regexp_replace(text, {_WS}))) AS q FROM benchmark), documents d GROUP BY item_id""")
@@ -171,17 +201,56 @@ def tj_grounding(spark, sf):
     return demo.estimates(spark, sf).select("entity", "period", F.expr("case when n_obs = 1 then 'thin' when size(split(shape, '[+]')) < 2 then 'one type' else 'ok' end").alias("grounding"))
 
 
-@query("SELECT page_id, count(*) AS items, string_agg(item, '|' ORDER BY i) AS names FROM (SELECT page_id, unnest(l) AS item, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<li><a href=\"[^\"]*\">([^<]*)</a>', 1) AS l FROM pages)) GROUP BY page_id")
+_LINES = """(SELECT l_orderkey AS id, o_orderdate, l_linenumber AS place, l_suppkey, p_name, upper(left(p_name, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS name,
+    CASE WHEN l_suppkey % 2 = 0 THEN 0 WHEN l_partkey % 3 <> 0 THEN 1 ELSE 2 END AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+
+
+def _wiki(spark, sf, before, line, joined=""):
+    """(id, text): the lines of each order written as wiki text, in order of line, part and supplier.
+
+    ``line`` gives the text of a line from its struct (place, part, supp, name, plain) and its position; a name is a link
+    for even suppliers, else a plain name or, for every third part, lower-case words that are no name.
+    """
+    lines = demo.order_lines(spark, sf).join(demo.table(spark, sf, "part"), F.expr("l_partkey = p_partkey"))
+    each = F.struct(F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.initcap("p_name").alias("name"), F.col("p_name").alias("plain"))
+    df = lines.groupBy(F.col("l_orderkey").alias("id"), "o_orderdate").agg(F.array_sort(F.collect_list(each)).alias("l"))
+    return df.select("id", F.concat(before, F.array_join(F.transform("l", line), joined)).alias("text"))
+
+
+def _mention(x, after=""):
+    return F.when(x["supp"] % 2 == 0, F.concat(F.lit("[["), x["name"], F.lit("]]"))).otherwise(F.concat(F.when(x["part"] % 3 != 0, x["name"]).otherwise(x["plain"]), F.lit(after)))
+
+
+@query(f"""SELECT id, year, place, name, place = 1 AS is_winner, linked FROM (
+    SELECT id, year(o_orderdate)::INT AS year, 1 AS place, coalesce(arg_min(name, r) FILTER (WHERE place = 1), arg_min(name, r) FILTER (WHERE kind = 0)) AS name, TRUE AS linked FROM {_LINES} GROUP BY id, o_orderdate
+    UNION ALL SELECT id, year(o_orderdate)::INT, place, name, kind = 0 FROM (SELECT *, row_number() OVER (PARTITION BY id, place ORDER BY kind, r) AS first FROM {_LINES} WHERE place BETWEEN 2 AND 5 AND kind < 2) WHERE first = 1) WHERE name IS NOT NULL""")
 def tj_ranked_table(spark, sf):
-    nav = F.regexp_extract("html", r"<nav>.*?</nav>", 0)
-    items = F.regexp_extract_all(nav, F.lit(r'<li><a href="[^"]*">([^<]*)</a>'), F.lit(1))
-    return demo.table(spark, sf, "pages").select("page_id", items.alias("l")).where(F.size("l") > 0).select("page_id", F.size("l").alias("items"), F.array_join("l", "|").alias("names"))
+    """Places of ranked lists: one table for each order, its first line in bold, five places long."""
+    bold = lambda x: F.concat(F.lit(" '''[["), x["name"], F.lit("]]'''\n"))
+    line = lambda x, i: F.when((i == 0) & (x["place"] == 1), bold(x)).otherwise(F.concat(F.lit("* "), X.ordinal(x["place"]), F.lit(": "), _mention(x), F.lit("\n")))
+    text = _wiki(spark, sf, F.concat(F.lit("{|\n|-\n! "), F.year("o_orderdate"), F.lit("\n| [[File:x.jpg]]")), line)
+    return W.ranked_entries(text, 5).select("id", "year", F.col("rank").alias("place"), "name", "is_winner", "linked")
+
+
+@query(f"""SELECT id, row_no, winner, status, value, CASE strlen(value) WHEN 10 THEN 'day' WHEN 7 THEN 'month' WHEN 4 THEN 'year' END AS precision, left(value, 4)::INT AS year FROM (
+    SELECT id, r AS row_no, value, CASE WHEN value IS NOT NULL AND kind < 2 THEN name END AS winner, CASE WHEN value IS NULL THEN 'no date' ELSE ['linked', 'unlinked', 'no link'][kind + 1] END AS status
+    FROM (SELECT *, CASE WHEN r <= greatest(1, n - (id % 3 = 0)::INT) THEN [strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%Y-%m-%d'), strftime(o_orderdate, '%Y'), strftime(o_orderdate, '%Y-%m')][(id % 4 + 1)::INT] END AS value FROM {_LINES}))""")
+def tj_award_table(spark, sf):
+    """Rows of award tables: one table for each order, whose date covers all rows or all but the last."""
+    day = F.get(F.array(F.date_format("o_orderdate", "'{{dts|'yyyy'|'M'|'d'}}'"), F.date_format("o_orderdate", "MMMM d, yyyy"), F.date_format("o_orderdate", "yyyy"), F.date_format("o_orderdate", "'{{dts|'yyyy'|'M'}}'")), (F.col("id") % 4).cast("int"))
+    span = F.greatest(F.lit(1), F.size("l") - (F.col("id") % 3 == 0).cast("int"))
+    date = F.concat(F.lit('\n| rowspan="'), span, F.lit('" | '), day)
+    line = lambda x, i: F.concat(F.lit("\n|-"), F.when(i == 0, date).otherwise(""), F.lit("\n| "), _mention(x, " (2)"), F.lit("\n| "), x["place"].cast("string"))
+    return W.award_rows(_wiki(spark, sf, F.lit("{|"), line)).select("id", F.col("at").alias("row_no"), "value", "precision", "year", "winner", "status")
 
 
-@query("SELECT page_id, count(*) AS links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) FROM pages) GROUP BY page_id")
+@query(f"SELECT id, 'Supplier ' || l_suppkey AS actor, arg_max(name, r) AS character FROM {_LINES} WHERE place % 4 <> 3 GROUP BY id, l_suppkey")
 def tj_cast_lines(spark, sf):
-    m = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)">([^<]*)</a>'), F.lit(2))
-    return demo.table(spark, sf, "pages").select("page_id", F.size(m).cast("long").alias("links")).where("links > 0")
+    """Actors and characters of cast lists: one list for each order; lines of another form are not read."""
+    actor = lambda x: F.concat(F.lit("* [[Supplier "), x["supp"].cast("string"), F.lit("|S]] "))
+    role = lambda x: F.when(x["place"] % 4 == 3, F.concat(F.lit("plays "), x["name"])).otherwise(F.concat(F.lit("as '''"), x["name"], F.lit("''' – the last")))
+    return W.cast_lines(_wiki(spark, sf, F.lit("== Cast ==\n"), lambda x, i: F.concat(actor(x), role(x)), "\n")).select("id", "actor", "character")
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn - last_turn < 2 THEN who END AS carried FROM (SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER w AS last_turn, CASE WHEN max(CASE WHEN role = 'user' THEN turn END) OVER w IS NOT NULL THEN 'user' END AS who FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))""")
@@ -190,24 +259,13 @@ def wn_rowspan_carry(spark, sf):
     return T.rowspan_carry(df, "conv_id", "turn", "v", "n").select("conv_id", "turn", "carried")
 
 
-@query("SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS rows, CASE WHEN contains(text, '.') THEN 'dated' ELSE 'no date' END AS stat FROM conversations")
-def tj_award_table(spark, sf):
-    df = demo.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\x01|-\x01").alias("wiki"))
-    rows = df.select("conv_id", F.posexplode(F.split("wiki", "\x01\\|-\x01")).alias("turn", "block"))
-    n = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("rows"))
-    return rows.join(n, "conv_id").select("conv_id", F.col("turn").cast("long").alias("turn"), "rows", F.expr("if(contains(block, '.'), 'dated', 'no date')").alias("stat"))
-
-
-@query("SELECT item_id, count(*) AS checked, count(CASE WHEN contains(d.text, left(b.text, 30)) THEN 1 END) AS verified FROM benchmark b, documents d GROUP BY item_id")
+@query("SELECT item_id, count(*) AS checked, count(CASE WHEN contains(d.text, b.text) THEN 1 END) AS verified FROM benchmark b, documents d GROUP BY item_id")
 def tj_source_recheck(spark, sf):
-    # The first words of an item are looked up among the documents' words; the prefix is compared in hits only.
-    b = demo.table(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 30).alias("p"))
-    d = demo.table(spark, sf, "documents").select("doc_id", "text")
-    key = b.withColumn("h", F.element_at(F.split("p", " "), 2))
-    w = d.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("h"))
-    hits = w.join(key, "h").select("doc_id", "item_id", "p").distinct().join(d, "doc_id").where(F.contains("text", F.col("p")))
-    n = d.agg(F.count(F.lit(1)).alias("checked"))
-    return b.join(hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id", "left").crossJoin(F.broadcast(n)).select("item_id", "checked", F.coalesce("n", F.lit(0)).alias("verified"))
+    """How many documents were checked for each item and how many hold it, whole and as written."""
+    docs = demo.table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
+    n = docs.agg(F.count(F.lit(1)).alias("checked"))
+    held = holders(demo.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q")), docs)
+    return held.crossJoin(F.broadcast(n)).select("item_id", "checked", F.col("n").alias("verified"))  # one row
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem) THEN 'named' ELSE 'absent' END AS verdict FROM supplier""")

@@ -12,6 +12,7 @@ from pairlens.operators import pairings as P
 from pairlens.operators import quality as Q
 from pairlens.operators import sampling as S
 from pairlens.operators import temporal as T
+from pairlens.plans.texts import holders
 from pairlens.sources import writers as W
 
 
@@ -119,3 +120,10 @@ def test_guarded_sink_keeps_the_richer_table(spark, tmp_path):
     path, df = f"file://{tmp_path}/t", spark.range(10)
     assert W.guarded(df, path, "count(1)") and not W.guarded(df.limit(5), path, "count(1)") and W.guarded(df.limit(5), path, "count(1)", force=True)
     assert spark.read.parquet(path).count() == 5
+
+
+def test_quotes_of_any_length_are_found(spark):
+    docs = [(1, "the cat sat on the mat"), (2, "a cathedral, the cat"), (3, None), (4, ""), (5, "one two three four five six seven eight nine ten eleven")]
+    quotes = [(1, "cat"), (2, "the cat"), (3, "he cat sa"), (4, "e cat s"), (5, "wo three four five six seven eight nine ten el"), (6, ""), (7, "no such"), (8, "cat sat on the"), (9, "two three four five six seven eight nine ten")]
+    got = holders(spark.createDataFrame(quotes, "item_id long, q string"), spark.createDataFrame(docs, "doc_id long, t string")).collect()
+    assert {r.item_id: r.n for r in got} == {i: sum(q in t for _, t in docs if t is not None) for i, q in quotes}
