@@ -14,15 +14,16 @@ from .quality import quality_verdicts
 from .secrets import scan_secrets
 from .sentencepiece_bpe import token_digests
 from .sharding import shard_rows
+from .token_alignment import align_tokenizers
 from .toxicity import fit_labels, severity
 from .warc import archive_round_trip
 
 
-def tokenizer_path() -> str:
-    """The public 32k vocabulary on this machine and on every executor."""
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """A public vocabulary (32k pieces) on this machine and on every executor."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,5 +71,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
