@@ -134,18 +134,19 @@ def align(a: pa.ListArray, b: pa.ListArray, raw_a: pa.Array, raw_b: pa.Array) ->
     """
     left, right = _ends(a, raw_a, "a"), _ends(b, raw_b, "b")
     links = left.join(right, "key", join_type="full outer", use_threads=False)
-    links = links.take(pc.sort_indices(links["key"])).combine_chunks()
+    # The join gives rows of the left side in order, then the rest: few runs, which a stable sort merges.
+    links = links.take(pa.array(np.argsort(np.asarray(links["key"]), kind="stable"))).combine_chunks()
+    has_a, has_b = (links[c].combine_chunks().is_valid().to_numpy(zero_copy_only=False) for c in "ab")
     doc = pc.shift_right(links["key"], 36)
     # A stretch that ends inside a token belongs to it: the next end on that side, which lies in the same document.
     pair = pc.add(pc.shift_left(pc.fill_null_backward(links["a"]).cast(pa.int64()), 32), pc.fill_null_backward(links["b"]).cast(pa.int64()))
     each = pa.table({"doc": doc, "pair": pair}).group_by(["doc", "pair"], use_threads=False).aggregate([([], "count_all")])
-    each = each.take(pc.sort_indices(each["doc"]))
+    each = each.take(pa.array(np.argsort(np.asarray(each["doc"]), kind="stable")))
     total = each.group_by("pair", use_threads=False).aggregate([([], "count_all")])
-    both_a = pc.is_in(left["key"], right["key"]).combine_chunks().to_numpy(zero_copy_only=False)
-    both_b = pc.is_in(right["key"], left["key"]).combine_chunks().to_numpy(zero_copy_only=False)
+    both_a, both_b = has_b[has_a], has_a[has_b]  # of each token: whether the other side ends there too
     name = pa.array([str(i) for i in range(max(len(raw_a), len(raw_b)))])
     text = pc.binary_join_element_wise(_joined_ids(a.values, name, both_a), _joined_ids(b.values, name, both_b), "|")
-    at = np.asarray(left["key"])[both_a] >> 36
+    at = np.asarray(doc)[has_a & has_b]
     groups = pc.binary_join(_cut(text, np.r_[at[1:] != at[:-1], True]), ";")
     return {
         "pair": total["pair"].combine_chunks(), "docs": total["count_all"].combine_chunks().cast(pa.int32()),
