@@ -14,9 +14,11 @@ from .quality import quality_verdicts
 from .secrets import scan_secrets
 from .sentencepiece_bpe import token_digests
 from .sharding import shard_rows
+from .spelling import spelling_variants
 from .token_alignment import align_tokenizers
 from .toxicity import fit_labels, severity
 from .warc import archive_round_trip
+from .wrappers import main_text
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -71,6 +73,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"), typo_one_in=199)
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
 
