@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import gradings as G
 from ..operators import tables as W
 from ..operators import temporal as T
+from ..operators.phrases import phrase_hits
 from . import demo
 from .registry import query
 
@@ -119,42 +120,11 @@ def tx_band(spark, sf):
     return demo.estimates(spark, sf).select("entity", "period", G.band(F.col("estimate")).alias("band"))
 
 
-#: Quotes of one or two words that are held against all documents at a time.
-QUOTE_BLOCK = 1_000
-
-
 def holders(quotes, docs):
-    """(item_id, n): in how many texts ``t`` of ``docs`` (doc_id, t) each quote ``q`` of ``quotes`` (item_id, q) stands verbatim.
-
-    Inside a quote, all words but the first and the last are whole words of the text too. Up to eight of them are looked
-    up among the runs of as many words of the documents, and only hits are compared in full. Quotes without an inner
-    word are held against all documents, in blocks.
-    """
-    run = lambda w, i, k: F.xxhash64(F.slice(w, i, k))
-    q = quotes.withColumn("w", F.split("q", X.WHITE, -1)).withColumn("k", F.least(F.size("w") - 2, F.lit(8)))
-    inner = q.where("k > 0").select("item_id", "k", run(F.col("w"), F.lit(2), F.col("k")).alias("h"))
-    d = docs.withColumn("w", F.split("t", X.WHITE, -1))
-    lengths = sorted(r.k for r in inner.select("k").distinct().collect())  # eight at most
-
-    def runs(k):
-        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1)))
-        return F.when(F.size("w") >= k, F.transform(starts, lambda i: run(F.col("w"), i, k)))
-
-    hits = None
-    for k in lengths:
-        grams = d.select("doc_id", F.lit(k).alias("k"), F.explode(F.array_distinct(runs(k))).alias("h"))
-        hits = grams if hits is None else hits.unionAll(grams)
-    found = quotes.select("item_id").where("false").withColumn("n", F.lit(0).cast("long"))
-    if hits is not None:
-        few = F.broadcast(inner) if inner.count() <= 100_000 else inner
-        sure = hits.join(few, ["k", "h"]).select("item_id", "doc_id").distinct().join(docs, "doc_id").join(quotes, "item_id")
-        found = found.unionAll(sure.where(F.contains("t", "q")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))
-    short = q.where("k <= 0").select("item_id", "q")
-    blocks = -(-short.count() // QUOTE_BLOCK)
-    for i in range(blocks):
-        block = short.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
-        found = found.unionAll(docs.crossJoin(F.broadcast(block)).where(F.contains("t", "q")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))  # a block of quotes
-    return quotes.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    """(item_id, n): in how many texts ``t`` of ``docs`` (doc_id, t) each quote ``q`` of ``quotes`` (item_id, q) stands verbatim."""
+    hits = phrase_hits(quotes.select(F.col("item_id").alias("pid"), "q"), docs.select(F.col("doc_id").alias("tid"), "t"))
+    n = hits.groupBy(F.col("pid").alias("item_id")).agg(F.count(F.lit(1)).alias("n"))
+    return quotes.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def grounded_counts(spark, sf):
@@ -196,17 +166,12 @@ def tj_negation(spark, sf):
     return demo.table(spark, sf, "documents").select("doc_id", X.asserted(F.col("text"), "in").alias("asserted"))
 
 
-@query("SELECT entity, period, CASE WHEN n_obs = 1 THEN 'thin' WHEN strlen(shape) - strlen(replace(shape, '+', '')) + 1 < 2 THEN 'one type' ELSE 'ok' END AS grounding FROM estimates")
-def tj_grounding(spark, sf):
-    return demo.estimates(spark, sf).select("entity", "period", F.expr("case when n_obs = 1 then 'thin' when size(split(shape, '[+]')) < 2 then 'one type' else 'ok' end").alias("grounding"))
-
-
 _LINES = """(SELECT l_orderkey AS id, o_orderdate, l_linenumber AS place, l_suppkey, p_name, upper(left(p_name, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS name,
     CASE WHEN l_suppkey % 2 = 0 THEN 0 WHEN l_partkey % 3 <> 0 THEN 1 ELSE 2 END AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 
-def _wiki(spark, sf, before, line, joined=""):
+def wiki_texts(spark, sf, before, line, joined=""):
     """(id, text): the lines of each order written as wiki text, in order of line, part and supplier.
 
     ``line`` gives the text of a line from its struct (place, part, supp, name, plain) and its position; a name is a link
@@ -218,7 +183,7 @@ def _wiki(spark, sf, before, line, joined=""):
     return df.select("id", F.concat(before, F.array_join(F.transform("l", line), joined)).alias("text"))
 
 
-def _mention(x, after=""):
+def mention(x, after=""):
     return F.when(x["supp"] % 2 == 0, F.concat(F.lit("[["), x["name"], F.lit("]]"))).otherwise(F.concat(F.when(x["part"] % 3 != 0, x["name"]).otherwise(x["plain"]), F.lit(after)))
 
 
@@ -228,8 +193,8 @@ def _mention(x, after=""):
 def tj_ranked_table(spark, sf):
     """Places of ranked lists: one table for each order, its first line in bold, five places long."""
     bold = lambda x: F.concat(F.lit(" '''[["), x["name"], F.lit("]]'''\n"))
-    line = lambda x, i: F.when((i == 0) & (x["place"] == 1), bold(x)).otherwise(F.concat(F.lit("* "), X.ordinal(x["place"]), F.lit(": "), _mention(x), F.lit("\n")))
-    text = _wiki(spark, sf, F.concat(F.lit("{|\n|-\n! "), F.year("o_orderdate"), F.lit("\n| [[File:x.jpg]]")), line)
+    line = lambda x, i: F.when((i == 0) & (x["place"] == 1), bold(x)).otherwise(F.concat(F.lit("* "), X.ordinal(x["place"]), F.lit(": "), mention(x), F.lit("\n")))
+    text = wiki_texts(spark, sf, F.concat(F.lit("{|\n|-\n! "), F.year("o_orderdate"), F.lit("\n| [[File:x.jpg]]")), line)
     return W.ranked_entries(text, 5).select("id", "year", F.col("rank").alias("place"), "name", "is_winner", "linked")
 
 
@@ -241,8 +206,8 @@ def tj_award_table(spark, sf):
     day = F.get(F.array(F.date_format("o_orderdate", "'{{dts|'yyyy'|'M'|'d'}}'"), F.date_format("o_orderdate", "MMMM d, yyyy"), F.date_format("o_orderdate", "yyyy"), F.date_format("o_orderdate", "'{{dts|'yyyy'|'M'}}'")), (F.col("id") % 4).cast("int"))
     span = F.greatest(F.lit(1), F.size("l") - (F.col("id") % 3 == 0).cast("int"))
     date = F.concat(F.lit('\n| rowspan="'), span, F.lit('" | '), day)
-    line = lambda x, i: F.concat(F.lit("\n|-"), F.when(i == 0, date).otherwise(""), F.lit("\n| "), _mention(x, " (2)"), F.lit("\n| "), x["place"].cast("string"))
-    return W.award_rows(_wiki(spark, sf, F.lit("{|"), line)).select("id", F.col("at").alias("row_no"), "value", "precision", "year", "winner", "status")
+    line = lambda x, i: F.concat(F.lit("\n|-"), F.when(i == 0, date).otherwise(""), F.lit("\n| "), mention(x, " (2)"), F.lit("\n| "), x["place"].cast("string"))
+    return W.award_rows(wiki_texts(spark, sf, F.lit("{|"), line)).select("id", F.col("at").alias("row_no"), "value", "precision", "year", "winner", "status")
 
 
 @query(f"SELECT id, 'Supplier ' || l_suppkey AS actor, arg_max(name, r) AS character FROM {_LINES} WHERE place % 4 <> 3 GROUP BY id, l_suppkey")
@@ -250,7 +215,7 @@ def tj_cast_lines(spark, sf):
     """Actors and characters of cast lists: one list for each order; lines of another form are not read."""
     actor = lambda x: F.concat(F.lit("* [[Supplier "), x["supp"].cast("string"), F.lit("|S]] "))
     role = lambda x: F.when(x["place"] % 4 == 3, F.concat(F.lit("plays "), x["name"])).otherwise(F.concat(F.lit("as '''"), x["name"], F.lit("''' – the last")))
-    return W.cast_lines(_wiki(spark, sf, F.lit("== Cast ==\n"), lambda x, i: F.concat(actor(x), role(x)), "\n")).select("id", "actor", "character")
+    return W.cast_lines(wiki_texts(spark, sf, F.lit("== Cast ==\n"), lambda x, i: F.concat(actor(x), role(x)), "\n")).select("id", "actor", "character")
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn - last_turn < 2 THEN who END AS carried FROM (SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER w AS last_turn, CASE WHEN max(CASE WHEN role = 'user' THEN turn END) OVER w IS NOT NULL THEN 'user' END AS who FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))""")
@@ -259,28 +224,6 @@ def wn_rowspan_carry(spark, sf):
     return T.rowspan_carry(df, "conv_id", "turn", "v", "n").select("conv_id", "turn", "carried")
 
 
-@query("SELECT item_id, count(*) AS checked, count(CASE WHEN contains(d.text, b.text) THEN 1 END) AS verified FROM benchmark b, documents d GROUP BY item_id")
-def tj_source_recheck(spark, sf):
-    """How many documents were checked for each item and how many hold it, whole and as written."""
-    docs = demo.table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
-    n = docs.agg(F.count(F.lit(1)).alias("checked"))
-    held = holders(demo.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("q")), docs)
-    return held.crossJoin(F.broadcast(n)).select("item_id", "checked", F.col("n").alias("verified"))  # one row
-
-
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey IN (SELECT l_suppkey FROM lineitem) THEN 'named' ELSE 'absent' END AS verdict FROM supplier""")
-def tj_absence_audit(spark, sf):
-    named = demo.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("s_suppkey")).distinct().withColumn("seen", F.lit(True))
-    return demo.table(spark, sf, "supplier").join(named, "s_suppkey", "left").select("s_suppkey", F.when(F.col("seen"), "named").otherwise("absent").alias("verdict"))
-
-
-@query("""SELECT rule, sum(len(regexp_extract_all(text, pattern)))::BIGINT AS occurrences, count(CASE WHEN len(regexp_extract_all(text, pattern)) > 0 THEN 1 END) AS documents FROM documents, (VALUES ('licence', 'License, version [0-9]+'), ('cc', 'CC BY-NC [0-9.]+'), ('none', 'zzzzz')) r(rule, pattern) GROUP BY rule""")
-def tj_claims_audit(spark, sf):
-    rules = spark.createDataFrame([("licence", "License, version [0-9]+"), ("cc", "CC BY-NC [0-9.]+"), ("none", "zzzzz")], "rule string, pattern string")
-    df = demo.table(spark, sf, "documents").crossJoin(F.broadcast(rules)).select("rule", F.call_function("regexp_count", F.col("text"), F.col("pattern")).alias("n"))  # three rules
-    return df.groupBy("rule").agg(F.sum("n").alias("occurrences"), F.count_if(F.expr("n > 0")).alias("documents"))
-
-
 @query("""SELECT name AS rule, count(*) AS hits FROM (VALUES ('large', 80), ('small', 20)) r(name, edge), events WHERE CASE WHEN name = 'large' THEN value > edge ELSE value < edge END GROUP BY name""")
 def ud_rule(spark, sf):
     rules = {"large": "value > 80", "small": "value < 20"}
