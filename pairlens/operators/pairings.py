@@ -118,3 +118,26 @@ def merged(sources: list[DataFrame], identity: list[Column], order: list[str]) -
     df = df.withColumn("_spread", F.when(F.col("_id").isNull(), F.xxhash64("source_rank", *order)))
     df = df.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_spread").orderBy("source_rank", *order)))
     return df.withColumn("kept", F.col("_id").isNull() | (F.col("_n") == 1)).drop("_n", "_id", "_spread")
+
+
+#: Neighbouring places that are ordered in one task when inversions are counted.
+RUN = 4096
+
+
+def inversions(places: DataFrame, before: str, after: str) -> DataFrame:
+    """Adds ``inversions``: how many rows stand behind a row by ``before`` but ahead of it by ``after`` (both whole
+    numbers from 0, each once).
+
+    Two places differ first at one bit, counted from the highest: a row whose bit is 0 is compared with the rows of the
+    same higher bits whose bit is 1. So each pair belongs to one level, and a level needs running counts only, taken in
+    runs of ``RUN`` places with the counts of the runs before; no pair is ever made.
+    """
+    top = places.agg(F.max(before)).first()[0] or 0
+    rows = places.select(F.col(before).alias("_p"), F.col(after).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(max(0, int(top).bit_length() - 1)))).alias("_l"))
+    rows = rows.select("_p", "_q", "_l", F.expr("shiftright(_p, _l + 1)").alias("_g"), F.expr("shiftright(_p, _l) & 1").alias("_bit"), F.expr(f"_q div {RUN}").alias("_run"))
+    runs = rows.groupBy("_l", "_g", "_run").agg(F.sum("_bit").alias("_n"))
+    start = runs.select("_l", "_g", "_run", (F.sum("_n").over(Window.partitionBy("_l", "_g").orderBy("_run")) - F.col("_n")).alias("_s"))  # a row for each run
+    own = F.sum("_bit").over(Window.partitionBy("_l", "_g", "_run").orderBy("_q"))
+    found = rows.withColumn("_o", own).where("_bit = 0").join(start, ["_l", "_g", "_run"])
+    n = found.groupBy("_p").agg(F.sum(F.col("_s") + F.col("_o")).alias("inversions"))
+    return places.join(n.withColumnRenamed("_p", before), before, "left").withColumn("inversions", F.coalesce("inversions", F.lit(0).cast("long")))

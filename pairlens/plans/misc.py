@@ -255,30 +255,77 @@ def rs_weighted_sample(spark, sf):
     return S.weighted_sample(rows, "l_orderkey", "w", 2, F.lit("5"), F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).select("l_orderkey", "l_suppkey")
 
 
-@query("""SELECT k, trial, count(DISTINCT entity || '|' || period) AS covered FROM (SELECT unnest([1, 5, 20]) AS k) CROSS JOIN (SELECT unnest(range(0, 10)) AS trial) JOIN (SELECT *, trial2, row_number() OVER (PARTITION BY period, trial2 ORDER BY md5('9|' || trial2 || '|' || entity || '|' || period), entity) AS r FROM sparse, (SELECT unnest(range(0, 10)) AS trial2)) s ON s.trial2 = trial AND s.r <= k GROUP BY k, trial""")
-def rs_coverage_ladder(spark, sf):
-    trials, ladder = spark.range(10).withColumnRenamed("id", "trial"), spark.createDataFrame([(1,), (5,), (20,)], "k int")
-    s = demo.sparse(spark, sf).select("entity", "period").crossJoin(F.broadcast(trials))  # ten trials
-    w = Window.partitionBy("period", "trial").orderBy(F.md5(F.concat_ws("|", F.lit("9"), F.col("trial").cast("string"), F.col("entity").cast("string"), F.col("period").cast("string"))), "entity")
-    s = s.withColumn("r", F.row_number().over(w)).crossJoin(F.broadcast(ladder)).where("r <= k")  # three rungs
-    return s.groupBy("k", "trial").agg(F.count_distinct("entity", "period").alias("covered"))
+_U = "(('0x' || substr(md5({}), 1, 13))::BIGINT + 0.5) / 4503599627370496"
 
 
-@query()
+@query(f"""SELECT * FROM (WITH x AS (SELECT DISTINCT entity FROM sparse),
+    o AS (SELECT trial, entity, row_number() OVER (PARTITION BY trial ORDER BY md5('9|order|' || trial || '|' || entity)) - 1 AS place FROM x, range(10) t(trial)),
+    l AS MATERIALIZED (SELECT * FROM (SELECT trial, entity, src, row_number() OVER (PARTITION BY trial, src ORDER BY -ln({_U.format("'9|' || trial || '|' || src || '|' || entity")}) * (place + 3), entity) AS r
+        FROM o, (SELECT unnest(range(min(period), max(period) + 1)) AS src FROM episodes_e)) WHERE r <= 20),
+    need AS (SELECT trial, a, min(greatest(x, y)) AS need FROM (SELECT e.a, e.period, p.trial, min(p.r) AS x, min(q.r) AS y FROM episodes_e e JOIN l p ON p.entity = e.a AND abs(p.src - e.period) <= 1 JOIN l q ON q.entity = e.b AND q.trial = p.trial AND abs(q.src - e.period) <= 1 GROUP BY ALL) GROUP BY ALL),
+    c AS (SELECT k, trial, (SELECT count(*) FROM need n WHERE n.trial = t.trial AND need <= k) AS n FROM range(10) t(trial), (VALUES (1), (5), (20)) k(k))
+    SELECT k, list_sort(list(n))[2] AS p10, list_sort(list(n))[6] AS median, list_sort(list(n))[10] AS p90 FROM c GROUP BY k)""")
+def rs_coverage_ladder(spark, sf):
+    """How many pairs would be covered on both sides if a source listed 1, 5 or 20 entities a day."""
+    e = demo.episodes_e(spark, sf)
+    first, last = e.agg(F.min("period"), F.max("period")).first()
+    entities = demo.sparse(spark, sf).select("entity")
+    return S.coverage_ladder(entities, e.select(F.col("a").alias("episode"), "a", "b", "period"), first or 0, last or 0, [1, 5, 20], 10, 1, 9)
+
+
+def _z(of):
+    """A normal draw in SQL; ``of``: the SQL text of what follows the letter in the digest."""
+    part = lambda letter: _U.format(f"'{letter}|' || {of}")
+    return f"sqrt(-2 * ln({part('u')})) * cos(2 * pi() * ({part('v')}))"
+
+
+@query(f"""SELECT * FROM (WITH b AS (SELECT * FROM period_rows WHERE a_h IS NOT NULL AND b_h IS NOT NULL),
+    c AS (SELECT key, id, sum(c)::BIGINT AS c, sum(e)::BIGINT AS e FROM (SELECT a AS key, a || '@' || period AS id, -days AS c, days AS e FROM b UNION ALL SELECT a, b || '@' || period, days, 0 FROM b) GROUP BY ALL),
+    s AS (SELECT id, max(v) AS value FROM (SELECT a || '@' || period AS id, a_h / 10 AS v FROM b UNION ALL SELECT b || '@' || period, b_h / 10 FROM b) GROUP BY id),
+    f AS (SELECT entity || '@' || period AS id, nullif(min(family), 'A') AS publisher FROM gradings WHERE judged AND contract_id = 'c1' GROUP BY entity, period),
+    d AS MATERIALIZED (SELECT s.id, draw, value, value + 3.0::DOUBLE * {_z("'20260914|' || draw || '|' || s.id")} + CASE WHEN publisher IS NOT NULL THEN 2.0::DOUBLE * {_z("'p|20260914|' || draw || '|' || publisher")} ELSE 0 END AS raw FROM s LEFT JOIN f ON f.id = s.id, range(40) t(draw)),
+    t AS (SELECT key, draw, sum(c * round(100 * least(100, greatest(0, raw)))::BIGINT)::BIGINT AS total, sum(c * round(100 * value)::BIGINT)::BIGINT AS point, sum(e)::BIGINT AS e, sum(CASE WHEN raw < 0 OR raw > 100 THEN 1 ELSE 0 END) AS clamped, count(*) AS ids FROM c JOIN d ON d.id = c.id GROUP BY key, draw)
+    SELECT key, max(point) AS point_total, round(max(point) / max(e), 6) AS point_rate, list_sort(list(total))[3] AS total_low, list_sort(list(total))[39] AS total_high, round(list_sort(list(total))[3] / max(e), 6) AS rate_low, round(list_sort(list(total))[39] / max(e), 6) AS rate_high,
+        round(sum(clamped) / (max(ids) * 40), 6) AS clamped_share, TRUE AS mirrored FROM t GROUP BY key)""")
 def rs_interval(spark, sf):
-    rows = demo.period_rows(spark, sf).where("a_h is not null and b_h is not null and days > 300")
-    ids = F.explode(F.array(F.struct(F.concat_ws("@", "a", "period").alias("id"), (-F.col("days")).alias("c"), (F.col("a_h") / 10).alias("v")), F.struct(F.concat_ws("@", "b", "period").alias("id"), F.col("days").alias("c"), (F.col("b_h") / 10).alias("v"))))
-    each = rows.select(F.col("pairing_id").alias("key"), ids.alias("s")).select("key", "s.id", "s.c", "s.v")
-    specs = each.groupBy("id").agg(F.max("v").alias("value")).withColumn("sd", F.lit(3.0))
-    return S.interval(each.select("key", "id", "c"), specs, 40, 20260914, 0.1)
-
-
-@query()
+    """Bands of every entity's total and rate over all its periods, redrawn with an effect of each publisher."""
+    rows = demo.period_rows(spark, sf).where("a_h is not null and b_h is not null")
+    one = lambda side, sign, exposure: F.struct(F.concat_ws("@", side, "period").alias("id"), (sign * F.col("days")).cast("long").alias("c"), (-sign * F.col("days")).cast("long").alias("mirror"), exposure.cast("long").alias("exposure"), (F.col(f"{side}_h") / 10).alias("v"))
+    each = rows.select(F.col("a").alias("key"), F.explode(F.array(one("a", -1, F.col("days")), one("b", 1, F.lit(0)))).alias("s")).select("key", "s.*")
+    each = _saver(spark, "coefficients")(each)
+    family = demo.gradings(spark, sf).where("judged and contract_id = 'c1'").groupBy(F.concat_ws("@", "entity", "period").alias("id")).agg(F.nullif(F.min("family"), F.lit("A")).alias("publisher"))
+    specs = each.groupBy("id").agg(F.max("v").alias("value")).withColumn("sd", F.lit(3.0)).join(family, "id", "left")
+    return S.interval(each.select("key", "id", "c", "mirror", "exposure"), specs, 40, 20260914, 0.1, 2.0)
+
+
+def _round(r):
+    """A round of the expansion in SQL: candidates, and those admitted if the round before went on."""
+    go = "TRUE" if r == 1 else f"(SELECT count(*) FROM a{r - 1}) >= 3"
+    cap = f"least(20, 50 - (SELECT count(*) FROM k{r - 1}))"
+    best = "partner DESC, reach DESC, prominence DESC, id"
+    return f"""c{r} AS MATERIALIZED (SELECT p.id, side, prominence, max(CASE WHEN kind = 'partner' THEN 1 ELSE 0 END) AS partner, count(DISTINCT seed) AS reach FROM e JOIN p ON p.id = e.id WHERE side IS NOT NULL AND {go} AND seed IN (SELECT id FROM a{r - 1}) AND p.id NOT IN (SELECT id FROM k{r - 1}) GROUP BY ALL),
+    a{r} AS MATERIALIZED (SELECT *, (SELECT count(*) FROM c{r}) AS candidates FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN s <= CASE WHEN side = 'a' THEN {cap} // 2 ELSE {cap} - {cap} // 2 END THEN 0 ELSE 1 END, {best}) AS n FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY {best}) AS s FROM c{r})) WHERE n <= {cap}),
+    k{r} AS MATERIALIZED (SELECT id FROM k{r - 1} UNION ALL SELECT id FROM a{r})"""
+
+
+@query(f"""SELECT * FROM (WITH p AS MATERIALIZED (SELECT 2 * c_custkey AS id, CASE c_mktsegment WHEN 'MACHINERY' THEN 'a' WHEN 'HOUSEHOLD' THEN 'b' WHEN 'BUILDING' THEN 'a' END AS side, c_acctbal::DOUBLE AS prominence FROM customer
+        UNION ALL SELECT 2 * s_suppkey + 1, CASE WHEN s_nationkey < 10 THEN 'a' WHEN s_nationkey < 20 THEN 'b' END, s_acctbal::DOUBLE FROM supplier),
+    l AS (SELECT 2 * o_custkey AS c, 2 * l_suppkey + 1 AS s, CASE WHEN l_quantity >= 50 THEN 'partner' ELSE 'other' END AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 46),
+    e AS MATERIALIZED (SELECT kind, c AS seed, s AS id FROM l UNION ALL SELECT kind, s, c FROM l), a0 AS MATERIALIZED (SELECT id FROM p WHERE id % 2 = 1 ORDER BY id LIMIT 3), k0 AS (SELECT id FROM a0), {", ".join(map(_round, (1, 2, 3)))}
+    SELECT a0.id, side, 0 AS round, 0 AS partner, 0 AS reach, NULL AS candidates FROM a0 JOIN p ON p.id = a0.id
+    UNION ALL SELECT id, side, 1, partner, reach, candidates FROM a1 UNION ALL SELECT id, side, 2, partner, reach, candidates FROM a2 UNION ALL SELECT id, side, 3, partner, reach, candidates FROM a3)""")
 def gr_snowball(spark, sf):
-    edges = _edges(spark, sf).selectExpr("entity as seed", "other", "other_prominence as prominence", "if(length(other) % 2 = 0, 'a', 'b') as side").distinct()
+    """Customers (even ids) and suppliers (odd ids) reached by large orders from three suppliers, in three rounds of 20."""
+    c, s = demo.table(spark, sf, "customer"), demo.table(spark, sf, "supplier")
+    people = c.selectExpr("2 * c_custkey as id", "case c_mktsegment when 'MACHINERY' then 'a' when 'HOUSEHOLD' then 'b' when 'BUILDING' then 'a' end as side", "c_acctbal as prominence")
+    people = people.unionAll(s.selectExpr("2 * s_suppkey + 1 as id", "case when s_nationkey < 10 then 'a' when s_nationkey < 20 then 'b' end as side", "s_acctbal as prominence"))
+    lines = demo.order_lines(spark, sf).where("l_quantity >= 46").selectExpr("if(l_quantity >= 50, 'partner', 'other') as kind", "2 * o_custkey as c", "2 * l_suppkey + 1 as s").distinct()
+    edges = lines.selectExpr("kind", "c as seed", "s as id").unionAll(lines.selectExpr("kind", "s as seed", "c as id"))
     save = _saver(spark, "snowball")
-    seeds = demo.works(spark, sf).select(F.col("entity").alias("id")).distinct().orderBy("id").limit(5)
-    return S.snowball(save(edges), seeds, 2, 40, save)
+    seeds = people.where("id % 2 = 1").orderBy("id").limit(3).select("id")
+    roster, log, _ = S.snowball(save(edges), people, seeds, 3, 20, 50, 3, save)
+    rounds = spark.createDataFrame([(x["round"], x["candidates"]) for x in log], "round int, candidates long")
+    return roster.join(F.broadcast(rounds), "round", "left").select("id", "side", "round", "partner", "reach", "candidates")  # a row for each round
 
 
 @query("SELECT s_suppkey AS id, CASE WHEN s_nationkey > 22 THEN 'side unknown' WHEN s_acctbal < 0 THEN 'no account' END AS refused FROM supplier")

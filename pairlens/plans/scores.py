@@ -174,9 +174,8 @@ def wn_rank_changes(spark, sf):
 @query(f"""WITH r AS (SELECT entity, row_number() OVER (ORDER BY raw DESC, entity) AS p, row_number() OVER (ORDER BY z DESC, entity) AS q FROM {_NORMAL_TOTALS})
     SELECT x.entity, count(*) AS inversions FROM r x JOIN r y ON x.p < y.p AND x.q > y.q GROUP BY x.entity""".replace("WITH r AS", "SELECT * FROM (WITH r AS") + ")")
 def jn_pairs_theta(spark, sf):
-    r = wn_rank_changes(spark, sf)
-    other = r.selectExpr("before as p2", "after as q2")
-    return r.join(other, F.expr("before < p2 and after > q2")).groupBy("entity").agg(F.count(F.lit(1)).alias("inversions"))
+    r = P.inversions(wn_rank_changes(spark, sf), "before", "after")
+    return r.where("inversions > 0").select("entity", "inversions")
 
 
 @query(f"""SELECT coalesce(x.entity, y.entity) AS entity, CASE WHEN x.entity IS NULL THEN 'entered' WHEN y.entity IS NULL THEN 'left' ELSE 'both' END AS status FROM

@@ -106,16 +106,6 @@ def test_merge_twice_adds_nothing(spark):
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
 
 
-def test_zero_deviation_collapses_the_interval(spark):
-    c = spark.createDataFrame([("k", "i", 2), ("k", "j", -2)], "key string, id string, c long")
-    specs = lambda sd: spark.createDataFrame([("i", 80.0, sd), ("j", 70.0, sd)], "id string, value double, sd double")
-    (r,) = S.interval(c, specs(0.0), 20, 1, 0.1).collect()
-    assert r.low == r.high == 2000 and r.clamped_share == 0
-    (w,) = S.interval(c, specs(5.0), 60, 1, 0.1).collect()
-    assert w.low < 2000 < w.high
-    assert S.interval(c, specs(5.0), 60, 1, 0.1).collect() == [w]
-
-
 def test_guarded_sink_keeps_the_richer_table(spark, tmp_path):
     path, df = f"file://{tmp_path}/t", spark.range(10)
     assert W.guarded(df, path, "count(1)") and not W.guarded(df.limit(5), path, "count(1)") and W.guarded(df.limit(5), path, "count(1)", force=True)
