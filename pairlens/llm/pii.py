@@ -10,9 +10,9 @@ patterns. Tokens after patterns worth ``confidence`` or more are added as ``cont
 size of the corpus; a pair of words that mostly precedes other words is worth little, so chance contexts add nothing.
 
 All of it is DataFrame functions; the corpus is read once for spans, once for the occurrences of the first patterns, and
-once more in a round that induces further ones. Word pairs are counted before they meet the first patterns, so that the
-join has a row for each different pair and not for each occurrence. Patterns are broadcast while they are fewer than
-``BROADCAST_PATTERNS`` (8 bytes each) and otherwise joined by shuffle.
+once more in a round that induces further ones. Word pairs are held against the patterns where the text lies and only
+those of patterns are counted: up to ``INLINE`` patterns are a set inside the filter, more are broadcast while they are
+fewer than ``BROADCAST_PATTERNS`` (8 bytes each), and beyond that pairs are counted first and joined by shuffle.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 #: Identifier-like tokens: words of 6 or more characters with a digit or an at sign.
 TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9@])[^\x20\x09-\x0D]{6,}+"
-BROADCAST_PATTERNS = 200_000
+INLINE, BROADCAST_PATTERNS = 20_000, 200_000
 BASE = "array<struct<o:int,s:int,e:int,k:string>>"
 
 
@@ -79,6 +79,17 @@ def _few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _occurrences(pairs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(p, total): how often each pattern (p) stands among all word pairs (p)."""
+    n, counted = patterns.count(), F.count(F.lit(1)).alias("total")
+    if n <= INLINE:
+        known = ",".join(f"{r.p}L" for r in patterns.select("p").collect())  # a bounded number of hashes, as in a broadcast
+        return pairs.where(F.expr(f"p in ({known})") if n else F.lit(False)).groupBy("p").agg(counted)
+    if n <= BROADCAST_PATTERNS:
+        return pairs.join(F.broadcast(patterns), "p", "left_semi").groupBy("p").agg(counted)
+    return pairs.groupBy("p").agg(counted).join(patterns, "p", "left_semi")
+
+
 def find_pii(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -109,23 +120,24 @@ def find_pii(
     new = scratch.save(seeded.where(F.col("k") >= min_seeds).select("p"))
     total = new.withColumn("total", F.lit(0).cast("long"))
     if new.limit(1).count():
-        total = scratch.save(pairs.groupBy("p").agg(F.count(F.lit(1)).alias("total")).join(_few(new, BROADCAST_PATTERNS), "p"))
+        total = scratch.save(_occurrences(pairs, new))
     belief = seeds.withColumn("s", F.lit(1.0))
-    for _ in range(rounds):
+    for turn in range(rounds):
         edges = scratch.save(held.join(_few(total, BROADCAST_PATTERNS), "p"))
         worth = edges.join(belief, "m").groupBy("p", "total").agg(F.sum(F.col("n") * F.col("s")).alias("good"))
         worth = scratch.save(worth.select("p", F.least(F.lit(0.999), F.col("good") / F.greatest("total", F.lit(1))).alias("w")))
         doubt = edges.where("seed = 0").join(worth, "p").groupBy("m").agg(F.sum(F.log(1 - F.col("w"))).alias("d"))
         found = scratch.save(doubt.select("m", (1 - F.exp("d")).alias("s")).join(seeds, "m", "left_anti"))
         belief = seeds.withColumn("s", F.lit(1.0)).unionAll(found)
+        if turn == rounds - 1:
+            break
         # Patterns that seeds and tokens believed by now induce together.
         believed = found.where(F.col("s") >= confidence).select("m")
         more = held.where("seed = 0").join(_few(believed, BROADCAST_PATTERNS), "m").groupBy("p").agg(F.count(F.lit(1)).alias("j"))
         more = more.join(seeded, "p", "left").where(F.col("j") + F.coalesce("k", F.lit(0)) >= min_seeds).select("p")
         new = scratch.save(more.join(total, "p", "left_anti"))
         if new.limit(1).count():
-            added = pairs.join(_few(new, BROADCAST_PATTERNS), "p").groupBy("p").agg(F.count(F.lit(1)).alias("total"))
-            total = scratch.save(total.unionByName(added))
+            total = scratch.save(total.unionByName(_occurrences(pairs, new)))
     good = scratch.save(worth.where(F.col("w") >= confidence).select("p"))
     new = seen.where("not seed").join(_few(good, BROADCAST_PATTERNS), "p").select("id", "th", F.struct(F.lit(4).alias("o"), "s", "e", F.lit("context").alias("k")).alias("x"))
     new = scratch.save(new.groupBy("id", "th").agg(F.collect_set("x").alias("more")).select(F.col("id").alias("rid"), F.col("th").alias("rth"), "more"))
