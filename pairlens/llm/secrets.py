@@ -2,13 +2,13 @@
 
 Base kinds are regular expressions. Runs of token characters are split at inner ``=``; a part that mixes the signs of
 base 64 and its URL form gives the parts that fit either, which may overlap and are all tested. Every further token of
-``MIN_LENGTH`` or more characters with letters and digits gets the smallest alphabet that fits it (hexadecimal, base 32,
-36, 62 or 64) and three tests of "drawn evenly and independently from this alphabet": chi-squared uniformity, runs above
+``MIN_LENGTH`` or more characters with letters and digits, or of ``PLAIN_LENGTH`` or more with letters alone, gets the
+smallest alphabet that fits it (hexadecimal, letters, base 32, 36, 62 or 64) and three tests of "drawn evenly and independently from this alphabet": chi-squared uniformity, runs above
 and below the alphabet's middle, and serial correlation of neighbours. Short tokens leave most cells of the alphabet
 empty; the chi-squared statistic is therefore used as what it counts, the number of equal pairs, on the square-root scale
 that makes its law near normal for few and many pairs. The three p-values combine by Sidak's rule.
 
-Two rules act within each class of length. Benjamini and Hochberg's step-up rule sets aside structured tokens and bounds
+Two rules act within each class of length (tokens without digits have classes of their own). Benjamini and Hochberg's step-up rule sets aside structured tokens and bounds
 the share of true keys among those. True keys have p-values spread evenly from 0 to 1 and structured tokens have small
 ones, so the tokens above ``HALF`` tell how many keys a class holds; the second rule reports from the largest p down only
 as far as the tokens beyond that number, over all reported, stay within the same level. That bounds the share of
@@ -33,7 +33,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
 
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
-MIN_LENGTH = 20
+#: Letters alone are tested from a length on at which the tests tell most words and names from keys.
+MIN_LENGTH, PLAIN_LENGTH = 20, 32
 #: Parts of a run between its inner ``=``, and the parts of those that mix both pairs of signs. Padding ends the run.
 PART = r"[A-Za-z0-9+/_-]{20,}+(?:=++$)?+"
 MIXED, PIECES = "[+/].*[_-]|[_-].*[+/]", (r"[A-Za-z0-9+/]{20,}+(?:=++$)?+", r"[A-Za-z0-9_-]{20,}+(?:=++$)?+")
@@ -43,6 +44,9 @@ UPPER = LOWER.upper()
 ENCODINGS = (
     ("[0-9a-f]+", DIGITS + LOWER[:6]),
     ("[0-9A-F]+", DIGITS + UPPER[:6]),
+    ("[a-z]+", LOWER),
+    ("[A-Z]+", UPPER),
+    ("[A-Za-z]+", UPPER + LOWER),
     ("[A-Z2-7]+", UPPER + "234567"),
     ("[0-9a-z]+", DIGITS + LOWER),
     ("[0-9A-Z]+", DIGITS + UPPER),
@@ -75,7 +79,8 @@ def two_sided(z: Column) -> Column:
 
 
 def token_tests(tokens: DataFrame) -> DataFrame:
-    """Adds n, alphabet, p_chi, p_runs, p_serial and p to a column ``t`` of tokens; tokens of no alphabet go."""
+    """Adds n, plain (no digits), alphabet, p_chi, p_runs, p_serial and p to a column ``t`` of tokens; tokens of no alphabet go."""
+    tokens = tokens.withColumn("plain", ~F.col("t").rlike("[0-9]"))
     alphabet = F.coalesce(*[F.when(F.col("t").rlike(f"^{r}$"), F.lit(a)) for r, a in ENCODINGS])
     df = tokens.withColumn("alphabet", alphabet).where(F.col("alphabet").isNotNull()).withColumn("n", F.length("t"))
     k = F.length("alphabet").cast("double")
@@ -104,9 +109,9 @@ def token_tests(tokens: DataFrame) -> DataFrame:
 
 def random_tokens(tests: DataFrame, q: float) -> DataFrame:
     """Rows of ``token_tests`` that both rules, at level q within each class of length, leave as random."""
-    df = tests.withColumn("c", F.least(F.floor(F.log2(F.col("n").cast("double"))), F.lit(12)).cast("int"))
+    df = tests.withColumn("c", (F.least(F.floor(F.log2(F.col("n").cast("double"))), F.lit(12)) + F.when(F.col("plain"), 16).otherwise(0)).cast("int"))
     df = df.withColumn("b", F.floor(-F.log10(F.greatest("p", F.lit(1e-12))) * STEP).cast("int"))
-    cells = df.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n_b"))  # at most 13 * 241 rows
+    cells = df.groupBy("c", "b").agg(F.count(F.lit(1)).alias("n_b"))  # at most 2 * 13 * 241 rows
     of = Window.partitionBy("c")
     cells = cells.withColumn("rank", F.sum("n_b").over(of.orderBy(F.desc("b")))).withColumn("m", F.sum("n_b").over(of))
     cells = cells.withColumn("kept", F.sum("n_b").over(of.orderBy("b"))).withColumn("high", F.sum(F.when(F.col("b") < HALF, F.col("n_b")).otherwise(0)).over(of))
@@ -131,7 +136,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     df = df.select("id", F.xxhash64("text").alias("th"), base_spans(F.col("text")).alias("base"), match_spans(F.col("text"), TOKEN).alias("t"))
-    mixed = lambda x: x["m"].rlike("[0-9]") & x["m"].rlike("[A-Za-z]")
+    mixed = lambda x: x["m"].rlike("[A-Za-z]") & (x["m"].rlike("[0-9]") | (F.length(x["m"]) >= PLAIN_LENGTH))
     apart = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
     df = scratch.save(df.withColumn("t", F.filter("t", mixed)))
     tokens = df.where(F.size("t") > 0).select("id", "th", "base", F.explode("t").alias("t"))
@@ -141,8 +146,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tokens = tokens.select("id", "th", "base", (F.col("at") + F.col("t.s")).alias("at"), F.explode(pieces).alias("t"))
     tokens = tokens.select("id", "th", "base", F.struct((F.col("at") + F.col("t.s")).alias("s"), (F.col("at") + F.col("t.e")).alias("e"), "t.m").alias("t"))
     tokens = tokens.where(mixed(F.col("t")) & apart(F.col("t")))
-    tokens = tokens.select("id", "th", "t.s", "t.e", F.rtrim(F.col("t.m"), F.lit("=")).alias("t")).where(F.length("t") >= MIN_LENGTH)
-    tests = scratch.save(token_tests(tokens).select("id", "th", "s", "e", "n", "p"))
+    tokens = tokens.select("id", "th", "t.s", "t.e", F.rtrim(F.col("t.m"), F.lit("=")).alias("t"))
+    tokens = tokens.where(F.length("t") >= F.when(F.col("t").rlike("[0-9]"), MIN_LENGTH).otherwise(PLAIN_LENGTH))
+    tests = scratch.save(token_tests(tokens).select("id", "th", "s", "e", "n", "p", "plain"))
     added = random_tokens(tests, q).select("id", "th", F.struct("s", F.lit(3).alias("o"), "e", F.lit("random").alias("k")).alias("x"))
     added = scratch.save(added.groupBy("id", "th").agg(F.collect_set("x").alias("more")).select(F.col("id").alias("rid"), F.col("th").alias("rth"), "more"))
     out = df.drop("t").join(added, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left")

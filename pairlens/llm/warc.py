@@ -30,7 +30,7 @@ from .common import Scratch
 
 #: Fixed values of the format: magic number of the dictionary's skippable frame.
 DICT_MAGIC = 0x184D2A5D
-#: Record bytes in an archive, sample bytes for its dictionary, and the dictionary's size.
+#: Record bytes in an archive, bytes of the whole records its dictionary is trained on (about), and the dictionary's size.
 ARCHIVE_BYTES, SAMPLE_BYTES, DICT_BYTES = 24 << 20, 1 << 20, 32 << 10
 BROADCAST_DIGESTS = 100_000
 DATE = "2026-01-01T00:00:00Z"
@@ -69,7 +69,7 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, k
 
 def _trained(records: list[bytes], total: int) -> zstandard.ZstdCompressionDict | None:
     step = max(1, total // SAMPLE_BYTES)
-    samples = [r[:65536] for r in records[::step]]
+    samples = records[::step]
     if len(samples) < 8:
         return None
     try:

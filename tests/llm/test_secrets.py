@@ -1,10 +1,11 @@
 import hashlib
+import math
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from pairlens.llm.secrets import random_tokens, scan_secrets, token_tests
+from pairlens.llm.secrets import ENCODINGS, random_tokens, scan_secrets, token_tests
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -99,3 +100,43 @@ def test_keys_after_names_and_in_mixed_paths(spark):
     df = spark.createDataFrame(rows + [(90, "NAME=" + key[:30] + "==")], "doc_id long, text string")
     got = {r.doc_id: r.spans.split(",") for r in scan_secrets(df).collect()}
     assert sum(want[i] in got[i] for i in want) >= 0.9 * len(want) and got[90] == ["random:5:37"]
+
+
+def statistics(t):
+    """The three p-values written out: equal pairs on the square-root scale, runs of halves, serial correlation."""
+    alphabet = next(a for r, a in ENCODINGS if re.fullmatch(r, t))
+    n, k = len(t), len(alphabet)
+    two_sided = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    pairs = sum(t[i] == t[j] for i in range(n) for j in range(i))
+    chi = two_sided(2 * (math.sqrt(pairs + 0.375) - math.sqrt(n * (n - 1) / (2 * k) + 0.375)) / math.sqrt(1 - 1 / k))
+    half = [alphabet.index(c) >= k // 2 for c in t]
+    ones, runs = sum(half), 1 + sum(a != b for a, b in zip(half, half[1:]))
+    mu = 2 * ones * (n - ones) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    run = two_sided((runs - mu) / math.sqrt(var)) if var > 0 else 0.0
+    x = [alphabet.index(c) for c in t]
+    mean = sum(x) / n
+    ss = sum((v - mean) ** 2 for v in x)
+    r = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / ss if ss else 1.0
+    serial = two_sided((r + 1 / n) * math.sqrt(n))
+    return chi, run, serial, 1 - (1 - min(chi, run, serial)) ** 3
+
+
+def test_statistics_against_brute_force(spark):
+    keys, names = _planted(random.Random(5))
+    tokens = keys[:200] + names[:200] + ["a" * 40, "ab" * 20, "0" * 19 + "1", "QWERTYUIOPASDFGHJKLZXCVBNM" * 2]
+    for r in token_tests(spark.createDataFrame([(t,) for t in tokens], "t string")).collect():
+        assert max(abs(a - b) for a, b in zip((r.p_chi, r.p_runs, r.p_serial, r.p), statistics(r.t))) < 1e-5, r.t
+
+
+def test_keys_without_digits(spark):
+    rng = random.Random(12)
+    word = "get set user account service handler request response config value index table manager session order invoice".split()
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choices(rng.choice([lower + lower.upper(), lower, lower.upper()]), k=40)) for _ in range(60)]
+    names = [x for x in ("".join(w.capitalize() for w in rng.choices(word, k=7)) for _ in range(200)) if len(x) >= 32]
+    rows = [(i, f"see {t} here") for i, t in enumerate(keys + names)] + [(900, "short" + "".join(rng.choices(lower, k=24)))]
+    got = {r.doc_id: r.n_random for r in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit, wrong = sum(got[i] for i in range(60)), sum(got[i] for i in got if i >= 60)
+    print("keys", hit, "of 60, names", wrong, "of", len(names))
+    assert hit >= 48 and wrong <= 0.1 * (hit + wrong)
