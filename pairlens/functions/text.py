@@ -13,6 +13,11 @@ def normal_space(t: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(t, WHITE, " ")))
 
 
+def without_space(t: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(t, r"^[\t\n\x0b\f\r ]+|[\t\n\x0b\f\r ]+$", "")
+
+
 #: Words that start the name of an edition, and words that deny what follows them.
 EDITIONS = "directors?|extended|unrated|special|theatrical|ultimate|final|collectors?|anniversary|remastered|uncut|redux"
 NEGATORS = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scores", "dated", "quality", "texts", "audits", "misc")
+MODULES = ("scores", "dated", "quality", "texts", "audits", "validators", "misc")
 
 
 def load() -> None:

@@ -36,11 +36,6 @@ _CASE = """CASE m WHEN 8 THEN 'no object' WHEN 9 THEN 'no object' WHEN 3 THEN 'w
 _SRC = "(SELECT event_id, user_id, round(value)::INT AS v, (event_id % 11)::INT AS m FROM events)"
 
 
-@query(f"SELECT event_id, {_CASE} AS reason FROM {_SRC}")
-def dq_pairing_verdict(spark, sf):
-    return Q.with_reason(_parsed(spark, sf), _RULES).select("event_id", "reason")
-
-
 @query(f"SELECT user_id, coalesce({_CASE}, 'kept') AS reason, count(*) AS n FROM {_SRC} GROUP BY ALL")
 def dq_person_verdict(spark, sf):
     return Q.taxonomy(Q.with_reason(_parsed(spark, sf), _RULES), "user_id")
@@ -51,20 +46,6 @@ def agg_taxonomy(spark, sf):
     return Q.taxonomy(Q.with_reason(_parsed(spark, sf), _RULES))
 
 
-@query(f"SELECT event_id, CASE WHEN m IN (8, 9) THEN 'no object' WHEN m IN (1, 2) THEN 'not a number' WHEN v < 0 OR v > 100 THEN 'out of range' END AS reason FROM {_SRC}")
-def dq_standing_verdict(spark, sf):
-    rules = [("no object", "not found"), ("not a number", "gap is null"), ("out of range", "gap < 0 or gap > 100 or gap <> floor(gap)")]
-    return Q.with_reason(_parsed(spark, sf), rules).select("event_id", "reason")
-
-
-@query("SELECT conv_id, count(*) AS elements, count(CASE WHEN role NOT IN ('user', 'assistant') OR text = '' THEN 1 END) > 0 AS refused FROM conversations GROUP BY conv_id")
-def dq_couples_verdict(spark, sf):
-    doc = demo.table(spark, sf, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(F.struct("turn", "role", "text"))).alias("j"))
-    each = doc.select("conv_id", F.explode(F.from_json("j", "array<struct<turn:bigint,role:string,text:string>>")).alias("e"))
-    bad = F.expr("e.role is null or e.role not in ('user', 'assistant') or coalesce(e.text, '') = ''")
-    return each.groupBy("conv_id").agg(F.count(F.lit(1)).alias("elements"), F.bool_or(bad).alias("refused"))
-
-
 _NORM = r"trim(lower(regexp_replace({}, '[\t\n\x0b\f\r ]+', ' ', 'g')))"
 
 
@@ -91,29 +72,11 @@ def dq_mention(spark, sf):
     return df.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 7).alias("place"))
 
 
-@query("""SELECT event_id, CASE WHEN k IS NULL THEN 'no payload' WHEN event_type = 'purchase' AND k = 0 THEN 'length zero' WHEN event_type = 'click' AND k > 90 THEN 'length below rank' WHEN event_type = 'view' AND k % 10 = 0 THEN 'bad rating' END AS reason FROM (SELECT event_id, event_type, json_extract_string(props, '$.k')::INT AS k FROM events)""")
-def dq_evidence_union(spark, sf):
-    df = demo.table(spark, sf, "events").withColumn("o", F.try_parse_json("props"))
-    df = df.withColumn("k", Q.number(F.col("o"), "$.k"))
-    rules = [("no payload", "k is null"), ("length zero", "event_type = 'purchase' and k = 0"), ("length below rank", "event_type = 'click' and k > 90"), ("bad rating", "event_type = 'view' and k % 10 = 0")]
-    return Q.with_reason(df, rules).select("event_id", "reason")
-
-
 @query("SELECT s_suppkey, CASE WHEN s_name IS NULL OR s_name = '' THEN 'no description' WHEN s_acctbal < 0 THEN 'no route' END AS reason FROM supplier")
 def dq_edition(spark, sf):
     return Q.with_reason(demo.table(spark, sf, "supplier"), [("no description", "coalesce(s_name, '') = ''"), ("no route", "s_acctbal < 0")]).select("s_suppkey", "reason")
 
 
-@query("SELECT entity, period, CASE WHEN estimate < 0 OR estimate > 100 THEN 'out of range' WHEN n_obs = 0 THEN 'not cited' WHEN n_obs = 1 THEN 'cited once' END AS reason FROM estimates")
-def dq_estimate(spark, sf):
-    return Q.with_reason(demo.estimates(spark, sf), [("out of range", "estimate < 0 or estimate > 100"), ("not cited", "n_obs = 0"), ("cited once", "n_obs = 1")]).select("entity", "period", "reason")
-
-
-@query("SELECT grader, contract_id, CASE WHEN NOT judged THEN 'not judged' WHEN score_t < 2 OR score_t > 100 THEN 'out of range' ELSE 'kept' END AS reason, count(*) AS n FROM gradings GROUP BY ALL")
-def dq_grading(spark, sf):
-    return Q.taxonomy(Q.with_reason(demo.gradings(spark, sf), [("not judged", "not judged"), ("out of range", "score_t < 2 or score_t > 100")]), "grader", "contract_id")
-
-
 @query("SELECT entity FROM (SELECT DISTINCT a AS entity FROM pairings_screen UNION SELECT DISTINCT b FROM pairings_screen) WHERE entity NOT IN (SELECT entity FROM gradings WHERE judged)")
 def dq_spec_complete(spark, sf):
     need = demo.pairings_screen(spark, sf).select(F.explode(F.array("a", "b")).alias("entity")).distinct()
