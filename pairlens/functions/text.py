@@ -40,9 +40,12 @@ def normal_list(t: Column) -> Column:
     return F.regexp_replace(spaced, "^(the|a|an) ", "")
 
 
+#: Fixed value: the shape of a name, two to five capitalised words with periods, hyphens and either apostrophe.
+NAME = r"^[A-Z][A-Za-z.'’\-]*(?: [A-Z][A-Za-z.'’\-]*){1,4}$"
+
+
 def is_name(t: Column) -> Column:
-    """Two to five capitalised words, with periods, hyphens and either apostrophe."""
-    return F.trim(t).rlike(r"^[A-Z][A-Za-z.'’\-]*(?: [A-Z][A-Za-z.'’\-]*){1,4}$")
+    return F.trim(t).rlike(NAME)
 
 
 def redacted(t: Column, *names: Column, put: str = "[SUBJECT]") -> Column:

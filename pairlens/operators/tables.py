@@ -69,6 +69,21 @@ def _date(cell: Column) -> Column:
     return F.coalesce(template, plain, F.when(text.rlike(r"^\d{4}$"), text))
 
 
+def _plain_cell(cell: Column) -> Column:
+    """The words of a cell without link: what stands after its attributes, up to a note in brackets; empty if it holds
+    other wiki syntax."""
+    shown = F.substring_index(F.translate(F.replace(cell, F.lit("&nbsp;"), F.lit(" ")), "\u00a0", " "), "|", -1)
+    words = F.regexp_extract(shown, r"^((?:[^<(\[{]|<[^>]*>|\((?!\d+\)\s*$))*)(?:\(\d+\)\s*)?$", 1)
+    return F.trim(F.array_join(F.split(words, r"<[^>]*>", -1), ""))
+
+
+def _plain_role(role: Column) -> Column:
+    """The name a cast line gives: its first piece, where links show their text and quotes, templates and marks are none."""
+    pieces = F.split(role, r"\{\{[^}]*\}\}|'{2,}|\]\]", -1)
+    shown = F.array_join(F.transform(pieces, lambda p: F.regexp_replace(p, r"\[\[(?:[^|]*\|)?", "")), "")
+    return F.trim(F.regexp_extract(shown, r"^\s*(.*?)\s*(?:,.*|\s[-–]\s.*|\s\(.*)?$", 1), F.lit(" '\"*"))
+
+
 def award_rows(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, at, value, precision, year, winner, status) for every row of two or more cells.
 
@@ -76,7 +91,7 @@ def award_rows(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> D
     up to the next date. ``status``: linked, unlinked (a bare text that reads like a name), no link, or no date.
     """
     df = _blocks(docs, id_col, text_col).withColumn("cells", F.transform(F.split("block", r"\n\|", -1), lambda c: F.trim(c, F.lit(" \t\n"))))
-    df = df.withColumn("cells", F.slice("cells", 2, 1000)).where("size(cells) >= 2").withColumn("own", _date(F.col("cells")[0]))
+    df = df.withColumn("cells", F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))).where("size(cells) >= 2").withColumn("own", _date(F.col("cells")[0]))
     span = F.coalesce(_found(F.col("cells")[0], ROWSPAN).cast("int"), F.lit(1))
     table = Window.partitionBy("id").orderBy("at")
     df = df.withColumn("n", F.row_number().over(table))
@@ -84,8 +99,7 @@ def award_rows(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> D
     df = df.withColumn("value", F.when(F.col("n") < F.col("last.n") + F.col("last.span"), F.col("last.own")))
     cell = F.when(F.col("own").isNotNull(), F.col("cells")[1]).otherwise(F.col("cells")[0])
     df = df.withColumn("cell", cell).withColumn("link", F.trim(_found(F.col("cell"), r"\[\[([^\]|]+)(?:\|[^\]]+)?\]\]")))
-    bare = F.regexp_replace(F.regexp_replace(F.replace(F.element_at(F.split("cell", r"\|", -1), -1), F.lit("&nbsp;"), F.lit(" ")), r"\s*\(\d+\)\s*$", ""), "<[^>]+>", "")
-    bare = F.when(bare.rlike(r"[\[{]"), "").otherwise(F.trim(bare))
+    bare = _plain_cell(F.col("cell"))
     status = F.when(F.col("value").isNull(), "no date").when(F.col("link").isNotNull(), "linked").when(is_name(bare), "unlinked").otherwise("no link")
     df = df.withColumn("status", status)
     winner = F.when(F.col("status") == "linked", F.col("link")).when(F.col("status") == "unlinked", bare)
@@ -97,7 +111,5 @@ def cast_lines(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> D
     """(id, actor, character) from the lines ``* [[actor]] as character``; of an actor's lines in a text the last counts."""
     actors, roles = (F.regexp_extract_all(F.col(text_col), F.lit(CAST_LINE), F.lit(g)) for g in (1, 2))
     df = docs.select(F.col(id_col).alias("id"), F.posexplode(F.arrays_zip(actors.alias("actor"), roles.alias("role"))).alias("at", "x"))
-    plain = F.regexp_replace(F.regexp_replace("x.role", r"\[\[(?:[^\]|]*\|)?([^\]]+)\]\]", "$1"), r"'''|''|\{\{[^}]*\}\}", "")
-    name = F.trim(F.split(F.trim(plain), r"\s+[-–]\s+|,|\s+\(", -1)[0], F.lit(" '\"*"))
-    df = df.select("id", F.trim("x.actor").alias("actor"), "at", name.alias("character")).where("character <> ''")
+    df = df.select("id", F.trim("x.actor").alias("actor"), "at", _plain_role(F.col("x.role")).alias("character")).where("character <> ''")
     return df.groupBy("id", "actor").agg(F.max_by("character", "at").alias("character"))

@@ -21,11 +21,11 @@ def _saver(spark, name):
     return lambda df: W.snapshot(df, W.shared_path(spark, name))
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders")
 def src_json(spark, sf):
     path = W.shared_path(spark, "json")
-    demo.table(spark, sf, "nation").write.json(path)
-    return R.json_artifact(spark, path, "n_nationkey int, n_name string, n_regionkey int", "the nation export")
+    demo.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").write.json(path)
+    return R.json_artifact(spark, path, "o_orderkey long, o_custkey long, o_orderpriority string", "the orders export")
 
 
 @query("SELECT p_partkey, p_name, p_size FROM part")
@@ -40,12 +40,11 @@ def src_verdict_files(spark, sf):
     """Every verdict file with the key from its name; those whose record is not known are listed as unmatched."""
     # One text file for each verdict: a partition of the write holds one row.
     path, s = W.shared_path(spark, "verdicts"), demo.table(spark, sf, "supplier")
-    rows = s.select(F.concat(F.lit("s"), "s_suppkey", F.lit("__fam"), F.col("s_suppkey") % 2).alias("file"), F.col("s_name").alias("value"))
-    rows.repartition("file").write.partitionBy("file").text(path)
-    raw = spark.read.option("basePath", path).text(path, wholetext=True).select(F.trim(F.regexp_replace("value", "\n", "")).alias("text"), "file")
-    raw = raw.select("text", F.regexp_extract("file", r"^s(\d+)__(\w+)$", 1).cast("long").alias("s_suppkey"), F.regexp_extract("file", r"^s(\d+)__(\w+)$", 2).alias("family"))
-    known = s.where("s_nationkey < 20").select("s_suppkey", F.lit(True).alias("known"))
-    return raw.join(known, "s_suppkey", "left").select("s_suppkey", "family", "text", F.coalesce("known", F.lit(False)).alias("matched"))
+    rows = s.select(F.concat("s_suppkey", F.lit("__fam"), F.col("s_suppkey") % 2).alias("name"), F.col("s_name").alias("value"))
+    rows.repartition("name").write.partitionBy("name").text(path)
+    raw = spark.read.option("basePath", path).text(path, wholetext=True).withColumnRenamed("value", "text")
+    found = R.verdict_files(raw, s.where("s_nationkey < 20").select(F.col("s_suppkey").alias("id")))
+    return found.select(F.col("id").cast("long").alias("s_suppkey"), "family", "text", "matched")
 
 
 @query("SELECT source_rank, domain, count(*) AS n FROM (SELECT 0 AS source_rank, domain FROM pairings_screen WHERE weight_h = 100 UNION ALL SELECT 1, 'real_life' FROM pairings_life) GROUP BY ALL")
@@ -97,19 +96,21 @@ def sink_snapshot(spark, sf):
     return W.snapshot(demo.board(spark, sf).select("side", "domain", "entity", "total"), W.shared_path(spark, "board"))
 
 
-@query("SELECT count(*) AS rows, TRUE AS first, FALSE AS poorer FROM board")
+@query("SELECT count(*) AS rows, TRUE AS first, FALSE AS poorer, count(*) FILTER (WHERE side = 'a') AS forced FROM board")
 def sink_guarded(spark, sf):
-    path, rows = W.shared_path(spark, "guarded"), demo.board(spark, sf)
-    first = W.guarded(rows, path, "count(1)")
-    poorer = W.guarded(rows.where("side = 'a'"), path, "count(1)")
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.lit(first).alias("first"), F.lit(poorer).alias("poorer"))
+    root, rows = W.shared_path(spark, "guarded"), W.snapshot(demo.board(spark, sf), W.shared_path(spark, "board"))
+    first = W.guarded(rows, root, "count(1)")
+    poorer = W.guarded(rows.where("side = 'a'"), root, "count(1)")
+    kept = W.read_current(spark, root).count()
+    W.guarded(rows.where("side = 'a'"), root, "count(1)", force=True)
+    return W.read_current(spark, root).agg(F.lit(kept).cast("long").alias("rows"), F.lit(first).alias("first"), F.lit(poorer).alias("poorer"), F.count(F.lit(1)).alias("forced"))
 
 
-@query("SELECT count(*) AS rows, TRUE AS same FROM nation")
+@query("SELECT count(*) AS rows, TRUE AS same FROM customer")
 def sink_versioned(spark, sf):
-    root, rows = W.shared_path(spark, "history"), demo.table(spark, sf, "nation")
+    root, rows = W.shared_path(spark, "history"), demo.table(spark, sf, "customer")
     one = W.versioned(rows.withColumn("at", F.current_timestamp()), root, ["at"])
-    two = W.versioned(rows.orderBy(F.desc("n_name")).withColumn("at", F.current_timestamp()), root, ["at"])
+    two = W.versioned(rows.orderBy(F.desc("c_name")).withColumn("at", F.current_timestamp()), root, ["at"])
     return spark.read.parquet(one).agg(F.count(F.lit(1)).alias("rows"), F.lit(one == two).alias("same"))
 
 

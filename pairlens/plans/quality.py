@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import quality as Q
+from ..sources import readers as R
+from ..sources import writers as W
 from . import demo
 from .registry import query
 
@@ -103,6 +105,26 @@ def dq_reconcile(spark, sf):
     return _stages(spark, sf).where("attempted <> succeeded + cached + failed").selectExpr("stage", "attempted - succeeded - cached - failed as unaccounted")
 
 
-@query(f"SELECT stage, attempted, succeeded, cached, failed FROM {_STAGE}")
+_RUNS = """(SELECT event_type AS type, day, count(*) AS attempted, count(*) FILTER (WHERE value <= 50) AS succeeded, count(*) FILTER (WHERE value > 50 AND value <= 90) AS cached, count(*) FILTER (WHERE value > 90) AS failed
+    FROM (SELECT *, date_diff('day', DATE '2024-01-01', ts::DATE) AS day FROM events) GROUP BY ALL)"""
+
+
+@query(f"""SELECT r.stage, runs, attempted, succeeded, failed, cached, excluded, coalesce(errors, '') AS errors FROM (
+    SELECT CASE WHEN day % 10 = 8 THEN type || '-' || day ELSE type END AS stage, count(*) AS runs, sum(attempted)::BIGINT AS attempted, sum(succeeded)::BIGINT AS succeeded, sum(failed)::BIGINT AS failed, sum(cached)::BIGINT AS cached, 0::BIGINT AS excluded FROM {_RUNS} WHERE day % 10 <> 9 GROUP BY 1) r
+    LEFT JOIN (SELECT stage, string_agg(kind || ':' || n, ',' ORDER BY kind) AS errors FROM (SELECT CASE WHEN day % 10 = 8 THEN event_type || '-' || day ELSE event_type END AS stage, 'kind ' || event_id % 3 AS kind, count(*) AS n
+        FROM (SELECT *, date_diff('day', DATE '2024-01-01', ts::DATE) AS day FROM events) WHERE value > 90 AND day % 10 <> 9 GROUP BY ALL) GROUP BY stage) e ON e.stage = r.stage""")
 def src_manifests(spark, sf):
-    return _stages(spark, sf)
+    """One manifest for each type and day of events; some lack the stage, and those of every tenth day are cut off."""
+    e = demo.table(spark, sf, "events").withColumn("day", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))).withColumn("failed", F.col("value") > 90)
+    n = lambda x: F.count_if(F.expr(x))
+    kinds = e.where("failed").groupBy("event_type", "day", F.concat(F.lit("kind "), F.col("event_id") % 3).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.groupBy("event_type", "day").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("error_taxonomy"))
+    runs = e.groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("attempted"), n("value <= 50").alias("succeeded"), n("value > 50 and value <= 90").alias("cached"), n("failed").alias("failed")).join(kinds, ["event_type", "day"], "left")
+    summary = F.struct("attempted", "succeeded", "cached", "failed", "error_taxonomy")
+    text = F.to_json(F.struct(F.when(F.col("day") % 10 != 8, F.col("event_type")).alias("stage_name"), F.array(summary).alias("summaries")))
+    path = W.shared_path(spark, "manifests")
+    files = runs.withColumn("m", text).select(F.concat_ws("-", "event_type", "day").alias("name"), F.when(F.col("day") % 10 == 9, F.expr("left(m, cast(length(m) / 2 as int))")).otherwise(F.col("m")).alias("value"))
+    files.repartition("name").write.partitionBy("name").text(path)
+    raw = spark.read.option("basePath", path).text(path, wholetext=True).select("name", F.col("value").alias("text"))
+    errors = F.array_join(F.transform(F.array_sort(F.map_entries("errors")), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",")
+    return R.manifests(raw).select("stage", "runs", "attempted", "succeeded", "failed", "cached", "excluded", errors.alias("errors"))

@@ -5,14 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.keys import fingerprint
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a local one only where the session names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pairlens-")
+    """A new path in the folder that all executors share; one of this machine only for a local session that names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="pairlens-")
+        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
@@ -26,19 +32,75 @@ def snapshot(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def guarded(df: DataFrame, path: str, metric: str, force: bool = False) -> bool:
-    """Replaces a table unless the new one is poorer by the metric (an SQL aggregate); says whether it did."""
-    spark = df.sparkSession
-    if exists(spark, path) and not force:
-        old = spark.read.parquet(path).selectExpr(f"{metric} as m").first()["m"]
-        if df.selectExpr(f"{metric} as m").first()["m"] < old:
+#: Name of the file that says which version of a table holds.
+POINTER = "_current"
+
+
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, root: str) -> str | None:
+    """The version of a table that holds, or None."""
+    where, fs = _path(spark, f"{root}/{POINTER}")
+    if not fs.exists(where):
+        return None
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def _switch(spark: SparkSession, root: str, version: str) -> None:
+    """Makes a written version the one that holds: the pointer is written aside and renamed over the old one in one step."""
+    jvm = spark.sparkContext._jvm
+    aside, fs = _path(spark, f"{root}/{POINTER}.{version}")
+    out = fs.create(aside, True)
+    out.write(bytearray(version, "ascii"))
+    out.close()
+    options = jvm.org.apache.hadoop.fs.Options.Rename
+    flags = spark.sparkContext._gateway.new_array(options, 1)
+    flags[0] = options.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}"), flags)
+
+
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    version = current(spark, root)
+    if version is None:
+        raise FileNotFoundError(f"{root} holds no table yet")
+    return spark.read.parquet(f"{root}/{version}")
+
+
+def guarded(df: DataFrame, root: str, metric: str, force: bool = False) -> bool:
+    """Replaces a table unless the new one is strictly poorer by the metric (an SQL aggregate); says whether it did.
+
+    The new rows are written once, as a version of their own, and measured there; then the pointer moves to it. Whatever
+    fails before that, readers keep the old table. A table that cannot be read or has no value of the metric is replaced;
+    versions that held before stay.
+    """
+    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{version}")
+    if not force and (old := _measured(spark, root, current(spark, root), metric)) is not None:
+        new = _measured(spark, root, version, metric)
+        if new is not None and new < old:
+            where, fs = _path(spark, f"{root}/{version}")
+            fs.delete(where, True)
             return False
-    aside = f"{path}.next"
-    df.write.mode("overwrite").parquet(aside)
-    spark.read.parquet(aside).write.mode("overwrite").parquet(path)
+    _switch(spark, root, version)
     return True
 
 
+def _measured(spark: SparkSession, root: str, version: str | None, metric: str):
+    if version is None:
+        return None
+    try:
+        return spark.read.parquet(f"{root}/{version}").selectExpr(f"{metric} as m").first()["m"]
+    except AnalysisException:  # unreadable, or without the columns of the metric
+        return None
+
+
 def versioned(df: DataFrame, root: str, volatile: list[str]) -> str:
     """Writes under the digest of the content; the same content is written once."""
     path = f"{root}/content_id={fingerprint(df, volatile).first()['digest']}"

@@ -13,6 +13,7 @@ from pairlens.operators import quality as Q
 from pairlens.operators import sampling as S
 from pairlens.operators import temporal as T
 from pairlens.plans.texts import holders
+from pairlens.sources import readers as R
 from pairlens.sources import writers as W
 
 
@@ -106,10 +107,39 @@ def test_merge_twice_adds_nothing(spark):
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
 
 
-def test_guarded_sink_keeps_the_richer_table(spark, tmp_path):
-    path, df = f"file://{tmp_path}/t", spark.range(10)
-    assert W.guarded(df, path, "count(1)") and not W.guarded(df.limit(5), path, "count(1)") and W.guarded(df.limit(5), path, "count(1)", force=True)
-    assert spark.read.parquet(path).count() == 5
+def test_guarded_sink_keeps_the_richer_table(spark, tmp_path, monkeypatch):
+    root, df = f"file://{tmp_path}/t", spark.range(10)
+    with pytest.raises(FileNotFoundError):
+        W.read_current(spark, root)
+    assert W.guarded(df, root, "count(1)") and not W.guarded(df.limit(5), root, "count(1)") and W.read_current(spark, root).count() == 10
+    assert len(list((tmp_path / "t").glob("v-*"))) == 1
+    assert W.guarded(df.limit(5), root, "count(1)", force=True) and W.read_current(spark, root).count() == 5
+    assert W.guarded(df.limit(3), root, "count(no_such_column)") and W.read_current(spark, root).count() == 3
+
+    def fails(*_):
+        raise OSError("the second step")
+
+    monkeypatch.setattr(W, "_switch", fails)
+    with pytest.raises(OSError):
+        W.guarded(df, root, "count(1)")
+    assert W.read_current(spark, root).count() == 3
+    monkeypatch.undo()
+    assert W.guarded(df, root, "count(1)") and W.read_current(spark, root).count() == 10
+
+
+def test_manifests_add_up(spark):
+    rows = [
+        ("a", '{"stage_name": "s", "summaries": [{"attempted": 5, "failed": 2, "error_taxonomy": {"x": 1, "y": 1}}, {"attempted": 1, "cached": 1}]}'), ("b", '{"stage_name": "s", "summaries": [{"attempted": 2, "failed": 1, "error_taxonomy": {"x": 1}}]}'),
+        ("c", '{"stage_name": "s", "summaries": [{"attem'), ("d", '{"summaries": []}'), ("e", "{}"), ("f", None),
+    ]
+    got = {r.stage: (r.runs, r.attempted, r.failed, r.cached, r.errors) for r in R.manifests(spark.createDataFrame(rows, "name string, text string")).collect()}
+    assert got == {"s": (2, 8, 3, 1, {"x": 2, "y": 1}), "d": (1, 0, 0, 0, {}), "e": (1, 0, 0, 0, {})}
+
+
+def test_verdict_files(spark):
+    raw = spark.createDataFrame([("7__f.txt", "a\n"), ("x__y__g", "b"), ("8__f", " c "), ("none", "d")], "name string, text string")
+    got = R.verdict_files(raw, spark.createDataFrame([(7,), (7,)], "id long")).collect()
+    assert sorted((r.id or "", r.family or "", r.text, r.matched) for r in got) == [("", "", "d", False), ("7", "f", "a", True), ("8", "f", "c", False), ("x__y", "g", "b", False)]
 
 
 def test_quotes_of_any_length_are_found(spark):
