@@ -89,6 +89,28 @@ def gap_measures(rows: DataFrame) -> DataFrame:
     )
 
 
+def broken_partitions(rows: DataFrame) -> DataFrame:
+    """(pairing_id, days, total_days, shares): pairings whose period days do not sum to their total, with what they have."""
+    shares = F.transform(F.array_sort(F.collect_list(F.struct("period", "days"))), lambda x: F.concat_ws(":", x["period"], x["days"]))
+    per = rows.groupBy("pairing_id").agg(F.sum("days").alias("days"), F.max("total_days").alias("total_days"))
+    bad = per.where("days <> total_days")
+    return bad.join(rows.groupBy("pairing_id").agg(F.array_join(shares, ",").alias("shares")), "pairing_id")  # a row for each period
+
+
+def offset_ladder(scored: DataFrame, deltas: list[int]) -> DataFrame:
+    """(delta, total, rate, moved_by_exposure, same_order): every gap shifted by each of a few constants.
+
+    The shift is applied to the gaps themselves and totals are taken anew, so the two checks can fail: that the total
+    moved by the constant times the exposure, and that no two neighbours in the order of the rates changed places.
+    """
+    shifted = scored.withColumn("delta", F.explode(F.array(*[F.lit(d).cast("long") for d in deltas])))
+    per = shifted.groupBy("delta", "a").agg(F.sum(F.col("weight_h") * (F.col("gap_u") + F.col("delta"))).alias("t"), F.sum(F.col("weight_h") * F.col("gap_u")).alias("t0"), F.sum("weight_h").alias("w"))
+    # The order stays if each rate moved by one and the same amount.
+    amount = F.col("t") * F.lit(1.0) / F.col("w") - F.col("t0") * F.lit(1.0) / F.col("w")
+    out = per.groupBy("delta").agg(F.sum("t").alias("total"), F.sum("t0").alias("t0"), F.sum("w").alias("w"), (F.max(amount) - F.min(amount) < 1e-3).alias("same_order"))
+    return out.select("delta", "total", F.round(F.col("total") / F.col("w"), 6).alias("rate"), (F.col("total") - F.col("t0") == F.col("delta") * F.col("w")).alias("moved_by_exposure"), "same_order")
+
+
 def partner_mass(rows: DataFrame, baseline: int) -> DataFrame:
     """Days-weighted partner scores above a frozen baseline, for each entity of side a."""
     df = rows.where("b_h is not null").groupBy("a").agg(F.sum(F.expr(f"days * (b_h - {baseline})")).alias("mass"), F.sum("days").alias("days"))

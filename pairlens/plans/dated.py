@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import dates as D
 from ..functions import keys as K
+from ..operators import diagnostics as DG
 from ..operators import gradings as G
 from ..operators import temporal as T
 from . import demo
@@ -64,10 +65,10 @@ def dt_truncate_precision(spark, sf):
     return _coded(spark, sf).select("o_orderkey", D.truncated(F.col("v"), F.col("code")).alias("value"))
 
 
-@query("SELECT n_nationkey, try_cast((2000 + n_nationkey) || '-02-' || (28 + n_nationkey % 3) AS DATE) IS NOT NULL AS valid FROM nation")
+@query("SELECT o_orderkey, try_cast((2000 + o_custkey % 25) || '-02-' || (27 + o_orderkey % 4) AS DATE) IS NOT NULL AS valid FROM orders")
 def dt_validate(spark, sf):
-    v = F.concat((2000 + F.col("n_nationkey")).cast("string"), F.lit("-02-"), (28 + F.col("n_nationkey") % 3).cast("string"))
-    return demo.table(spark, sf, "nation").select("n_nationkey", D.is_valid(v, F.lit("day")).alias("valid"))
+    v = F.concat((2000 + F.col("o_custkey") % 25).cast("string"), F.lit("-02-"), (27 + F.col("o_orderkey") % 4).cast("string"))
+    return demo.table(spark, sf, "orders").select("o_orderkey", D.is_valid(v, F.lit("day")).alias("valid"))
 
 
 @query(f"""SELECT o_orderkey, CASE code WHEN 9 THEN date_trunc('year', d) WHEN 10 THEN date_trunc('month', d) WHEN 11 THEN d END::DATE::VARCHAR AS earliest,
@@ -257,12 +258,23 @@ def jn_dials_grid(spark, sf):
     return demo.pair_scores(spark, sf).crossJoin(F.broadcast(grid)).where("abs(gap_u) > floor and weight_h > weight").groupBy("floor", "weight").agg(F.count(F.lit(1)).alias("pairings"))
 
 
-@query(f"""SELECT 'equal shapes stay within 100' AS claim, bool_and(abs(b_est - a_est) <= 100) AS holds, count(*) AS checked, count(CASE WHEN abs(b_est - a_est) > 100 THEN 1 END) AS exceptions FROM {_J} WHERE a_shape = b_shape
-    UNION ALL SELECT 'sources lie within one period', bool_and(abs(a_src - period) <= 1), count(*), count(CASE WHEN abs(a_src - period) > 1 THEN 1 END) FROM {_J} WHERE a_src IS NOT NULL""")
+_FLOOR = "(SELECT max(lsd) AS floor FROM (SELECT 2.77 * avg(sd) AS lsd FROM rater GROUP BY shape HAVING NOT bool_and(sd = 0)))"
+_BEYOND = "a_est IS NOT NULL AND b_est IS NOT NULL AND abs(b_est - a_est) > floor / 20"
+
+
+@query(f"""SELECT claim, exceptions = 0 AS holds, checked, exceptions, first_exception FROM (
+    SELECT 'comparable gaps lie within the floor' AS claim, count(*) AS checked, count(*) FILTER (WHERE {_BEYOND}) AS exceptions, min(a || ' ' || b || ' ' || period) FILTER (WHERE {_BEYOND}) AS first_exception FROM {_J}, {_FLOOR} WHERE a_shape = b_shape
+    UNION ALL SELECT 'gaps beyond the floor are mismatched', count(*), count(*) FILTER (WHERE a_shape = b_shape), min(a || ' ' || b || ' ' || period) FILTER (WHERE a_shape = b_shape) FROM {_J}, {_FLOOR} WHERE {_BEYOND}
+    UNION ALL SELECT 'even entities have no estimate of 95 or more', count(*), count(*) FILTER (WHERE a_est >= 95), min(a || ' ' || b || ' ' || period) FILTER (WHERE a_est >= 95) FROM {_J} WHERE a % 2 = 0 AND a_est IS NOT NULL)""")
 def agg_claims_hold(spark, sf):
-    r = demo.resolved(spark, sf)
-    out = lambda df, name, e: df.agg(F.lit(name).alias("claim"), F.bool_and(F.expr(e)).alias("holds"), F.count(F.lit(1)).alias("checked"), F.count_if(F.expr(f"not ({e})")).alias("exceptions"))
-    return out(r.where("a_shape = b_shape"), "equal shapes stay within 100", "abs(b_est - a_est) <= 100").unionAll(out(r.where("a_src is not null"), "sources lie within one period", "abs(a_src - period) <= 1"))
+    """Structural claims against a twentieth of the measured floor; without a floor a gap claims nothing."""
+    r = demo.resolved(spark, sf).crossJoin(F.broadcast(agg_noise_floor(spark, sf)))  # one row
+    beyond, name = F.coalesce(F.expr("abs(b_est - a_est) > floor / 20"), F.lit(False)), F.concat_ws(" ", "a", "b", "period")
+    same = F.coalesce(F.expr("a_shape = b_shape"), F.lit(False))
+    return DG.claims(r, [
+        ("comparable gaps lie within the floor", same, ~beyond, name), ("gaps beyond the floor are mismatched", beyond, ~same, name),
+        ("even entities have no estimate of 95 or more", F.expr("a % 2 = 0 and a_est is not null"), F.expr("a_est < 95"), name),
+    ])
 
 
 @query("SELECT e.a, e.b, e.period, s.entity IS NOT NULL AS qualifies FROM episodes_e e LEFT JOIN sparse s ON s.entity = e.a AND s.period = e.period")
@@ -287,11 +299,10 @@ def tx_shape_sig(spark, sf):
     return demo.estimates(spark, sf).groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("estimate"), 6).alias("mean"), F.min("estimate").alias("low"), F.max("estimate").alias("high"), F.round(F.stddev_pop("estimate"), 6).alias("sd"))
 
 
-@query("""SELECT count(*) AS groups, sum(n)::BIGINT AS n, round(sum(n * (m - g) ** 2) / max(sst), 6) AS eta2 FROM (SELECT shape, count(*) AS n, avg(estimate) AS m FROM estimates GROUP BY shape), (SELECT avg(estimate) AS g, sum(estimate * estimate) - count(*) * avg(estimate) ** 2 AS sst FROM estimates)""")
+@query("""SELECT groups, n, CASE WHEN sst > 0 THEN round(ssb / sst, 6) END AS eta2, CASE WHEN sst > 0 THEN round((ssb - (groups - 1) * msw) / (sst + msw), 6) END AS omega2 FROM (SELECT *, (sst - ssb) / nullif(n - groups, 0) AS msw FROM (
+    SELECT count(*) AS groups, sum(n)::BIGINT AS n, sum(n * (m - g) ** 2) AS ssb, max(sst) AS sst FROM (SELECT shape, count(*) AS n, avg(estimate) AS m FROM estimates GROUP BY shape), (SELECT avg(estimate) AS g, var_pop(estimate) * count(*) AS sst FROM estimates)))""")
 def agg_effect_size(spark, sf):
-    per = demo.estimates(spark, sf).groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.sum("estimate").alias("s"), F.sum(F.expr("estimate * estimate")).alias("q"))
-    t = per.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.expr("s * s / n")).alias("b"))
-    return t.select("groups", "n", F.expr("if(q - s * s / n > 0, round((b - s * s / n) / (q - s * s / n), 6), null)").alias("eta2"))
+    return DG.effect_size(demo.estimates(spark, sf), "shape", "estimate")
 
 
 @query("SELECT entity % 2 AS side, count(*) AS n, round(avg(estimate), 6) AS mean, round(stddev_pop(estimate), 6) AS sd, count(CASE WHEN shape LIKE '%purchase%' THEN 1 END) AS with_purchase FROM estimates GROUP BY 1")
@@ -341,9 +352,10 @@ def st_merge_mentions(spark, sf):
     return new.join(demo.sparse(spark, sf).select("entity", "period").distinct(), ["entity", "period"], "left_anti")
 
 
-@query("SELECT shape, round(2.77 * avg(sd), 6) AS lsd, bool_and(sd = 0) AS flat, count(*) AS cells FROM rater GROUP BY shape")
+@query("""SELECT shape, count(*) AS cells, round(avg(sd), 6) AS mean_sd, CASE WHEN NOT bool_and(sd = 0) THEN round(2.77 * avg(sd), 6) END AS lsd, bool_and(sd = 0) AS flat, CASE WHEN grouping(shape) = 1 THEN 4 - count(DISTINCT grader) END AS silent FROM rater GROUP BY ROLLUP (shape)""")
 def agg_rater_noise(spark, sf):
-    return demo.rater(spark, sf).groupBy("shape").agg(F.round(2.77 * F.avg("sd"), 6).alias("lsd"), F.bool_and(F.expr("sd = 0")).alias("flat"), F.count(F.lit(1)).alias("cells"))
+    """Four graders were asked, of whom three answer."""
+    return DG.noise_floors(demo.rater(spark, sf), [0, 1, 2, 3])
 
 
 @query("SELECT shape, target, round(2.77 * (t - s) / (tn - n), 6) AS lsd FROM (SELECT shape, target, sum(sd) AS s, count(*) AS n, sum(sum(sd)) OVER (PARTITION BY shape) AS t, sum(count(*)) OVER (PARTITION BY shape) AS tn FROM rater GROUP BY shape, target) WHERE tn > n")
@@ -355,7 +367,7 @@ def agg_loo_floor(spark, sf):
 
 @query("SELECT max(lsd) AS floor FROM (SELECT shape, round(2.77 * avg(sd), 6) AS lsd FROM rater GROUP BY shape HAVING NOT bool_and(sd = 0))")
 def agg_noise_floor(spark, sf):
-    return agg_rater_noise(spark, sf).where("not flat").agg(F.max("lsd").alias("floor"))
+    return agg_rater_noise(spark, sf).where("shape is not null").agg(F.max("lsd").alias("floor"))
 
 
 @query("""SELECT shape, sp AS spread, CASE WHEN f IS NULL THEN 'no floor' WHEN sp <= f THEN 'within' ELSE 'above' END AS verdict FROM (SELECT shape, max(estimate) - min(estimate) AS sp FROM estimates GROUP BY shape), (SELECT max(l) AS f FROM (SELECT 2.77 * avg(sd) AS l FROM rater GROUP BY shape))""")
@@ -364,11 +376,21 @@ def agg_spread_verdict(spark, sf):
     return spread.crossJoin(F.broadcast(agg_noise_floor(spark, sf))).selectExpr("shape", "spread", "case when floor is null then 'no floor' when spread <= floor then 'within' else 'above' end as verdict")
 
 
-@query(f"""SELECT a, b, period, b_est - a_est AS gap, 'largest floor' AS which FROM {_J} WHERE a_shape = b_shape AND abs(b_est - a_est) > (SELECT max(l) FROM (SELECT 2.77 * avg(sd) AS l FROM rater GROUP BY shape))""")
+#: Estimates of events of the same shape on neighbouring days, with the noise floor of single types where it was measured.
+_NEAR = "(SELECT x.entity AS a, x.period, x.shape, y.estimate - x.estimate AS gap FROM estimates x JOIN estimates y ON y.entity = x.entity AND y.period = x.period + 1 AND y.shape = x.shape)"
+_FLOORS = "(SELECT shape, CASE WHEN NOT bool_and(sd = 0) THEN round(2.77 * avg(sd), 6) END AS lsd FROM rater WHERE shape <> 'view' GROUP BY shape)"
+
+
+@query(f"""SELECT a, period, n.shape, gap, coalesce(f.lsd, m.floor) AS floor, CASE WHEN f.lsd IS NULL THEN 'largest floor' ELSE 'own floor' END AS which FROM {_NEAR} n LEFT JOIN {_FLOORS} f ON f.shape = n.shape, (SELECT max(lsd) AS floor FROM {_FLOORS}) m WHERE abs(gap) > coalesce(f.lsd, m.floor)""")
 def agg_own_floor(spark, sf):
-    own = agg_rater_noise(spark, sf).selectExpr("shape as a_shape", "lsd as own")
-    rows = demo.resolved(spark, sf).where("a_shape = b_shape").join(own, "a_shape", "left").crossJoin(F.broadcast(agg_noise_floor(spark, sf)))
-    return rows.where("abs(b_est - a_est) > coalesce(own, floor)").selectExpr("a", "b", "period", "b_est - a_est as gap", "if(own is null, 'largest floor', 'own floor') as which")
+    """Changes from day to day beyond the floor of their own shape, else beyond the largest measured; views have none."""
+    e = demo.estimates(spark, sf)
+    after = e.selectExpr("entity", "period - 1 as period", "shape", "estimate as later")
+    near = e.join(after, ["entity", "period", "shape"]).selectExpr("entity as a", "period", "shape", "later - estimate as gap")
+    floors = DG.noise_floors(demo.rater(spark, sf).where("shape <> 'view'"), []).where("shape is not null")
+    largest = floors.agg(F.max("lsd").alias("largest"))  # one row
+    rows = near.join(floors.select("shape", F.col("lsd").alias("own")), "shape", "left").crossJoin(F.broadcast(largest))
+    return rows.where("abs(gap) > coalesce(own, largest)").selectExpr("a", "period", "shape", "gap", "coalesce(own, largest) as floor", "if(own is null, 'largest floor', 'own floor') as which")
 
 
 @query("""SELECT target, shape, round(max(sd) - min(sd), 6) AS spread, count(*) AS graders FROM rater GROUP BY target, shape""")
@@ -395,11 +417,13 @@ def st_intersect_runs(spark, sf):
     return run(0).intersect(run(1))
 
 
-@query("SELECT count(*) AS n, max(abs(y - x)) AS largest, round(avg(abs(y - x)), 6) AS mean, count(CASE WHEN x = y THEN 1 END) AS unchanged FROM (SELECT round(avg(value))::INT AS x, entity, period FROM evidence WHERE observation_id % 2 = 0 GROUP BY ALL) JOIN (SELECT round(avg(value))::INT AS y, entity, period FROM evidence WHERE observation_id % 2 = 1 GROUP BY ALL) USING (entity, period)")
+_RUN = "(SELECT entity, period, min(type) AS shape, round(avg(value))::INT AS e FROM evidence WHERE observation_id % 2 = {} GROUP BY entity, period)"
+
+
+@query(f"SELECT x.shape, count(*) AS n, max(abs(y.e - x.e)) AS largest, round(avg(abs(y.e - x.e)), 6) AS mean, count(CASE WHEN x.e = y.e THEN 1 END) AS unchanged FROM {_RUN.format(0)} x JOIN {_RUN.format(1)} y ON x.entity = y.entity AND x.period = y.period GROUP BY ROLLUP (x.shape)")
 def agg_stability(spark, sf):
-    run = lambda k: demo.evidence(spark, sf).where(f"observation_id % 2 = {k}").groupBy("entity", "period").agg(F.round(F.avg("value")).cast("int").alias(f"e{k}"))
-    d = run(0).join(run(1), ["entity", "period"]).selectExpr("abs(e1 - e0) as d")
-    return d.agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("largest"), F.round(F.avg("d"), 6).alias("mean"), F.count_if(F.expr("d = 0")).alias("unchanged"))
+    run = lambda k: demo.evidence(spark, sf).where(f"observation_id % 2 = {k}").groupBy("entity", "period").agg(F.min("type").alias(f"s{k}"), F.round(F.avg("value")).cast("int").alias(f"e{k}"))
+    return DG.stability(run(0).join(run(1), ["entity", "period"]).withColumnRenamed("s0", "shape"), "shape", "e0", "e1")
 
 
 @query("SELECT entity, period, count(DISTINCT estimate) AS versions FROM (SELECT entity, period, round(value)::INT AS estimate FROM evidence) GROUP BY ALL HAVING count(DISTINCT estimate) > 1")
@@ -407,16 +431,40 @@ def dq_estimate_conflict(spark, sf):
     return demo.evidence(spark, sf).selectExpr("entity", "period", "cast(round(value) as int) as estimate").groupBy("entity", "period").agg(F.count_distinct("estimate").alias("versions")).where("versions > 1")
 
 
-@query("""SELECT metric, max(CASE WHEN c = 'sparse' THEN v END) AS sparse_corpus, max(CASE WHEN c = 'all' THEN v END) AS whole FROM (SELECT 'sparse' AS c, 'entities' AS metric, count(DISTINCT entity) AS v FROM sparse UNION ALL SELECT 'all', 'entities', count(DISTINCT entity) FROM estimates UNION ALL SELECT 'sparse', 'rows', count(*) FROM sparse UNION ALL SELECT 'all', 'rows', count(*) FROM estimates) GROUP BY metric""")
+_METRICS = "SELECT '{c}' AS c, unnest(['entities', 'entity periods', 'rows', 'rows a period', 'periods of two sources']) AS metric, unnest([count(DISTINCT entity)::DOUBLE, count(*)::DOUBLE, sum(n)::DOUBLE, round(sum(n) / count(*), 6)::DOUBLE, (count(*) FILTER (WHERE s > 1))::DOUBLE]) AS v FROM (SELECT entity, period, count(*) AS n, count(DISTINCT source) AS s FROM evidence WHERE {w} GROUP BY entity, period)"
+
+
+@query(f"""SELECT metric, small, whole, round(whole / nullif(small, 0), 6) AS ratio FROM (SELECT metric, max(v) FILTER (WHERE c = 'small') AS small, max(v) FILTER (WHERE c = 'whole') AS whole FROM ({_METRICS.format(c="small", w="type = 'purchase'")} UNION ALL {_METRICS.format(c="whole", w="TRUE")}) GROUP BY metric)""")
 def agg_scaling(spark, sf):
-    one = lambda df, c: df.agg(F.count_distinct("entity").alias("entities"), F.count(F.lit(1)).alias("rows")).select(F.lit(c).alias("c"), F.expr("stack(2, 'entities', entities, 'rows', rows) as (metric, v)"))
-    return one(demo.sparse(spark, sf), "sparse_corpus").unionAll(one(demo.estimates(spark, sf), "whole")).groupBy("metric").pivot("c", ["sparse_corpus", "whole"]).agg(F.max("v"))
+    """The same measures on purchases and on all events, and how many times larger the second are."""
+
+    def measures(df, c):
+        per = df.groupBy("entity", "period").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("s"))
+        one = per.agg(F.count_distinct("entity").cast("double").alias("e"), F.count(F.lit(1)).cast("double").alias("p"), F.sum("n").cast("double").alias("r"), F.count_if(F.col("s") > 1).cast("double").alias("two"))
+        return one.select(F.lit(c).alias("c"), F.expr("stack(5, 'entities', e, 'entity periods', p, 'rows', r, 'rows a period', round(r / p, 6), 'periods of two sources', two) as (metric, v)"))
 
+    e = demo.evidence(spark, sf)
+    both = measures(e.where("type = 'purchase'"), "small").unionAll(measures(e, "whole")).groupBy("metric").pivot("c", ["small", "whole"]).agg(F.max("v"))
+    return both.select("metric", "small", "whole", F.round(F.col("whole") / F.nullif(F.col("small"), F.lit(0.0)), 6).alias("ratio"))
 
-@query("""SELECT count(DISTINCT CASE WHEN periods > 1 THEN entity END) AS multi_period, sum(multi)::BIGINT AS multi_source, count(*) AS entities FROM (SELECT entity, count(DISTINCT period) AS periods, count(DISTINCT CASE WHEN n > 1 THEN period END) AS multi FROM (SELECT entity, period, count(DISTINCT source) AS n FROM evidence GROUP BY ALL) GROUP BY entity)""")
+
+@query(f"""SELECT 'pairs of one shape' AS option, count(*) FILTER (WHERE a_shape = b_shape) AS n, count(*) AS of FROM {_J} UNION ALL SELECT 'pairs of any shape', count(*) FILTER (WHERE a_src IS NOT NULL AND b_src IS NOT NULL), count(*) FROM {_J}
+    UNION ALL SELECT 'entities of several periods', count(*) FILTER (WHERE periods > 1), count(*) FROM (SELECT entity, count(DISTINCT period) AS periods FROM evidence GROUP BY entity)
+    UNION ALL SELECT 'entities of several sources', count(*) FILTER (WHERE sources > 1), count(*) FROM (SELECT entity, count(DISTINCT source) AS sources FROM evidence WHERE type = 'purchase' GROUP BY entity)
+    UNION ALL SELECT 'pairs with one side', count(*) FILTER (WHERE (a IN (SELECT entity FROM sparse)) <> (b IN (SELECT entity FROM sparse))), count(*) FROM episodes_e""")
 def agg_reachable(spark, sf):
-    per = demo.evidence(spark, sf).groupBy("entity", "period").agg(F.count_distinct("source").alias("n")).groupBy("entity").agg(F.count(F.lit(1)).alias("periods"), F.count_if(F.expr("n > 1")).alias("multi"))
-    return per.agg(F.count_if(F.expr("periods > 1")).alias("multi_period"), F.sum("multi").alias("multi_source"), F.count(F.lit(1)).alias("entities"))
+    """What one corpus could support: five products with the number of rows they would have."""
+    n, c = F.count_if, F.count(F.lit(1)).alias("of")
+    e, r = demo.evidence(spark, sf), demo.resolved(spark, sf)
+    have = demo.sparse(spark, sf).select("entity").distinct()
+    sides = demo.episodes_e(spark, sf).join(have.selectExpr("entity as a", "true as x"), "a", "left").join(have.selectExpr("entity as b", "true as y"), "b", "left")
+    rows = [
+        ("pairs of one shape", r.agg(n(F.expr("a_shape = b_shape")).alias("n"), c)), ("pairs of any shape", r.agg(n(F.expr("a_src is not null and b_src is not null")).alias("n"), c)),
+        ("entities of several periods", e.groupBy("entity").agg(F.count_distinct("period").alias("k")).agg(n(F.col("k") > 1).alias("n"), c)),
+        ("entities of several sources", e.where("type = 'purchase'").groupBy("entity").agg(F.count_distinct("source").alias("k")).agg(n(F.col("k") > 1).alias("n"), c)), ("pairs with one side", sides.agg(n(F.expr("(x is null) <> (y is null)")).alias("n"), c)),
+    ]
+    out = [df.select(F.lit(name).alias("option"), "n", "of") for name, df in rows]
+    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3]).unionAll(out[4])
 
 
 @query("""SELECT type, count(*) AS n, round(avg(round(value)), 6) AS mean, round(stddev_samp(round(value)), 6) AS sd, max(c) AS at_mode FROM evidence JOIN (SELECT type, max(c) AS c FROM (SELECT type, round(value) AS v, count(*) AS c FROM evidence GROUP BY ALL) GROUP BY type) USING (type) GROUP BY type""")
@@ -426,12 +474,22 @@ def agg_decisive(spark, sf):
     return e.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("sd")).join(mode, "type")
 
 
-@query("""SELECT pairing_id, scored >= 3 AND covered >= 0.6 AS ranked, CASE WHEN scored < 3 THEN 'too few periods' WHEN covered < 0.6 THEN 'low joint coverage' ELSE '' END AS reason FROM (
-    SELECT pairing_id, count(CASE WHEN a_h IS NOT NULL AND b_h IS NOT NULL THEN 1 END) AS scored, coalesce(sum(CASE WHEN a_h IS NOT NULL AND b_h IS NOT NULL THEN days END), 0) / max(total_days) AS covered FROM period_rows GROUP BY pairing_id)""")
+_Q = """(SELECT a AS entity, 'real_life' AS domain, pairing_id, 1 AS weight, days, total_days, a_h IS NOT NULL AND b_h IS NOT NULL AS scored, period % 3 <> 0 AS fine, period % 4 = 0 AS reused, FALSE AS single FROM period_rows
+    UNION ALL SELECT a, domain, pairing_id, weight_h, 1, 1, a_n IS NOT NULL AND b_n IS NOT NULL, period % 3 <> 0, period % 4 = 0, coalesce(a_n = 1 AND b_n < 4, FALSE) FROM pair_scores)"""
+
+
+@query(f"""SELECT entity, domain, reasons = '' AS ranked, reasons, scored, round(CASE WHEN w > 0 THEN c / w ELSE 0 END, 6) AS joint, round(CASE WHEN c > 0 THEN f / c ELSE 0 END, 6) AS month, round(CASE WHEN c > 0 THEN r / c ELSE 0 END, 6) AS nearby, c < w AS partial FROM (
+    SELECT *, array_to_string(list_filter([CASE WHEN scored < CASE WHEN domain = 'on_screen' THEN 3 ELSE 2 END THEN 'too few scored pairings' END, CASE WHEN w = 0 OR c / w < 0.6 THEN 'low joint coverage' END, CASE WHEN domain = 'on_screen' AND above < 2 THEN 'rests on single sources' END,
+        CASE WHEN c = 0 OR f / c < 0.5 THEN 'coarse dates' END, CASE WHEN c > 0 AND r / c > 0.4 THEN 'mostly nearby periods' END], lambda x: x IS NOT NULL), ';') AS reasons
+    FROM (SELECT entity, domain, count(*) FILTER (WHERE scored) AS scored, sum(c)::BIGINT AS c, 1000000 * sum(w)::BIGINT AS w, sum(f)::BIGINT AS f, sum(r)::BIGINT AS r, count(*) FILTER (WHERE scored AND NOT single) AS above FROM (
+        SELECT entity, domain, pairing_id, max(weight) AS w, bool_or(scored) AS scored, bool_and(single) AS single, sum(m) FILTER (WHERE scored) AS c, coalesce(sum(m) FILTER (WHERE scored AND fine), 0) AS f, coalesce(sum(m) FILTER (WHERE scored AND reused), 0) AS r
+        FROM (SELECT *, round(1000000 * weight * days / total_days)::BIGINT AS m FROM {_Q}) GROUP BY ALL) GROUP BY ALL))""")
 def agg_qualify(spark, sf):
+    """Profiles on both domains by all five criteria: every fourth year is reused, every third is known by year only."""
     both = "a_h is not null and b_h is not null"
-    m = demo.period_rows(spark, sf).groupBy("pairing_id").agg(F.count_if(F.expr(both)).alias("scored"), F.expr(f"coalesce(sum(if({both}, days, null)), 0) / max(total_days)").alias("covered"))
-    return m.selectExpr("pairing_id", "scored >= 3 and covered >= 0.6 as ranked", "case when scored < 3 then 'too few periods' when covered < 0.6 then 'low joint coverage' else '' end as reason")
+    life = demo.period_rows(spark, sf).selectExpr("a as entity", "'real_life' as domain", "pairing_id", "1 as weight", "days", "total_days", f"{both} as scored", "period % 3 <> 0 as fine", "period % 4 = 0 as reused", "false as single")
+    screen = demo.pair_scores(spark, sf).selectExpr("a as entity", "domain", "pairing_id", "weight_h as weight", "1 as days", "1 as total_days", "a_n is not null and b_n is not null as scored", "period % 3 <> 0 as fine", "period % 4 = 0 as reused", "coalesce(a_n = 1 and b_n < 4, false) as single")
+    return DG.qualify(life.unionByName(screen)).withColumn("reasons", F.array_join("reasons", ";"))
 
 
 @query("SELECT entity, period, CASE WHEN count(*) = 0 THEN 'none' END AS missing FROM sparse GROUP BY ALL HAVING count(*) = 0 UNION ALL SELECT a, period, 'no evidence in bound' FROM resolved WHERE ra IS NULL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import diagnostics as DG
 from ..operators import gradings as G
 from ..operators import pairings as P
 from ..sources import writers as W
@@ -164,18 +165,33 @@ def wn_top_contribution(spark, sf):
 _NORMAL_TOTALS = "(SELECT a AS entity, sum(weight_h * raw_gap)::BIGINT AS raw, sum(weight_h * z_gap)::BIGINT AS z FROM normal_gaps WHERE weight_h <> 0 GROUP BY a)"
 
 
-@query(f"""SELECT entity, row_number() OVER (ORDER BY raw DESC, entity) AS before, row_number() OVER (ORDER BY z DESC, entity) AS after FROM {_NORMAL_TOTALS}""")
+_CHANGES = f"""(SELECT entity, CASE WHEN y IS NULL THEN 'left' WHEN x IS NULL THEN 'entered' ELSE 'both' END AS status, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN row_number() OVER (PARTITION BY x IS NOT NULL AND y IS NOT NULL ORDER BY x DESC, entity) END AS before,
+    CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN row_number() OVER (PARTITION BY x IS NOT NULL AND y IS NOT NULL ORDER BY y DESC, entity) END AS after
+    FROM (SELECT entity, CASE WHEN raw > 0 THEN raw END AS x, CASE WHEN z > 0 THEN z END AS y FROM {_NORMAL_TOTALS}) WHERE x IS NOT NULL OR y IS NOT NULL)"""
+
+
+@query(f"""SELECT r.entity, r.status, r.before, r.after, r.before <> r.after AS moved, CASE WHEN r.status = 'both' THEN (SELECT count(*) FROM {_CHANGES} y WHERE y.before > r.before AND y.after < r.after) END AS inversions FROM {_CHANGES} r""")
 def wn_rank_changes(spark, sf):
+    """What normalising within sides does to the board of positive totals of side a."""
+    totals = _normal_totals(spark, sf)
+    return DG.rank_changes(totals.where("raw > 0").selectExpr("entity", "raw as value"), totals.where("z > 0").selectExpr("entity", "z as value"), _saved(spark, "changes"))
+
+
+def _saved(spark, name):
+    return lambda df: W.snapshot(df, W.shared_path(spark, name))
+
+
+def _normal_totals(spark, sf):
     df = demo.normal_gaps(spark, sf).where("weight_h <> 0").groupBy(F.col("a").alias("entity")).agg(F.expr("sum(weight_h * raw_gap)").alias("raw"), F.expr("sum(weight_h * z_gap)").alias("z"))
-    df = W.snapshot(df, W.shared_path(spark, "totals"))  # read several times below
-    return P.positions(P.positions(df, "raw", "entity", "before"), "z", "entity", "after").select("entity", "before", "after")
+    return _saved(spark, "totals")(df)  # read several times
 
 
-@query(f"""WITH r AS (SELECT entity, row_number() OVER (ORDER BY raw DESC, entity) AS p, row_number() OVER (ORDER BY z DESC, entity) AS q FROM {_NORMAL_TOTALS})
-    SELECT x.entity, count(*) AS inversions FROM r x JOIN r y ON x.p < y.p AND x.q > y.q GROUP BY x.entity""".replace("WITH r AS", "SELECT * FROM (WITH r AS") + ")")
+@query(f"""SELECT * FROM (WITH r AS (SELECT entity, row_number() OVER (ORDER BY raw DESC, entity) AS p, row_number() OVER (ORDER BY z DESC, entity) AS q FROM {_NORMAL_TOTALS})
+    SELECT x.entity, count(*) AS inversions FROM r x JOIN r y ON x.p < y.p AND x.q > y.q GROUP BY x.entity)""")
 def jn_pairs_theta(spark, sf):
-    r = P.inversions(wn_rank_changes(spark, sf), "before", "after")
-    return r.where("inversions > 0").select("entity", "inversions")
+    df = _normal_totals(spark, sf)
+    places = _saved(spark, "places")(P.positions(P.positions(df, "raw", "entity", "before"), "z", "entity", "after").select("entity", "before", "after"))
+    return P.inversions(places, "before", "after").where("inversions > 0").select("entity", "inversions")
 
 
 @query(f"""SELECT coalesce(x.entity, y.entity) AS entity, CASE WHEN x.entity IS NULL THEN 'entered' WHEN y.entity IS NULL THEN 'left' ELSE 'both' END AS status FROM
@@ -191,10 +207,13 @@ def dq_mixed_contracts(spark, sf):
     return G.mixed_contracts(demo.gradings(spark, sf), ["entity", "period"])
 
 
-@query("SELECT entity, period, count(*) AS gradings FROM gradings WHERE contract_id NOT IN ('c1') GROUP BY entity, period")
+@query("""SELECT entity, period, count(*) AS gradings, sum(calls)::BIGINT AS calls FROM (SELECT entity, period, contract_id, CASE WHEN score_t % 4 = 0 THEN 0 ELSE 1 END AS calls FROM gradings) WHERE contract_id NOT IN ('c1') GROUP BY entity, period HAVING sum(calls) > 0""")
 def dq_stale_contract(spark, sf):
+    """Records made under a contract that no longer holds; one that made no calls at all states nothing new and is exempt."""
     registry = spark.createDataFrame([("c1",)], "contract_id string")
-    return demo.gradings(spark, sf).join(F.broadcast(registry), "contract_id", "left_anti").groupBy("entity", "period").agg(F.count(F.lit(1)).alias("gradings"))
+    g = demo.gradings(spark, sf).withColumn("calls", (F.col("score_t") % 4 != 0).cast("int"))
+    stale = g.join(F.broadcast(registry), "contract_id", "left_anti").groupBy("entity", "period").agg(F.count(F.lit(1)).alias("gradings"), F.sum("calls").alias("calls"))
+    return stale.where("calls > 0")
 
 
 @query("SELECT grader, count(*) AS gradings, count(CASE WHEN NOT judged THEN 1 END) AS undated FROM gradings GROUP BY grader")
@@ -260,16 +279,18 @@ def agg_count_like(spark, sf):
     return u.agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, F.round(F.stddev_pop("u"), 6)).alias("sd"), F.round(F.avg("u"), 6).alias("mean"), F.expr("case when count(1) < 3 then 'too few' when stddev_pop(u) < 0.1 * abs(avg(u)) then 'count-like' else 'varies' end").alias("verdict"))
 
 
-@query("""SELECT pairing_id, sum(days)::BIGINT AS days, max(total_days) AS total_days FROM life_days GROUP BY pairing_id HAVING sum(days) <> max(total_days)""")
+@query("""SELECT pairing_id, sum(days)::BIGINT AS days, max(total_days) AS total_days, string_agg(period || ':' || days, ',' ORDER BY period) AS shares FROM (SELECT pairing_id, period, days + CASE WHEN hash7 = 0 THEN 1 ELSE 0 END AS days, total_days FROM (SELECT *, (length(pairing_id) + date_diff('day', DATE '1990-01-01', start_d)) % 7 AS hash7 FROM life_days)) GROUP BY pairing_id HAVING sum(days) <> max(total_days)""")
 def dq_pairing_partition(spark, sf):
-    return demo.life_days(spark, sf).groupBy("pairing_id").agg(F.sum("days").alias("days"), F.max("total_days").alias("total_days")).where("days <> total_days")
+    """Pairings whose period shares do not add up to their days; in every seventh a day is counted twice in each period."""
+    odd = F.expr("(length(pairing_id) + datediff(start_d, date'1990-01-01')) % 7 = 0").cast("int")
+    return P.broken_partitions(demo.life_days(spark, sf).withColumn("days", F.col("days") + odd))
 
 
-@query("""SELECT d AS delta, sum(weight_h * (gap_u + d))::BIGINT AS total, round(sum(weight_h * (gap_u + d)) / sum(weight_h), 6) AS rate FROM pair_scores, (SELECT unnest(range(-6, 7)) * 1000000 AS d) WHERE gap_u IS NOT NULL AND weight_h <> 0 GROUP BY d""")
+@query("""SELECT d AS delta, sum(weight_h * (gap_u + d))::BIGINT AS total, round(sum(weight_h * (gap_u + d)) / sum(weight_h), 6) AS rate, TRUE AS moved_by_exposure, TRUE AS same_order FROM pair_scores, (SELECT unnest(range(-6, 7)) * 1000000 AS d) WHERE gap_u IS NOT NULL AND weight_h <> 0 GROUP BY d""")
 def rs_offset_shift(spark, sf):
-    deltas = spark.range(-6, 7).selectExpr("id * 1000000 as delta")
-    totals = demo.pair_scores(spark, sf).where("gap_u is not null and weight_h <> 0").agg(F.expr("sum(weight_h * gap_u)").alias("t"), F.sum("weight_h").alias("w"))
-    return deltas.crossJoin(F.broadcast(totals)).selectExpr("delta", "t + delta * w as total", "round((t + delta * w) / w, 6) as rate")
+    """A constant on every gap moves totals by constant times exposure and leaves the order of the rates: checked row by row."""
+    scored = demo.pair_scores(spark, sf).where("gap_u is not null and weight_h <> 0").select("a", "gap_u", "weight_h")
+    return P.offset_ladder(scored, [d * 1_000_000 for d in range(-6, 7)])
 
 
 @query("""SELECT entity, period, round(avg(score), 6) AS mean, count(*) AS n, CASE WHEN count(*) < 2 THEN FALSE ELSE count(DISTINCT band) > 1 OR bool_or(band IS NULL) OR bool_or(coalesce(stated <> band, FALSE)) END AS needs_adjudication FROM (
@@ -296,9 +317,18 @@ def wn_year_axis(spark, sf):
     return rows.join(F.broadcast(axis), "domain").select("pairing_id", "period", "first_period", "last_period")  # a row for each domain
 
 
-@query("""SELECT domain, count(DISTINCT entity) AS entities, count(DISTINCT pairing_id) AS pairings, round(avg(CASE WHEN side = 'a' THEN gap_u END), 6) AS mean_offset FROM contribs GROUP BY domain""")
+@query("""SELECT c.domain, entities, pairings, mean_offset, works, first_period, last_period, round(judged / gradings, 6) AS evidence_share, ranked FROM (SELECT domain, count(DISTINCT entity) AS entities, count(DISTINCT pairing_id) AS pairings, round(avg(CASE WHEN side = 'a' THEN gap_u END), 6) AS mean_offset FROM contribs GROUP BY domain) c
+    JOIN (SELECT domain, count(DISTINCT work) AS works, min(period) AS first_period, max(period) AS last_period FROM pair_scores WHERE gap_u IS NOT NULL AND weight_h <> 0 GROUP BY domain) p ON p.domain = c.domain JOIN (SELECT domain, count(*) AS ranked FROM board GROUP BY domain) b ON b.domain = c.domain,
+    (SELECT count(*) FILTER (WHERE evidence_used) AS judged, count(*) AS gradings FROM gradings WHERE judged AND contract_id = 'c1')""")
 def agg_board_meta(spark, sf):
-    return demo.contribs(spark, sf).groupBy("domain").agg(F.count_distinct("entity").alias("entities"), F.count_distinct("pairing_id").alias("pairings"), F.round(F.avg(F.expr("if(side = 'a', gap_u, null)")), 6).alias("mean_offset"))
+    """What a board rests on: entities and pairings counted, ranked entities (two pairings or more), works, years, evidence."""
+    scores = W.snapshot(demo.pair_scores(spark, sf), W.shared_path(spark, "scores"))
+    sides = P.signed_sides(scores)
+    c = sides.groupBy("domain").agg(F.count_distinct("entity").alias("entities"), F.count_distinct("pairing_id").alias("pairings"), F.round(F.avg(F.expr("if(side = 'a', gap_u, null)")), 6).alias("mean_offset"))
+    p = scores.where("gap_u is not null and weight_h <> 0").groupBy("domain").agg(F.count_distinct("work").alias("works"), F.min("period").alias("first_period"), F.max("period").alias("last_period"))
+    b = P.board(sides, 2).groupBy("domain").agg(F.count(F.lit(1)).alias("ranked"))
+    used = demo.gradings(spark, sf).where("judged and contract_id = 'c1'").agg(F.round(F.count_if("evidence_used") / F.count(F.lit(1)), 6).alias("evidence_share"))
+    return c.join(p, "domain").join(b, "domain").crossJoin(F.broadcast(used))  # one row
 
 
 @query("SELECT p.pairing_id FROM pairings_screen p LEFT JOIN normal_gaps g USING (pairing_id) WHERE g.pairing_id IS NULL", name="agg_uncovered")
@@ -328,10 +358,17 @@ def agg_pairing_counts(spark, sf):
     return demo.life_days(spark, sf).select("pairing_id", F.explode(F.array("a", "b")).alias("entity"), "period").groupBy("pairing_id").agg(F.count_distinct("entity").alias("sides"), F.count_distinct("period").alias("periods"))
 
 
-@query("""SELECT domain, a, b, work, count(*) AS carried, min(period) AS period FROM (SELECT 'on_screen' AS domain, a, b, regexp_replace(lower(work), '[^a-z0-9]+', ' ', 'g') AS work, period FROM pairings_screen) GROUP BY ALL""")
+_KEY = "least(a, b) AS one, greatest(a, b) AS other"
+
+
+@query(f"""SELECT domain, one, other, work, year, count(*) AS carried, min(period) AS period FROM (SELECT 'on_screen' AS domain, {_KEY}, regexp_replace(lower(work), '[^a-z0-9]+', ' ', 'g') AS work, NULL AS year, period FROM pairings_screen
+    UNION ALL SELECT 'real_life', {_KEY}, NULL, year(start_d)::INT, year(start_d)::INT FROM pairings_life UNION ALL SELECT 'real_life', {_KEY}, NULL, year(end_d)::INT, year(end_d)::INT FROM pairings_life) GROUP BY ALL""")
 def st_identity(spark, sf):
-    df = demo.pairings_screen(spark, sf).withColumn("work", F.regexp_replace(F.lower("work"), "[^a-z0-9]+", " "))
-    return df.groupBy("domain", "a", "b", "work").agg(F.count(F.lit(1)).alias("carried"), F.min("period").alias("period"))
+    """On screen a pair and a work are one thing in whichever year; in life a pair in two years is two. Sides have no order."""
+    screen = demo.pairings_screen(spark, sf).withColumn("work", F.regexp_replace(F.lower("work"), "[^a-z0-9]+", " ")).select("domain", "a", "b", "work", "period")
+    life = demo.pairings_life(spark, sf).select("a", "b", F.explode(F.array(F.year("start_d"), F.year("end_d"))).alias("period")).withColumn("domain", F.lit("real_life"))
+    df = screen.unionByName(life, allowMissingColumns=True).withColumn("year", F.when(F.col("domain") == "real_life", F.col("period")))
+    return df.groupBy("domain", F.least("a", "b").alias("one"), F.greatest("a", "b").alias("other"), "work", "year").agg(F.count(F.lit(1)).alias("carried"), F.min("period").alias("period"))
 
 
 @query("""SELECT source_rank, count(*) AS seen, count(CASE WHEN rn = 1 THEN 1 END) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY a, b, work ORDER BY source_rank, pairing_id) AS rn FROM (
