@@ -110,3 +110,29 @@ def asserted(t: Column, pattern: str, reach: int = 60) -> Column:
 def years_in(t: Column) -> Column:
     """Distinct years 1900 to 2099 that stand in a text, in order."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b(19\d{2}|20\d{2})\b"), F.lit(1))))
+
+
+def sentences(t: Column) -> Column:
+    """Sentences of a text: cut after . ! or ? before white space, without white space at their ends."""
+    return F.filter(F.transform(F.split(t, r"(?<=[.!?])[\t\n\x0b\f\r ]+", -1), without_space), lambda s: s != "")
+
+
+def _whole_word(s: Column, words: Column) -> Column:
+    """Whether words stand in a text between characters that are no letters, digits or underscores."""
+    return F.call_function("regexp_like", s, F.concat(F.lit(r"(?U)\b"), F.regexp_replace(words, r"([^\p{L}\p{N}_ ])", r"\\$1"), F.lit(r"\b")))
+
+
+def sentences_naming(t: Column, name: Column) -> Column:
+    """Struct of ``how`` and ``hits``: the sentences that hold the full name, else those that hold the surname (of four
+    letters or more) as a whole word."""
+    all_ = F.coalesce(sentences(t), F.array().cast("array<string>"))
+    full = F.filter(all_, lambda s: F.contains(s, name))
+    last = F.element_at(F.split(F.trim(name), r"\s+"), -1)
+    by_surname = F.when(F.length(last) >= 4, F.filter(all_, lambda s: _whole_word(s, last))).otherwise(F.array().cast("array<string>"))
+    how = F.when(F.size(full) > 0, "full name").when(F.size(by_surname) > 0, "surname only").otherwise("none")
+    return F.struct(how.alias("how"), F.when(F.size(full) > 0, full).otherwise(F.coalesce(by_surname, F.array().cast("array<string>"))).alias("hits"))
+
+
+def years_of(hits: Column) -> Column:
+    """Distinct years 1900 to 2099 of several texts, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(hits, years_in))))

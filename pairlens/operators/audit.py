@@ -161,3 +161,39 @@ def rationale_checks(rationales: DataFrame, observations: DataFrame) -> DataFram
     named = lambda rules: F.array_compact(F.array(*[F.when(c, n) for n, c in rules]))
     df = df.select("estimate_id", named(failures).alias("failures"), named(warnings).alias("warnings"))
     return df.select("estimate_id", "failures", "warnings", (F.size("failures") == 0).alias("passed"), (F.size("failures") + F.size("warnings") > 0).alias("needs_read"))
+
+
+#: Characters of a sentence that is quoted, and sentences quoted from each side.
+SENTENCE, EXCERPTS = 320, 2
+
+
+def corroborate(episodes: DataFrame, articles: DataFrame) -> DataFrame:
+    """(episode, label, stored, found, sides, excerpts): what both sides' articles say about an episode's years.
+
+    ``episodes``: episode, a, b, a_name, b_name, stored (array of years). ``articles``: id, t, one row each. Each article
+    is read for the other's name; sentences of up to ``SENTENCE`` characters count. Labels, never verdicts: not mentioned,
+    mentioned without year, no stored date, prose confirms a stored year, prose names other years.
+    """
+    sides = F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("id"), F.col("b_name").alias("about")), F.struct(F.lit("b").alias("side"), F.col("b").alias("id"), F.col("a_name").alias("about")))
+    read = episodes.select("episode", F.explode(sides).alias("x")).select("episode", "x.*").join(articles.select("id", "t"), "id", "left")
+    read = read.withColumn("n", X.sentences_naming(F.col("t"), F.col("about")))
+    short = F.filter("n.hits", lambda h: F.length(h) <= SENTENCE)
+    read = read.select("episode", "side", F.col("n.how").alias("how"), short.alias("hits"))
+    quoted = F.transform(F.slice("hits", 1, EXCERPTS), lambda h: F.concat(F.col("side"), F.lit(": "), h))
+    per = read.groupBy("episode").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.collect_list(F.concat_ws(":", "side", "how", F.size("hits")))).alias("sides"), F.array_sort(F.flatten(F.collect_list(quoted))).alias("excerpts"),
+    )
+    df = episodes.select("episode", F.array_sort(F.array_distinct(F.transform("stored", lambda y: y.cast("string")))).alias("stored")).join(per, "episode").withColumn("found", X.years_of(F.col("hits")))
+    label = F.when(F.size("hits") == 0, "not mentioned").when(F.size("found") == 0, "mentioned without year").when(F.coalesce(F.size("stored"), F.lit(0)) <= 0, "no stored date").when(F.arrays_overlap("found", "stored"), "prose confirms a stored year")
+    return df.select("episode", label.otherwise("prose names other years").alias("label"), "stored", "found", "sides", "excerpts")
+
+
+def identity_verdicts(people: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, name, verdict) of every person (id, name) against what a register (id, human, name) says under the id.
+
+    missing, not human, no name, exact, exact after disambiguator (a bracket at the end of the register's name), mismatch.
+    """
+    k = known.select("id", F.col("name").alias("_n"), "human", F.lit(True).alias("_k"))
+    df = people.select("id", "name").join(k, "id", "left")
+    verdict = F.when(F.col("_k").isNull(), "missing").when(~F.coalesce("human", F.lit(False)), "not human").when(F.coalesce("_n", F.lit("")) == "", "no name").when(F.col("_n") == F.col("name"), "exact")
+    return df.select("id", "name", verdict.when(X.without_disambiguator(F.col("_n")) == F.col("name"), "exact after disambiguator").otherwise("mismatch").alias("verdict"))

@@ -106,3 +106,60 @@ def tj_claims_audit(spark, sf):
     rows = wrong.select("rule", F.lit("mismatch").alias("what"), "doc_id", "line", "written", F.lit(1).cast("long").alias("n"))
     what = F.when(F.col("unmatched"), "matches nothing").otherwise("occurrences")
     return rows.unionByName(rules.select("rule", what.alias("what"), F.col("occurrences").alias("n")), allowMissingColumns=True)
+
+
+#: Each document is asked about the two words it starts with; no sentence of the test texts has another shape of blank.
+_SENT = r"list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])[\t\n\x0b\f\r ]+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), lambda s: s <> '')"
+_ABOUT = f"(SELECT doc_id, name, string_split(name, ' ')[-1] AS surname, {_SENT} AS s FROM (SELECT doc_id, text, regexp_extract(text, '{_TWO}', 1) AS name FROM documents) WHERE name <> '')"
+_HITS = "list_filter(s, lambda x: contains(x, name))"
+_SURNAME = "CASE WHEN length(surname) >= 4 THEN list_filter(s, lambda x: regexp_matches(x, '(^|[^0-9A-Za-z_À-ÿ])' || surname || '($|[^0-9A-Za-z_À-ÿ])')) ELSE [] END"
+
+
+@query(f"SELECT doc_id, len(s) AS sentences, CASE WHEN len(f) > 0 THEN 'full name' WHEN len(g) > 0 THEN 'surname only' ELSE 'none' END AS how, len(CASE WHEN len(f) > 0 THEN f ELSE g END) AS naming FROM (SELECT *, {_HITS} AS f, {_SURNAME} AS g FROM (SELECT doc_id, s, CASE WHEN doc_id % 2 = 0 THEN name ELSE surname || ' ' || surname END AS name, surname FROM {_ABOUT}))")
+def tj_sentences(spark, sf):
+    """Sentences of a document that name it, by its first two words, or (odd ones) by a name of which only the surname is theirs."""
+    d = demo.table(spark, sf, "documents").withColumn("name", F.regexp_extract("text", _TWO, 1)).where("name <> ''")
+    last = F.element_at(F.split("name", " "), -1)
+    d = d.withColumn("name", F.when(F.col("doc_id") % 2 == 0, F.col("name")).otherwise(F.concat(last, F.lit(" "), last)))
+    d = d.select("doc_id", F.size(X.sentences(F.col("text"))).alias("sentences"), X.sentences_naming(F.col("text"), F.col("name")).alias("n"))
+    return d.select("doc_id", "sentences", "n.how", F.size("n.hits").alias("naming"))
+
+
+@query("SELECT o_custkey, string_agg(DISTINCT y, ',' ORDER BY y) AS years FROM (SELECT o_custkey, year(o_orderdate)::VARCHAR AS y FROM orders UNION ALL SELECT o_custkey, o_orderkey::VARCHAR FROM orders WHERE o_orderkey BETWEEN 1900 AND 2099) GROUP BY o_custkey")
+def tj_years(spark, sf):
+    """Years in the sentences about a customer's orders, which hold other numbers too; an order number may read as a year."""
+    line = F.concat(F.lit("Order "), "o_orderkey", F.lit(" of "), F.year("o_orderdate"), F.lit(" came to 18"), F.year("o_orderdate"), F.lit(" or 2187 units, not "), 1900 + F.col("o_orderkey") % 5, F.lit("x"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("t")))), lambda x: x["t"]), ". ")
+    per = demo.table(spark, sf, "orders").groupBy("o_custkey").agg(text.alias("text"))
+    return per.select("o_custkey", F.array_join(X.years_of(X.sentences_naming(F.col("text"), F.lit("Order"))["hits"]), ",").alias("years"))
+
+
+#: What the article of a customer says of each supplier, by the kind (supplier mod 4) of the mention.
+_BY = "(SELECT o_custkey AS c, l_suppkey AS s, min(year(o_orderdate))::INT AS y, max(year(l_shipdate))::INT AS z FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 45 GROUP BY ALL)"
+
+
+@query(f"""SELECT c || '-' || s AS episode, CASE WHEN s % 4 = 0 THEN 'not mentioned' WHEN s % 4 = 1 THEN 'mentioned without year' WHEN c % 5 = 0 THEN 'no stored date' WHEN s % 4 = 2 THEN 'prose confirms a stored year' ELSE CASE WHEN y + 10 = z THEN 'prose confirms a stored year' ELSE 'prose names other years' END END AS label,
+    CASE WHEN c % 5 = 0 THEN '' WHEN y = z THEN y::VARCHAR ELSE least(y, z) || ',' || greatest(y, z) END AS stored, CASE WHEN s % 4 IN (0, 1) THEN '' WHEN s % 4 = 2 THEN y::VARCHAR ELSE (y + 10)::VARCHAR END AS found, CASE WHEN s % 4 = 0 THEN 0 ELSE 1 END AS excerpts FROM {_BY}""")
+def tj_corroborate(spark, sf):
+    """Large orders as episodes of customer and supplier, and articles of customers that mention suppliers in four ways."""
+    lines = demo.order_lines(spark, sf).where("l_quantity >= 45")
+    e = lines.groupBy(F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s")).agg(F.min(F.year("o_orderdate")).alias("y"), F.max(F.year("l_shipdate")).alias("z"))
+    name = lambda kind, key: F.concat(F.lit(f"{kind} No"), F.lpad(key.cast("string"), 9, "0"))
+    how = F.expr("case s % 4 when 0 then 'Nobody is named here' when 1 then concat('It knows ', n, ' well') when 2 then concat(n, ' came in ', y, ' first') else concat('Of ', n, ' one hears in ', y + 10, ' again') end")
+    said = F.struct("s", how.alias("t"))
+    articles = e.withColumn("n", name("Supplier", F.col("s"))).groupBy(F.concat(F.lit("c"), "c").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["t"]), ". ").alias("t"))
+    stored = F.when(F.col("c") % 5 == 0, F.array().cast("array<int>")).otherwise(F.array("y", "z"))
+    episodes = e.select(F.concat_ws("-", "c", "s").alias("episode"), F.concat(F.lit("c"), "c").alias("a"), F.concat(F.lit("s"), "s").alias("b"), name("Customer", F.col("c")).alias("a_name"), name("Supplier", F.col("s")).alias("b_name"), stored.alias("stored"))
+    out = A.corroborate(episodes, articles)
+    return out.select("episode", "label", F.array_join("stored", ",").alias("stored"), F.array_join("found", ",").alias("found"), F.size("excerpts").alias("excerpts"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN s_suppkey IS NULL THEN 'missing' WHEN s_acctbal < 0 THEN 'not human' WHEN o_orderkey % 6 = 4 THEN 'mismatch' WHEN s_nationkey = 3 THEN 'no name' WHEN s_nationkey % 4 = 1 THEN 'exact after disambiguator' ELSE 'exact' END AS verdict
+    FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey""".replace("WHEN o_orderkey % 6 = 4 THEN 'mismatch' WHEN s_nationkey = 3 THEN 'no name'", "WHEN s_nationkey = 3 THEN 'no name' WHEN o_orderkey % 6 = 4 THEN 'mismatch'"))
+def flt_identity_verdict(spark, sf):
+    """Orders name the supplier under their customer's number; some names differ, some of the register carry a bracket."""
+    s, o = demo.table(spark, sf, "supplier"), demo.table(spark, sf, "orders")
+    register = s.selectExpr("s_suppkey as id", "s_acctbal >= 0 as human", "case when s_nationkey = 3 then null when s_nationkey % 4 = 1 then concat(s_name, ' (firm)') else s_name end as name")
+    stated = o.select(F.col("o_custkey").alias("id"), "o_orderkey", F.concat(F.lit("Supplier#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.when(F.col("o_orderkey") % 6 == 4, " & Sons").otherwise("")).alias("name"))
+    found = A.identity_verdicts(stated.select("id", "name").distinct(), register)
+    return stated.join(found, ["id", "name"]).select(F.col("o_orderkey").alias("id"), "verdict")

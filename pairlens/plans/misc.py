@@ -146,13 +146,6 @@ def flt_load_bearing(spark, sf):
     return demo.estimates(spark, sf).join(used, ["entity", "period"], "left").select("entity", "period", F.coalesce("used", F.lit(False)).alias("load_bearing"))
 
 
-@query("SELECT CASE WHEN s_suppkey IS NULL THEN 'missing' WHEN s_acctbal < 0 THEN 'not eligible' WHEN o_custkey % 5 = 0 THEN 'exact after disambiguator' ELSE 'exact' END AS verdict, count(*) AS n FROM orders LEFT JOIN supplier ON s_suppkey = o_custkey GROUP BY 1")
-def flt_identity_verdict(spark, sf):
-    df = demo.table(spark, sf, "orders").join(demo.table(spark, sf, "supplier"), F.expr("s_suppkey = o_custkey"), "left")
-    v = F.expr("case when s_suppkey is null then 'missing' when s_acctbal < 0 then 'not eligible' when o_custkey % 5 = 0 then 'exact after disambiguator' else 'exact' end")
-    return df.groupBy(v.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 'a' WHEN 'HOUSEHOLD' THEN 'b' END AS side FROM customer WHERE c_mktsegment IN ('MACHINERY', 'HOUSEHOLD')")
 def flt_gender_items(spark, sf):
     items = spark.createDataFrame([("MACHINERY", "a"), ("HOUSEHOLD", "b")], "c_mktsegment string, side string")
@@ -171,18 +164,24 @@ def jn_three_way(spark, sf):
     return t("lineitem").join(t("part").where("p_size > 25"), F.expr("l_partkey = p_partkey")).join(t("supplier"), F.expr("l_suppkey = s_suppkey")).select("l_orderkey", "l_linenumber", "p_brand", "s_name")
 
 
-def _edges(spark, sf, floor=920):
-    w = demo.works(spark, sf).where(f"prominence > {floor}").groupBy("work", "entity").agg(F.max("prominence").alias("prominence"))
+def _edges(spark, sf):
+    w = demo.works(spark, sf).groupBy("work", "entity").agg(F.max("prominence").alias("prominence"))
     other = w.selectExpr("work", "entity as other", "prominence as other_prominence")
     return w.join(other, "work").where("entity <> other")  # a work credits a handful of entities
 
 
-_EDGES = "(SELECT x.work, x.entity, y.entity AS other, y.p AS other_prominence FROM (SELECT work, entity, max(prominence) AS p FROM works WHERE prominence > 920 GROUP BY ALL) x JOIN (SELECT work, entity, max(prominence) AS p FROM works WHERE prominence > 920 GROUP BY ALL) y ON x.work = y.work AND x.entity <> y.entity)"
+_EDGES = "(SELECT x.work, x.entity, y.entity AS other, y.p AS other_prominence FROM (SELECT work, entity, max(prominence) AS p FROM works GROUP BY ALL) x JOIN (SELECT work, entity, max(prominence) AS p FROM works GROUP BY ALL) y ON x.work = y.work AND x.entity <> y.entity)"
 
 
-@query(f"SELECT entity, other, count(DISTINCT work) AS works FROM {_EDGES} GROUP BY ALL")
+@query("SELECT a, b, count(DISTINCT work) AS works, min(d) AS first_date, count(DISTINCT d) AS dates FROM (SELECT DISTINCT 'C' || o_custkey AS a, 'S' || l_suppkey AS b, l_orderkey AS work, l_shipdate::DATE AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY ALL")
 def jn_cooccur(spark, sf):
-    return _edges(spark, sf).groupBy("entity", "other").agg(F.count_distinct("work").alias("works"))
+    """Entities of side a and of side b that one work credits, with the works and the dates that are stated for them."""
+    lines = demo.order_lines(spark, sf)
+    a = lines.select(F.col("l_orderkey").alias("work"), F.concat(F.lit("C"), "o_custkey").alias("entity"), F.lit("a").alias("side"), F.lit(None).cast("date").alias("d"))
+    b = lines.select(F.col("l_orderkey").alias("work"), F.concat(F.lit("S"), "l_suppkey").alias("entity"), F.lit("b").alias("side"), F.to_date("l_shipdate").alias("d"))
+    credits = a.unionAll(b).distinct()
+    one, other = credits.where("side = 'a'").select("work", F.col("entity").alias("a")), credits.where("side = 'b'").select("work", F.col("entity").alias("b"), "d")
+    return one.join(other, "work").groupBy("a", "b").agg(F.count_distinct("work").alias("works"), F.min("d").alias("first_date"), F.count_distinct("d").alias("dates"))
 
 
 @query(f"SELECT entity, count(DISTINCT other) AS partners, max(other_prominence) AS top FROM {_EDGES} GROUP BY entity")

@@ -79,10 +79,13 @@ def dq_edition(spark, sf):
     return Q.with_reason(demo.table(spark, sf, "supplier"), [("no description", "coalesce(s_name, '') = ''"), ("no route", "s_acctbal < 0")]).select("s_suppkey", "reason")
 
 
-@query("SELECT entity FROM (SELECT DISTINCT a AS entity FROM pairings_screen UNION SELECT DISTINCT b FROM pairings_screen) WHERE entity NOT IN (SELECT entity FROM gradings WHERE judged)")
+@query("SELECT entity || '@' || period AS id, count(*) AS pairings FROM (SELECT a AS entity, period FROM pairings_screen UNION ALL SELECT b, period FROM pairings_screen) WHERE (entity, period) NOT IN (SELECT (entity, period) FROM gradings WHERE judged AND evidence_used) GROUP BY ALL")
 def dq_spec_complete(spark, sf):
-    need = demo.pairings_screen(spark, sf).select(F.explode(F.array("a", "b")).alias("entity")).distinct()
-    return need.join(demo.gradings(spark, sf).where("judged").select("entity").distinct(), "entity", "left_anti")
+    """Estimates that pairings read but no grading with evidence says how far to move, with the pairings that read them."""
+    p = demo.pairings_screen(spark, sf)
+    need = p.select(F.explode(F.array("a", "b")).alias("entity"), "period").groupBy("entity", "period").agg(F.count(F.lit(1)).alias("pairings"))
+    have = demo.gradings(spark, sf).where("judged and evidence_used").select("entity", "period").distinct()
+    return need.join(have, ["entity", "period"], "left_anti").select(F.concat_ws("@", "entity", "period").alias("id"), "pairings")
 
 
 @query("SELECT DISTINCT a AS entity FROM episodes_e WHERE a NOT IN (SELECT entity FROM sparse) AND (SELECT count(*) FROM sparse) > 0")

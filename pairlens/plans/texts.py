@@ -139,27 +139,6 @@ def tj_verbatim(spark, sf):
     return grounded_counts(spark, sf)
 
 
-@query(r"SELECT doc_id, len(string_split_regex(text, '[.!?][\t\n\x0b\f\r ]+')) AS sentences, len(list_filter(string_split_regex(text, '[.!?][\t\n\x0b\f\r ]+'), lambda s: contains(s, 'the'))) AS naming FROM documents")
-def tj_sentences(spark, sf):
-    s = F.split("text", r"(?<=[.!?])[\t\n\x0b\f\r ]+", -1)
-    return demo.table(spark, sf, "documents").select("doc_id", F.size(s).alias("sentences"), F.size(F.filter(s, lambda x: F.contains(x, F.lit("the")))).alias("naming"))
-
-
-@query("SELECT o_custkey, string_agg(DISTINCT year(o_orderdate)::VARCHAR, ',' ORDER BY year(o_orderdate)::VARCHAR) AS years FROM orders GROUP BY o_custkey")
-def tj_years(spark, sf):
-    line = F.concat(F.lit("Order "), "o_orderkey", F.lit(" of "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" came to 18"), F.year("o_orderdate"), F.lit(" or 2187 units"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("t")))), lambda x: x["t"]), ". ")
-    sentences = F.filter(F.split("text", r"(?<=[.!?])\s+", -1), lambda s: F.contains(s, F.lit("Order")))
-    years = X.years_in(F.regexp_replace(F.array_join(sentences, " "), r"Order \d+ |18\d{4} or 2187", ""))
-    return demo.table(spark, sf, "orders").groupBy("o_custkey").agg(text.alias("text")).select("o_custkey", F.array_join(years, ",").alias("years"))
-
-
-@query("""SELECT label, count(*) AS n FROM (SELECT CASE WHEN y = s THEN 'same year' WHEN abs(y - s) = 1 THEN 'next year' WHEN y IS NULL THEN 'no year' ELSE 'other year' END AS label FROM (SELECT year(o_orderdate) AS s, year(l_shipdate) AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey)) GROUP BY label""")
-def tj_corroborate(spark, sf):
-    df = demo.order_lines(spark, sf).select(F.year("o_orderdate").alias("s"), F.year("l_shipdate").alias("y"))
-    return df.groupBy(F.expr("case when y = s then 'same year' when abs(y - s) = 1 then 'next year' when y is null then 'no year' else 'other year' end").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(r"""SELECT doc_id, coalesce(bool_or(i IS NOT NULL AND NOT regexp_matches(lower(substr(s, greatest(i - 60, 1), least(i - 1, 60))), 'no |not |n''t|never|cannot|can not|without|absent|rather than|instead of|neither|nor |lacks|lacking|does not|is not|are not|was not|were not|would require|could reach|would reach|short of|falls short|unlike')), FALSE) AS asserted FROM (SELECT doc_id, s, unnest(CASE WHEN len(l) = 0 THEN [NULL] ELSE l END) AS i
     FROM (SELECT doc_id, s, list_filter(range(1, length(s)), lambda i: substr(s, i, 2) = 'in') AS l FROM (SELECT doc_id, unnest(string_split_regex(text, '[.!?\n]')) AS s FROM documents))) GROUP BY doc_id""")
 def tj_negation(spark, sf):

@@ -82,3 +82,34 @@ def test_rationales(spark):
         "several": (["claims several sources"], []), "denied": ([], []), "other sentence": (["claims a top placement"], []), "repeated": (["claims repetition"], []), "soft": ([], ["words of repetition on one period", "superlative on one publisher"]),
         "award": ([], []), "no evidence": (["cites nothing"], []),
     }
+
+
+def test_sentences_and_years(spark):
+    from pyspark.sql import functions as F
+
+    from pairlens.functions import text as X
+
+    v = lambda t, n: spark.range(1).select(X.sentences_naming(F.lit(t).cast("string"), F.lit(n)).alias("x")).first().x
+    text = "Ann Stone came in 1999. She met Stone's son in 2004!\nMillstone fell in 1850?  Bob Two in 2187 and 20011."
+    assert v(text, "Ann Stone").hits == ["Ann Stone came in 1999."]
+    assert tuple(v(text, "Eve Stone")) == ("surname only", ["Ann Stone came in 1999.", "She met Stone's son in 2004!"])
+    assert v(text, "Cid Two").how == "none" and v(None, "Ann Stone").hits == [] and v("", "Ann Stone").how == "none"
+    years = spark.range(1).select(X.years_of(X.sentences(F.lit(text))).alias("y")).first().y
+    assert years == ["1999", "2004"]
+
+
+def test_corroborate(spark):
+    articles = [("a", "Ann met Bob Two in 2001. " + "x" * 330 + " Bob Two in 2002."), ("b", "It was Ann One. Ann One left in 1990."), ("c", "Nothing."), ("d", None)]
+    eps = [(1, "a", "b", "Ann One", "Bob Two", [1990]), (2, "a", "b", "Ann One", "Bob Two", [1950]), (3, "a", "c", "Ann One", "Cid Three", [2001]), (4, "a", "b", "Ann One", "Bob Two", []), (5, "c", "d", "Cid Three", "Dee Four", None), (6, "b", "c", "Zed Nine", "Ann One", [1990]), (7, "x", "y", "No", "One", [1])]
+    out = A.corroborate(spark.createDataFrame(eps, "episode int, a string, b string, a_name string, b_name string, stored array<int>"), spark.createDataFrame(articles, "id string, t string"))
+    got = {r.episode: (r.label, r.found, r.sides, len(r.excerpts)) for r in out.collect()}
+    assert got[1] == ("prose confirms a stored year", ["1990", "2001"], ["a:full name:1", "b:full name:2"], 3)
+    assert got[2][0] == "prose names other years" and got[3][0] == "not mentioned" and got[4][0] == "no stored date" and got[5][0] == "not mentioned"
+    assert got[6][:2] == ("prose confirms a stored year", ["1990"]) and got[7] == ("not mentioned", [], ["a:none:0", "b:none:0"], 0)
+
+
+def test_identities(spark):
+    people = [(1, "Ann"), (2, "Ann"), (3, "Ann"), (4, "Ann"), (5, "Ann"), (6, "Ann"), (7, None)]
+    known = [(2, False, "Ann"), (3, True, None), (4, True, "Ann"), (5, True, "Ann (actor)"), (6, True, "Anna"), (7, True, "Ann")]
+    got = A.identity_verdicts(spark.createDataFrame(people, "id int, name string"), spark.createDataFrame(known, "id int, human boolean, name string"))
+    assert {r.id: r.verdict for r in got.collect()} == {1: "missing", 2: "not human", 3: "no name", 4: "exact", 5: "exact after disambiguator", 6: "mismatch", 7: "mismatch"}
