@@ -124,3 +124,24 @@ def rank_changes(before: DataFrame, after: DataFrame, save) -> DataFrame:
     common = save(positions(positions(both.where("status = 'both'"), "x", "entity", "before"), "y", "entity", "after").select("entity", "before", "after"))
     places = inversions(common, "before", "after")
     return both.select("entity", "status").join(places, "entity", "left").select("entity", "status", "before", "after", (F.col("before") != F.col("after")).alias("moved"), "inversions")
+
+
+def stress_summary(results: DataFrame, floor: float | None) -> DataFrame:
+    """(case, arms, spread, ordered, grader_spread, worst_grader, reading) of every stress case.
+
+    ``results``: case, arm (compared in order of their names, which should score ever lower), grader, scored, estimate.
+    Arms are compared by the means of what was scored; an arm without any is left out. ``ordered``: each arm's mean lies
+    above the next one's, null for one arm. The spread within a grader counts as well, the worst named. A spread above
+    the measured floor is a finding; without a floor nothing is claimed.
+    """
+    ok = results.where("scored and estimate is not null")
+    means = ok.groupBy("case", "arm").agg((F.sum("estimate") / F.count(F.lit(1))).alias("m"))
+    arms = means.groupBy("case").agg(F.array_sort(F.collect_list(F.struct("arm", "m"))).alias("a"))
+    pairs = F.zip_with(F.slice("a", 1, F.size("a") - 1), F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0))), lambda x, y: x["m"] > y["m"])
+    values = F.transform("a", lambda x: x["m"])
+    arms = arms.select("case", F.transform("a", lambda x: F.concat_ws(":", x["arm"], F.round(x["m"], 3).cast("string"))).alias("arms"), F.round(F.array_max(values) - F.array_min(values), 6).alias("spread"), F.when(F.size("a") > 1, F.forall(pairs, lambda p: p)).alias("ordered"))
+    own = ok.groupBy("case", "arm", "grader").agg((F.sum("estimate") / F.count(F.lit(1))).alias("m")).groupBy("case", "grader").agg((F.max("m") - F.min("m")).alias("g"))
+    own = own.groupBy("case").agg(F.round(F.max("g"), 6).alias("grader_spread"), F.min(F.struct((-F.col("g")).alias("g"), "grader"))["grader"].alias("worst_grader"))
+    known = F.lit(floor).cast("double")
+    reading = F.when(known.isNull(), "no floor measured").when(F.col("spread") <= known, "within the floor").otherwise("above the floor")
+    return arms.join(own, "case").select("case", "arms", "spread", "ordered", "grader_spread", "worst_grader", reading.alias("reading"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import without_space
+from ..functions.text import normal_space, without_space
 from .quality import first_object, kind, number, text
 
 #: Words that verdicts may use.
@@ -151,3 +151,15 @@ def with_grader(gradings: DataFrame, models: DataFrame) -> DataFrame:
     df = gradings.join(F.broadcast(models), "family", "left").withColumn("model", F.coalesce(F.nullif("model", F.lit("")), "known")).drop("known")
     missing = [(f"no {c}", F.col(c).isNull()) for c in ("entity", "period", "family")]
     return df.withColumn("reason", _first([*missing, ("no model for the family", F.col("model").isNull())]))
+
+
+def qualifying(answers: DataFrame, quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, class): what a classification is worth once its quote was looked up.
+
+    ``answers``: id, said. ``quotes``: id, q; ``sources``: id, t, the text each quote should stand in. Qualifying answers
+    keep their class only if the quote stands verbatim in the own text, white space and case aside; else they are
+    ungrounded. Other answers keep what they said.
+    """
+    own = quotes.join(sources, "id", "left").groupBy("id").agg(F.bool_or((normal_space(F.col("q")) != "") & F.contains(normal_space(F.col("t")), normal_space(F.col("q")))).alias("ok"))
+    df = answers.select("id", "said").join(own, "id", "left")
+    return df.select("id", F.when(F.col("said") != "QUALIFYING", F.col("said")).when(F.col("ok"), F.col("said")).otherwise("UNGROUNDED").alias("class"))

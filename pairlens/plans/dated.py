@@ -393,9 +393,18 @@ def agg_own_floor(spark, sf):
     return rows.where("abs(gap) > coalesce(own, largest)").selectExpr("a", "period", "shape", "gap", "coalesce(own, largest) as floor", "if(own is null, 'largest floor', 'own floor') as which")
 
 
-@query("""SELECT target, shape, round(max(sd) - min(sd), 6) AS spread, count(*) AS graders FROM rater GROUP BY target, shape""")
+_ARM = "(SELECT entity % 50 AS c, type AS arm, json_extract_string(props, '$.k')::INT % 3 AS grader, round(value)::BIGINT AS v FROM evidence WHERE observation_id % 13 <> 0)"
+
+
+@query(f"""SELECT m.c AS case, arms, round(spread, 6) AS spread, ordered, round(g.gs, 6) AS grader_spread, g.worst AS worst_grader, CASE WHEN spread <= (SELECT max(lsd) FROM (SELECT 2.77 * avg(sd) AS lsd FROM rater GROUP BY shape HAVING NOT bool_and(sd = 0))) THEN 'within the floor' ELSE 'above the floor' END AS reading FROM (
+    SELECT c, count(*) AS arms, max(m) - min(m) AS spread, CASE WHEN count(*) > 1 THEN bool_and(coalesce(m > after, TRUE)) END AS ordered FROM (SELECT c, m, lead(m) OVER (PARTITION BY c ORDER BY arm) AS after FROM (SELECT c, arm, sum(v) / count(*) AS m FROM {_ARM} GROUP BY ALL)) GROUP BY c) m
+    JOIN (SELECT c, max(g) AS gs, arg_max(grader, (g, -grader)) AS worst FROM (SELECT c, grader, max(m) - min(m) AS g FROM (SELECT c, arm, grader, sum(v) / count(*) AS m FROM {_ARM} GROUP BY ALL) GROUP BY ALL) GROUP BY c) g ON g.c = m.c""")
 def agg_stress_summary(spark, sf):
-    return demo.rater(spark, sf).groupBy("target", "shape").agg(F.round(F.max("sd") - F.min("sd"), 6).alias("spread"), F.count(F.lit(1)).alias("graders"))
+    """Fifty cases of entities with their event types as arms, in order; every thirteenth result was not scored."""
+    e = demo.evidence(spark, sf)
+    r = e.select((F.col("entity") % 50).alias("case"), F.col("type").alias("arm"), (F.get_json_object("props", "$.k").cast("int") % 3).alias("grader"), (F.col("observation_id") % 13 != 0).alias("scored"), F.round("value").cast("long").alias("estimate"))
+    floor = agg_noise_floor(spark, sf).first()["floor"]
+    return DG.stress_summary(r, floor).withColumn("arms", F.size("arms").cast("long"))
 
 
 @query("""SELECT x.entity, x.period, y.e - x.e AS delta FROM (SELECT entity, period, round(avg(value))::INT AS e, string_agg(DISTINCT type, '+' ORDER BY type) AS ids FROM evidence WHERE observation_id % 2 = 0 GROUP BY ALL) x

@@ -129,11 +129,6 @@ def flt_orient_sides(spark, sf):
     return demo.episodes_e(spark, sf).groupBy(F.expr("if(a % 2 = b % 2, 'same side', 'kept')").alias("reason"), F.expr("case when a % 2 = b % 2 then null when a % 2 = 0 then a else b end").alias("side_a")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'purchase' AND value > 50 THEN 'QUALIFYING' WHEN event_type = 'purchase' THEN 'UNGROUNDED' ELSE 'OTHER' END AS class FROM events")
-def flt_qualifying(spark, sf):
-    return demo.table(spark, sf, "events").selectExpr("event_id", "case when event_type = 'purchase' and value > 50 then 'QUALIFYING' when event_type = 'purchase' then 'UNGROUNDED' else 'OTHER' end as class")
-
-
 @query("SELECT user_id, CASE WHEN bool_or(event_type = 'purchase' AND value > 90) THEN 'evidence' WHEN bool_or(event_type = 'signup') AND bool_or(event_type = 'click') THEN 'occupation' WHEN bool_or(event_type = 'view') THEN 'article' ELSE 'closed' END AS class FROM events GROUP BY user_id")
 def flt_eligibility(spark, sf):
     e = demo.table(spark, sf, "events").groupBy("user_id").agg(F.bool_or(F.expr("event_type = 'purchase' and value > 90")).alias("ev"), F.collect_set("event_type").alias("t"))

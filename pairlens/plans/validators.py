@@ -125,3 +125,18 @@ def dq_grading(spark, sf):
     g = g.select(F.when(F.col("period") % 7 != 0, F.col("entity")).alias("entity"), "period", "family", F.when(F.col("period") % 5 != 0, F.col("grader")).alias("model"))
     models = spark.createDataFrame([("A", "model a"), ("N", "model n")], "family string, known string")
     return V.with_grader(g, models).groupBy(F.coalesce("model", F.lit("-")).alias("model"), F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_WS = r"'[\t\n\x0b\f\r ]+', ' ', 'g'"
+
+
+@query(f"""SELECT doc_id AS id, CASE WHEN doc_id % 4 = 1 THEN 'OTHER' WHEN q <> '' AND contains(trim(lower(regexp_replace(text, {_WS}))), trim(lower(regexp_replace(q, {_WS})))) THEN 'QUALIFYING' ELSE 'UNGROUNDED' END AS class
+    FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN upper(trim(string_split(text, chr(10))[-1])) || ' ever' ELSE trim(string_split(text, chr(10))[1]) END AS q FROM documents)""")
+def flt_qualifying(spark, sf):
+    """Documents classified with a quote: their first line, or an altered last one; every fourth says something else."""
+    d = demo.table(spark, sf, "documents")
+    lines = F.split("text", "\n", -1)
+    q = F.when(F.col("doc_id") % 3 == 0, F.concat(F.upper(F.trim(F.element_at(lines, -1))), F.lit(" ever"))).otherwise(F.trim(lines[0]))
+    said = F.when(F.col("doc_id") % 4 == 1, "OTHER").otherwise("QUALIFYING")
+    d = d.withColumn("id", F.col("doc_id"))
+    return V.qualifying(d.select("id", said.alias("said")), d.select("id", q.alias("q")), d.select("id", F.col("text").alias("t")))
