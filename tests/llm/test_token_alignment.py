@@ -107,3 +107,8 @@ def test_ids_are_the_libraries(encoders):
     v = ByteVocabulary(A)
     for x in (" it's 12'th x   y", " \n\n a", " ÀÉ ß ﬁ ٣ ½", " a" + "​" * 5 + "\x85 b"):
         assert v.encode(x).tolist() == encoders[0].encode(x, add_special_tokens=False).ids
+
+
+def test_no_document_has_tokens(spark, encoders):
+    rows = [(1, None), (2, ""), (3, "▁"), (None, None)]
+    assert got(align_tokenizers(spark.createDataFrame(rows, SCHEMA).repartition(2), A, B)) == brute(rows, encoders)
