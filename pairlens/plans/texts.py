@@ -109,9 +109,11 @@ def tx_classify_prefix(spark, sf):
     return hit.groupBy("p_partkey").agg(F.coalesce(F.max_by("class", F.length("prefix")), F.lit("unclassified_failure")).alias("class"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'transient' WHEN 'click' THEN 'quota' WHEN 'view' THEN 'nonzero' WHEN 'signup' THEN 'empty' ELSE 'other' END AS class FROM events")
+@query("SELECT event_id, CASE WHEN k & 1 > 0 THEN 'quota' WHEN k & 2 > 0 THEN 'transient' WHEN k & 4 > 0 THEN 'nonzero' WHEN k & 8 > 0 THEN 'other' ELSE 'empty' END AS class FROM (SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events)")
 def tx_classify_failure(spark, sf):
-    said = F.expr("case event_type when 'error' then 'Timeout, exit 1' when 'click' then 'quota reached after timeout' when 'view' then 'nonzero exit' when 'signup' then ' ' else 'what' end")
+    """Messages of every mix of phrases, by the bits of an event's k; of several phrases the gravest names the class."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    said = F.concat_ws(" ", *[F.when(k.bitwiseAND(1 << i) > 0, p) for i, p in ((3, "it said"), (2, "EXIT status 1"), (1, "Temporarily down"), (0, "rate LIMIT hit"))])
     return demo.table(spark, sf, "events").select("event_id", X.failure_class(said).alias("class"))
 
 
