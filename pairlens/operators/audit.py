@@ -28,19 +28,18 @@ def absence_audit(people: DataFrame, have: DataFrame, sources: DataFrame, articl
     """
     missing = _save(people.join(have.select("id").distinct(), "id", "left_anti").select("id", "name"))
     names = missing.select(F.col("name").alias("pid"), F.col("name").alias("q")).where("q <> ''").distinct()
-    where = sources.select("tid", "label")
-    full = _save(phrase_hits(names, sources).join(where, "tid").select(F.col("pid").alias("name"), "label").distinct())
+    full = _save(phrase_hits(names, sources, "label").withColumnRenamed("pid", "name"))
+    last = _save(names.select(F.col("pid").alias("name"), F.element_at(F.split(F.trim("pid"), r"\s+"), -1).alias("surname")))
+    words = last.select(F.col("surname").alias("pid")).distinct()
+    plain = word_hits(words.where(~F.col("pid").rlike(NO_WORD)).withColumn("q", F.col("pid")), sources, "label")
     # A surname of several words in the sense of a pattern is found by its longest one and then compared.
-    last = names.select(F.col("pid").alias("name"), F.element_at(F.split(F.trim("pid"), r"\s+"), -1).alias("surname"))
-    longest = F.array_max(F.transform(F.split("surname", NO_WORD, -1), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    last = _save(last.select("name", "surname", longest.alias("q")))
-    hit = word_hits(last.select(F.struct("name", "surname").alias("pid"), "q"), sources).select("pid.name", "pid.surname", "tid")
-    plain = hit.where(~F.col("surname").rlike(NO_WORD)).select("name", "tid")
-    quoted = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("surname", r"([^\w ])", r"\\$1"), F.lit(r"\b"))
-    other = hit.where(F.col("surname").rlike(NO_WORD)).join(sources.select("tid", "t"), "tid").where(F.call_function("regexp_like", F.col("t"), quoted)).select("name", "tid")
-    surname = plain.unionAll(other).join(where, "tid").select("name", "label").distinct().join(full, ["name", "label"], "left_anti")
-    mine = phrase_hits(titles.select(F.col("label").alias("pid"), F.col("title").alias("q")), articles.join(missing.select("id").distinct(), "id", "left_semi").select("tid", "t"))
-    mine = mine.join(articles.select("tid", "id"), "tid").select("id", F.col("pid").alias("label")).distinct()
+    longest = F.array_max(F.transform(F.split("pid", NO_WORD, -1), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    quoted = F.concat(F.lit(r"(?U)\b"), F.regexp_replace("pid", r"([^\w ])", r"\\$1"), F.lit(r"\b"))
+    other = word_hits(words.where(F.col("pid").rlike(NO_WORD)).withColumn("q", longest), sources).join(sources.select("tid", "label", "t"), "tid")
+    other = other.where(F.call_function("regexp_like", F.col("t"), quoted)).select("pid", "label").distinct()
+    surname = last.join(plain.unionAll(other).withColumnRenamed("pid", "surname"), "surname").select("name", "label").join(full, ["name", "label"], "left_anti")
+    mine = phrase_hits(titles.select(F.col("label").alias("pid"), F.col("title").alias("q")), articles.join(missing.select("id").distinct(), "id", "left_semi").select("tid", "id", "t"), "id")
+    mine = mine.select("id", F.col("pid").alias("label"))
     out = missing.join(_labels(full, "name", "named_in"), "name", "left").join(_labels(surname, "name", "surname_only_in"), "name", "left").join(_labels(mine, "id", "own_article"), "id", "left")
     none = F.array().cast("array<string>")
     out = out.select("id", "name", *[F.coalesce(c, none).alias(c) for c in ("named_in", "surname_only_in", "own_article")])

@@ -4,6 +4,7 @@ import random
 import re
 
 from pairlens.operators import audit as A
+from pairlens.operators import phrases as phrases_module
 from pairlens.operators.phrases import phrase_hits, word_hits
 
 
@@ -11,13 +12,19 @@ def pairs(df):
     return sorted((r.pid, r.tid) for r in df.collect())
 
 
-def test_phrases_against_brute_force(spark):
+def test_phrases_against_brute_force(spark, monkeypatch):
     r = random.Random(2)
     words = ["a", "ab", "abc", "abcd", "the", "xthe", "thex", "", "é", "b.c"]
     texts = [(i, " ".join(r.choices(words, k=r.randint(0, 12)))) for i in range(60)] + [(100, None), (101, "abc\nthe abc"), (102, "the " * 3000 + "end")]
     phrases = [(i, " ".join(r.choices(words, k=r.randint(1, 5)))) for i in range(80)] + [(200, None), (201, ""), (202, " "), (203, "he ab"), (204, "abc\nthe a"), (205, "the end"), (206, "the end")]
-    got = phrase_hits(spark.createDataFrame(phrases, "pid long, q string"), spark.createDataFrame(texts, "tid int, t string").repartition(4))
-    assert pairs(got) == sorted((p, t) for p, q in phrases if q is not None for t, x in texts if x is not None and q in x)
+    want = sorted((p, t) for p, q in phrases if q is not None for t, x in texts if x is not None and q in x)
+    for held in (500_000, 600, 60):  # one automaton; automata of some phrases only
+        monkeypatch.setattr(phrases_module, "HELD", held)
+        got = phrase_hits(spark.createDataFrame(phrases, "pid long, q string"), spark.createDataFrame(texts, "tid int, t string").repartition(4))
+        assert pairs(got) == want
+        grouped = spark.createDataFrame([(t, t % 3, x) for t, x in texts], "tid int, kind int, t string").repartition(4)
+        got = phrase_hits(spark.createDataFrame(phrases, "pid long, q string"), grouped, "kind")
+        assert sorted((r.pid, r.kind) for r in got.collect()) == sorted({(p, t % 3) for p, t in want})
     none = spark.createDataFrame([], "pid long, q string")
     assert pairs(phrase_hits(none, spark.createDataFrame(texts, "tid int, t string"))) == []
 
