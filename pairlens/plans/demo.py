@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import gradings as G
 from ..operators import pairings as P
 from ..operators import temporal as T
+from ..sources import writers as W
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -106,7 +107,8 @@ def normal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def normal_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    return P.family_gaps(pairings_screen(spark, sf), normal(spark, sf), ["pairing_id", "domain", "a", "b", "weight_h"])
+    both = W.snapshot(normal(spark, sf), W.shared_path(spark, "normal"))  # both sides of a pairing read it
+    return P.family_gaps(pairings_screen(spark, sf), both, ["pairing_id", "domain", "a", "b", "weight_h"])
 
 
 def works(spark: SparkSession, sf: str) -> DataFrame:
