@@ -377,8 +377,10 @@ def agg_spread_verdict(spark, sf):
 
 
 #: Estimates of events of the same shape on neighbouring days, with the noise floor of single types where it was measured.
+#: Estimates lie between 0 and 100, so the ratings that a floor comes from are held to that scale too.
 _NEAR = "(SELECT x.entity AS a, x.period, x.shape, y.estimate - x.estimate AS gap FROM estimates x JOIN estimates y ON y.entity = x.entity AND y.period = x.period + 1 AND y.shape = x.shape)"
-_FLOORS = "(SELECT shape, CASE WHEN NOT bool_and(sd = 0) THEN round(2.77 * avg(sd), 6) END AS lsd FROM rater WHERE shape <> 'view' GROUP BY shape)"
+_FLOORS = "(SELECT shape, CASE WHEN NOT bool_and(sd = 0) THEN round(2.77 * avg(sd), 6) END AS lsd FROM "
+_FLOORS += "(SELECT event_type AS shape, stddev_samp(least(100, greatest(0, round(value)))) AS sd FROM events WHERE event_type <> 'view' GROUP BY user_id, event_type, json_extract_string(props, '$.k')::INT % 3 HAVING count(*) > 1) GROUP BY shape)"
 
 
 @query(f"""SELECT a, period, n.shape, gap, coalesce(f.lsd, m.floor) AS floor, CASE WHEN f.lsd IS NULL THEN 'largest floor' ELSE 'own floor' END AS which FROM {_NEAR} n LEFT JOIN {_FLOORS} f ON f.shape = n.shape, (SELECT max(lsd) AS floor FROM {_FLOORS}) m WHERE abs(gap) > coalesce(f.lsd, m.floor)""")
@@ -387,7 +389,7 @@ def agg_own_floor(spark, sf):
     e = demo.estimates(spark, sf)
     after = e.selectExpr("entity", "period - 1 as period", "shape", "estimate as later")
     near = e.join(after, ["entity", "period", "shape"]).selectExpr("entity as a", "period", "shape", "later - estimate as gap")
-    floors = DG.noise_floors(demo.rater(spark, sf).where("shape <> 'view'"), []).where("shape is not null")
+    floors = DG.noise_floors(demo.rater(spark, sf, 100).where("shape <> 'view'"), []).where("shape is not null")
     largest = floors.agg(F.max("lsd").alias("largest"))  # one row
     rows = near.join(floors.select("shape", F.col("lsd").alias("own")), "shape", "left").crossJoin(F.broadcast(largest))
     return rows.where("abs(gap) > coalesce(own, largest)").selectExpr("a", "period", "shape", "gap", "coalesce(own, largest) as floor", "if(own is null, 'largest floor', 'own floor') as which")

@@ -116,6 +116,8 @@ def works(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("work"), F.concat(F.lit("S"), "l_suppkey").alias("entity"), F.col("p_retailprice").alias("prominence")).distinct()
 
 
-def rater(spark: SparkSession, sf: str) -> DataFrame:
+def rater(spark: SparkSession, sf: str, top: int | None = None) -> DataFrame:
+    """Repeated ratings of a target by grader; ``top``: ratings are held between 0 and that."""
     df = table(spark, sf, "events").withColumn("grader", (F.get_json_object("props", "$.k").cast("int") % 3))
-    return df.groupBy(F.col("user_id").alias("target"), F.col("event_type").alias("shape"), "grader").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(F.round("value")).alias("sd")).where("n > 1")
+    v = F.round("value") if top is None else F.least(F.lit(float(top)), F.greatest(F.lit(0.0), F.round("value")))
+    return df.groupBy(F.col("user_id").alias("target"), F.col("event_type").alias("shape"), "grader").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(v).alias("sd")).where("n > 1")
