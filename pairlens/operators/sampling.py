@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.numbers import rounded
+
 
 def uniform(*parts: Column) -> Column:
     """A number in (0, 1) from the digest of its parts, the same in every engine and partitioning."""
@@ -51,8 +53,8 @@ def interval(coefficients: DataFrame, specs: DataFrame, draws: int, seed: int, a
     )
     t = F.array_sort(F.array(*[f"t{i}" for i in range(draws)]))
     low, high = int(alpha / 2 * draws), min(int((1 - alpha / 2) * draws), draws - 1)
-    out = out.select("key", "point_total", "exposure", t[low].alias("total_low"), t[high].alias("total_high"), F.round(F.col("clamped") / (F.col("ids") * draws), 6).alias("clamped_share"), (F.col("m0") == -F.col("t0")).alias("mirrored"))
-    rate = lambda x: F.round(F.col(x) / F.nullif(F.col("exposure"), F.lit(0)), 6)
+    out = out.select("key", "point_total", "exposure", t[low].alias("total_low"), t[high].alias("total_high"), rounded(F.col("clamped") / (F.col("ids") * draws)).alias("clamped_share"), (F.col("m0") == -F.col("t0")).alias("mirrored"))
+    rate = lambda x: rounded(F.col(x) / F.nullif(F.col("exposure"), F.lit(0)))
     return out.select("key", "point_total", rate("point_total").alias("point_rate"), "total_low", "total_high", rate("total_low").alias("rate_low"), rate("total_high").alias("rate_high"), "clamped_share", "mirrored")
 
 
