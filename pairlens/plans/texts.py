@@ -158,7 +158,11 @@ def wiki_texts(spark, sf, before, line, joined=""):
     ``line`` gives the text of a line from its struct (place, part, supp, name, plain) and its position; a name is a link
     for even suppliers, else a plain name or, for every third part, lower-case words that are no name.
     """
-    lines = demo.order_lines(spark, sf).join(demo.table(spark, sf, "part"), F.expr("l_partkey = p_partkey"))
+    n, part = demo.n_lines(spark, sf), demo.table(spark, sf, "part").select("p_partkey", "p_name")
+    lines = demo.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = demo.dealt(lines, n, "l_partkey").join(demo.dealt(part, n, "p_partkey"), F.expr("l_partkey = p_partkey"))
+    # Dealt by order last, so that the lines of an order and its table's rows stay where they are from here on.
+    lines = demo.dealt(lines, n, "l_orderkey").join(demo.dealt(demo.table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), n, "o_orderkey"), F.expr("l_orderkey = o_orderkey"))
     each = F.struct(F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.initcap("p_name").alias("name"), F.col("p_name").alias("plain"))
     df = lines.groupBy(F.col("l_orderkey").alias("id"), "o_orderdate").agg(F.array_sort(F.collect_list(each)).alias("l"))
     return df.select("id", F.concat(before, F.array_join(F.transform("l", line), joined)).alias("text"))
