@@ -34,26 +34,43 @@ def interval(coefficients: DataFrame, specs: DataFrame, draws: int, seed: int, a
     0..100 and kept in hundredths, so totals are whole numbers; the share of clamped draws is reported. ``mirrored``: the
     swapped total of the first draw is the negative of the total. An id without spec is refused.
 
-    Draws are columns: a key and an id meet once, not once for each draw, and sums combine before the shuffle.
+    A key and an id meet once, not once for each draw, and all draws of an id travel as one array of two-byte numbers to
+    the key's task, which alone sums them: partial sums would be wider than what they sum, and as many.
     """
     c = coefficients.groupBy("key", "id").agg(F.sum("c").alias("c"), F.sum("mirror").alias("mirror"), F.sum("exposure").alias("exposure"))
     lost = c.join(specs, "id", "left_anti").select("id").distinct().limit(3).collect()
     if lost:
         raise ValueError(f"estimates without a spec of how far they may move: {', '.join(str(r.id) for r in lost)}")
-    s, d = F.lit(str(seed)), lambda i: i.cast("string")
-    shift = lambda i: F.when(F.col("publisher").isNotNull() & F.lit(publisher_sd > 0), publisher_sd * normal(F.lit("p"), s, d(i), F.col("publisher"))).otherwise(0.0)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.col("value") + F.col("sd") * normal(s, d(i), F.col("id").cast("string")) + shift(i))
-    hundredths = lambda v: F.round(100 * F.least(F.lit(100.0), F.greatest(F.lit(0.0), v))).cast("long")
-    drawn = specs.withColumn("raw", raw).select("id", hundredths(F.col("value")).alias("point"), F.transform("raw", hundredths).alias("x"), F.size(F.filter("raw", lambda v: (v < 0) | (v > 100))).alias("clamped"))
-    j = c.join(drawn, "id")
-    sums = [F.sum(F.col("c") * F.col("x")[i]).alias(f"t{i}") for i in range(draws)]
-    out = j.groupBy("key").agg(
-        F.sum(F.col("c") * F.col("point")).alias("point_total"), F.sum("exposure").alias("exposure"), F.sum("clamped").alias("clamped"), F.count(F.lit(1)).alias("ids"),
-        F.sum(F.col("mirror") * F.col("x")[0]).alias("m0"), *sums,
-    )
+    each = c.join(drawn(specs, effects(specs, draws, seed, publisher_sd), draws, seed), "id").select("key", "c", "mirror", "exposure", "point", "x", "clamped")
+    sums = F.sum(F.col("c") * F.col("point")).alias("point_total"), F.sum("exposure").alias("exposure"), F.sum("clamped").alias("clamped"), F.count(F.lit(1)).alias("ids"), F.sum(F.col("mirror") * F.col("x")[0]).alias("m0")
+    return bands(each.repartition("key").groupBy("key").agg(*sums, *[F.sum(F.col("c") * F.col("x")[i]).alias(f"t{i}") for i in range(draws)]), draws, alpha)
+
+
+#: Publishers whose effects are sent to all tasks; with more, specs and effects are shuffled.
+FEW = 10_000
+
+
+def effects(specs: DataFrame, draws: int, seed: int, publisher_sd: float) -> DataFrame:
+    """The effect of each publisher of the specs in each draw: (publisher, effects)."""
+    of = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: publisher_sd * normal(F.lit("p"), F.lit(str(seed)), i.cast("string"), F.col("publisher")))
+    found = specs.where(F.col("publisher").isNotNull() & F.lit(publisher_sd > 0)).select("publisher").distinct()
+    return F.broadcast(found.withColumn("effects", of)) if found.count() <= FEW else found.withColumn("effects", of)
+
+
+def drawn(specs: DataFrame, effects: DataFrame, draws: int, seed: int) -> DataFrame:
+    """The specs with value (``point``) and draws (``x``) in hundredths, held between 0 and 100, and how many were held."""
+    rest = [c for c in specs.columns if c not in ("value", "sd", "publisher")]
+    raw = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.col("value") + F.col("sd") * normal(F.lit(str(seed)), i.cast("string"), F.col("id").cast("string")) + F.coalesce(F.get("effects", i), F.lit(0.0)))
+    hundredths = lambda v: F.round(100 * F.least(F.lit(100.0), F.greatest(F.lit(0.0), v)))
+    df = specs.join(effects, "publisher", "left").withColumn("raw", raw)
+    return df.select(*rest, hundredths(F.col("value")).cast("long").alias("point"), F.transform("raw", lambda v: hundredths(v).cast("short")).alias("x"), F.size(F.filter("raw", lambda v: (v < 0) | (v > 100))).alias("clamped"))
+
+
+def bands(sums: DataFrame, draws: int, alpha: float) -> DataFrame:
+    """Bands of each key from its sums: point_total, exposure, clamped, ids, m0 (the swapped total of draw 0), t0, t1, ..."""
     t = F.array_sort(F.array(*[f"t{i}" for i in range(draws)]))
     low, high = int(alpha / 2 * draws), min(int((1 - alpha / 2) * draws), draws - 1)
-    out = out.select("key", "point_total", "exposure", t[low].alias("total_low"), t[high].alias("total_high"), rounded(F.col("clamped") / (F.col("ids") * draws)).alias("clamped_share"), (F.col("m0") == -F.col("t0")).alias("mirrored"))
+    out = sums.select("key", "point_total", "exposure", t[low].alias("total_low"), t[high].alias("total_high"), rounded(F.col("clamped") / (F.col("ids") * draws)).alias("clamped_share"), (F.col("m0") == -F.col("t0")).alias("mirrored"))
     rate = lambda x: rounded(F.col(x) / F.nullif(F.col("exposure"), F.lit(0)))
     return out.select("key", "point_total", rate("point_total").alias("point_rate"), "total_low", "total_high", rate("total_low").alias("rate_low"), rate("total_high").alias("rate_high"), "clamped_share", "mirrored")
 

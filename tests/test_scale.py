@@ -1,9 +1,12 @@
 """Tables are dealt in parts whose number grows with them, and rows are not multiplied before they are grouped."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from pairlens import plans
 from pairlens.operators import pairings as P
+from pairlens.operators import sampling as S
 from pairlens.plans import demo, registry
 
 plans.load()
@@ -41,3 +44,24 @@ def test_family_gaps_keep_uncovered_rows(spark):
     got = {r.pairing_id: tuple(r)[1:] for r in P.family_gaps(pairs, normal, ["pairing_id"], covered=False).collect()}
     assert got == {"p": (2, 5, 2), "q": (0, None, None), "r": (0, None, None)}
     assert [r.pairing_id for r in P.family_gaps(pairs, normal, ["pairing_id"]).collect()] == ["p"]
+
+
+def test_draws_are_summed_where_they_arrive(spark, sf, monkeypatch):
+    monkeypatch.setattr(demo, "PART_ROWS", 500)
+    text, n = plan(registry.QUERIES["rs_interval"](spark, sf)), -(-demo.n_lines(spark, sf) // 500)
+    moved = [x for x in re.findall(r"Exchange (hashpartitioning\(.*?\)), ", text) if not x.startswith("hashpartitioning(publisher")]
+    # Pairings and scores of side b, rows and scores of side a; sums do not move, and draws are not sent to every task.
+    assert len(moved) == 4 and all(x.endswith(f", {n})") for x in moved), text
+    assert text.count("SortMergeJoin") == 2
+
+
+def test_draws_of_a_key_move_before_they_are_summed(spark, monkeypatch):
+    c = spark.createDataFrame([("k", "i", 2, -2, 4), ("k", "j", -2, 2, 0), ("l", "j", 1, -1, 1)], "key string, id string, c long, mirror long, exposure long")
+    specs = spark.createDataFrame([("i", 80.0, 3.0, "p"), ("j", 99.0, 3.0, None)], "id string, value double, sd double, publisher string")
+    out = S.interval(c, specs, 20, 1, 0.1, 2.0)
+    lines = plan(out).splitlines()
+    (at,) = [i for i, x in enumerate(lines) if re.search(r"Exchange hashpartitioning\(key#\d+, \d+\)", x)]
+    assert "Aggregate" not in lines[at + 1]
+    one = sorted(map(tuple, out.collect()))
+    monkeypatch.setattr(S, "FEW", 0)  # effects are shuffled, not sent to all
+    assert sorted(map(tuple, S.interval(c, specs, 20, 1, 0.1, 2.0).collect())) == one
