@@ -46,6 +46,14 @@ def test_family_gaps_keep_uncovered_rows(spark):
     assert [r.pairing_id for r in P.family_gaps(pairs, normal, ["pairing_id"]).collect()] == ["p"]
 
 
+def test_normalized_gaps_list_every_pairing(spark, sf):
+    every, rows = demo.pairings_screen(spark, sf).select("pairing_id"), registry.QUERIES["agg_normalized_gaps"](spark, sf)
+    uncovered = rows.where("families = 0")
+    assert rows.count() == every.count() and not every.exceptAll(rows.select("pairing_id")).count()
+    assert uncovered.count() and not uncovered.where("z_gap is not null or raw_gap is not null").count()
+    assert sorted(uncovered.select("pairing_id").collect()) == sorted(registry.QUERIES["agg_uncovered"](spark, sf).collect())
+
+
 def test_draws_are_summed_where_they_arrive(spark, sf, monkeypatch):
     monkeypatch.setattr(demo, "PART_ROWS", 500)
     text, n = plan(registry.QUERIES["rs_interval"](spark, sf)), -(-demo.n_lines(spark, sf) // 500)
