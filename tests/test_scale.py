@@ -56,6 +56,14 @@ def test_profiles_move_by_customer_only(spark, sf, monkeypatch):
     assert sorted(registry.QUERIES["agg_qualify"](spark, sf).collect(), key=repr) == want
 
 
+def test_both_boards_read_lines_that_met_their_orders(spark, sf, monkeypatch):
+    monkeypatch.setattr(demo, "PART_ROWS", 500)
+    text, n = plan(registry.QUERIES["st_entered_left"](spark, sf)), -(-demo.n_lines(spark, sf) // 500)
+    assert "l_orderkey" not in text
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)#\w+, (\d+)\), REPARTITION_BY_NUM", text)
+    assert {x for x, _ in moved} == {"o_custkey", "l_suppkey", "l_partkey", "p_partkey"} and {int(k) for _, k in moved} == {n}, text
+
+
 def test_normalized_gaps_list_every_pairing(spark, sf):
     every, rows = demo.pairings_screen(spark, sf).select("pairing_id"), registry.QUERIES["agg_normalized_gaps"](spark, sf)
     uncovered = rows.where("families = 0")
